@@ -86,7 +86,7 @@ def rows_for_year(spark, sf_dir):
 _SCOPES_SQL = """
 scopes AS (
   SELECT DISTINCT user_id AS id_situacion,
-         CASE WHEN user_id % 25 > 0 THEN 'Brand#' || (1 + user_id % 25) END AS comunidad,
+         CASE WHEN user_id % 25 > 0 THEN 'Brand#' || (1 + user_id % 27) END AS comunidad,
          (['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'])[1 + user_id % 6] AS materia,
          (['1º ESO', '2º ESO', '3º ESO'])[1 + user_id % 3] AS curso
   FROM events)

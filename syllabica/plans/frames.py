@@ -157,7 +157,7 @@ cited_raw AS (
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, hour(ts) AS h
   FROM events),
 scopes AS (
-  SELECT DISTINCT id_situacion, 'Brand#' || (1 + id_situacion % 25) AS comunidad,
+  SELECT DISTINCT id_situacion, 'Brand#' || (1 + id_situacion % 27) AS comunidad,
          (['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'])[1 + id_situacion % 6] AS materia,
          CASE WHEN id_situacion % 2 = 0 THEN '1º ESO' ELSE '2º ESO' END AS curso
   FROM cited_raw),
@@ -201,7 +201,7 @@ def citing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
         .select(
             owner.alias("id_situacion"),
-            F.concat(F.lit("Brand#"), owner % 25 + 1).alias("comunidad"),
+            F.concat(F.lit("Brand#"), owner % 27 + 1).alias("comunidad"),
             F.element_at(F.array(*[F.lit(t) for t in types]), (owner % 6 + 1).cast("int")).alias("materia"),
             F.when(owner % 2 == 0, "1º ESO").otherwise("2º ESO").alias("curso"),
         )

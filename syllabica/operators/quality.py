@@ -234,9 +234,9 @@ def repeated_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def dangling(children: DataFrame, parents: DataFrame, on: Sequence[str]) -> DataFrame:
+def dangling(children: DataFrame, parents: DataFrame, on: Sequence[str], *, spread_by: Sequence[str]) -> DataFrame:
     """Children whose parent does not exist."""
-    return children.join(parents.select(*on).distinct(), list(on), "left_anti")
+    return spread_join(children, parents.select(*on).distinct(), on, "left_anti", spread_by=spread_by)
 
 
 def subject_mismatches(

@@ -82,7 +82,8 @@ def ghosts(parents: DataFrame, key: str, *children: DataFrame) -> DataFrame:
 
 def orphan_artefacts(artefacts: DataFrame, documents: DataFrame) -> DataFrame:
     """Stored files whose document no longer exists."""
-    return artefacts.join(documents.select("id_situacion"), "id_situacion", "left_anti")
+    ids = documents.select("id_situacion")
+    return spread_join(artefacts, ids, ["id_situacion"], "left_anti", spread_by=["seccion", "huella"])
 
 
 def apply_claims(users: DataFrame, decisions: DataFrame, roles: DataFrame) -> DataFrame:

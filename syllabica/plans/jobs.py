@@ -201,7 +201,7 @@ def fk_mismatch(spark, sf_dir):
 def fk_dangling(spark, sf_dir):
     rows = read(spark, sf_dir, "events", "event_id", "user_id").withColumn("k", F.col("user_id"))
     parents = read(spark, sf_dir, "orders", "o_custkey").select(F.col("o_custkey").alias("k"))
-    return qual.dangling(rows, parents, ["k"]).select("event_id", "user_id")
+    return qual.dangling(rows, parents, ["k"], spread_by=["event_id"]).select("event_id", "user_id")
 
 
 @query(

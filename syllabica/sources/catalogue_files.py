@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regions import DEFAULT_REGION, REGION_ALIASES, REGIONS
 from ..functions.text import slug
+from ..operators.joins import spread_join
 from ..operators.quality import dangling
 from ..schemas import CATALOGUE_FILE
 
@@ -64,8 +65,9 @@ def flatten_catalogue(records: DataFrame) -> dict[str, DataFrame]:
         *base, load, "c.codigo", "c.competencia", "c.descripcion"
     )
     known = competences.select("fichero", "comunidad", F.col("codigo").alias("competencia"))
-    rejected = dangling(criteria, known, ["fichero", "comunidad", "competencia"])
-    accepted = criteria.join(known.distinct(), ["fichero", "comunidad", "competencia"], "left_semi")
+    on = ["fichero", "comunidad", "competencia"]
+    rejected = dangling(criteria, known, on, spread_by=["codigo"])
+    accepted = spread_join(criteria, known.distinct(), on, "left_semi", spread_by=["codigo"])
     blocks = records.select(*base, F.posexplode("saberes_basicos").alias("pos", "b"))
     items = blocks.select(*base, "pos", "b", F.posexplode("b.items").alias("item", "descripcion")).select(
         *base,

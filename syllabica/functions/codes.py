@@ -109,7 +109,7 @@ def parse_years(c: Column) -> Column:
         value = F.struct(label.alias("label"), years.alias("years"), track.alias("track"))
         hit = norm.rlike(pattern)
         out = F.when(hit, value) if out is None else out.when(hit, value)
-    return F.when(norm.contains("curso"), out)
+    return F.when(F.lower(c).contains("curso"), out)
 
 
 def header_years_ca(c: Column) -> Column:

@@ -7,7 +7,7 @@ rows of one subject in one bulletin, a handful, inside the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.text import compare_heading, norm_heading, strip_bullet
+from ..sources.tables import cut_lineage
 from .ordered import running, width_bucket
 
 WHOLE_STAGE = C.COURSES
@@ -48,6 +49,11 @@ def _by_key(pairs: Mapping[str, Column | str], key: Column) -> Column:
     return F.create_map(*flat)[key]
 
 
+def _may_be(text: Column, marker: str) -> Column:
+    """Cheap word test, so that most paragraphs never reach the patterns."""
+    return F.lower(text).contains(marker.split()[0])
+
+
 def label_subjects(paragraphs: DataFrame, profile: Profile) -> DataFrame:
     """Paragraphs inside a subject, with its official name and run number."""
     names = {" ".join(n.split()): n for n in profile.subjects}
@@ -59,7 +65,9 @@ def label_subjects(paragraphs: DataFrame, profile: Profile) -> DataFrame:
     else:
         first = F.substring(text, 1, 1)
         other = (first == F.upper(first)) & (first != F.lower(first))
-    closes = (header & other & (F.length(text) > 4)) | compare_heading(text).startswith(END_PHRASE)
+    closes = (header & other & (F.length(text) > 4)) | (
+        _may_be(text, END_PHRASE) & compare_heading(text).startswith(END_PHRASE)
+    )
     mark = F.when(official.isNotNull(), F.struct(official.alias("oficial"))).when(
         closes, F.struct(F.lit(None).cast("string").alias("oficial"))
     )
@@ -114,9 +122,9 @@ def label_groups(inside: DataFrame, profile: Profile) -> tuple[DataFrame, DataFr
     text = F.col("text")
     norm = compare_heading(text)
     section = (
-        F.when(norm == profile.competences, "competencias")
-        .when(norm == profile.criteria, "criterios")
-        .when(norm == profile.items, "saberes")
+        F.when(_may_be(text, profile.competences) & (norm == profile.competences), "competencias")
+        .when(_may_be(text, profile.criteria) & (norm == profile.criteria), "criterios")
+        .when(_may_be(text, profile.items) & (norm == profile.items), "saberes")
     )
     rows = inside.withColumn("y", C.parse_years(text)).withColumn(
         "tipo", F.when(F.col("es_cabecera"), "cabecera").when(F.col("y").isNotNull(), "curso").otherwise(section)
@@ -217,14 +225,22 @@ def _listed(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], name: s
     return rows.groupBy(*keys).agg(out.alias(name))
 
 
-def extract_blocks(paragraphs: DataFrame, profile: Profile) -> DataFrame:
+def extract_blocks(
+    paragraphs: DataFrame, profile: Profile, stage: Callable[[DataFrame, str], DataFrame] = cut_lineage
+) -> DataFrame:
     """One catalogue record per (bulletin, subject, year group).
 
     A record is one output file, so its lists are held together; nothing
     larger than a record is. Competences pass on to the later year groups of
     their subject. The opening group is dropped when it only held them.
+
+    The labelled paragraphs are read by several branches, so each layer is
+    written to the shared folder and read back (``stage``): a lost executor
+    rereads files, and no layer is computed more than once.
     """
-    placed, groups = label_groups(label_subjects(paragraphs, profile), profile)
+    inside = stage(label_subjects(paragraphs, profile), "materias")
+    placed, groups = label_groups(inside, profile)
+    placed, groups = stage(placed, "parrafos"), stage(groups, "grupos")
     keys = ["doc_id", "tramo", "grupo"]
     competences = competence_rows(placed)
     own = groups.select(*keys)

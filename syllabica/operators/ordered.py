@@ -3,8 +3,12 @@
 A plain window puts a whole partition key in one task, so a document holding a
 third of all lines stalls the job. Here each sequence is cut into buckets of
 its order column. State is computed inside the buckets, one summary row per
-bucket is carried across, and both are joined. The large side is shuffled once,
-by (keys, bucket); summaries are smaller by the bucket width.
+bucket is carried across, and both are joined. The rows are shuffled once, by
+(keys, bucket); the summary branch reads only the state columns and is combined
+before its own shuffle.
+
+Both branches read the input, so a job that chains several of these should
+write the input of each layer to a table first (``sources.tables.cut_lineage``).
 """
 
 from __future__ import annotations
@@ -53,7 +57,7 @@ def running(
         **{f"__v_{n}": F.struct(c.alias("v")) for n, c in previous.items()},
         **{f"__v_{n}": F.struct(c.alias("v")) for n, c in following.items()},
     }
-    base = df.withColumn(BUCKET, bucket).withColumns(inputs).repartition(*[F.col(k) for k in by])
+    keyed = df.withColumn(BUCKET, bucket).withColumns(inputs)
 
     here = W.partitionBy(*by).orderBy(*order)
     upto = here.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -66,9 +70,9 @@ def running(
         local[f"__l_{n}"] = F.lag(f"__v_{n}").over(here)
     for n in following:
         local[f"__l_{n}"] = F.lead(f"__v_{n}").over(here)
-    rows = base.withColumns(local)
+    rows = keyed.withColumns(local)
 
-    place = F.struct(*order)
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     aggregates = []
     for n in counts:
         aggregates.append(F.sum(f"__v_{n}").alias(f"__s_{n}"))
@@ -79,7 +83,7 @@ def running(
         aggregates.append(F.max_by(f"__v_{n}", place).alias(f"__s_{n}"))
     for n in following:
         aggregates.append(F.min_by(f"__v_{n}", place).alias(f"__s_{n}"))
-    summary = base.groupBy(*by).agg(*aggregates)
+    summary = keyed.groupBy(*by).agg(*aggregates)
 
     over_keys = W.partitionBy(*keys).orderBy(BUCKET) if keys else W.orderBy(BUCKET)
     before = over_keys.rowsBetween(W.unboundedPreceding, -1)

@@ -196,7 +196,7 @@ def knowledge_blocks(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order:
     closes = F.col("hay_subbloque") & (F.col("rol") == "bloque")
     marked = running(
         rows.where(F.col("rol").isNotNull()), keys, [order], width_bucket(order),
-        counts={"bloque_n": opens, "tramo": opens | closes},
+        counts={"bloque_n": opens, "tramo": opens | closes, "i": F.col("rol") == "item"},
         carries={
             "titulo_bloque": F.when(F.col("rol") == "bloque", title),
             "abierto": F.when(opens, F.struct(title.alias("t"), F.lit(True).alias("si"))).when(
@@ -205,19 +205,16 @@ def knowledge_blocks(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order:
         },
     )
     inside = marked.where(F.coalesce(F.col("abierto.si"), F.lit(False)) & F.col("rol").isin("item", "continuacion"))
-    span_keys = [*keys, "bloque_n", "tramo"]
-    starts = F.col("rol") == "item"
-    counted = running(inside, span_keys, [order], width_bucket(order), counts={"i": starts})
     name = F.when(
         F.col("hay_subbloque") & F.col("titulo_bloque").isNotNull(),
         F.concat("titulo_bloque", F.lit(" · "), "abierto.t"),
     ).otherwise(F.col("abierto.t"))
     pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
     return (
-        counted.groupBy(*keys, "bloque_n", name.alias("bloque"), "i")
+        inside.groupBy(*keys, "bloque_n", "tramo", name.alias("bloque"), "i")
         .agg(F.min(order).alias(order), pieces.alias("p"))
         .select(
-            *keys, "bloque_n", "bloque", F.col("i").alias("item"), order,
+            *keys, "bloque_n", "bloque", order,
             F.array_join(F.transform("p", lambda s: s["t"]), " ").alias("text"),
         )
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,15 @@ OPERABLE_SECTIONS = [s for s in SECTIONS if s != CITING_SECTION]
 
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used.
+
+    Parsing JSON dominates these functions and a repeated expression inside a
+    conditional is evaluated each time it appears.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _type(v: Column) -> Column:
     return F.schema_of_variant(v)
 
@@ -54,22 +65,34 @@ def as_list(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+def _cited(doc: Column, kind: str) -> Column:
+    def code(e: Column) -> Column:
+        inner = F.try_variant_get(e, "$.codigo", "variant")
+        return F.when(is_text(e), strip(as_text(e))).when(is_object(e) & is_text(inner), strip(as_text(inner)))
+
+    def listed(items: Column) -> Column:
+        codes = F.transform(F.when(is_list(items), as_list(items)), code)
+        return F.array_distinct(F.filter(codes, lambda x: x.isNotNull() & (x != "")))
+
+    found = bind(F.try_variant_get(doc, f"$.{CITING_SECTION}.{kind}", "variant"), listed)
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
 def cited_codes(content: Column, kind: str) -> Column:
     """Trimmed distinct codes of one list, in order; anything odd is skipped.
 
     Elements may be objects with ``codigo`` or bare strings. A missing list, a
     string where a list belongs or a section that is no object give no codes.
     """
-    doc = F.try_parse_json(content)
-    items = F.try_variant_get(doc, f"$.{CITING_SECTION}.{kind}", "variant")
-    listed = F.when(is_list(items), as_list(items))
+    return bind(F.try_parse_json(content), lambda doc: _cited(doc, kind))
 
-    def code(e: Column) -> Column:
-        inner = F.try_variant_get(e, "$.codigo", "variant")
-        return F.when(is_text(e), strip(as_text(e))).when(is_object(e) & is_text(inner), strip(as_text(inner)))
 
-    found = F.filter(F.transform(listed, code), lambda x: x.isNotNull() & (x != ""))
-    return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
+def cited_lists(content: Column) -> Column:
+    """Array of (kind, codes) for the three lists, from one parse."""
+    return bind(
+        F.try_parse_json(content),
+        lambda doc: F.array(*[F.struct(F.lit(k).alias("kind"), _cited(doc, k).alias("codes")) for k in KINDS]),
+    )
 
 
 def rewrite_codes(content: Column, canonical: Column) -> Column:
@@ -79,9 +102,6 @@ def rewrite_codes(content: Column, canonical: Column) -> Column:
     codes without a canonical form stay, so orphans remain visible. Returns
     the input unchanged when nothing is to be replaced.
     """
-    doc = F.from_json(content, "map<string,variant>")
-    section = as_map(doc[CITING_SECTION])
-
     def fields(k: Column, v: Column) -> Column:
         new = canonical[as_text(v)]
         swap = k.isin("codigo", "competencia") & is_text(v) & new.isNotNull()
@@ -94,16 +114,17 @@ def rewrite_codes(content: Column, canonical: Column) -> Column:
         swap = k.isin(*KINDS) & is_list(v)
         return F.when(swap, F.parse_json(F.to_json(F.transform(as_list(v), element)))).otherwise(v)
 
-    rebuilt = F.to_json(
-        F.transform_values(
-            doc,
-            lambda k, v: F.when(
-                k == CITING_SECTION, F.parse_json(F.to_json(F.transform_values(section, lists)))
-            ).otherwise(v),
-        )
-    )
-    usable = section.isNotNull() & (F.size(F.coalesce(canonical, F.create_map().cast("map<string,string>"))) > 0)
-    return F.when(usable, rebuilt).otherwise(content)
+    def rebuilt(doc: Column) -> Column:
+        def sections(k: Column, v: Column) -> Column:
+            rewritten = F.parse_json(F.to_json(F.transform_values(as_map(v), lists)))
+            return F.when((k == CITING_SECTION) & is_object(v), rewritten).otherwise(v)
+
+        usable = is_object(doc[CITING_SECTION])
+        return F.when(usable, F.to_json(F.transform_values(doc, sections)))
+
+    replaceable = F.size(F.coalesce(canonical, F.create_map().cast("map<string,string>"))) > 0
+    new = F.when(replaceable, bind(F.from_json(content, "map<string,variant>"), rebuilt))
+    return F.coalesce(new, content)
 
 
 def normalised_codes(canonical: Column) -> Column:
@@ -113,51 +134,56 @@ def normalised_codes(canonical: Column) -> Column:
 
 def parse_failure(raw: Column) -> Column:
     """Struct(ok, raw): a reply that is no JSON is kept as text and flagged."""
-    failed = F.try_parse_json(raw).isNull()
-    return F.struct((~failed).alias("parsed"), F.when(failed, raw).alias("raw_text"))
+    return bind(
+        F.try_parse_json(raw).isNull(),
+        lambda failed: F.struct((~failed).alias("parsed"), F.when(failed, raw).alias("raw_text")),
+    )
 
 
-def _truthy(v: Column) -> Column:
+def _present(v: Column) -> Column:
     """Whether a JSON value counts as present: not null, empty, zero or false."""
+    kind = _type(v)
     text = as_text(v)
     return F.coalesce(
-        F.when(is_list(v), F.size(as_list(v)) > 0)
-        .when(is_object(v), F.size(as_map(v)) > 0)
-        .when(is_text(v), text != "")
-        .when(_type(v) == "BOOLEAN", text == "true")
-        .otherwise(F.try_to_number(text, F.lit("S999999999999D999999")) != 0),
+        F.when(kind == "STRING", text != "")
+        .when(kind.startswith("ARRAY"), F.size(as_list(v)) > 0)
+        .when(kind.startswith("OBJECT"), F.size(as_map(v)) > 0)
+        .when(kind == "BOOLEAN", text == "true")
+        .otherwise(F.try_variant_get(v, "$", "double") != 0),
         F.lit(False),
     )
 
 
+def _has(doc: Column, key: str) -> Column:
+    return bind(F.try_variant_get(doc, f"$.{key}", "variant"), _present)
+
+
 def missing_parts(section: Column, payload: Column) -> Column:
     """Required keys absent or empty; parse failures are not counted twice."""
-    doc = F.try_parse_json(payload)
-    failed = _truthy(F.try_variant_get(doc, "$._error_parseo", "variant"))
-    out = F.array().cast("array<string>")
-    for name, parts in REQUIRED_PARTS.items():
-        gone = F.array_compact(
-            F.array(*[F.when(~_truthy(F.try_variant_get(doc, f"$.{p}", "variant")), F.lit(p)) for p in parts])
-        )
-        out = F.when(section == name, gone).otherwise(out)
-    return F.when(failed, F.array().cast("array<string>")).otherwise(out)
+    none = F.array().cast("array<string>")
+
+    def judged(doc: Column) -> Column:
+        out = none
+        for name, parts in REQUIRED_PARTS.items():
+            gone = F.array_compact(F.array(*[F.when(~_has(doc, p), F.lit(p)) for p in parts]))
+            out = F.when(section == name, gone).otherwise(out)
+        return F.when(_has(doc, "_error_parseo"), none).otherwise(out)
+
+    return F.when(section.isin(*REQUIRED_PARTS), bind(F.try_parse_json(payload), judged)).otherwise(none)
 
 
 def section_meta(payload: Column) -> Column:
     """Struct of the trace fields kept under ``_meta``."""
-    doc = F.try_parse_json(payload)
+    def fields(doc: Column) -> Column:
+        def field(name: str, type_: str) -> Column:
+            return F.try_variant_get(doc, f"$._meta.{name}", type_).alias(name)
 
-    def field(name: str, type_: str) -> Column:
-        return F.try_variant_get(doc, f"$._meta.{name}", type_)
+        return F.struct(
+            field("version_prompt", "string"), field("proveedor", "string"), field("modelo", "string"),
+            field("tokens_prompt", "bigint"), field("tokens_respuesta", "bigint"), field("generada_en", "string"),
+        )
 
-    return F.struct(
-        field("version_prompt", "string").alias("version_prompt"),
-        field("proveedor", "string").alias("proveedor"),
-        field("modelo", "string").alias("modelo"),
-        field("tokens_prompt", "bigint").alias("tokens_prompt"),
-        field("tokens_respuesta", "bigint").alias("tokens_respuesta"),
-        field("generada_en", "string").alias("generada_en"),
-    )
+    return bind(F.try_parse_json(payload), fields)
 
 
 def without_keys(payload: Column, keys: list[str] | None = None) -> Column:
@@ -201,20 +227,18 @@ def suggestions(raw: Column) -> Column:
 
     Items without a title are dropped; four fields are kept, as trimmed text.
     """
-    doc = F.try_parse_json(raw)
-    items = F.when(is_list(doc), as_list(doc))
-    for key in SUGGESTION_KEYS:
-        inner = F.try_variant_get(doc, f"$.{key}", "variant")
-        items = F.coalesce(items, F.when(is_list(inner), as_list(inner)))
-
     def field(e: Column, name: str) -> Column:
-        return strip(F.coalesce(F.try_variant_get(e, f"$.{name}", "string"), F.lit("")))
+        return strip(F.coalesce(F.try_variant_get(e, f"$.{name}", "string"), F.lit(""))).alias(name)
 
-    objects = F.filter(items, is_object)
-    shaped = F.transform(
-        objects,
-        lambda e: F.struct(*[field(e, n).alias(n) for n in SUGGESTION_FIELDS]),
-    )
+    def listed(doc: Column) -> Column:
+        items = F.when(is_list(doc), as_list(doc))
+        for key in SUGGESTION_KEYS:
+            inner = F.try_variant_get(doc, f"$.{key}", "variant")
+            items = F.coalesce(items, F.when(is_list(inner), as_list(inner)))
+        return items
+
+    objects = F.filter(bind(F.try_parse_json(raw), listed), is_object)
+    shaped = F.transform(objects, lambda e: F.struct(*[field(e, n) for n in SUGGESTION_FIELDS]))
     return F.filter(shaped, lambda s: s["titulo"] != "")
 
 
@@ -228,39 +252,41 @@ def summary_text(content: Column, cut: int = 400, items: int = 10) -> Column:
     Keys keep their order in the document. Nested values are shown as compact
     JSON cut at ``cut`` characters, plain lists by their first ``items``.
     """
-    raw = F.from_json(content, "map<string,string>")
-    typed = F.from_json(content, "map<string,variant>")
-
     def shown(v: Column, text: Column) -> Column:
         return (
             F.when(_type(v) == "BOOLEAN", F.initcap(text)).when(_type(v) == "VOID", F.lit("None")).otherwise(text)
         )
 
-    def section(entry: Column) -> Column:
-        key, text = entry["key"], entry["value"]
-        value = typed[key]
-        inner_raw = F.from_json(text, "map<string,string>")
-        inner = F.from_json(text, "map<string,variant>")
-        pairs = F.filter(F.map_entries(inner_raw), lambda e: e["key"] != "_meta")
-
-        def pair(e: Column) -> Column:
-            v = inner[e["key"]]
-            nested = is_list(v) | is_object(v)
-            body = F.when(nested, F.substring(e["value"], 1, cut)).otherwise(
+    def pairs(raw: Column, typed: Column) -> Column:
+        def line(e: Column) -> Column:
+            v = typed[e["key"]]
+            body = F.when(is_list(v) | is_object(v), F.substring(e["value"], 1, cut)).otherwise(
                 F.coalesce(shown(v, e["value"]), F.lit("None"))
             )
             return F.concat(F.lit("- "), e["key"], F.lit(": "), body)
 
-        bullets = F.transform(
-            F.slice(as_list(value), 1, items), lambda v: F.concat(F.lit("- "), shown(v, as_text(v)))
-        )
-        body = (
-            F.when(is_object(value), F.transform(pairs, pair))
-            .when(is_list(value), bullets)
-            .otherwise(F.array(F.coalesce(shown(value, text), F.lit("None"))))
-        )
-        return F.concat(F.array(F.concat(F.lit("### "), key)), body)
+        return F.transform(F.filter(F.map_entries(raw), lambda e: e["key"] != "_meta"), line)
+
+    def both(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+        raw, typed = F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
+        return bind(F.struct(raw.alias("r"), typed.alias("t")), lambda d: body(d["r"], d["t"]))
+
+    def outline(raw: Column, typed: Column) -> Column:
+        def section(entry: Column) -> Column:
+            key, text = entry["key"], entry["value"]
+            value = typed[key]
+            bullets = F.transform(
+                F.slice(as_list(value), 1, items), lambda v: F.concat(F.lit("- "), shown(v, as_text(v)))
+            )
+            body = (
+                F.when(is_object(value), both(text, pairs))
+                .when(is_list(value), bullets)
+                .otherwise(F.array(F.coalesce(shown(value, text), F.lit("None"))))
+            )
+            return F.concat(F.array(F.concat(F.lit("### "), key)), body)
+
+        sections = F.filter(F.map_entries(raw), lambda e: ~e["key"].startswith("_"))
+        return F.array_join(F.flatten(F.transform(sections, section)), "\n")
 
-    sections = F.filter(F.map_entries(raw), lambda e: ~e["key"].startswith("_"))
-    text = F.array_join(F.flatten(F.transform(sections, section)), "\n")
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("(sin contenido previo)")).otherwise(text)
+    text = F.coalesce(both(content, outline), F.lit(""))
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit("(sin contenido previo)"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.content import missing_parts
+from ..functions.content import bind, missing_parts
 from ..functions.text import strip
 from .documents import LANGUAGES, SERVER_STATES
 from .joins import fixed_lookup, spread_join
@@ -87,11 +87,13 @@ def apply_patches(documents: DataFrame, patches: DataFrame, fields: Sequence[str
 
 def permissions(raw: Column) -> Column:
     """Permissions of a role stored as a JSON list or as an object of flags."""
-    doc = F.try_parse_json(raw)
-    listed = F.try_variant_get(doc, "$", "array<string>")
-    flags = F.try_variant_get(doc, "$", "map<string,string>")
-    on = F.map_keys(F.map_filter(flags, lambda _, v: ~F.coalesce(v, F.lit("")).isin("", "false", "0", "[]", "{}")))
-    return F.coalesce(listed, on, F.array().cast("array<string>"))
+    def granted(doc: Column) -> Column:
+        listed = F.try_variant_get(doc, "$", "array<string>")
+        flags = F.try_variant_get(doc, "$", "map<string,string>")
+        on = F.map_keys(F.map_filter(flags, lambda _, v: ~F.coalesce(v, F.lit("")).isin("", "false", "0", "[]", "{}")))
+        return F.coalesce(listed, on)
+
+    return F.coalesce(bind(F.try_parse_json(raw), granted), F.array().cast("array<string>"))
 
 
 def has_permissions(raw: Column, required: Sequence[str]) -> Column:
@@ -124,7 +126,10 @@ def contract_breaches(content: Column) -> Column:
 
     A section that is absent breaks nothing; absence is measured elsewhere.
     """
-    doc = F.from_json(content, _CONTRACT_SCHEMA.strip())
+    return bind(F.from_json(content, _CONTRACT_SCHEMA.strip()), _breaches)
+
+
+def _breaches(doc: Column) -> Column:
     aims = doc["objetivos"]["objetivos"]
     sessions = doc["secuencia_sesiones"]["sesiones"]
     tools = doc["evaluacion"]["instrumentos"]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codes import code_variants
-from ..functions.content import KINDS, cited_codes, normalised_codes, rewrite_codes
+from ..functions.content import KINDS, bind, cited_lists, normalised_codes, rewrite_codes
 from .coverage import PAIR, flag_documents, loaded_pairs
 from .joins import spread_join
 
@@ -16,10 +16,7 @@ CITED = ["id_situacion", "kind", "codigo"]
 
 def citations_of(documents: DataFrame) -> DataFrame:
     """(id_situacion, kind, codigo, pos) cited in the ``contenido`` of documents."""
-    lists = F.array(*[
-        F.struct(F.lit(k).alias("kind"), cited_codes(F.col("contenido"), k).alias("codes")) for k in KINDS
-    ])
-    by_kind = documents.select("id_situacion", F.explode(lists).alias("l"))
+    by_kind = documents.select("id_situacion", F.explode(cited_lists(F.col("contenido"))).alias("l"))
     return by_kind.select(
         "id_situacion", "l.kind", F.posexplode("l.codes").alias("pos", "codigo")
     ).select("id_situacion", "kind", "codigo", F.col("pos").cast("bigint").alias("pos"))
@@ -159,17 +156,24 @@ def rewrite_documents(documents: DataFrame, resolved: DataFrame) -> DataFrame:
     maps = canonical_maps(resolved)
     joined = documents.join(maps, "id_situacion", "left")
     new = F.when(F.size(normalised_codes(F.col("canonicos"))) > 0, rewrite_codes(F.col("contenido"), F.col("canonicos")))
-    return (
-        joined.withColumn("nuevo", F.coalesce(new, F.col("contenido")))
-        .withColumn("cambiado", F.col("nuevo") != F.col("contenido"))
-        .withColumn(
-            "codigos_normalizados",
-            F.when(F.col("cambiado"), normalised_codes(F.col("canonicos"))).otherwise(
-                F.array().cast("array<string>")
-            ),
+    old, none = F.col("contenido"), F.array().cast("array<string>")
+
+    def judged(text: Column) -> Column:
+        # Key order aside, a rewrite that changed nothing is not a change.
+        changed = F.coalesce(text != rewrite_codes(old, F.create_map(F.lit(""), F.lit(""))), F.lit(False))
+        return F.struct(
+            F.when(changed, text).otherwise(old).alias("contenido"),
+            changed.alias("cambiado"),
+            F.when(changed, normalised_codes(F.col("canonicos"))).otherwise(none).alias("codigos_normalizados"),
         )
-        .withColumn("contenido", F.col("nuevo"))
-        .drop("nuevo", "canonicos")
+
+    rewritten = joined.withColumn("n", F.when(new.isNotNull(), bind(new, judged)))
+    kept = [c for c in documents.columns if c != "contenido"]
+    return rewritten.select(
+        *kept,
+        F.coalesce("n.contenido", "contenido").alias("contenido"),
+        F.coalesce("n.cambiado", F.lit(False)).alias("cambiado"),
+        F.coalesce("n.codigos_normalizados", none).alias("codigos_normalizados"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.content import has_section, merge_section, section_of, without_keys
+from ..functions.content import as_map, bind, has_section, merge_section, section_of
 from .documents import next_versions
 from .joins import fixed_lookup, spread_join
 
@@ -128,37 +128,47 @@ def resolve_proposals(documents: DataFrame, decisions: DataFrame, history: DataF
     both, and one choice row each with the provenance of winner and loser.
     """
     joined = spread_join(documents, decisions, ["id_situacion"], "inner", spread_by=["id_situacion"], salts=1)
-    block = section_of(F.col("contenido"), F.col("seccion"))
-    alternative = section_of(block, F.lit("_alternativa"))
-    current = without_keys(block, ["_alternativa"])
     chosen = F.col("cual") == "alternativa"
-    judged = joined.withColumns({
-        "gana": F.when(chosen, without_keys(alternative, ["_alternativa"])).otherwise(current),
-        "pierde": F.when(chosen, current).otherwise(alternative),
-    }).where(section_of(block, F.lit("_alternativa")).isNotNull() & F.col("cual").isin("actual", "alternativa"))
 
-    def meta(c: str) -> Column:
-        return F.coalesce(section_of(F.col(c), F.lit("_meta")), F.lit("{}"))
-
-    def variant(c: str) -> Column:
-        version = F.get_json_object(meta(c), "$.version_prompt")
-        return F.coalesce(F.when(version != "", version), F.lit("?"))
-
-    choices = judged.select(
+    def judged(doc: Column) -> Column:
+        def sides(block: Column) -> Column:
+            other = F.map_filter(as_map(block["_alternativa"]), lambda k, _: k != "_alternativa")
+            current = F.map_filter(block, lambda k, _: k != "_alternativa")
+            rest = F.map_filter(doc, lambda k, _: k != F.col("seccion"))
+            winner = F.when(chosen, other).otherwise(current)
+            merged = F.to_json(F.map_concat(rest, F.create_map(F.col("seccion"), F.parse_json(F.to_json(winner)))))
+            return F.when(
+                other.isNotNull(),
+                F.struct(
+                    merged.alias("contenido"),
+                    F.to_json(winner["_meta"]).alias("gana"),
+                    F.to_json(F.when(chosen, current).otherwise(other)["_meta"]).alias("pierde"),
+                ),
+            )
+
+        return bind(as_map(doc[F.col("seccion")]), sides)
+
+    parsed = bind(F.from_json("contenido", "map<string,variant>"), judged)
+    resolved = joined.where(F.col("cual").isin("actual", "alternativa")).withColumn("r", parsed)
+    resolved = resolved.where(F.col("r").isNotNull())
+
+    def variant(c: Column) -> Column:
+        return F.coalesce(F.nullif(F.get_json_object(c, "$.version_prompt"), F.lit("")), F.lit("?"))
+
+    choices = resolved.select(
         "id_situacion",
         "id_usuario",
         "seccion",
-        variant("gana").alias("variante_elegida"),
-        variant("pierde").alias("variante_descartada"),
+        variant(F.col("r.gana")).alias("variante_elegida"),
+        variant(F.col("r.pierde")).alias("variante_descartada"),
         F.col("cual").alias("posicion_elegida"),
-        meta("gana").alias("meta_elegida"),
-        meta("pierde").alias("meta_descartada"),
+        F.coalesce("r.gana", F.lit("{}")).alias("meta_elegida"),
+        F.coalesce("r.pierde", F.lit("{}")).alias("meta_descartada"),
     )
     reason = F.concat(F.lit("Elección en «"), "seccion", F.lit("»: se queda la "), "cual")
-    updated = judged.withColumn("contenido", merge_section(F.col("contenido"), F.col("seccion"), F.col("gana")))
     return {
-        "documents": updated.drop("gana", "pierde", "cual"),
-        "versions": snapshots(judged, history, reason, bucket),
+        "documents": resolved.withColumn("contenido", F.col("r.contenido")).drop("r", "cual"),
+        "versions": snapshots(resolved.drop("r"), history, reason, bucket),
         "choices": choices,
     }
 

@@ -7,7 +7,7 @@ from ..operators import bulletin as B
 from ..operators import paragraphs as ops
 from ..sources.catalogue_files import file_stem, split_writable
 from .frames import LINES_SQL, lines
-from .registry import query, read
+from .registry import query, read, spread
 
 _SPACE = "[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0085}\\x{1680}]"
 
@@ -398,7 +398,7 @@ def subject_years(spark, sf_dir):
         F.concat(F.lit("b) Música en "), year, F.lit(" curso.")), F.lit("3. Otras:"), F.lit("a) Música."),
         F.lit("Artículo 9. Cuarto"), F.lit("1. Las materias son:"), F.lit("c) Música."), F.lit("Artículo 20. Tecnología"),
     )
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(texts).alias("seq", "text"))
+    rows = spread(read(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.posexplode(texts).alias("seq", "text"))
     three, fourth = C.COURSES[:3], C.COURSES[3:]
     rules = [(8, 1, three), (8, 2, three), (9, 1, fourth), (9, 2, fourth)]
     names = ["Tecnología", "Tecnología y Digitalización", "Música"]
@@ -438,7 +438,7 @@ def _bulletins(spark, sf_dir):
         p("Saberes básicos."), p("Primer curso"), p("A. Bloque uno."), p("− Item a"), p("1. Conteo."), p("B. Bloque dos."),
         p("- Item b"), p("A. Bloque uno."), p("Item c"), p("Otra cosa", "centro_negrita"), p("1.9 Nada"),
     )
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(parts).alias("seq", "p"))
+    rows = spread(read(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.posexplode(parts).alias("seq", "p"))
     return rows.select("doc_id", F.col("seq").cast("bigint").alias("seq"), "p.cls", "p.text")
 
 

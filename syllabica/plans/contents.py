@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import content as K
 from ..operators import quality as ops
 from ..operators.joins import fixed_lookup
-from .registry import query, read
+from .registry import query, read, spread
 
 _EVENTS_SQL = """
 e AS (SELECT *, json_extract_string(props, '$.k') AS k, CAST(json_extract_string(props, '$.k') AS INTEGER) AS n FROM events)
@@ -14,7 +14,7 @@ e AS (SELECT *, json_extract_string(props, '$.k') AS k, CAST(json_extract_string
 
 def _events(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
-    return read(spark, sf_dir, "events").withColumns({"k": k, "n": k.cast("int")})
+    return spread(read(spark, sf_dir, "events")).withColumns({"k": k, "n": k.cast("int")})
 
 
 def _payload(n, k):

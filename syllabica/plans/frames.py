@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import read
+from .registry import read, spread
 
 DOCUMENTS_SQL = """
 docs AS (
@@ -221,7 +221,7 @@ lines AS (
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, seq, text, size): every line of every document."""
     return (
-        read(spark, sf_dir, "documents", "doc_id", "text")
+        spread(read(spark, sf_dir, "documents", "doc_id", "text"))
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "text"))
         .select("doc_id", F.col("seq").cast("bigint").alias("seq"), "text", F.length("text").cast("bigint").alias("size"))
     )

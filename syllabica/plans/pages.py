@@ -7,13 +7,13 @@ from ..operators import quality as qual
 from ..sources import markup
 from ..sources.export import export_rows as flatten_export
 from .frames import CATALOGUE_SQL, DOCUMENTS_SQL, LINES_SQL, catalogue, citing_documents, documents
-from .registry import query, read
+from .registry import query, read, spread
 
 
 @query("readable_text")
 def readable_text(spark, sf_dir):
     """Pages as they would be read aloud (parsed as HTML, so no SQL twin)."""
-    return markup.readable_text(read(spark, sf_dir, "pages", "page_id", "html")).select("page_id", "lectura")
+    return markup.readable_text(spread(read(spark, sf_dir, "pages", "page_id", "html"))).select("page_id", "lectura")
 
 
 @query(
@@ -26,7 +26,7 @@ def xml_paragraphs(spark, sf_dir):
     texts = F.split("text", "\n")
     safe = F.transform(texts, lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
     tags = F.transform(safe, lambda t, i: F.concat(F.when(i % 2 == 0, '<p class="a">').otherwise(F.lit("<p>")), t, F.lit("</p>")))
-    docs = read(spark, sf_dir, "documents", "doc_id", "text").select(
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", F.concat(F.lit("<documento><texto>"), F.array_join(tags, "\n"), F.lit("</texto></documento>")).alias("raw")
     )
     rows = markup.paragraphs_from_xml(docs)
@@ -40,7 +40,7 @@ def escaped_paragraphs(spark, sf_dir):
     """The same documents as HTML escaped inside an attribute."""
     body = F.concat(F.lit("<p>"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br />")), F.lit("</p>"))
     once = F.replace(F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").select(
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text", "lang")).select(
         "doc_id",
         F.concat(
             F.lit("<act><body><hcontainer><heading>Títol "), "lang", F.lit('</heading><content period="'), once, F.lit('"/></hcontainer></body></act>')
@@ -82,7 +82,7 @@ def export_rows(spark, sf_dir):
         F.lit('"evaluacion":{"instrumentos":[{"nombre":"Prueba","peso":40}],"rubricas":[{"criterio":"1.1","niveles":{"excelente":"bien","logrado":""}}]},'),
         F.lit('"atencion_diversidad":{"principios_dua":["varios"],"ajustes_no_significativos":["tiempo"],"ajustes_significativos":["meta"]}}'),
     )
-    return flatten_export(documents(spark, sf_dir).withColumn("contenido", content))
+    return flatten_export(spread(documents(spark, sf_dir)).withColumn("contenido", content))
 
 
 def _context(spark, sf_dir):

@@ -6,7 +6,7 @@ from ..functions.codes import code_variants
 from ..operators import resolve as ops
 from ..operators.coverage import loaded_pairs
 from .frames import CATALOGUE_SQL, CITATIONS_SQL, catalogue, citations, citing_documents
-from .registry import query, read
+from .registry import query, read, spread
 
 _RESOLVED_SQL = f"""
 WITH {CATALOGUE_SQL}, {CITATIONS_SQL},
@@ -169,7 +169,7 @@ content AS (
 
 def event_contents(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
-    rows = read(spark, sf_dir, "events", "event_id", "event_type", "user_id", "props")
+    rows = spread(read(spark, sf_dir, "events", "event_id", "event_type", "user_id", "props"))
     content = F.concat(
         F.lit('{"descripcion":{"texto":"'), "event_type", F.lit('"},"conexion_curricular":{"competencias":['),
         F.lit('{"codigo":"CE'), k, F.lit('","justificacion":"'), "event_type", F.lit('"},"'), k,

@@ -6,14 +6,14 @@ from ..functions import codes as C
 from ..functions import text as T
 from ..operators import quality as ops
 from ..operators.providers import model_list
-from .registry import query, read
+from .registry import query, read, spread
 
 _SPACE = "[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0085}\\x{1680}]"
 _STRIP = f"regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
 def _documents(spark, sf_dir):
-    return read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return spread(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.content import SECTIONS
+from ..functions.content import SECTIONS, bind
 
 # Labels and the placeholder for a missing value.
 MISSING = "—"
@@ -152,8 +152,10 @@ def export_rows(documents: DataFrame) -> DataFrame:
     Sections follow the canonical order; ``orden`` runs over the document. All
     of it happens inside the row of one document, without a shuffle.
     """
-    parsed = documents.select("id_situacion", "tipo_adaptacion", F.from_json("contenido", SCHEMA).alias("d"))
-    by_section = section_rows(F.col("d"), F.col("tipo_adaptacion"))
-    tagged = F.concat(*[_tagged(name, by_section[name]) for name in SECTIONS])
-    rows = parsed.select("id_situacion", F.posexplode(tagged).alias("orden", "f"))
+    def tagged(doc: Column) -> Column:
+        by_section = section_rows(doc, F.col("tipo_adaptacion"))
+        return F.concat(*[_tagged(name, by_section[name]) for name in SECTIONS])
+
+    printed = bind(F.from_json("contenido", SCHEMA), tagged)
+    rows = documents.select("id_situacion", F.posexplode(printed).alias("orden", "f"))
     return rows.select("id_situacion", F.col("f.seccion").alias("seccion"), F.col("orden").cast("bigint").alias("orden"), "f.r.*")

@@ -117,8 +117,13 @@ def _fold_marks(marks: Column, first_years: Column) -> Column:
     return F.aggregate(marks, start, step, lambda acc: acc["salida"])
 
 
-def label_groups(inside: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
-    """(content rows with their year group and section, year groups)."""
+def label_groups(
+    inside: DataFrame, profile: Profile, stage: Callable[[DataFrame, str], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """(content rows with their year group and section, year groups).
+
+    The folded markers, a few per subject, are staged once for both.
+    """
     text = F.col("text")
     norm = compare_heading(text)
     section = (
@@ -140,7 +145,10 @@ def label_groups(inside: DataFrame, profile: Profile) -> tuple[DataFrame, DataFr
     runs = rows.where(F.col("tipo").isNotNull()).groupBy("doc_id", "tramo", "materia_oficial").agg(
         F.array_sort(F.collect_list(F.when(F.col("tipo") != "cabecera", mark))).alias("marcas")
     )
-    states = runs.select("doc_id", "tramo", "materia_oficial", _fold_marks(F.col("marcas"), first_years).alias("s"))
+    folded = runs.select(
+        "doc_id", "tramo", "materia_oficial", _fold_marks(F.col("marcas"), first_years).alias("s")
+    )
+    runs = stage(folded, "marcas")
     opening = runs.select(
         "doc_id", "tramo", "materia_oficial",
         F.struct(
@@ -148,7 +156,7 @@ def label_groups(inside: DataFrame, profile: Profile) -> tuple[DataFrame, DataFr
             F.lit(None).cast("string").alias("itinerario"),
         ).alias("g"),
     ).select("doc_id", "tramo", "materia_oficial", "g.*")
-    exploded = states.select("doc_id", "tramo", "materia_oficial", F.explode("s").alias("s"))
+    exploded = runs.select("doc_id", "tramo", "materia_oficial", F.explode("s").alias("s"))
     opened = exploded.select(
         "doc_id", "tramo", "materia_oficial", "s.grupo", "s.cursos", "s.ciclo", "s.itinerario"
     ).where(F.col("grupo") > 0).distinct()
@@ -239,8 +247,8 @@ def extract_blocks(
     rereads files, and no layer is computed more than once.
     """
     inside = stage(label_subjects(paragraphs, profile), "materias")
-    placed, groups = label_groups(inside, profile)
-    placed, groups = stage(placed, "parrafos"), stage(groups, "grupos")
+    placed, groups = label_groups(inside, profile, stage)
+    placed = stage(placed, "parrafos")
     keys = ["doc_id", "tramo", "grupo"]
     competences = competence_rows(placed)
     own = groups.select(*keys)

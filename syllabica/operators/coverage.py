@@ -32,17 +32,24 @@ def subject_years(rows: DataFrame) -> DataFrame:
     )
 
 
-def complete_pairs(competences: DataFrame, criteria: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs present in all three tables: one union and one aggregation.
+def pairs_in_all(tagged: DataFrame, tables: int = 3) -> DataFrame:
+    """Pairs whose rows carry every table's number in ``tabla`` (0, 1, …).
 
-    The intersection is a bit mask per pair, so the three tables meet in a
-    single shuffle of partially aggregated pairs instead of two joins.
+    The intersection is a bit mask per pair, so the tables meet in a single
+    shuffle of partially aggregated pairs instead of a join each.
     """
+    mask = F.bit_or(F.expr("shiftleft(1, tabla)"))
+    seen = tagged.groupBy(*PAIR).agg(mask.alias("vistas"))
+    return seen.where(F.col("vistas") == (1 << tables) - 1).select(*PAIR)
+
+
+def complete_pairs(competences: DataFrame, criteria: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs present in all three tables: one union and one aggregation."""
     tagged = None
-    for bit, rows in enumerate((competences, criteria, items)):
-        part = subject_years(rows).withColumn("seen", F.lit(1 << bit))
+    for number, rows in enumerate((competences, criteria, items)):
+        part = subject_years(rows).withColumn("tabla", F.lit(number))
         tagged = part if tagged is None else tagged.unionByName(part)
-    return tagged.groupBy(*PAIR).agg(F.bit_or("seen").alias("seen")).where(F.col("seen") == 7).select(*PAIR)
+    return pairs_in_all(tagged)
 
 
 def coverage_by_subject(pairs: DataFrame) -> DataFrame:

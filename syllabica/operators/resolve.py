@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codes import code_variants
 from ..functions.content import KINDS, bind, cited_lists, normalised_codes, rewrite_codes
+from ..sources.tables import cut_lineage
 from .coverage import PAIR, flag_documents, loaded_pairs
 from .joins import spread_join
 
@@ -177,14 +180,17 @@ def rewrite_documents(documents: DataFrame, resolved: DataFrame) -> DataFrame:
     )
 
 
-def rebuild_links(documents: DataFrame, catalogue: DataFrame) -> dict[str, DataFrame]:
+def rebuild_links(
+    documents: DataFrame, catalogue: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = cut_lineage
+) -> dict[str, DataFrame]:
     """All documents relinked: links, per-document summary and new contents.
 
     Content that cannot be parsed gives no citations, so one bad document
-    never stops the others. Callers write the frames, or not (dry run).
+    never stops the others. Callers write the frames, or not (dry run). What
+    several outputs read is staged in the shared folder and computed once.
     """
-    cited = citations_of(documents)
-    resolved = resolve_codes(cited, documents, catalogue)
+    cited = stage(citations_of(documents), "citas")
+    resolved = stage(resolve_codes(cited, documents, catalogue), "resueltas")
     by_kind = [catalogue.where(F.col("kind") == k) for k in KINDS]
     causes = orphan_causes(documents.select("id_situacion", *PAIR), orphan_codes(cited, resolved), loaded_pairs(*by_kind))
     counts = resolved.groupBy("id_situacion").pivot("kind", KINDS).agg(F.count_distinct("id"))

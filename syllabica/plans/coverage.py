@@ -18,7 +18,7 @@ pairs AS (
 
 
 def _pairs(spark, sf_dir):
-    return ops.complete_pairs(*[order_catalogue(spark, sf_dir, s) for s in "FOP"])
+    return ops.pairs_in_all(order_catalogue(spark, sf_dir))
 
 
 @query("coverage_pairs", _PAIRS_SQL + "SELECT comunidad, materia, curso FROM pairs")

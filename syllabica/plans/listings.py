@@ -245,7 +245,7 @@ def version_numbers(spark, sf_dir):
     )
     kept = read(spark, sf_dir, "orders", "o_custkey").select(F.col("o_custkey").alias("id_situacion"))
     history = kept.groupBy("id_situacion").agg(F.count(F.lit(1)).alias("numero_version"))
-    rows = ops.next_versions(batch, history, ["ts", "event_id"], F.date_trunc("day", "ts"))
+    rows = ops.next_versions(batch, history, ["ts", "event_id"], F.date_trunc("minute", "ts"))
     return rows.select("event_id", "id_situacion", "numero_version")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import code_variants
 from ..operators import resolve as ops
 from ..operators.coverage import loaded_pairs
+from ..sources.tables import cut_lineage
 from .frames import CATALOGUE_SQL, CITATIONS_SQL, catalogue, citations, citing_documents
 from .registry import query, read, spread
 
@@ -39,9 +40,15 @@ causes AS (
 """
 
 
-def _resolved(spark, sf_dir):
-    cited = citations(spark, sf_dir)
-    return cited, ops.resolve_codes(cited, citing_documents(spark, sf_dir), catalogue(spark, sf_dir))
+def _resolved(spark, sf_dir, stage=cut_lineage):
+    """Citations and their resolution; staged where several branches read them."""
+    cited = stage(citations(spark, sf_dir), "citas")
+    resolved = ops.resolve_codes(cited, citing_documents(spark, sf_dir), catalogue(spark, sf_dir))
+    return cited, stage(resolved, "resueltas")
+
+
+def _as_is(df, _name):
+    return df
 
 
 def _causes(spark, sf_dir):
@@ -53,7 +60,7 @@ def _causes(spark, sf_dir):
 
 @query("resolve_codes", _RESOLVED_SQL + "SELECT id_situacion, kind, codigo, rank, id, codigo_catalogo FROM resolved")
 def resolve_codes(spark, sf_dir):
-    return _resolved(spark, sf_dir)[1]
+    return _resolved(spark, sf_dir, _as_is)[1]
 
 
 @query("orphan_codes", _RESOLVED_SQL + "SELECT id_situacion, kind, codigo FROM orphans")
@@ -80,7 +87,7 @@ def missing_pair_counts(spark, sf_dir):
     _RESOLVED_SQL + "SELECT kind, count(*) AS enlaces FROM (SELECT DISTINCT id_situacion, kind, id FROM resolved) GROUP BY kind",
 )
 def link_totals(spark, sf_dir):
-    return ops.link_totals(_resolved(spark, sf_dir)[1])
+    return ops.link_totals(_resolved(spark, sf_dir, _as_is)[1])
 
 
 @query(

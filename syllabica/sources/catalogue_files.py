@@ -30,13 +30,13 @@ def checked_region(region: str | None) -> str:
 def read_catalogue(
     spark: SparkSession, path: str, region: str | None = None, language: str | None = None
 ) -> DataFrame:
-    """All JSON files of a folder, one record each, with their file name.
+    """All JSON files of a folder, one record each, with their path.
 
     Region and language inside a file win over the arguments.
     """
     fallback, lang = checked_region(region), (language or "es").strip().lower()
     raw = spark.read.schema(CATALOGUE_FILE).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    return with_defaults(raw.withColumn("fichero", F.col("_metadata.file_name")), fallback, lang)
+    return with_defaults(raw.withColumn("fichero", F.col("_metadata.file_path")), fallback, lang)
 
 
 def with_defaults(records: DataFrame, region: str, language: str) -> DataFrame:
@@ -50,7 +50,7 @@ def with_defaults(records: DataFrame, region: str, language: str) -> DataFrame:
 def flatten_catalogue(records: DataFrame) -> dict[str, DataFrame]:
     """Competence, criterion and item rows, and the criteria set apart.
 
-    ``carga`` keeps file-name and place order for last-wins rules. An item
+    ``carga`` keeps path and place order for last-wins rules. An item
     takes its official code if the file gives one at its place, else a number
     inside its block. Criteria citing a competence their own file lacks are
     rejected.
@@ -94,12 +94,11 @@ def file_stem(style: str = "underscore"):
 
 
 def write_blocks(blocks: DataFrame, path: str) -> DataFrame:
-    """Write one folder of JSON per region and subject; returns the skipped blocks."""
+    """Write one folder of JSON per region and subject; returns the skipped blocks.
+
+    Region and language stay inside the records, where the loader looks.
+    """
     good, skipped = split_writable(blocks)
-    (
-        good.withColumn("fichero", file_stem())
-        .write.mode("overwrite")
-        .partitionBy("comunidad", "fichero")
-        .json(path)
-    )
+    named = good.withColumns({"region": F.col("comunidad"), "fichero": file_stem()})
+    named.write.mode("overwrite").partitionBy("region", "fichero").json(path)
     return skipped

@@ -127,7 +127,7 @@ def catalogue_stream(spark: SparkSession, path: str, region: str | None = None,
     raw = (
         spark.readStream.schema(CATALOGUE_FILE).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
     )
-    return with_defaults(raw.withColumn("fichero", F.col("_metadata.file_name")), checked_region(region), language)
+    return with_defaults(raw.withColumn("fichero", F.col("_metadata.file_path")), checked_region(region), language)
 
 
 def load_files(stream: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -113,6 +113,71 @@ def glue_to_open_record(preludes: DataFrame, records: DataFrame, keys: Sequence[
     )
 
 
+def competences_in_text(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "seq") -> DataFrame:
+    """(keys, seq, codigo, descripcion, descriptores) from bold running text.
+
+    A number may stand alone on its line. Bold lines continue a statement until
+    its descriptors, set in plain type, have come; nothing counts after the
+    heading of the knowledge section.
+    """
+    text = F.col("text")
+    starts = F.col("bold") & (text.rlike(C.COMPETENCE_LINE) | text.rlike(C.COMPETENCE_ALONE))
+    listed = F.when(~F.col("bold"), C.descriptor_list(text))
+    marked = running(
+        lines, keys, [order], width_bucket(order),
+        counts={"n": starts, "fin": text.rlike(r"(?U)^Saberes b[áa]sicos\b.*$")},
+    )
+    inside = marked.where((F.col("fin") == 0) & (F.col("n") > 0)).withColumns({
+        "d": listed, "p": F.when(F.col("bold"), F.struct(F.col(order).alias("o"), text.alias("t"))),
+    })
+    seen = F.when(F.col("d").isNotNull(), F.col(order))
+    grouped = inside.groupBy(*keys, "n").agg(
+        F.min(order).alias(order), F.array_sort(F.collect_list("p")).alias("p"),
+        F.min(seen).alias("lista"), F.max_by("d", seen).alias("d"),
+    )
+    first = F.get("p", F.lit(0))["t"]
+    statement = F.when(first.rlike(C.COMPETENCE_LINE), F.regexp_extract(first, C.COMPETENCE_LINE, 2)).otherwise(F.lit(""))
+    rest = F.filter(F.slice("p", 2, 1 << 30), lambda s: F.col("lista").isNull() | (s["o"] < F.col("lista")))
+    whole = F.concat_ws(" ", statement, F.array_join(F.transform(rest, lambda s: s["t"]), " "))
+    return grouped.select(
+        *keys, order, F.regexp_extract(first, r"^(\d{1,2})\.", 1).alias("codigo"), join_lines(whole).alias("descripcion"),
+        F.coalesce("d", F.array().cast("array<string>")).alias("descriptores"),
+    )
+
+
+def official_items(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "seq") -> DataFrame:
+    """(keys, codigo, prefix, curso, bloque, titulo, seq, text) of coded items.
+
+    The year comes from the code, not from the column the line was read in. A
+    block heading ends the item above it; a code read twice keeps its longest
+    text, and a code without text is dropped.
+    """
+    text = F.col("text")
+    usable = lines.where(~is_table_heading(text) & ~fold_words(text).isin(C.COURSE_HEADINGS))
+    code = text.rlike(C.OFFICIAL_ITEM)
+    first = F.substring(text, 1, 1)
+    lower = (first == F.lower(first)) & (first != F.upper(first))
+    heading = ~code & text.rlike(C.BLOCK) & (F.length(text) < 90) & ~lower
+    marked = running(
+        usable, keys, [order], width_bucket(order), counts={"n": code | heading},
+        carries={"abre": F.when(code | heading, code)},
+    )
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
+    glued = marked.where("abre").groupBy(*keys, "n").agg(F.min(order).alias(order), parts.alias("p"))
+    head = C.parse_official_item(F.get("p", F.lit(0))["t"])
+    rest = F.array_join(F.transform(F.slice("p", 2, 1 << 30), lambda s: s["t"]), " ")
+    read = glued.withColumn("c", head).select(
+        *keys, order, F.col("c.code").alias("codigo"), F.col("c.prefix").alias("prefix"), F.col("c.year").alias("curso"),
+        F.col("c.block").alias("bloque"), join_lines(F.concat_ws(" ", "c.text", rest)).alias("text"),
+    )
+    best = longest_reading(read, [*keys, "codigo", "prefix", "curso", "bloque"], "text", order)
+    titles = marked.withColumn("b", F.when(heading, C.parse_block(text))).where(F.col("b").isNotNull()).groupBy(
+        *keys, F.col("b.code").alias("bloque")
+    ).agg(F.max_by("b.title", order).alias("titulo"))
+    out = spread_join(best, titles, [*keys, "bloque"], "left", spread_by=[order])
+    return out.withColumn("titulo", F.coalesce("titulo", F.concat(F.lit("Bloque "), "bloque")))
+
+
 def longest_reading(rows: DataFrame, key: Sequence[str], text: str = "text", order: str = "seq") -> DataFrame:
     """The longest text read for each code; the earliest of equals.
 

@@ -40,6 +40,7 @@ def effective_provider(
         "id_usuario",
         F.lower(strip(F.col("proveedor_ia"))).alias("proveedor"),
         F.col("modelo_ia").alias("modelo"),
+        F.coalesce(F.col("proveedor_ia") != "", F.lit(False)).alias("elegido"),
     )
     judged = fixed_lookup(fixed_lookup(choice, defaults, ["proveedor"]), models, ["proveedor", "modelo"])
     usable = F.col("modelo_defecto").isNotNull()
@@ -50,7 +51,7 @@ def effective_provider(
         .when(usable, F.col("modelo_defecto"))
         .otherwise(F.lit(default_model))
         .alias("modelo"),
-        (~usable & F.col("proveedor").isNotNull() & (F.col("proveedor") != "")).alias("ignorada"),
+        (~usable & F.col("elegido")).alias("ignorada"),
     )
     return spread_join(documents, per_user, ["id_usuario"], "inner", spread_by=["id_situacion"])
 

@@ -144,19 +144,24 @@ def link_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return added.unionByName(dropped)
 
 
-def canonical_maps(resolved: DataFrame) -> DataFrame:
+def canonical_maps(citations: DataFrame, resolved: DataFrame) -> DataFrame:
     """Per document, cited code to catalogue code; shared by the three lists.
 
-    One entry per distinct code of one document's content.
+    Every cited code that can be spelled like a linked row takes its code, also
+    one whose spelling an earlier citation had claimed. One entry per distinct
+    code of one document's content.
     """
-    per_code = resolved.groupBy("id_situacion", "codigo").agg(F.max("codigo_catalogo").alias("canonico"))
+    linked = resolved.select("id_situacion", "kind", F.col("codigo_catalogo").alias("variante")).distinct()
+    spelled = citations.select(*CITED, F.posexplode(code_variants(F.col("codigo"))).alias("rank", "variante"))
+    hits = spelled.join(linked, ["id_situacion", "kind", "variante"])
+    per_code = hits.groupBy("id_situacion", "codigo").agg(F.min_by("variante", F.struct("rank", "kind")).alias("canonico"))
     entry = F.struct("codigo", "canonico")
     return per_code.groupBy("id_situacion").agg(F.map_from_entries(F.collect_list(entry)).alias("canonicos"))
 
 
-def rewrite_documents(documents: DataFrame, resolved: DataFrame) -> DataFrame:
+def rewrite_documents(documents: DataFrame, citations: DataFrame, resolved: DataFrame) -> DataFrame:
     """Documents with resolved codes in place, a change flag and the list."""
-    maps = canonical_maps(resolved)
+    maps = canonical_maps(citations, resolved)
     joined = documents.join(maps, "id_situacion", "left")
     new = F.when(F.size(normalised_codes(F.col("canonicos"))) > 0, rewrite_codes(F.col("contenido"), F.col("canonicos")))
     old, none = F.col("contenido"), F.array().cast("array<string>")
@@ -195,4 +200,4 @@ def rebuild_links(
     causes = orphan_causes(documents.select("id_situacion", *PAIR), orphan_codes(cited, resolved), loaded_pairs(*by_kind))
     counts = resolved.groupBy("id_situacion").pivot("kind", KINDS).agg(F.count_distinct("id"))
     summary = causes.join(counts, "id_situacion", "left").fillna(0, KINDS)
-    return {"links": links(resolved), "summary": summary, "documents": rewrite_documents(documents, resolved)}
+    return {"links": links(resolved), "summary": summary, "documents": rewrite_documents(documents, cited, resolved)}

@@ -121,3 +121,48 @@ def test_majority_prefix_and_years_from_codes(spark):
 def test_repeated_titles_collapse(spark):
     df = paragraphs(spark, [("", "Música"), ("", "MÚSICA."), ("", "Latín"), ("", "Música")])
     assert rows(P.collapse_repeats(df), "seq") == [(0,), (2,), (3,)]
+
+
+def coded(spark, *texts):
+    return P.official_items(paragraphs(spark, [("", t) for t in texts]))
+
+
+def test_year_comes_from_the_code(spark):
+    got = coded(spark, "A. Proyecto científico.", "BYG.1.A.1. Formulación de hipótesis.", "BYG.3.A.1. Formulación, con más detalle.")
+    assert rows(got, "curso", "codigo", "titulo") == [(1, "BYG.1.A.1", "Proyecto científico"), (3, "BYG.3.A.1", "Proyecto científico")]
+
+
+def test_items_continue_and_empty_codes_drop(spark):
+    got = coded(
+        spark, "A. Bloque.", "BYG.1.A.1.", "BYG.1.A.2. Formulación de hipó-", "tesis, preguntas y", "TERCER CURSO", "conjeturas.", "B. Otro bloque.", "suelta",
+        "BYG.1.B.1. Uno", "BYG.1.B.1. Uno más largo", "BYG.1.C.1. Tres")
+    assert rows(got, "codigo", "text", "titulo") == [
+        ("BYG.1.A.2", "Formulación de hipótesis, preguntas y conjeturas.", "Bloque"), ("BYG.1.B.1", "Uno más largo", "Otro bloque"),
+        ("BYG.1.C.1", "Tres", "Bloque C")]
+
+
+def test_competences_in_running_text(spark):
+    data = [
+        (0, True, "1. Interpretar y"), (1, True, "transmitir."), (2, False, "Texto en redonda."), (3, False, "STEM3, CD1, CE3."), (4, True, "Negrita suelta"),
+        (5, True, "2."), (6, True, "Abordar problemas."), (7, True, "Saberes básicos"), (8, True, "3. Fuera"),
+    ]
+    df = spark.createDataFrame([("d", *r) for r in data], "doc_id string, seq bigint, bold boolean, text string")
+    assert rows(P.competences_in_text(df), "codigo", "descripcion", "descriptores") == [
+        ("1", "Interpretar y transmitir.", ["STEM3", "CD1", "CE3"]), ("2", "Abordar problemas.", [])]
+
+
+def test_year_sets_and_titles_of_a_cover(spark):
+    lines = spark.createDataFrame(
+        [("d", 1, 1, 20.0, "Aranès"), ("d", 2, 1, 19.95, "Llengua Catalana"), ("d", 3, 1, 11.0, "subtítol"), ("d", 4, 2, 30.0, "fora")],
+        "doc_id string, seq int, page int, size double, text string")
+    assert rows(P.cover_titles(lines), "text") == [("Aranès",), ("Llengua Catalana",)]
+    groups = spark.createDataFrame([("d", "1º ESO,2º ESO"), ("d", "4º ESO"), ("d", "4º ESO")], "doc_id string, grupo string")
+    titles = P.cover_titles(lines).withColumnRenamed("text", "titulo")
+    assert len(rows(P.shared_curriculum(titles, groups))) == 4
+
+
+def test_prelude_is_glued_to_the_criterion_above(spark):
+    records = spark.createDataFrame([("d", 1, 10, "1.1", "Identificar, valorar y")], "doc_id string, col int, orden bigint, codigo string, text string")
+    prelude = spark.createDataFrame([("d", 1, 20, "respetar."), ("d", 1, 5, "antes"), ("d", 3, 20, "otra")], "doc_id string, col int, orden bigint, text string")
+    got = P.glue_to_open_record(prelude, records, ["doc_id", "col"])
+    assert rows(got, "col", "codigo", "text") == [(1, "1.1", "Identificar, valorar y respetar.")]

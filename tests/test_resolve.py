@@ -80,6 +80,14 @@ def test_rewritten_documents(spark, catalogue):
     assert out["cambiado"] and out["codigos_normalizados"] == ["CE1"]
 
 
+def test_claimed_spellings_are_rewritten_too(spark, catalogue):
+    doc = document(1, "cataluna", "Música", "4º ESO", competencias=[{"codigo": "CE1"}, {"codigo": "C.E. 1"}])
+    out = res.rebuild_links(spark.createDataFrame([doc], DOCS), catalogue)
+    section = json.loads(out["documents"].first()["contenido"])["conexion_curricular"]
+    assert section == {"competencias": [{"codigo": "1"}, {"codigo": "1"}]}
+    assert rows(out["summary"], "huerfanos") == [(1,)]
+
+
 def test_rebuild_twice_changes_nothing(spark, catalogue):
     doc = document(1, "cataluna", "Música", "4º ESO", competencias=["CE1"])
     frame = spark.createDataFrame([doc], DOCS)

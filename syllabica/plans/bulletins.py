@@ -69,6 +69,29 @@ def longest_duplicate(spark, sf_dir):
     return out.select("clave", F.md5("text").alias("texto"), "doc_id")
 
 
+@query(
+    "official_items",
+    f"""WITH {LINES_SQL}, t AS (SELECT doc_id, seq, size % 4 AS m, size, CASE size % 4 WHEN 0 THEN 'BYG.' || (1 + size % 3) || '.A.' || (size % 7) || '. ' || left(text, 10)
+          WHEN 1 THEN 'A. Bloque ' || seq ELSE 'x' || left(text, 15) END AS text, left(text, 10) AS resto FROM lines),
+    g AS (SELECT *, sum(CAST(m < 2 AS INTEGER)) OVER w AS n, last_value(CASE WHEN m < 2 THEN m END IGNORE NULLS) OVER w AS abre FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+    r AS (SELECT doc_id, min(seq) AS seq, arg_min(size, seq) AS size, {_joined("string_agg(CASE WHEN m = 0 THEN resto ELSE text END, ' ' ORDER BY seq)")} AS text FROM g WHERE abre = 0 GROUP BY doc_id, n),
+    b AS (SELECT doc_id, 'BYG.' || (1 + size % 3) || '.A.' || (size % 7) AS codigo, CAST(1 + size % 3 AS INTEGER) AS curso, arg_max(text, (length(text), -seq)) AS text, min(seq) AS seq
+          FROM r WHERE text <> '' GROUP BY ALL),
+    h AS (SELECT doc_id, arg_max('Bloque ' || seq, seq) AS titulo FROM t WHERE m = 1 GROUP BY doc_id)
+    SELECT b.doc_id, codigo, curso, coalesce(titulo, 'Bloque A') AS titulo, md5(text) AS texto, seq FROM b LEFT JOIN h ON h.doc_id = b.doc_id""",
+)
+def official_items(spark, sf_dir):
+    """Coded items with their continuations, the longest reading of each."""
+    n, text = F.col("size"), F.col("text")
+    shown = (
+        F.when(n % 4 == 0, F.concat(F.lit("BYG."), n % 3 + 1, F.lit(".A."), n % 7, F.lit(". "), F.substring(text, 1, 10)))
+        .when(n % 4 == 1, F.concat(F.lit("A. Bloque "), "seq"))
+        .otherwise(F.concat(F.lit("x"), F.substring(text, 1, 15)))
+    )
+    out = ops.official_items(lines(spark, sf_dir).withColumn("text", shown))
+    return out.select("doc_id", "codigo", "curso", "titulo", F.md5("text").alias("texto"), "seq")
+
+
 @query(
     "collapse_repeats",
     """SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -276,18 +275,9 @@ def version_history(versions: DataFrame) -> DataFrame:
     return versions.orderBy("id_situacion", F.col("numero_version").desc())
 
 
-def latest_before(versions: DataFrame, documents: Sequence[int]) -> DataFrame:
-    """History of a few documents, newest first."""
-    return version_history(versions.where(F.col("id_situacion").isin(list(documents))))
-
-
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, column: str) -> DataFrame:
     """Previous and next value of a column along a sequence."""
     return running(
         df, keys, order, bucket,
         previous={f"{column}_anterior": F.col(column)}, following={f"{column}_siguiente": F.col(column)},
     )
-
-
-def now_literal(now: datetime) -> Column:
-    return F.lit(now)

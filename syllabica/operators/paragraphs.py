@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.text import fold_words, is_bullet_only, join_lines, name_key, norm_heading, strip, strip_bullet
+from ..functions.text import fold_words, is_bullet_only, join_lines, name_key, norm_heading, strip
 from .joins import fixed_lookup, spread_join
 from .ordered import running, width_bucket
 
@@ -557,7 +557,3 @@ def merge_blocks(items: DataFrame, keys: Sequence[str], order: str = "seq", widt
     numbered = running(items, by, [order], width_bucket(order, width), counts={"n": F.lit(1)})
     first = items.groupBy(*by).agg(F.min_by("titulo", order).alias("titulo"))
     return spread_join(numbered.drop("titulo"), first, by, "left", spread_by=[order])
-
-
-def clean_item(c: Column) -> Column:
-    return strip_bullet(c)

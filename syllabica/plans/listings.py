@@ -1,7 +1,5 @@
 """Listings, state counts, versions and schedules of documents."""
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from ..operators import documents as ops
@@ -10,7 +8,6 @@ from .frames import DOCUMENTS_SQL, USERS_SQL, documents, users
 from .registry import query, read
 
 _ORDER_STATES = ["borrador", "generando", "generada", "error_generacion", "finalizada"]
-_NOW = datetime(2024, 6, 1)
 
 
 @query(
@@ -141,6 +138,26 @@ def derived_flags(spark, sf_dir):
     return ops.derived_flags(documents(spark, sf_dir)).select("id_situacion", "es_adaptacion", "origen_perdido")
 
 
+@query(
+    "own_documents",
+    f"""WITH {DOCUMENTS_SQL} SELECT id_situacion, estado FROM docs WHERE id_usuario = 7""",
+)
+def own_documents(spark, sf_dir):
+    """What one account that is no administrator may see."""
+    return ops.visible_to(documents(spark, sf_dir), 7, False).select("id_situacion", "estado")
+
+
+@query(
+    "backup_usable",
+    f"""WITH {USERS_SQL} SELECT id_usuario, c_mktsegment <> 'BUILDING' AND coalesce(eliminado_en < TIMESTAMP '2024-05-01', false) AS respaldo FROM users""",
+)
+def backup_usable(spark, sf_dir):
+    """A backup address counts only if it is there and verified."""
+    address = F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("correo"))
+    verified = F.when(F.col("eliminado_en") < F.lit("2024-05-01 00:00:00").cast("timestamp_ntz"), F.col("eliminado_en"))
+    return users(spark, sf_dir).select("id_usuario", ops.backup_usable(address, verified).alias("respaldo"))
+
+
 @query(
     "grace_expired",
     f"""WITH {USERS_SQL} SELECT id_usuario, coalesce(eliminado_en <= TIMESTAMP '2024-06-01' - INTERVAL 90 DAYS, false) AS vencida,

@@ -28,6 +28,10 @@ def decode_entities(texts: pd.Series) -> pd.Series:
     return texts.map(unescape, na_action="ignore")
 
 
+# Not random, but marked so: a filter on the text must not call it again.
+decode_entities = decode_entities.asNondeterministic()
+
+
 def _plain(c: Column) -> Column:
     """Tags to spaces, references decoded."""
     return decode_entities(F.regexp_replace(c, "<[^>]+>", " "))
@@ -35,7 +39,7 @@ def _plain(c: Column) -> Column:
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
     """(doc_id, raw): one row per file; a bulletin is one file."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("raw"))
 
 

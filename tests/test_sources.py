@@ -150,3 +150,30 @@ def test_dry_run_writes_nothing(spark, tmp_path):
     df = spark.range(3)
     assert tables.apply_or_report(df, None) is df and list(tmp_path.iterdir()) == []
     assert tables.apply_or_report(df, str(tmp_path)).count() == 3
+
+
+def test_files_read_as_documents(spark, tmp_path):
+    (tmp_path / "uno.xml").write_text("<d><texto><p class='a'>Uno\nmás</p></texto></d>", encoding="utf-8")
+    docs = markup.read_documents(spark, str(tmp_path))
+    assert rows(markup.paragraphs_from_xml(docs), "doc_id", "cls", "text") == [("uno.xml", "a", "Uno\nmás")]
+
+
+def test_valid_and_rejected_rows(spark):
+    df = spark.createDataFrame(
+        [(1, "Bien", 5, "es"), (2, " x ", 0, "de"), (3, None, 200, "ca")], "id int, titulo string, num_sesiones int, idioma string")
+    good, bad = qual.split_valid(df)
+    assert rows(good, "id") == [(1,)]
+    assert rows(bad, "id", "motivos") == [(2, ["titulo:corto", "num_sesiones:rango", "idioma:valor"]), (3, ["titulo:falta"])]
+
+
+def test_sorted_equality(spark):
+    from syllabica.functions.text import same_members
+
+    df = spark.createDataFrame([(["b", "a"], ["a", "b"], ["a"])], "x array<string>, y array<string>, z array<string>")
+    assert df.select(same_members(F.col("x"), F.col("y")), same_members(F.col("x"), F.col("z"))).first() == (True, False)
+
+
+def test_state_is_written_beside_the_old_one(spark, tmp_path):
+    first = tables.write_new_state(spark.range(2), str(tmp_path))
+    second = tables.write_new_state(spark.range(3), str(tmp_path))
+    assert first != second and tables.read_table(spark, first, "id").count() == 2

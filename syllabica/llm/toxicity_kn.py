@@ -1,16 +1,22 @@
 """Toxicity by two Kneser-Ney bigram models that share what they back off to.
 
 Words are hashed into a fixed number of buckets, so the models have a bounded
-size whatever the corpus. Pair counts of each class come from a bounded sample
-of labelled documents. What neither class has seen falls back on one table of
-word counts over all documents, the same for both classes, so a rare word says
-next to nothing. The two log-likelihoods are compared per word, and a logistic
-curve fitted on labelled documents that gave no counts makes a score of it.
+size whatever the corpus. Counts of each class come from a bounded sample of
+labelled documents: pairs of words with an absolute discount, below them the
+number of words that each word follows. Both classes leave the same share to
+the backoff, which is one table of word counts over all documents and the pairs
+of both classes together, so a rare expression says next to nothing.
+
+The log-likelihoods of a text under both models are compared word by word. Its
+median ratio, which its language and subject set, is taken off; what stays above
+is normalised by the length, and a logistic curve fitted on labelled documents
+that gave no counts makes a score of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +27,13 @@ from .frames import documents, slices, staged
 from .quality_knn import labelled_sample
 from .words import word_hashes
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 18
 START = BUCKETS
 
 
 def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashes, at = word_hashes(texts)
-    return (hashes >> np.uint64(47)).astype(np.int64), at
+    return (hashes >> np.uint64(46)).astype(np.int64), at
 
 
 def pairs(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,51 +43,56 @@ def pairs(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, words
 
 
-def discounted(keys: np.ndarray, pair: np.ndarray, total: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Discounted share of each known pair (and 0 for other pairs), and what each word leaves to the backoff.
+@dataclass
+class Smoothing:
+    """``pair``: discount of a pair; ``word``: of the words before a word; ``share``: what
+    either class leaves to the words of all documents; ``trust``: weight of the pairs of
+    both classes together; ``edge``: log ratio above the median that counts."""
 
-    ``keys`` are the pairs seen more than once, in order, as ``before * BUCKETS + word``.
-    """
-    seen = np.maximum(pair - discount, 0) / np.maximum(total, 1)[keys // BUCKETS]
-    return np.append(seen, 0).astype(np.float32), 1 - np.bincount(keys // BUCKETS, seen, minlength=BUCKETS + 1)
-
-
-class KneserNey:
-    """The bigrams of one class above its words, and above pairs and words of both classes."""
-
-    def __init__(self, pair: np.ndarray, back: np.ndarray, leaders: np.ndarray, shared: np.ndarray, discount: float) -> None:
-        self.pair, self.back = pair, back
-        n = max(1.0, float(leaders.sum()))
-        spare = discount * np.count_nonzero(leaders) / n if leaders.any() else 1.0
-        self.word = np.maximum(leaders - discount, 0) / n + spare * shared
-
-    def log(self, before: np.ndarray, word: np.ndarray, place: np.ndarray, shared: np.ndarray, trust: float) -> np.ndarray:
-        return np.log(self.pair[place] + self.back[before] * (trust * shared + (1 - trust) * self.word[word]))
+    pair: float = 0.75
+    word: float = 2.0
+    share: float = 0.1
+    trust: float = 0.2
+    edge: float = 1.0
 
 
 class Comparison:
-    """Figures of a text: mean log ratio, its sum by the root of the length."""
-
-    def __init__(self, keys: np.ndarray, pair: list[np.ndarray], total: np.ndarray, leaders: np.ndarray,
-                 words: np.ndarray, discount: float, trust: float) -> None:
-        self.keys, self.words, self.trust, self.curve = keys, words, trust, np.zeros(3)
-        self.pair, self.back = discounted(keys, pair[0] + pair[1], total.sum(axis=0), discount)
-        self.ordinary, self.toxic = (
-            KneserNey(*discounted(keys, pair[c], total[c], discount), leaders[c], words, discount) for c in (0, 1))
+    """Both models. ``keys`` are the kept pairs, in order, as ``before * BUCKETS + word``."""
+
+    def __init__(self, keys: np.ndarray, pair: list[np.ndarray], leaders: np.ndarray, total: np.ndarray,
+                 words: np.ndarray, smoothing: Smoothing) -> None:
+        self.keys, self.words, self.smoothing, self.curve = keys, words, smoothing, np.zeros(3)
+        before, counts = keys // BUCKETS, pair[0] + pair[1]
+        shared = np.maximum(counts - smoothing.pair, 0) / np.maximum(total, 1)[before]
+        known = np.bincount(before, shared, minlength=BUCKETS + 1)
+        self.back = 1 - known
+        self.shared = np.append(shared, 0).astype(np.float32)
+        self.pair, self.word = [], []
+        for c in (0, 1):
+            own = np.bincount(before, pair[c], minlength=BUCKETS + 1)
+            seen = pair[c] / np.maximum(own, 1)[before] * known[before]
+            self.pair.append(np.append((seen + shared) / 2, 0).astype(np.float32))
+            kept = np.maximum(leaders[c] - smoothing.word, 0)
+            self.word.append((1 - smoothing.share) * kept / max(kept.sum(), 1) + smoothing.share * words)
 
     def figures(self, texts: list[str]) -> np.ndarray:
+        """Two length-normalised excesses of each text, and 1."""
         words, at = buckets(texts)
         before, word = pairs(words, at)
         key = before * BUCKETS + word
-        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if len(self.keys) else np.zeros(len(key), np.int64)
-        place = np.where(self.keys[place] == key, place, len(self.keys)) if len(self.keys) else place
-        shared = self.pair[place] + self.back[before] * self.words[word]
-        ratio = (self.toxic.log(before, word, place, shared, self.trust)
-                 - self.ordinary.log(before, word, place, shared, self.trust))
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
-        n = np.diff(at)
-        gain = total[at[1:]] - total[at[:-1]]
-        return np.stack([gain / np.maximum(n, 1), gain / np.sqrt(np.maximum(n, 1)), np.ones(len(n))], axis=1)
+        place = np.searchsorted(self.keys, key)
+        place[np.append(self.keys, -1)[place] != key] = len(self.keys)
+        both = self.smoothing.trust * (self.shared[place] + self.back[before] * self.words[word])
+        ordinary, toxic = (np.log(self.pair[c][place] + self.back[before] * (both + (1 - self.smoothing.trust) * self.word[c][word]))
+                           for c in (0, 1))
+        out = np.zeros((len(texts), 3))
+        out[:, 2] = 1
+        for row, a, b in zip(out, at[:-1], at[1:], strict=True):
+            if b > a:
+                ratio = toxic[a:b] - ordinary[a:b]
+                excess = np.maximum(ratio - np.median(ratio) - self.smoothing.edge, 0).sum()
+                row[:2] = np.log1p(100 * excess / (b - a)), np.log1p(10 * excess / np.sqrt(b - a))
+        return out
 
     def fit(self, figures: np.ndarray, labels: np.ndarray, rounds: int = 60) -> None:
         """Logistic regression by Newton steps, slightly held back."""
@@ -126,15 +137,15 @@ def _dense(rows: DataFrame, size: int, key: str, value: str) -> np.ndarray:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 20_000,
-                   discount: float = 0.75, most_pairs: int = 1 << 20, trust: float = 0.2,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   most_pairs: int = 1 << 20,
+                   smoothing: Smoothing | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``score`` (0 to 1, higher: likelier toxic) of every document.
 
     ``learn`` is a condition on ``doc_id`` that says whose labels may be learnt
     from; at most ``sample`` of them are, a quarter of these only for the curve.
     The models keep the ``most_pairs`` commonest word pairs of the sample.
     Word counts shared by both classes come from all documents. Texts are read
-    whole. Empty or null texts have a log ratio of 0; without labels of both
+    whole. Empty or null texts have no excess; without labels of both
     classes every score is 0. Repeated rows are scored alike.
     """
     spark = docs.sparkSession
@@ -152,14 +163,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
     keys = common.column("before").to_numpy() * BUCKETS + common.column("word").to_numpy()
     order = np.argsort(keys)
     keys, pair = keys[order], [common.column(f"n{c}").to_numpy()[order] for c in (0, 1)]
-    total = _dense(counted.groupBy("label", "before").agg(F.sum("n").alias("n")), BUCKETS + 1, "before", "n")
+    total = _dense(counted.groupBy(F.lit(0).alias("label"), "before").agg(F.sum("n").alias("n")), BUCKETS + 1, "before", "n")[0]
     leaders = _dense(counted.groupBy("label", "word").agg(F.count("*").alias("leaders")), BUCKETS, "word", "leaders")
     words = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     shared = np.ones(BUCKETS)
     shared[words.column("word").to_numpy()] += words.column("n").to_numpy()
     shared /= shared.sum()
-    model = Comparison(keys, pair, total, leaders, shared, discount, trust)
-    if not total.any(axis=1).all():
+    model = Comparison(keys, pair, leaders, total, shared, smoothing or Smoothing())
+    if not leaders.any(axis=1).all():
         return texts.select("doc_id", F.lit(0.0).alias("score"))
     first = spark.sparkContext.broadcast(model)
 

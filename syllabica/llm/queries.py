@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, license_scan, quality_knn, toxicity_kn, vp_trees
+from . import bit_sliced, byte_bpe, license_scan, packing, quality_knn, toxicity_kn, vp_trees
 from .frames import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,15 @@ def op5_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked(toxicity_kn.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out), held_out)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode_decode(table(spark, sf_dir, "documents"),

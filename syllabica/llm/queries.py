@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, license_scan, packing, quality_knn, toxicity_kn, vp_trees
+from . import bit_sliced, byte_bpe, license_scan, ngram_join, packing, quality_knn, toxicity_kn, vp_trees
 from .frames import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_license_scan")
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op10_ngram_join")
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))

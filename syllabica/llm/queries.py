@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, license_scan, ngram_join, packing, quality_knn, toxicity_kn, vp_trees
+from . import bit_sliced, byte_bpe, license_scan, line_dedup, ngram_join, packing, quality_knn, toxicity_kn, vp_trees
 from .frames import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op2_bit_sliced", """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
@@ -90,6 +90,34 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
+LINE_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents
+), filled AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM lines WHERE trim(line, ' ') <> ''
+), runs AS (
+  SELECT doc_id, j, line, lead(line) OVER (PARTITION BY doc_id ORDER BY j) AS next FROM filled
+), later AS (
+  SELECT doc_id, j FROM runs WHERE next IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY line, next ORDER BY doc_id, j) > 1
+), removed AS (
+  SELECT DISTINCT doc_id, i FROM filled JOIN (SELECT * FROM later UNION SELECT doc_id, j + 1 FROM later) USING (doc_id, j)
+)
+SELECT doc_id, count(*) AS n_lines, count(r.i) AS n_removed,
+       sha256(coalesce(string_agg(CASE WHEN r.i IS NULL THEN line END, chr(10) ORDER BY l.i), '')) AS kept_sha256
+FROM lines l LEFT JOIN removed r USING (doc_id, i) GROUP BY doc_id"""
+
+
+@query("op9_line_dedup", LINE_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = line_dedup.mark_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return marked.select("doc_id", F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
+                         F.size("__removed").cast("long").alias("n_removed"),
+                         F.sha2(line_dedup.kept_text(text, F.col("__removed")), 256).alias("kept_sha256"))
+
+
 @query("op10_ngram_join")
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))

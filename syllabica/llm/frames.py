@@ -31,14 +31,14 @@ def remainder(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut a batch with a ``text`` column into pieces of about ``most`` bytes of text.
+def slices(batch: pa.RecordBatch, most: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut a batch by the texts of a column into pieces of about ``most`` bytes of text.
 
     A single longer text is a piece of its own: texts are never cut.
     """
     if not batch.num_rows:
         return
-    sizes = pc.binary_length(batch.column("text")).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, size in enumerate(sizes):
         if i > start and total + size > most:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, license_scan, line_dedup, ngram_join, packing, quality_knn, toxicity_kn, vp_trees
+from . import bit_sliced, byte_bpe, license_scan, line_dedup, ngram_join, packing, quality_knn, suffix_dedup, toxicity_kn, vp_trees
 from .frames import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+                        removed.alias("n_removed"), F.size("__spans").cast("long").alias("n_spans"),
+                        F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 @query("op2_bit_sliced", """
 WITH v AS (
   SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
@@ -64,7 +73,9 @@ def op4_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity_kn")
 def op5_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 5) == 0
-    return marked(toxicity_kn.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out), held_out)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_kn.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return marked(toxicity_kn.add_score(docs.select("doc_id", "text"), model), held_out)
 
 
 def packed(docs: DataFrame) -> DataFrame:

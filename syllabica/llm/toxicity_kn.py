@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .frames import documents, slices, staged
 from .quality_knn import labelled_sample
@@ -136,17 +137,16 @@ def _dense(rows: DataFrame, size: int, key: str, value: str) -> np.ndarray:
     return out
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 20_000,
-                   most_pairs: int = 1 << 20,
-                   smoothing: Smoothing | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1, higher: likelier toxic) of every document.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 20_000,
+                 most_pairs: int = 1 << 20, smoothing: Smoothing | None = None, id_col: str = "doc_id",
+                 text_col: str = "text") -> Comparison | None:
+    """The two models and the curve that ``add_score`` uses; None without labels of both classes.
 
     ``learn`` is a condition on ``doc_id`` that says whose labels may be learnt
     from; at most ``sample`` of them are, a quarter of these only for the curve.
     The models keep the ``most_pairs`` commonest word pairs of the sample.
     Word counts shared by both classes come from all documents. Texts are read
-    whole. Empty or null texts have no excess; without labels of both
-    classes every score is 0. Repeated rows are scored alike.
+    whole, empty and null ones hold no words. An id labelled twice counts once.
     """
     spark = docs.sparkSession
     texts = documents(docs, id_col, text_col)
@@ -171,7 +171,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
     shared /= shared.sum()
     model = Comparison(keys, pair, leaders, total, shared, smoothing or Smoothing())
     if not leaders.any(axis=1).all():
-        return texts.select("doc_id", F.lit(0.0).alias("score"))
+        return None
     first = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +186,25 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
     order = np.lexsort(columns)
     mean, root, marks = (c[order] for c in columns)
     model.fit(np.stack([mean, root, np.ones(len(mean))], axis=1), marks)
-    fitted = spark.sparkContext.broadcast(model)
+    return model
+
+
+def add_score(docs: DataFrame, model: Comparison | None, name: str = "score", text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``name``: 0 to 1, higher for likelier toxic.
+
+    Rows and other columns stay as they are; repeated rows are scored alike.
+    Empty and null texts score as a text without any excess does; without a model
+    every score is 0.
+    """
+    if model is None:
+        return docs.withColumn(name, F.lit(0.0))
+    fitted = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fitted.value.score(part.column("text").to_pylist()))],
-                                                 names=["doc_id", "score"])
-
-    return texts.mapInArrow(run, "doc_id long, score double")
+            for part in slices(batch, column=text_col):
+                score = fitted.value.score([text or "" for text in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
 
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

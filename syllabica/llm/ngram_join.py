@@ -162,7 +162,9 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
                 yield pa.RecordBatch.from_arrays([part.column("root"), part.column("doc_id"), part.column("blocks"),
                                                   pa.array(grams, pa.binary())], schema=_SETS)
 
-    members = (texts.join(families.join(sizes, "root").withColumnRenamed("id", "doc_id"), "doc_id")
+    # families grow with the documents: merged at every size, never broadcast
+    families = families.join(sizes, "root").withColumnRenamed("id", "doc_id")
+    members = (texts.join(families.hint("merge"), "doc_id")
                .select("root", "doc_id", "blocks", "text")
                .mapInArrow(sets, "root long, doc_id long, blocks long, grams binary")
                .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))

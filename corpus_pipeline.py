@@ -39,7 +39,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows without an id stay; a row that is there twice stays once.
     """
     others = ngram_join.similar(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
+    left = docs.join(others.hint("merge"), "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
     return left.dropDuplicates(["doc_id", "__text"]).select(docs.columns)
 
 

@@ -79,7 +79,7 @@ def mark_repeated_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_
     places = covered.groupBy("__d", "__t").agg(F.collect_set("__j").alias("__places"))
     filled = _filled(F.col(f"`{text_col}`"))
     removed = F.transform(F.col("__places"), lambda j: F.get(F.col("__filled"), j))
-    return (_keyed(docs, id_col, text_col).join(places, ["__d", "__t"], "left").withColumn("__filled", filled)
+    return (_keyed(docs, id_col, text_col).join(places.hint("merge"), ["__d", "__t"], "left").withColumn("__filled", filled)
             .withColumn("__removed", F.coalesce(removed, F.array().cast("array<int>")))
             .drop("__d", "__t", "__places", "__filled"))
 

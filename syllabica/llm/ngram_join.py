@@ -26,7 +26,7 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("bands",
 _SETS = pa.schema([("root", pa.int64()), ("doc_id", pa.int64()), ("blocks", pa.int64()), ("grams", pa.binary())])
 
 
-def choose_bands(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
+def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
     """The (bands, rows) with the most rows a band that find a pair at the threshold with ``recall``.
 
     Among more rows fewer chance candidates are met; ``most`` bounds bands x rows.

@@ -56,6 +56,8 @@ class Items:
 
     def sent(self, bucket: int, parts: int) -> pa.Table:
         """One row per part of the range of cores."""
+        if not len(self.core):
+            return _table([], _SENT)
         part = ((self.core >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
         own, cut = np.unique(part, return_index=True)
         rows = []
@@ -280,7 +282,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 2_
     def send(table: pa.Table, replies: pa.Table | None, turn: int) -> pa.Table:
         number = table["__bucket"][0].as_py() if table.num_rows else 0
         items = advance(table, replies, turn)[2]
-        return items.sent(number, parts) if items and len(items.core) else _table([], _SENT)
+        return items.sent(number, parts) if items else _table([], _SENT)
 
     def first_sender():
         return lambda table: send(table, None, 0)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunked_bpe import ChunkCoder, read_ranks
+from .chunked_bpe import rank_coder, read_ranks
 from .frames import documents, slices
 
 _TYPE = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
@@ -25,10 +25,7 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        ranks = read_ranks(rank_path)
-        coder = ChunkCoder(tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+        coder, ranks = rank_coder(rank_path, pattern), read_ranks(rank_path)
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token

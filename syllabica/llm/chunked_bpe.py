@@ -9,7 +9,9 @@ remembered, for a bounded number of chunks.
 from __future__ import annotations
 
 import base64
+import functools
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -35,9 +37,9 @@ def segments(text: str) -> tuple[str, list[str]]:
 
 
 class ChunkCoder(dict):
-    """Token ids of chunks, as little-endian 32-bit bytes, by the chunk without its leading space."""
+    """Token ids of chunks, as 32-bit bytes, by the chunk without its leading space."""
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], keep: int = 250_000, longest: int = 40) -> None:
+    def __init__(self, encode: Callable[[str], Iterable[int]], keep: int = 400_000, longest: int = 40) -> None:
         super().__init__()
         self.encode, self.keep, self.longest = encode, keep, longest
 
@@ -48,17 +50,31 @@ class ChunkCoder(dict):
         return ids
 
     def _bytes(self, chunk: str) -> bytes:
-        return np.asarray(self.encode(chunk), "<u4").tobytes()
+        return array("I", self.encode(chunk)).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a text, by its whole length."""
         if len(self) >= self.keep:
             self.clear()
         first, rest = segments(text)
-        return np.frombuffer(b"".join([self._bytes(first), *map(self.__getitem__, rest)]), "<u4")
+        return np.frombuffer(b"".join([self._bytes(first), *map(self.__getitem__, rest)]), np.uint32)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a file of base64 tokens and numbers."""
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+@functools.lru_cache(maxsize=2)
+def rank_encoding(path: str, pattern: str):
+    """The encoding of a rank file without special tokens, once per worker."""
+    import tiktoken
+
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+
+
+@functools.lru_cache(maxsize=2)
+def rank_coder(path: str, pattern: str) -> ChunkCoder:
+    """A coder that the tasks of a worker share."""
+    return ChunkCoder(rank_encoding(path, pattern).encode_ordinary)

@@ -11,6 +11,9 @@ take. The same filling is used as often as its lengths last.
 from __future__ import annotations
 
 import bisect
+import functools
+import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunked_bpe import ChunkCoder, read_ranks
+from .chunked_bpe import ChunkCoder, rank_encoding
 from .frames import documents, slices, staged
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
+#: Chunks whose merges by ranks are the tokenizer's own.
+_LATIN = re.compile(r"[\n -~\u00c0-\u024f]*")
 _TYPE = pa.schema([(name, pa.int64()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
 
@@ -91,6 +96,23 @@ def pack_lengths(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndar
     return window, offset
 
 
+@functools.lru_cache(maxsize=2)
+def _coders(tokenizer_path: str, rank_path: str):
+    """A coder that the tasks of a worker share, the tokenizer, and its special tokens."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path)
+    with open(tokenizer_path, encoding="utf-8") as file:
+        special = [token["content"] for token in json.load(file).get("added_tokens", [])]
+    merge = rank_encoding(rank_path, public_tokenizers.PATTERN).encode_ordinary
+
+    def encode(chunk: str) -> list[int]:
+        return merge(chunk) if _LATIN.fullmatch(chunk) else whole.encode(chunk, add_special_tokens=False).ids
+
+    return ChunkCoder(encode), whole, special
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, rank_path: str, capacity: int, end_id: int, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """Each document's ids and ``end_id``, cut at every full sequence: places, lengths and checksums.
@@ -101,22 +123,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, rank_path: str, capacity: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(tokenizer_path)
-        with open(tokenizer_path, encoding="utf-8") as file:
-            special = [token["content"] for token in json.load(file).get("added_tokens", [])]
-        ranks = tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(rank_path), special_tokens={})
-
-        def encode(chunk: str) -> list[int]:
-            latin = all("\x20" <= c <= "\x7e" or c == "\n" or "\xc0" <= c <= "ɏ" for c in chunk)
-            return ranks.encode_ordinary(chunk) if latin else whole.encode(chunk, add_special_tokens=False).ids
-
-        coder = ChunkCoder(encode)
+        coder, whole, special = _coders(tokenizer_path, rank_path)
         for batch in batches:
             for part in slices(batch):
                 rows = []

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from syllabica.plans.registry import ORACLES, QUERIES
 from tests.compare import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Checked on fixtures instead: HTML parsing and layouts SQL states badly.
 ROWS_ONLY = {"readable_text", "escaped_paragraphs", "knowledge_blocks"}
 

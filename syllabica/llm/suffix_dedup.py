@@ -148,25 +148,33 @@ class Bucket:
 
     def _anchors(self) -> None:
         """Anchors with their document and the first and last window that each stands for."""
-        gram = self.size - self.reach + 1
-        long = np.flatnonzero(self.end - self.start >= self.size)
+        gram, n = self.size - self.reach + 1, len(self.bytes)
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, np.maximum(self.start, self.end - self.size + 1), 1)
+        np.add.at(edge, self.end, -1)
+        inside = np.cumsum(edge)[:-1] == 0
         found = []
-        block = 1 << 18
-        for k in long.tolist():
-            for a in range(int(self.start[k]), int(self.end[k]) - self.size + 1, block):
-                windows = min(block, int(self.end[k]) - self.size + 1 - a)
-                places = np.arange(a, a + windows + self.reach - 1)
-                key = (self.name(places, gram) & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - (places - a).astype(np.uint64))
-                width = 1
-                while 2 * width <= self.reach:
-                    key = np.minimum(key[:-width], key[width:])
-                    width *= 2
-                if width < self.reach:
-                    key = np.minimum(key[: windows], key[self.reach - width:][: windows])
-                anchor = (np.uint64(0xFFFFFFFF) - (key & np.uint64(0xFFFFFFFF))).astype(np.int64) + a
-                change = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-                found.append(np.stack([anchor[change], np.full(len(change), k), a + change, a + np.append(change[1:], windows) - 1]))
-        self.anchor, self.doc, self.first, self.last = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        for a in range(0, n - self.size + 1, 1 << 18):
+            windows = min(1 << 18, n - self.size + 1 - a)
+            b = a + windows + self.reach - 1
+            grams = mix((self.total[a + gram: b + gram] - self.total[a:b]) * self.down[a:b] + np.uint64(gram))
+            key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(0xFFFFFFFF, 0xFFFFFFFF - (b - a), -1, dtype=np.uint64)
+            width = 1
+            while 2 * width <= self.reach:
+                key = np.minimum(key[:-width], key[width:])
+                width *= 2
+            if width < self.reach:
+                key = np.minimum(key[:windows], key[self.reach - width:][:windows])
+            at = np.flatnonzero(inside[a: a + windows])
+            anchor = (np.uint64(0xFFFFFFFF) - (key[at] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+            change = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(at) else at
+            found.append(np.stack([anchor[change], at[change], at[np.append(change[1:], len(at)) - 1] if len(at) else at]) + a)
+        anchor, first, last = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        # an anchor that two blocks have met is one
+        change = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
+        self.anchor, self.first = anchor[change], first[change]
+        self.last = last[np.append(change[1:], len(anchor)) - 1] if len(anchor) else last
+        self.doc = np.searchsorted(self.start, self.first, side="right") - 1
 
     def rounds(self) -> Generator[Items, np.ndarray, None]:
         """Yields what each round sends and takes what comes back."""
@@ -242,7 +250,7 @@ class Bucket:
         return kept, spans
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 2_000_000, part_names: int = 250_000,
+def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 1_000_000, part_names: int = 100_000,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``__kept`` (bytes) and ``__spans`` (start, end in bytes): every byte goes that a
     string of ``min_bytes`` bytes covers which also starts earlier.

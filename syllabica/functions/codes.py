@@ -27,8 +27,17 @@ YEAR_HEADER_CA = r"(?U)^(?:1r|2n|3r|4t)(?:[\s,i]+(?:1r|2n|3r|4t))*$"
 OPTIONAL_TITLE_CA = r"(?iU)optativa de\s+(primer|segon|tercer|quart)(?:\s+a\s+(primer|segon|tercer|quart))?"
 TRACK = r"(?iU)matem[áa]ticas\s+([ab])\b"
 
-DESCRIPTOR_FAMILIES = {"CCL": 5, "CP": 3, "STEM": 5, "CD": 5, "CPSAA": 5, "CC": 4, "CE": 3, "CCEC": 4}
-DESCRIPTORS = [f"{family}{n}" for family, size in DESCRIPTOR_FAMILIES.items() for n in range(1, size + 1)]
+# The descriptors of the exit profile.
+DESCRIPTORS = [
+    "CCL1", "CCL2", "CCL3", "CCL4", "CCL5",
+    "CP1", "CP2", "CP3",
+    "STEM1", "STEM2", "STEM3", "STEM4", "STEM5",
+    "CD1", "CD2", "CD3", "CD4", "CD5",
+    "CPSAA1", "CPSAA2", "CPSAA3", "CPSAA4", "CPSAA5",
+    "CC1", "CC2", "CC3", "CC4",
+    "CE1", "CE2", "CE3",
+    "CCEC1", "CCEC2", "CCEC3", "CCEC4",
+]
 
 ORDINALS_ES = {
     "primero": 1, "segundo": 2, "tercero": 3, "cuarto": 4,
@@ -193,7 +202,7 @@ def drop_code_residue(line: Column, prefix: Column) -> Column:
 
 def dotted_order(c: Column) -> Column:
     """Numeric sort key of a dotted code, so 1.2 comes before 1.10."""
-    return F.transform(F.split(c, r"\."), lambda p: F.coalesce(F.try_to_number(p, F.lit("999999999")).cast("int"), F.lit(0)))
+    return F.transform(F.split(c, r"\."), lambda p: F.coalesce(p.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
 
 
 def course_order(c: Column) -> Column:

@@ -159,7 +159,7 @@ def _has(doc: Column, key: str) -> Column:
 
 
 def missing_parts(section: Column, payload: Column) -> Column:
-    """Required keys absent or empty; parse failures are not counted twice."""
+    """Required keys absent or empty; none for text that is no JSON, which counts as a parse failure."""
     none = F.array().cast("array<string>")
 
     def judged(doc: Column) -> Column:
@@ -167,7 +167,7 @@ def missing_parts(section: Column, payload: Column) -> Column:
         for name, parts in REQUIRED_PARTS.items():
             gone = F.array_compact(F.array(*[F.when(~_has(doc, p), F.lit(p)) for p in parts]))
             out = F.when(section == name, gone).otherwise(out)
-        return F.when(_has(doc, "_error_parseo"), none).otherwise(out)
+        return F.when(doc.isNull() | _has(doc, "_error_parseo"), none).otherwise(out)
 
     return F.when(section.isin(*REQUIRED_PARTS), bind(F.try_parse_json(payload), judged)).otherwise(none)
 
@@ -192,6 +192,13 @@ def without_keys(payload: Column, keys: list[str] | None = None) -> Column:
     return F.to_json(F.map_filter(F.from_json(payload, "map<string,variant>"), lambda k, _: ~k.isin(*drop)))
 
 
+def merge_section_map(content: Column, sections: Column) -> Column:
+    """Content with the sections of a map (name to JSON) replaced or added."""
+    doc = F.coalesce(F.from_json(content, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    rest = F.map_filter(doc, lambda k, _: ~F.map_contains_key(sections, k))
+    return F.to_json(F.map_concat(rest, F.transform_values(sections, lambda _, v: F.parse_json(v))))
+
+
 def merge_section(content: Column, name: Column, payload: Column) -> Column:
     """Content with one section replaced or added, the others untouched."""
     doc = F.coalesce(F.from_json(content, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
@@ -246,11 +253,12 @@ def suggestions(raw: Column) -> Column:
 SUGGESTION_FIELDS = ["titulo", "resumen", "producto_final", "pregunta_guia"]
 
 
-def summary_text(content: Column, cut: int = 400, items: int = 10) -> Column:
+def summary_text(content: Column, cut: int | None = None, items: int | None = None) -> Column:
     """Readable outline of a document: a heading per section, a line per key.
 
     Keys keep their order in the document. Nested values are shown as compact
-    JSON cut at ``cut`` characters, plain lists by their first ``items``.
+    JSON, plain lists by their items: whole, or the first ``cut`` characters and
+    ``items`` entries where the caller asks for fewer.
     """
     def shown(v: Column, text: Column) -> Column:
         return (
@@ -260,7 +268,7 @@ def summary_text(content: Column, cut: int = 400, items: int = 10) -> Column:
     def pairs(raw: Column, typed: Column) -> Column:
         def line(e: Column) -> Column:
             v = typed[e["key"]]
-            body = F.when(is_list(v) | is_object(v), F.substring(e["value"], 1, cut)).otherwise(
+            body = F.when(is_list(v) | is_object(v), e["value"] if cut is None else F.substring(e["value"], 1, cut)).otherwise(
                 F.coalesce(shown(v, e["value"]), F.lit("None"))
             )
             return F.concat(F.lit("- "), e["key"], F.lit(": "), body)
@@ -276,7 +284,7 @@ def summary_text(content: Column, cut: int = 400, items: int = 10) -> Column:
             key, text = entry["key"], entry["value"]
             value = typed[key]
             bullets = F.transform(
-                F.slice(as_list(value), 1, items), lambda v: F.concat(F.lit("- "), shown(v, as_text(v)))
+                as_list(value) if items is None else F.slice(as_list(value), 1, items), lambda v: F.concat(F.lit("- "), shown(v, as_text(v)))
             )
             body = (
                 F.when(is_object(value), both(text, pairs))

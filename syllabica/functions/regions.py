@@ -49,38 +49,61 @@ REGION_ALIASES = {
     "castilla la mancha": "castilla-la-mancha",
     "castilla leon": "castilla-y-leon",
 }
-# region code -> its provinces as (code, display name)
-PROVINCES = {
-    "andalucia": [
-        ("almeria", "Almería"), ("cadiz", "Cádiz"), ("cordoba", "Córdoba"), ("granada", "Granada"),
-        ("huelva", "Huelva"), ("jaen", "Jaén"), ("malaga", "Málaga"), ("sevilla", "Sevilla"),
-    ],
-    "aragon": [("huesca", "Huesca"), ("teruel", "Teruel"), ("zaragoza", "Zaragoza")],
-    "asturias": [("asturias", "Asturias")],
-    "baleares": [("baleares", "Illes Balears")],
-    "cantabria": [("cantabria", "Cantabria")],
-    "canarias": [("las-palmas", "Las Palmas"), ("tenerife", "Santa Cruz de Tenerife")],
-    "castilla-la-mancha": [
-        ("albacete", "Albacete"), ("ciudad-real", "Ciudad Real"), ("cuenca", "Cuenca"),
-        ("guadalajara", "Guadalajara"), ("toledo", "Toledo"),
-    ],
-    "castilla-y-leon": [
-        ("avila", "Ávila"), ("burgos", "Burgos"), ("leon", "León"), ("palencia", "Palencia"),
-        ("salamanca", "Salamanca"), ("segovia", "Segovia"), ("soria", "Soria"),
-        ("valladolid", "Valladolid"), ("zamora", "Zamora"),
-    ],
-    "cataluna": [("barcelona", "Barcelona"), ("girona", "Girona"), ("lleida", "Lleida"), ("tarragona", "Tarragona")],
-    "valencia": [("alicante", "Alicante"), ("castellon", "Castellón"), ("valencia", "València")],
-    "extremadura": [("badajoz", "Badajoz"), ("caceres", "Cáceres")],
-    "galicia": [("a-coruna", "A Coruña"), ("lugo", "Lugo"), ("ourense", "Ourense"), ("pontevedra", "Pontevedra")],
-    "madrid": [("madrid", "Madrid")],
-    "la-rioja": [("la-rioja", "La Rioja")],
-    "murcia": [("murcia", "Murcia")],
-    "navarra": [("navarra", "Navarra")],
-    "pais-vasco": [("araba", "Araba/Álava"), ("bizkaia", "Bizkaia"), ("gipuzkoa", "Gipuzkoa")],
-    "ceuta": [("ceuta", "Ceuta")],
-    "melilla": [("melilla", "Melilla")],
-}
+# Province code, display name, region code.
+PROVINCES = [
+    ("almeria", "Almería", "andalucia"),
+    ("cadiz", "Cádiz", "andalucia"),
+    ("cordoba", "Córdoba", "andalucia"),
+    ("granada", "Granada", "andalucia"),
+    ("huelva", "Huelva", "andalucia"),
+    ("jaen", "Jaén", "andalucia"),
+    ("malaga", "Málaga", "andalucia"),
+    ("sevilla", "Sevilla", "andalucia"),
+    ("huesca", "Huesca", "aragon"),
+    ("teruel", "Teruel", "aragon"),
+    ("zaragoza", "Zaragoza", "aragon"),
+    ("asturias", "Asturias", "asturias"),
+    ("baleares", "Illes Balears", "baleares"),
+    ("cantabria", "Cantabria", "cantabria"),
+    ("las-palmas", "Las Palmas", "canarias"),
+    ("tenerife", "Santa Cruz de Tenerife", "canarias"),
+    ("albacete", "Albacete", "castilla-la-mancha"),
+    ("ciudad-real", "Ciudad Real", "castilla-la-mancha"),
+    ("cuenca", "Cuenca", "castilla-la-mancha"),
+    ("guadalajara", "Guadalajara", "castilla-la-mancha"),
+    ("toledo", "Toledo", "castilla-la-mancha"),
+    ("avila", "Ávila", "castilla-y-leon"),
+    ("burgos", "Burgos", "castilla-y-leon"),
+    ("leon", "León", "castilla-y-leon"),
+    ("palencia", "Palencia", "castilla-y-leon"),
+    ("salamanca", "Salamanca", "castilla-y-leon"),
+    ("segovia", "Segovia", "castilla-y-leon"),
+    ("soria", "Soria", "castilla-y-leon"),
+    ("valladolid", "Valladolid", "castilla-y-leon"),
+    ("zamora", "Zamora", "castilla-y-leon"),
+    ("barcelona", "Barcelona", "cataluna"),
+    ("girona", "Girona", "cataluna"),
+    ("lleida", "Lleida", "cataluna"),
+    ("tarragona", "Tarragona", "cataluna"),
+    ("alicante", "Alicante", "valencia"),
+    ("castellon", "Castellón", "valencia"),
+    ("valencia", "València", "valencia"),
+    ("badajoz", "Badajoz", "extremadura"),
+    ("caceres", "Cáceres", "extremadura"),
+    ("a-coruna", "A Coruña", "galicia"),
+    ("lugo", "Lugo", "galicia"),
+    ("ourense", "Ourense", "galicia"),
+    ("pontevedra", "Pontevedra", "galicia"),
+    ("madrid", "Madrid", "madrid"),
+    ("la-rioja", "La Rioja", "la-rioja"),
+    ("murcia", "Murcia", "murcia"),
+    ("navarra", "Navarra", "navarra"),
+    ("araba", "Araba/Álava", "pais-vasco"),
+    ("bizkaia", "Bizkaia", "pais-vasco"),
+    ("gipuzkoa", "Gipuzkoa", "pais-vasco"),
+    ("ceuta", "Ceuta", "ceuta"),
+    ("melilla", "Melilla", "melilla"),
+]
 PROVINCE_ALIASES = {
     "alava": "araba",
     "araba/alava": "araba",
@@ -111,8 +134,7 @@ PROVINCE_ALIASES = {
 
 def province_frame(spark: SparkSession) -> DataFrame:
     """(provincia, nombre, comunidad): the provinces and their region."""
-    rows = [(code, name, region) for region, items in PROVINCES.items() for code, name in items]
-    return spark.createDataFrame(rows, "provincia string, nombre string, comunidad string")
+    return spark.createDataFrame(PROVINCES, "provincia string, nombre string, comunidad string")
 
 
 def region_frame(spark: SparkSession) -> DataFrame:
@@ -152,7 +174,7 @@ def region_code(df: DataFrame, column: str, out: str = "comunidad") -> DataFrame
 
 def province_code(df: DataFrame, column: str, out: str = "codigo_provincia") -> DataFrame:
     """Province code of a free-text column."""
-    names = {code: name for items in PROVINCES.values() for code, name in items}
+    names = {code: name for code, name, _ in PROVINCES}
     dashed = F.translate(F.col("__k"), " /", "--")
     return _lookup(df, column, out, names, PROVINCE_ALIASES, dashed)
 

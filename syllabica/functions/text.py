@@ -7,26 +7,39 @@ accented letters or hard spaces carries ``(?U)``.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin blocks whose letters can carry marks: Latin-1, Extended-A/B, Additional.
-_LATIN_BLOCKS = ((0x00C0, 0x024F), (0x1E00, 0x1EFF))
-_MARKS = r"[\x{0300}-\x{036F}]"
+_SURROGATES, _HANGUL = range(0xD800, 0xE000), range(0xAC00, 0xD7A4)
 
 
 @lru_cache(maxsize=None)
-def _marked_letters() -> tuple[tuple[str, str, int], ...]:
-    """(letter, bare letter, number of marks), read off the Unicode tables."""
-    rows = []
-    for first, last in _LATIN_BLOCKS:
-        for cp in range(first, last + 1):
-            parts = unicodedata.normalize("NFD", chr(cp))
-            if len(parts) > 1 and all(unicodedata.category(p) == "Mn" for p in parts[1:]):
-                rows.append((chr(cp), parts[0], len(parts) - 1))
-    return tuple(rows)
+def _taken_apart(form: str) -> tuple[dict[str, str], dict[str, str]]:
+    """What each character is without its marks, read off the Unicode tables.
+
+    ``form`` is NFD or NFKD. One table holds characters that become one
+    character or none (marks), the other those that become several. Hangul
+    syllables carry no marks and stay whole.
+    """
+    single, several = {}, {}
+    for cp in range(0x80, 0x30000):
+        if cp in _SURROGATES or cp in _HANGUL:
+            continue
+        letter = chr(cp)
+        bare = "".join(p for p in unicodedata.normalize(form, letter) if unicodedata.category(p) != "Mn")
+        if bare != letter:
+            (single if len(bare) < 2 else several)[letter] = bare
+    return single, several
+
+
+def _expand(c: Column, several: dict[str, str]) -> Column:
+    """Replace characters that become several; texts without any are left alone."""
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    opened = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(c.rlike("[" + "".join(f"\\x{{{ord(x):x}}}" for x in several) + "]"), opened).otherwise(c)
 
 
 def strip(c: Column) -> Column:
@@ -34,51 +47,57 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def bare_letters(c: Column) -> Column:
-    """Drop diacritics, keep case."""
-    letters = _marked_letters()
-    plain = F.translate(c, "".join(r[0] for r in letters), "".join(r[1] for r in letters))
-    return F.regexp_replace(plain, _MARKS, "")
+def bare_letters(c: Column, form: str = "NFD") -> Column:
+    """Drop diacritics of every script, keep case.
+
+    NFKD also takes compatibility characters apart: ordinal signs, ligatures,
+    fractions, full-width forms.
+    """
+    single, several = _taken_apart(form)
+    kept = [x for x in single if single[x]] + [x for x in single if not single[x]]
+    plain = F.translate(c, "".join(kept), "".join(single[x] for x in kept))
+    return _expand(plain, several) if several else plain
 
 
-def fold(c: Column) -> Column:
+def fold(c: Column, form: str = "NFD") -> Column:
     """Trimmed, lower case, without diacritics."""
-    return bare_letters(F.lower(strip(c)))
+    return bare_letters(F.lower(strip(c)), form)
 
 
 def fold_words(c: Column) -> Column:
     """Folded text reduced to letters, digits and single-byte spaces."""
-    return F.trim(F.regexp_replace(fold(c), "[^a-z0-9 ]+", ""))
+    return F.trim(F.regexp_replace(fold(c, "NFKD"), "[^a-z0-9 ]+", ""))
 
 
 def name_key(c: Column) -> Column:
     """Folded text reduced to ``[a-z0-9]``: the key names are compared on."""
-    return F.regexp_replace(fold(c), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.lower(fold(c, "NFKD")), "[^a-z0-9]+", "")
 
 
 # The only letters the underscore slug replaces; others separate.
 _SLUG_LETTERS = ("áéíóúñü", "aeiounu")
 
 
-def slug(c: Column, style: str = "underscore") -> Column:
+def slug(c: Column, style: str = "underscore", longest: int | None = None) -> Column:
     """File-name form of a title.
 
     ``underscore`` replaces a short list of letters; ``dash`` folds every
-    letter; ``ascii`` drops what is not ASCII; ``file`` keeps all letters, cuts
-    at 50 and never comes out empty.
+    letter; ``ascii`` drops what is not ASCII; ``file`` keeps all letters and
+    never comes out empty. ``longest`` shortens a ``file`` name on request.
     """
     if style == "underscore":
         return F.regexp_replace(
             F.regexp_replace(F.translate(F.lower(c), *_SLUG_LETTERS), "[^a-z0-9]+", "_"), "^_+|_+$", ""
         )
     if style == "dash":
-        return F.regexp_replace(F.regexp_replace(bare_letters(F.lower(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+        return F.regexp_replace(F.regexp_replace(F.lower(bare_letters(F.lower(c), "NFKD")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     if style == "ascii":
-        plain = F.regexp_replace(F.lower(bare_letters(c)), r"[^\x00-\x7F]", "")
+        plain = F.regexp_replace(F.lower(bare_letters(c, "NFKD")), r"[^\x00-\x7F]", "")
         return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "")
     if style == "file":
         dashed = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "-")
-        cut = F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, 50)
+        whole = F.regexp_replace(dashed, "^-+|-+$", "")
+        cut = whole if longest is None else F.substring(whole, 1, longest)
         return F.when(cut == "", F.lit("situacion")).otherwise(cut)
     raise ValueError(f"unknown slug style {style!r}")
 
@@ -150,7 +169,6 @@ _SPOKEN_SINGLE = {
     "\u00a0": " ", "\u202f": " ", "\u2009": " ",
 }
 _SPOKEN_WORDS = {"…": "...", "→": " a ", "≤": " menor o igual que ", "≥": " mayor o igual que "}
-_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 _DASH = r"[-\x{2010}-\x{2015}]"
 
 # Code points each target encoding can hold, as a negated character class.
@@ -165,6 +183,17 @@ def spoken_text(c: Column) -> Column:
     return F.regexp_replace(out, rf"(?U)(?<=\s){_DASH}(?=\s|$)|^{_DASH}(?=\s)", ",")
 
 
+def _marks(c: Column) -> Column:
+    """How many marks a text holds once it is taken apart by NFKD."""
+    by_number: dict[int, str] = {}
+    for table in _taken_apart("NFKD"):
+        for letter in table:
+            n = sum(unicodedata.category(p) == "Mn" for p in unicodedata.normalize("NFKD", letter))
+            by_number[n] = by_number.get(n, "") + letter
+    parts = [n * (F.length(c) - F.length(F.translate(c, letters, ""))) for n, letters in by_number.items() if n]
+    return reduce(add, parts)
+
+
 def encode_spoken(c: Column, encoding: str = "iso-8859-1") -> Column:
     """Struct(text, lost): the text an encoding can hold and what it dropped.
 
@@ -173,16 +202,9 @@ def encode_spoken(c: Column, encoding: str = "iso-8859-1") -> Column:
     """
     outside = _ENCODABLE[encoding]
     spoken = spoken_text(c)
-    opened = spoken
-    for sign, letters in _LIGATURES.items():
-        opened = F.replace(opened, F.lit(sign), F.lit(letters))
-    bare = bare_letters(opened)
+    bare = bare_letters(spoken, "NFKD")
     kept = F.regexp_replace(bare, outside, "")
-    marks = F.length(opened) - F.length(bare)
-    for n in (1, 2):
-        letters = "".join(r[0] for r in _marked_letters() if r[2] == n)
-        marks = marks + n * (F.length(opened) - F.length(F.translate(opened, letters, "")))
-    lost = (marks + F.length(bare) - F.length(kept)).cast("bigint")
+    lost = (_marks(spoken) + F.length(bare) - F.length(kept)).cast("bigint")
     fits = ~spoken.rlike(outside)
     return F.struct(
         F.when(fits, spoken).otherwise(kept).alias("text"),

@@ -104,8 +104,8 @@ def owner_index(users: DataFrame) -> DataFrame:
 # Pages and orders
 # ---------------------------------------------------------------------------
 def page(df: DataFrame, limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
-    """Newest first, id breaking ties; the limit is held between 1 and 100."""
-    size = max(1, min(limit, PAGE_CAP))
+    """Newest first, id breaking ties; a size that ``checked_size`` refuses is an error."""
+    size = checked_size(limit)
     return (
         df.orderBy(F.col("fecha_modificacion").desc(), F.col("id_situacion").desc())
         .offset(max(0, offset))
@@ -113,16 +113,23 @@ def page(df: DataFrame, limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
     )
 
 
+def checked_size(limit: int, cap: int | None = PAGE_CAP) -> int:
+    """A page size of at least 1 and at most ``cap`` (None: no cap); others are refused, never shortened."""
+    if limit < 1 or (cap is not None and limit > cap):
+        raise ValueError(f"page size {limit} is not between 1 and {cap}")
+    return limit
+
+
 def page_size(requested: Column) -> Column:
     return clamp(requested, 1, PAGE_CAP)
 
 
-def pending_first(df: DataFrame, limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
+def pending_first(df: DataFrame, limit: int = PAGE_SIZE, offset: int = 0, cap: int | None = PAGE_CAP) -> DataFrame:
     """Accounts with a pending claim first, then by e-mail."""
     return (
         df.orderBy(F.col("reclamacion").isNull(), "correo", "id_usuario")
         .offset(max(0, offset))
-        .limit(max(1, min(limit, PAGE_CAP)))
+        .limit(checked_size(limit, cap))
     )
 
 

@@ -137,7 +137,7 @@ def competences_in_text(lines: DataFrame, keys: Sequence[str] = ("doc_id",), ord
     )
     first = F.get("p", F.lit(0))["t"]
     statement = F.when(first.rlike(C.COMPETENCE_LINE), F.regexp_extract(first, C.COMPETENCE_LINE, 2)).otherwise(F.lit(""))
-    rest = F.filter(F.slice("p", 2, 1 << 30), lambda s: F.col("lista").isNull() | (s["o"] < F.col("lista")))
+    rest = F.filter(_after_first("p"), lambda s: F.col("lista").isNull() | (s["o"] < F.col("lista")))
     whole = F.concat_ws(" ", statement, F.array_join(F.transform(rest, lambda s: s["t"]), " "))
     return grouped.select(
         *keys, order, F.regexp_extract(first, r"^(\d{1,2})\.", 1).alias("codigo"), join_lines(whole).alias("descripcion"),
@@ -145,6 +145,11 @@ def competences_in_text(lines: DataFrame, keys: Sequence[str] = ("doc_id",), ord
     )
 
 
+def _after_first(name: str) -> Column:
+    """An array without its first element."""
+    return F.filter(F.col(name), lambda _, i: i > 0)
+
+
 def official_items(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "seq") -> DataFrame:
     """(keys, codigo, prefix, curso, bloque, titulo, seq, text) of coded items.
 
@@ -165,7 +170,7 @@ def official_items(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order: s
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
     glued = marked.where("abre").groupBy(*keys, "n").agg(F.min(order).alias(order), parts.alias("p"))
     head = C.parse_official_item(F.get("p", F.lit(0))["t"])
-    rest = F.array_join(F.transform(F.slice("p", 2, 1 << 30), lambda s: s["t"]), " ")
+    rest = F.array_join(F.transform(_after_first("p"), lambda s: s["t"]), " ")
     read = glued.withColumn("c", head).select(
         *keys, order, F.col("c.code").alias("codigo"), F.col("c.prefix").alias("prefix"), F.col("c.year").alias("curso"),
         F.col("c.block").alias("bloque"), join_lines(F.concat_ws(" ", "c.text", rest)).alias("text"),
@@ -386,15 +391,17 @@ def criteria_by_year(
 ) -> DataFrame:
     """One row per criterion and year: (keys, codigo, curso, text).
 
-    The years cited beside a criterion win; without any it goes to the years
+    The years cited beside a criterion win; without any it goes to every year
     its code was already seen with; one citing two years is copied to both.
-    Pieces of one code and year are joined in order.
+    Pieces of one code and year are joined in order. A year is one digit of an
+    item's code, so ten carries hold all that were seen.
     """
     placed = running(
         criteria, [*keys, "codigo"], [order], width_bucket(order),
-        carries={"vistos": F.when(F.size("cursos") > 0, F.col("cursos"))},
+        carries={f"__{y}": F.when(F.array_contains("cursos", y), F.lit(y)) for y in range(10)},
     )
-    years = F.when(F.size("cursos") > 0, F.col("cursos")).otherwise(F.col("vistos"))
+    seen = F.array_compact(F.array(*[F.col(f"__{y}") for y in range(10)]))
+    years = F.when(F.size("cursos") > 0, F.col("cursos")).otherwise(seen)
     rows = placed.select(*keys, "codigo", F.explode(years).alias("curso"), order, "text")
     pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
     return (

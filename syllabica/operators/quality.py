@@ -59,14 +59,25 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where(F.size("motivos") == 0).drop("motivos"), judged.where(F.size("motivos") > 0)
 
 
-def apply_patches(documents: DataFrame, patches: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Documents after a partial update, with what became of the patch.
+def apply_patches(documents: DataFrame, patches: DataFrame, fields: Sequence[str], order: str | None = None) -> DataFrame:
+    """Documents after a partial update, one row each, with what became of it.
 
     ``patches`` holds (id_situacion, cambios MAP<STRING,STRING>); only keys
     present in the map change a field. States the server manages cannot be set
-    by hand, and an empty map changes nothing.
+    by hand, and an empty map changes nothing. Of several patches of a document
+    those that are allowed apply together, and for one field the last by
+    ``order`` (without it the greatest value) wins.
     """
-    joined = spread_join(documents, patches, ["id_situacion"], "left", spread_by=["id_situacion"], salts=1)
+    allowed = ~F.coalesce(F.col("cambios")["estado"].isin(SERVER_STATES), F.lit(False))
+    rank = F.col(order) if order else F.lit(0)
+    parts = patches.select("id_situacion", allowed.alias("vale"), rank.alias("o"), F.explode_outer("cambios").alias("campo", "valor"))
+    # one entry per field, so a document's map is as small as a patch
+    last = parts.groupBy("id_situacion", "vale", "campo").agg(F.max(F.struct("o", "valor"))["valor"].alias("valor"))
+    whole = last.groupBy("id_situacion", "vale").agg(
+        F.map_from_entries(F.filter(F.collect_list(F.struct("campo", "valor")), lambda e: e["campo"].isNotNull())).alias("cambios")
+    )
+    best = whole.groupBy("id_situacion").agg(F.max_by("cambios", "vale").alias("cambios"))
+    joined = documents.join(best, ["id_situacion"], "left")
     changes = F.col("cambios")
     known = F.coalesce(F.size(F.array_intersect(F.map_keys(changes), F.array(*map(F.lit, fields)))), F.lit(0))
     forbidden = F.coalesce(changes["estado"].isin(SERVER_STATES), F.lit(False))

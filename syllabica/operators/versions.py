@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.content import as_map, bind, has_section, merge_section, section_of
+from ..functions.content import as_map, bind, has_section, merge_section, merge_section_map, section_of
 from .documents import next_versions
 from .joins import fixed_lookup, spread_join
 
@@ -80,13 +80,26 @@ def restore_section(documents: DataFrame, versions: DataFrame, section: str) ->
     )
 
 
-def merge_sections(documents: DataFrame, sections: DataFrame) -> DataFrame:
-    """Documents with one generated section (seccion, payload) merged in."""
-    joined = spread_join(documents, sections, ["id_situacion"], "left", spread_by=["id_situacion"], salts=1)
-    merged = merge_section(F.col("contenido"), F.col("seccion"), F.col("payload"))
+def section_maps(sections: DataFrame, order: str | None = None) -> DataFrame:
+    """(id_situacion, secciones): a document's sections as one map.
+
+    Of several texts of one section the last by ``order`` wins (without it the
+    greatest). A document has as many sections as there are kinds of them.
+    """
+    by = F.struct(F.col(order), F.col("payload")) if order else F.col("payload")
+    last = sections.groupBy("id_situacion", "seccion").agg(F.max_by("payload", by).alias("payload"))
+    return last.groupBy("id_situacion").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("seccion", "payload")))).alias("secciones")
+    )
+
+
+def merge_sections(documents: DataFrame, sections: DataFrame, order: str | None = None) -> DataFrame:
+    """Documents with their generated sections (seccion, payload) merged in, one row each."""
+    joined = documents.join(section_maps(sections, order), ["id_situacion"], "left")
+    merged = merge_section_map(F.col("contenido"), F.col("secciones"))
     return joined.withColumn(
-        "contenido", F.when(F.col("seccion").isNotNull(), merged).otherwise(F.col("contenido"))
-    ).drop("seccion", "payload")
+        "contenido", F.when(F.col("secciones").isNotNull(), merged).otherwise(F.col("contenido"))
+    ).drop("secciones")
 
 
 def copy_documents(documents: DataFrame, new_id: Column, owner: Column | None = None) -> DataFrame:
@@ -124,23 +137,24 @@ def adapt_documents(documents: DataFrame, new_id: Column, kind: Column, profile:
 def resolve_proposals(documents: DataFrame, decisions: DataFrame, history: DataFrame, bucket: Column) -> dict[str, DataFrame]:
     """Decisions (id_situacion, seccion, cual) between a section's two texts.
 
-    Returns the documents with the winner in place, the versions that keep
-    both, and one choice row each with the provenance of winner and loser.
+    Returns each document once with all winners in place, one version per
+    decision that still holds both texts of every section decided with it, and
+    one choice row per decision with the provenance of winner and loser. A
+    section decided twice at once is decided once, by the greater ``cual``.
     """
-    joined = spread_join(documents, decisions, ["id_situacion"], "inner", spread_by=["id_situacion"], salts=1)
+    once = decisions.where(F.col("cual").isin("actual", "alternativa")).groupBy("id_situacion", "seccion").agg(F.max("cual").alias("cual"))
+    joined = documents.join(once, ["id_situacion"], "inner")
     chosen = F.col("cual") == "alternativa"
 
     def judged(doc: Column) -> Column:
         def sides(block: Column) -> Column:
             other = F.map_filter(as_map(block["_alternativa"]), lambda k, _: k != "_alternativa")
             current = F.map_filter(block, lambda k, _: k != "_alternativa")
-            rest = F.map_filter(doc, lambda k, _: k != F.col("seccion"))
             winner = F.when(chosen, other).otherwise(current)
-            merged = F.to_json(F.map_concat(rest, F.create_map(F.col("seccion"), F.parse_json(F.to_json(winner)))))
             return F.when(
                 other.isNotNull(),
                 F.struct(
-                    merged.alias("contenido"),
+                    F.to_json(winner).alias("payload"),
                     F.to_json(winner["_meta"]).alias("gana"),
                     F.to_json(F.when(chosen, current).otherwise(other)["_meta"]).alias("pierde"),
                 ),
@@ -149,8 +163,7 @@ def resolve_proposals(documents: DataFrame, decisions: DataFrame, history: DataF
         return bind(as_map(doc[F.col("seccion")]), sides)
 
     parsed = bind(F.from_json("contenido", "map<string,variant>"), judged)
-    resolved = joined.where(F.col("cual").isin("actual", "alternativa")).withColumn("r", parsed)
-    resolved = resolved.where(F.col("r").isNotNull())
+    resolved = joined.withColumn("r", parsed).where(F.col("r").isNotNull())
 
     def variant(c: Column) -> Column:
         return F.coalesce(F.nullif(F.get_json_object(c, "$.version_prompt"), F.lit("")), F.lit("?"))
@@ -167,7 +180,10 @@ def resolve_proposals(documents: DataFrame, decisions: DataFrame, history: DataF
     )
     reason = F.concat(F.lit("Elección en «"), "seccion", F.lit("»: se queda la "), "cual")
     return {
-        "documents": resolved.withColumn("contenido", F.col("r.contenido")).drop("r", "cual"),
+        "documents": merge_sections(
+            documents.join(resolved.select("id_situacion").distinct(), ["id_situacion"], "left_semi"),
+            resolved.select("id_situacion", "seccion", F.col("r.payload").alias("payload")),
+        ),
         "versions": snapshots(resolved.drop("r"), history, reason, bucket),
         "choices": choices,
     }

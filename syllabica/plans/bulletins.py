@@ -7,7 +7,7 @@ from ..operators import bulletin as B
 from ..operators import paragraphs as ops
 from ..sources.catalogue_files import file_stem, split_writable
 from .frames import LINES_SQL, lines
-from .registry import query, read, spread
+from .registry import query, read
 
 _SPACE = "[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0085}\\x{1680}]"
 
@@ -264,9 +264,9 @@ def table_kinds(spark, sf_dir):
 
 @query(
     "criteria_by_year",
-    f"""WITH {LINES_SQL}, c AS (SELECT *, (size % 3 + 1) || '.1' AS codigo, CASE size % 5 WHEN 0 THEN NULL WHEN 1 THEN [1, 3] ELSE [2] END AS cursos FROM lines),
-    p AS (SELECT *, last_value(cursos IGNORE NULLS) OVER (PARTITION BY doc_id, codigo ORDER BY seq) AS vistos FROM c),
-    r AS (SELECT doc_id, codigo, unnest(coalesce(cursos, vistos)) AS curso, seq, text FROM p)
+    f"""WITH {LINES_SQL}, c AS (SELECT *, (size % 3 + 1) || '.1' AS codigo, CASE size % 5 WHEN 0 THEN [] WHEN 1 THEN [1, 3] ELSE [2] END AS cursos FROM lines),
+    p AS (SELECT *, list_distinct(flatten(list(cursos) OVER (PARTITION BY doc_id, codigo ORDER BY seq))) AS vistos FROM c),
+    r AS (SELECT doc_id, codigo, unnest(CASE WHEN len(cursos) > 0 THEN cursos ELSE vistos END) AS curso, seq, text FROM p)
     SELECT doc_id, codigo, curso, min(seq) AS seq, md5({_joined("string_agg(text, ' ' ORDER BY seq)")}) AS texto FROM r GROUP BY doc_id, codigo, curso""",
 )
 def criteria_by_year(spark, sf_dir):
@@ -421,7 +421,7 @@ def subject_years(spark, sf_dir):
         F.concat(F.lit("b) Música en "), year, F.lit(" curso.")), F.lit("3. Otras:"), F.lit("a) Música."),
         F.lit("Artículo 9. Cuarto"), F.lit("1. Las materias son:"), F.lit("c) Música."), F.lit("Artículo 20. Tecnología"),
     )
-    rows = spread(read(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.posexplode(texts).alias("seq", "text"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(texts).alias("seq", "text"))
     three, fourth = C.COURSES[:3], C.COURSES[3:]
     rules = [(8, 1, three), (8, 2, three), (9, 1, fourth), (9, 2, fourth)]
     names = ["Tecnología", "Tecnología y Digitalización", "Música"]
@@ -461,7 +461,7 @@ def _bulletins(spark, sf_dir):
         p("Saberes básicos."), p("Primer curso"), p("A. Bloque uno."), p("− Item a"), p("1. Conteo."), p("B. Bloque dos."),
         p("- Item b"), p("A. Bloque uno."), p("Item c"), p("Otra cosa", "centro_negrita"), p("1.9 Nada"),
     )
-    rows = spread(read(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.posexplode(parts).alias("seq", "p"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(parts).alias("seq", "p"))
     return rows.select("doc_id", F.col("seq").cast("bigint").alias("seq"), "p.cls", "p.text")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import content as K
 from ..operators import quality as ops
 from ..operators.joins import fixed_lookup
-from .registry import query, read, spread
+from .registry import query, read
 
 _EVENTS_SQL = """
 e AS (SELECT *, json_extract_string(props, '$.k') AS k, CAST(json_extract_string(props, '$.k') AS INTEGER) AS n FROM events)
@@ -14,7 +14,7 @@ e AS (SELECT *, json_extract_string(props, '$.k') AS k, CAST(json_extract_string
 
 def _events(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
-    return spread(read(spark, sf_dir, "events")).withColumns({"k": k, "n": k.cast("int")})
+    return read(spark, sf_dir, "events").withColumns({"k": k, "n": k.cast("int")})
 
 
 def _payload(n, k):
@@ -31,7 +31,7 @@ def _payload(n, k):
 @query(
     "missing_parts",
     f"""WITH {_EVENTS_SQL} SELECT event_id, CASE WHEN n < 40 THEN '' WHEN n < 60 THEN 'criterios'
-        WHEN n < 80 THEN 'competencias' WHEN n < 90 THEN '' ELSE 'competencias,criterios,saberes' END AS faltan FROM e""",
+        WHEN n < 80 THEN 'competencias' ELSE '' END AS faltan FROM e""",
 )
 def missing_parts(spark, sf_dir):
     rows = _events(spark, sf_dir)
@@ -51,8 +51,8 @@ def parse_failures(spark, sf_dir):
 @query(
     "incomplete_rate",
     f"""WITH {_EVENTS_SQL} SELECT 'conexion_curricular' AS seccion, event_type AS idioma, count(*) AS secciones,
-        count(*) FILTER (n BETWEEN 40 AND 79 OR n >= 90) AS incompletas,
-        round(count(*) FILTER (n BETWEEN 40 AND 79 OR n >= 90) / count(*), 6) AS tasa FROM e GROUP BY event_type""",
+        count(*) FILTER (n BETWEEN 40 AND 79) AS incompletas,
+        round(count(*) FILTER (n BETWEEN 40 AND 79) / count(*), 6) AS tasa FROM e GROUP BY event_type""",
 )
 def incomplete_rate(spark, sf_dir):
     rows = _events(spark, sf_dir).select(
@@ -203,7 +203,7 @@ def validation_reasons(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select(
         "doc_id",
         F.col("lang").alias("idioma"),
-        F.substring("text", 1, 300).alias("titulo"),
+        F.col("text").alias("titulo"),
         F.col("text").alias("materiales_contexto"),
         F.col("source").alias("materia"),
         (F.col("n_chars") % 300).cast("int").alias("num_sesiones"),

@@ -50,6 +50,40 @@ def _written(spark, sf_dir):
     return folder
 
 
+def _one_stem(spark, sf_dir):
+    """A folder whose records share one region and one file stem, a record per part."""
+    blocks = read(spark, sf_dir, "part", "p_partkey", "p_name").select(
+        F.lit("galicia").alias("comunidad"), F.element_at(F.array(*map(F.lit, ("Música", "MÚSICA", "Musica"))), (F.col("p_partkey") % 3 + 1).cast("int")).alias("materia"),
+        F.lit("gl").alias("idioma"), F.array(F.lit("1º ESO")).alias("cursos_aplicables"),
+        F.array(F.struct(F.lit("CE1").alias("codigo"), F.lit("texto").alias("descripcion"), F.array(F.lit("STEM1")).alias("descriptores"))).alias("competencias_especificas"),
+        F.array(F.struct(F.concat(F.col("p_partkey"), F.lit(".1")).alias("codigo"), F.lit("CE1").alias("competencia"), F.col("p_name").alias("descripcion"))).alias("criterios_evaluacion"),
+        F.array(F.struct(F.lit("A").alias("codigo"), F.lit("Bloque").alias("titulo"), F.array("p_name").alias("items"))).alias("saberes_basicos"),
+    )
+    folder = f"{shared_dir(spark)}/catalogo-{uuid.uuid4().hex}"
+    files.write_blocks(blocks, f"{folder}/json")
+    return folder
+
+
+_ONE_STEM_SQL = """SELECT ['Música', 'MÚSICA', 'Musica'][p_partkey % 3 + 1] AS materia, p_partkey || '.1' AS codigo, p_name AS descripcion FROM part"""
+
+
+@query("catalogue_one_stem", _ONE_STEM_SQL)
+def catalogue_one_stem(spark, sf_dir):
+    """Many records in one folder by region and stem: all are read back."""
+    records = files.read_catalogue(spark, f"{_one_stem(spark, sf_dir)}/json")
+    return files.flatten_catalogue(records)["criterios"].select("materia", "codigo", "descripcion")
+
+
+@query("catalogue_one_stem_stream", _ONE_STEM_SQL)
+def catalogue_one_stem_stream(spark, sf_dir):
+    """The same as a stream of files."""
+    folder = _one_stem(spark, sf_dir)
+    stream = jobs.catalogue_stream(spark, f"{folder}/json")
+    flat = stream.select("materia", F.explode("criterios_evaluacion").alias("c")).select("materia", "c.codigo", "c.descripcion")
+    jobs.run_append(flat, f"{folder}/filas", f"{folder}/control").awaitTermination()
+    return spark.read.schema(flat.schema).parquet(f"{folder}/filas")
+
+
 _WRITTEN = "(SELECT DISTINCT comunidad, materia FROM crit)"
 
 

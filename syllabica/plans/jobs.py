@@ -9,7 +9,7 @@ from ..operators import versions as ver
 from ..operators.ordered import width_bucket
 from ..sources.tables import parse_artefacts
 from .frames import DOCUMENTS_SQL, USERS_SQL, documents, users
-from .registry import query, read, spread
+from .registry import query, read
 
 # ---------------------------------------------------------------------------
 # Upserts: finished orders are the kept table, the others the listed rows.
@@ -440,7 +440,7 @@ def adapt_documents(spark, sf_dir):
 
 
 def _proposals(spark, sf_dir):
-    e = spread(read(spark, sf_dir, "events")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     now = F.concat(F.lit('{"texto":"a","_meta":{"version_prompt":"v1","modelo":"m'), F.col("user_id") % 3, F.lit('"}'))
     other = F.concat(
         F.lit('{"texto":"b","_meta":{'),
@@ -474,7 +474,7 @@ choices AS (
 )
 def resolve_proposals(spark, sf_dir):
     docs = _proposals(spark, sf_dir)["documents"]
-    block = F.from_json("contenido", "map<string,string>")[F.col("seccion")]
+    block = F.get(F.map_values(F.from_json("contenido", "map<string,string>")), F.lit(0))
     return docs.select(
         "id_situacion", F.get_json_object(block, "$.texto").alias("texto"), F.get_json_object(block, "$._alternativa").alias("pendiente")
     )

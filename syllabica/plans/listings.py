@@ -181,10 +181,10 @@ def owner_index(spark, sf_dir):
 @query(
     "pending_first",
     f"""WITH {USERS_SQL} SELECT id_usuario, correo FROM users
-        ORDER BY reclamacion IS NULL, correo, id_usuario LIMIT 100 OFFSET 5""",
+        ORDER BY reclamacion IS NULL, correo, id_usuario LIMIT 500 OFFSET 5""",
 )
 def pending_first(spark, sf_dir):
-    return ops.pending_first(users(spark, sf_dir), 500, 5).select("id_usuario", "correo")
+    return ops.pending_first(users(spark, sf_dir), 500, 5, cap=None).select("id_usuario", "correo")
 
 
 @query(

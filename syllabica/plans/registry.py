@@ -31,12 +31,3 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """A table read as fewer splits than there are cores, dealt out to all.
-
-    Only for work that is heavy per row. A table of many files has more splits
-    than cores and is left as it is, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

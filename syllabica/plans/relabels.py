@@ -15,7 +15,7 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in r) + ")" for r in rows)
 
 
-_PROVINCES = [(c, n, r) for r, items in geo.PROVINCES.items() for c, n in items]
+_PROVINCES = geo.PROVINCES
 _GEO_SQL = f"""
 prov(codigo, nombre, region) AS (VALUES {_values(_PROVINCES)}),
 prov_alias(texto, codigo) AS (VALUES {_values(geo.PROVINCE_ALIASES.items())}),

@@ -10,9 +10,10 @@ from .registry import query, read
 
 
 def _events(spark, sf_dir):
-    """The events file as a stream; times as ``timestamp``."""
+    """The events table, one file or a folder of them, as a stream; times as ``timestamp``."""
     schema = read(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # a pattern: a plain path would have to be a folder
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 

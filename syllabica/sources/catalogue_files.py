@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from ..functions.regions import DEFAULT_REGION, REGION_ALIASES, REGIONS
 from ..functions.text import slug
@@ -30,13 +31,40 @@ def checked_region(region: str | None) -> str:
 def read_catalogue(
     spark: SparkSession, path: str, region: str | None = None, language: str | None = None
 ) -> DataFrame:
-    """All JSON files of a folder, one record each, with their path.
+    """All records of the JSON files of a folder, with their path.
 
-    Region and language inside a file win over the arguments.
+    A file holds one object, an array of objects or an object per line. Region
+    and language inside a record win over the arguments. Records that are no
+    JSON are left out; ``unreadable_records`` lists them.
     """
     fallback, lang = checked_region(region), (language or "es").strip().lower()
-    raw = spark.read.schema(CATALOGUE_FILE).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    return with_defaults(raw.withColumn("fichero", F.col("_metadata.file_path")), fallback, lang)
+    return with_defaults(parsed_records(whole_files(spark.read, path)), fallback, lang)
+
+
+def whole_files(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """(value, ruta): each JSON file of a folder as one text; a catalogue file is a subject's size."""
+    texts = reader.format("text").option("wholetext", True).option("pathGlobFilter", "*.json").load(path)
+    return texts.select("value", F.col("_metadata.file_path").alias("ruta"))
+
+
+def _cut_up(files: DataFrame) -> DataFrame:
+    """(fichero, texto): the text of each record; later records of a file are numbered."""
+    lines = F.filter(F.split("value", r"\R"), lambda x: F.trim(x) != "")
+    by_line = (F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(r"^\s*\{") & F.try_parse_json(x).isNotNull())
+    listed = F.transform(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"), lambda v: F.to_json(v))
+    texts = F.when(by_line, lines).otherwise(F.coalesce(listed, F.array("value")))
+    number = F.when(F.col("n") > 0, F.concat(F.lit("#"), F.col("n"))).otherwise(F.lit(""))
+    return files.select("ruta", F.posexplode(texts).alias("n", "texto")).select(F.concat("ruta", number).alias("fichero"), "texto")
+
+
+def parsed_records(files: DataFrame) -> DataFrame:
+    good = _cut_up(files).where(F.try_parse_json("texto").isNotNull())
+    return good.withColumn("r", F.from_json("texto", CATALOGUE_FILE)).select("r.*", "fichero")
+
+
+def unreadable_records(spark: SparkSession, path: str) -> DataFrame:
+    """(fichero, texto) of what is no JSON in the files ``read_catalogue`` reads."""
+    return _cut_up(whole_files(spark.read, path)).where(F.try_parse_json("texto").isNull())
 
 
 def with_defaults(records: DataFrame, region: str, language: str) -> DataFrame:

@@ -86,10 +86,11 @@ def paragraphs_from_escaped_html(docs: DataFrame) -> DataFrame:
     texts = F.transform(split_escaped_html(F.col("html")), lambda t: F.struct(F.lit(TEXT_CLASS).alias("cls"), t.alias("text")))
     none = F.array().cast("array<struct<cls:string,text:string>>")
     rows = opened.select("doc_id", "n", F.posexplode(F.concat(F.coalesce(heading, none), F.coalesce(texts, none))).alias("i", "p"))
-    # One container is one element of one file, so its place is (container, paragraph).
-    return rows.select(
-        "doc_id", (F.col("n").cast("bigint") * (1 << 20) + F.col("i")).alias("seq"), "p.cls", "p.text"
-    )
+    # A place is the paragraphs of the containers before, and the place in its own.
+    counts = opened.select("doc_id", "n", (F.size(F.coalesce(heading, none)) + F.size(F.coalesce(texts, none))).alias("c"))
+    before = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("antes"))
+    total = F.aggregate(F.filter("antes", lambda e: e["n"] < F.col("n")), F.lit(0).cast("bigint"), lambda a, e: a + e["c"])
+    return rows.join(before, "doc_id").select("doc_id", (total + F.col("i")).alias("seq"), "p.cls", "p.text")
 
 
 # What is not read aloud, and the tags that break a line.

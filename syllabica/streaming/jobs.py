@@ -14,8 +14,7 @@ from ..functions.content import missing_parts
 from ..functions.text import fingerprint
 from ..operators.catalogue import load_catalogue
 from ..operators.joins import fixed_lookup
-from ..schemas import CATALOGUE_FILE
-from ..sources.catalogue_files import checked_region, flatten_catalogue, with_defaults
+from ..sources.catalogue_files import checked_region, flatten_catalogue, parsed_records, whole_files, with_defaults
 
 # Seconds of a limit's period, terminal events and retries.
 PERIODS = {"minute": 60, "hour": 3600, "day": 86400}
@@ -124,10 +123,7 @@ def newest_state(spark: SparkSession, target: str) -> DataFrame:
 
 def catalogue_stream(spark: SparkSession, path: str, region: str | None = None, language: str = "es") -> DataFrame:
     """New catalogue files of a folder as they arrive."""
-    raw = (
-        spark.readStream.schema(CATALOGUE_FILE).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    )
-    return with_defaults(raw.withColumn("fichero", F.col("_metadata.file_path")), checked_region(region), language)
+    return with_defaults(parsed_records(whole_files(spark.readStream, path)), checked_region(region), language)
 
 
 def load_files(stream: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

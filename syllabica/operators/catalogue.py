@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import sort_courses
-from .joins import spread_join
+
 
 COMPETENCE_KEY = ["comunidad", "codigo", "materia"]
 CRITERION_KEY = ["comunidad", "codigo", "materia", "cursos_aplicables"]
@@ -131,7 +131,7 @@ def link_parents(criteria: DataFrame, competences: DataFrame) -> DataFrame:
     parents = competences.select(
         "comunidad", "materia", F.col("codigo").alias("competencia"), "id_competencia"
     )
-    return spread_join(criteria, parents, ["comunidad", "materia", "competencia"], "inner", spread_by=["codigo"])
+    return criteria.join(parents, ["comunidad", "materia", "competencia"], "inner")
 
 
 def load_catalogue(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.content import summary_text
 from .coverage import PAIR
 from .documents import with_origin
-from .joins import spread_join
+
 
 UNKNOWN_CODE = "?"
 
@@ -87,7 +87,7 @@ def scope_text(c: Column, k: Column, s: Column) -> Column:
 
 def document_context(documents: DataFrame, context: DataFrame) -> DataFrame:
     """Documents with the context of their scope; nulls where there is none."""
-    out = spread_join(documents, context, PAIR, "left", spread_by=["id_situacion"])
+    out = documents.join(context, PAIR, "left")
     return out.withColumn("completa", F.coalesce("completa", F.lit(False)))
 
 

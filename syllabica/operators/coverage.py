@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import spread_join
+
 
 PAIR = ["comunidad", "materia", "curso"]
 
@@ -114,7 +114,7 @@ def has_catalogue(scopes: DataFrame, pairs: DataFrame) -> DataFrame:
 def flag_documents(documents: DataFrame, pairs: DataFrame, key: str = "id_situacion") -> DataFrame:
     """Documents with the catalogue flag of their scope."""
     flags = has_catalogue(documents, pairs)
-    out = spread_join(documents, flags, PAIR, "left", spread_by=[key])
+    out = documents.join(flags, PAIR, "left")
     return out.withColumn("con_curriculo", F.coalesce("con_curriculo", F.lit(False)))
 
 
@@ -149,7 +149,7 @@ def alternatives(documents: DataFrame, complete: DataFrame, key: str = "id_situa
         key, *PAIR, F.lit(None).cast("array<string>").alias("alternativas"), F.lit("sin_comunidad").alias("motivo")
     )
     located = documents.where(F.col("comunidad").isNotNull()).select(key, *PAIR)
-    found = spread_join(located, report.where(F.col("comunidad").isNotNull()), PAIR, "inner", spread_by=[key])
+    found = located.join(report.where(F.col("comunidad").isNotNull()), PAIR, "inner")
     return (
         found.select(key, *PAIR, "alternativas", "motivo")
         .unionByName(unknown)

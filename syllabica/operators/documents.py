@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp
-from .joins import spread_join
+
 from .ordered import numbered, running, width_bucket
 
 # Document states in display order, paging and grace limits.
@@ -59,7 +59,7 @@ def visible_documents(df: DataFrame, viewers: DataFrame) -> DataFrame:
     """
     admins = viewers.agg(F.coalesce(F.bool_or("es_administrador"), F.lit(False)).alias("hay_admin"))
     owners = viewers.select("id_usuario").distinct().withColumn("propia", F.lit(True))
-    joined = spread_join(df, owners, ["id_usuario"], "left", spread_by=["id_situacion"])
+    joined = df.join(owners, ["id_usuario"], "left")
     return joined.where(admins.scalar() | F.coalesce("propia", F.lit(False))).drop("propia")
 
 
@@ -198,7 +198,7 @@ def users_with_counts(users: DataFrame, documents: DataFrame, states: Sequence[s
 def users_by_role(users: DataFrame, roles: DataFrame, role: str | None = None) -> DataFrame:
     """Accounts with their role name, tombstoned ones marked."""
     wanted = roles if role is None else roles.where(F.col("nombre_rol") == role)
-    return spread_join(users, wanted, ["id_rol"], "inner", spread_by=["id_usuario"]).withColumn(
+    return users.join(wanted, ["id_rol"], "inner").withColumn(
         "de_baja", F.col("eliminado_en").isNotNull()
     )
 
@@ -264,14 +264,14 @@ def with_origin(documents: DataFrame, origins: DataFrame) -> DataFrame:
         F.col("contenido").alias("contenido_origen"),
     )
     adapted = documents.where(F.col("tipo_adaptacion").isNotNull())
-    return spread_join(adapted, origin, ["id_situacion_origen"], "left", spread_by=["id_situacion"])
+    return adapted.join(origin, ["id_situacion_origen"], "left")
 
 
 def next_versions(batch: DataFrame, history: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
     """Number a batch of versions after the highest number kept per document."""
     last = history.groupBy("id_situacion").agg(F.max("numero_version").cast("bigint").alias("ultima"))
     ranked = numbered(batch, ["id_situacion"], order, bucket, "n")
-    out = spread_join(ranked, last, ["id_situacion"], "left", spread_by=list(order))
+    out = ranked.join(last, ["id_situacion"], "left")
     return out.withColumn(
         "numero_version", F.coalesce("ultima", F.lit(0).cast("bigint")) + F.col("n")
     ).drop("ultima", "n")

@@ -1,4 +1,4 @@
-"""Join helpers for keys that may hold a large share of all rows."""
+"""Joins to the library's own tables."""
 
 from __future__ import annotations
 
@@ -7,36 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALT = "__salt"
-
-
-def spread_join(
-    many: DataFrame,
-    one: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    *,
-    spread_by: Sequence[str],
-    salts: int = 8,
-) -> DataFrame:
-    """Join a large side with hot keys to a side holding few rows per key.
-
-    The large side gets a salt hashed from ``spread_by`` (stable when a task is
-    run again), the other side one copy per salt, so a hot key is met by
-    ``salts`` tasks. If the other side is under the broadcast threshold Spark
-    broadcasts it instead and the salt costs nothing; no hint is given.
-    """
-    if how not in {"left", "inner", "left_semi", "left_anti"}:
-        raise ValueError(f"spread_join does not preserve {how!r}")
-    salted = many.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = one.withColumn(SALT, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return salted.join(copies, [*on, SALT], how).drop(SALT)
-
 
 def fixed_lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join to a lookup of fixed size (regions, courses, states, rules).
+    """Join to a table that is a constant of the library (regions, states, operations).
 
-    The hint is safe here and only here: these tables are constants of the
-    library or rule tables, and never grow with the data.
+    The hint is safe here and only here: such a table never grows with the data.
+    Frames of a caller are joined plainly, so Spark measures them, and adaptive
+    execution splits a key that holds a large share of the rows.
     """
     return df.join(F.broadcast(table), list(on), how)

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.text import fold_words, is_bullet_only, join_lines, name_key, norm_heading, strip
-from .joins import fixed_lookup, spread_join
 from .ordered import running, width_bucket
 
 # Page noise and headings that are not content.
@@ -179,7 +178,7 @@ def official_items(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order: s
     titles = marked.withColumn("b", F.when(heading, C.parse_block(text))).where(F.col("b").isNotNull()).groupBy(
         *keys, F.col("b.code").alias("bloque")
     ).agg(F.max_by("b.title", order).alias("titulo"))
-    out = spread_join(best, titles, [*keys, "bloque"], "left", spread_by=[order])
+    out = best.join(titles, [*keys, "bloque"], "left")
     return out.withColumn("titulo", F.coalesce("titulo", F.concat(F.lit("Bloque "), "bloque")))
 
 
@@ -235,9 +234,7 @@ def line_roles(lines: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame
     a digit.
     """
     levels = indent_levels(lines, keys)
-    rows = spread_join(
-        lines.where(~is_bullet_only(F.col("text"))), levels, list(keys), "inner", spread_by=["seq"]
-    )
+    rows = lines.where(~is_bullet_only(F.col("text"))).join(levels, list(keys), "inner")
     n = F.size("niveles")
     margin = F.col("niveles")[0]
     has_sub = n >= 3
@@ -318,7 +315,7 @@ def column_ranges(headings: DataFrame, keys: Sequence[str]) -> DataFrame:
     })
 
 
-def into_columns(lines: DataFrame, ranges: DataFrame, keys: Sequence[str], *, spread_by: Sequence[str]) -> DataFrame:
+def into_columns(lines: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Lines with the column whose interval holds their x.
 
     The intervals of one page are gathered into one short array, so the range
@@ -331,16 +328,16 @@ def into_columns(lines: DataFrame, ranges: DataFrame, keys: Sequence[str], *, sp
         "columna",
     )
     per_page = ranges.groupBy(*keys).agg(F.collect_set(member).alias("tramos"))
-    joined = spread_join(lines, per_page, list(keys), "left", spread_by=spread_by)
+    joined = lines.join(per_page, list(keys), "left")
     hit = F.filter("tramos", lambda t: (F.col("x") >= t["desde"]) & (F.col("x") < t["hasta"]))
     return joined.withColumn("columna", F.get(hit, F.lit(0))["columna"]).drop("tramos")
 
 
-def in_boxes(lines: DataFrame, boxes: DataFrame, keys: Sequence[str], *, spread_by: Sequence[str]) -> DataFrame:
+def in_boxes(lines: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Flag lines whose centre lies in a table's box on their page."""
     box = F.struct("x0", "y0", "x1", "y1")
     per_page = boxes.groupBy(*keys).agg(F.collect_set(box).alias("cajas"))
-    joined = spread_join(lines, per_page, list(keys), "left", spread_by=spread_by)
+    joined = lines.join(per_page, list(keys), "left")
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     inside = F.exists("cajas", lambda b: cx.between(b["x0"], b["x1"]) & cy.between(b["y0"], b["y1"]))
     return joined.withColumn("in_table", F.coalesce(inside, F.lit(False))).drop("cajas")
@@ -350,7 +347,7 @@ def cover_titles(lines: DataFrame, keys: Sequence[str] = ("doc_id",), slack: flo
     """Lines of the largest type size on each document's first page."""
     first = lines.where(F.col("page") == 1)
     largest = first.groupBy(*keys).agg(F.max("size").alias("mayor"))
-    joined = spread_join(first, largest, list(keys), "inner", spread_by=["seq"])
+    joined = first.join(largest, list(keys), "inner")
     return joined.where((F.col("size") >= F.col("mayor") - slack) & (F.length("text") > 3)).drop("mayor")
 
 
@@ -417,7 +414,7 @@ def majority_prefix(items: DataFrame, keys: Sequence[str] = ("doc_id",), prefix:
     best = counts.groupBy(*keys).agg(F.min(F.struct(-F.col("n"), F.col(prefix))).alias("b")).select(
         *keys, F.col(f"b.{prefix}").alias(prefix)
     )
-    return spread_join(items, best, [*keys, prefix], "left_semi", spread_by=["seq"])
+    return items.join(best, [*keys, prefix], "left_semi")
 
 
 def gather_by_years(criteria: DataFrame, title_years: DataFrame, keys: Sequence[str] = ("doc_id",)) -> dict[str, DataFrame]:
@@ -427,7 +424,7 @@ def gather_by_years(criteria: DataFrame, title_years: DataFrame, keys: Sequence[
     never given all years.
     """
     fallback = title_years.select(*keys, F.col("cursos").alias("del_titulo"))
-    joined = spread_join(criteria, fallback, list(keys), "left", spread_by=["seq"])
+    joined = criteria.join(fallback, list(keys), "left")
     own = F.when(F.size("cursos") > 0, F.col("cursos"))
     placed = joined.withColumn(
         "cursos", F.coalesce(own, "del_titulo", F.array().cast("array<string>"))
@@ -440,7 +437,7 @@ def missing_years_by_name(blocks: DataFrame, articles: DataFrame) -> DataFrame:
     known = articles.select(name_key(F.col("materia")).alias("__k"), F.col("cursos").alias("__c"))
     known = known.groupBy("__k").agg(F.min_by("__c", F.array_join("__c", ",")).alias("__c"))
     keyed = blocks.withColumn("__k", name_key(F.col("materia")))
-    joined = spread_join(keyed, known, ["__k"], "left", spread_by=["materia"])
+    joined = keyed.join(known, ["__k"], "left")
     none = F.array().cast("array<string>")
     empty = F.size(F.coalesce("cursos", none)) == 0
     return joined.withColumn("cursos", F.when(empty, F.coalesce("__c", none)).otherwise(F.col("cursos"))).drop("__k", "__c")
@@ -459,7 +456,7 @@ def shared_curriculum(titles: DataFrame, year_groups: DataFrame, keys: Sequence[
 
 def fallback_rows(sections: DataFrame, tables: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of the section, and table rows only where no section exists."""
-    lacking = spread_join(tables, sections.select(*key).distinct(), key, "left_anti", spread_by=["seq"])
+    lacking = tables.join(sections.select(*key).distinct(), key, "left_anti")
     return sections.withColumn("origen", F.lit("seccion")).unionByName(lacking.withColumn("origen", F.lit("tabla")))
 
 
@@ -470,7 +467,7 @@ def concatenate_parts(lines: DataFrame, parts: DataFrame, pages: int = 1024) ->
     part, then page, then place. Numbering counts by runs of ``pages`` pages, so
     only one row per run is ever ranked together.
     """
-    chosen = fixed_lookup(lines, parts, ["doc_id"], "inner").where(
+    chosen = lines.join(parts, ["doc_id"], "inner").where(
         (F.col("page") >= F.col("desde")) & (F.col("hasta").isNull() | (F.col("page") < F.col("hasta")))
     )
     numbered = running(
@@ -547,7 +544,7 @@ def subject_years(
         "cuerpo": F.when(is_item, item).otherwise(F.col("text")),
         "__item": is_item,
     })
-    ruled = fixed_lookup(bodies, rule, ["articulo", "regla"], "inner")
+    ruled = bodies.join(rule, ["articulo", "regla"], "inner")
     years = F.when(F.col("__item"), item_years(F.col("cuerpo"), F.col("cursos"))).otherwise(F.col("cursos"))
     found = longest_matches(ruled.withColumn("cursos", years), names, "cuerpo")
     return found.groupBy("doc_id", "materia").agg(
@@ -563,4 +560,4 @@ def merge_blocks(items: DataFrame, keys: Sequence[str], order: str = "seq", widt
     by = [*keys, "bloque"]
     numbered = running(items, by, [order], width_bucket(order, width), counts={"n": F.lit(1)})
     first = items.groupBy(*by).agg(F.min_by("titulo", order).alias("titulo"))
-    return spread_join(numbered.drop("titulo"), first, by, "left", spread_by=[order])
+    return numbered.drop("titulo").join(first, by, "left")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .joins import fixed_lookup, spread_join
 
 
 def model_list(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -42,7 +41,7 @@ def effective_provider(
         F.col("modelo_ia").alias("modelo"),
         F.coalesce(F.col("proveedor_ia") != "", F.lit(False)).alias("elegido"),
     )
-    judged = fixed_lookup(fixed_lookup(choice, defaults, ["proveedor"]), models, ["proveedor", "modelo"])
+    judged = choice.join(defaults, ["proveedor"], "left").join(models, ["proveedor", "modelo"], "left")
     usable = F.col("modelo_defecto").isNotNull()
     per_user = judged.select(
         "id_usuario",
@@ -53,7 +52,7 @@ def effective_provider(
         .alias("modelo"),
         (~usable & F.col("elegido")).alias("ignorada"),
     )
-    return spread_join(documents, per_user, ["id_usuario"], "inner", spread_by=["id_situacion"])
+    return documents.join(per_user, ["id_usuario"], "inner")
 
 
 def provider_totals(documents: DataFrame, users: DataFrame, available: DataFrame, provider: str, model: str) -> DataFrame:

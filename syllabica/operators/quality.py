@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.content import bind, missing_parts
 from ..functions.text import strip
 from .documents import LANGUAGES, SERVER_STATES
-from .joins import fixed_lookup, spread_join
 
 # ---------------------------------------------------------------------------
 # Row validation and patches
@@ -222,7 +221,7 @@ def translation_report(translations: DataFrame, terms: DataFrame, misused: Mappi
     ``terms`` is the fixed list (lang, msgid, oficial); ``misused`` maps a
     language to the spelling it must not contain.
     """
-    joined = fixed_lookup(translations, terms, ["lang", "msgid"])
+    joined = translations.join(terms, ["lang", "msgid"], "left")
     bad = F.lit(False)
     for lang, spelling in misused.items():
         bad = bad | ((F.col("lang") == lang) & F.lower(F.coalesce("msgstr", F.lit(""))).contains(spelling))
@@ -250,15 +249,15 @@ def repeated_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def dangling(children: DataFrame, parents: DataFrame, on: Sequence[str], *, spread_by: Sequence[str]) -> DataFrame:
+def dangling(children: DataFrame, parents: DataFrame, on: Sequence[str]) -> DataFrame:
     """Children whose parent does not exist."""
-    return spread_join(children, parents.select(*on).distinct(), on, "left_anti", spread_by=spread_by)
+    return children.join(parents.select(*on).distinct(), on, "left_anti")
 
 
 def subject_mismatches(
-    children: DataFrame, parents: DataFrame, on: Sequence[str], column: str, *, spread_by: Sequence[str]
+    children: DataFrame, parents: DataFrame, on: Sequence[str], column: str
 ) -> DataFrame:
     """Children whose column differs from their parent's."""
     other = parents.select(*on, F.col(column).alias("del_padre"))
-    joined = spread_join(children, other, on, "inner", spread_by=spread_by)
+    joined = children.join(other, on, "inner")
     return joined.where(F.col(column) != F.col("del_padre"))

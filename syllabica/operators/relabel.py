@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalogue import stable_id
-from .joins import fixed_lookup, spread_join
 from .retention import ghosts
 from .versions import snapshots
 
@@ -43,7 +42,7 @@ def reassign(
     table = documents.sparkSession.createDataFrame(
         rows, "materia string, curso string, materia_nueva string, curso_nuevo string"
     )
-    judged = fixed_lookup(documents, table, ["materia", "curso"])
+    judged = documents.join(table, ["materia", "curso"], "left")
     lost = judged.where(~F.col("con_curriculo"))
     return {
         "unchanged": documents.where("con_curriculo"),
@@ -73,14 +72,12 @@ def reassignment_job(
     }
 
 
-def relink_children(children: DataFrame, old: DataFrame, new: DataFrame, *, spread_by: Sequence[str]) -> DataFrame:
+def relink_children(children: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Children moved from an old parent to the new one with the same code."""
     pairs = old.select(F.col("id_competencia"), "comunidad", "codigo").join(
         new.select("comunidad", "codigo", F.col("id_competencia").alias("id_nuevo")), ["comunidad", "codigo"]
     )
-    joined = spread_join(
-        children, pairs.select("id_competencia", "id_nuevo"), ["id_competencia"], "left", spread_by=spread_by
-    )
+    joined = children.join(pairs.select("id_competencia", "id_nuevo"), ["id_competencia"], "left")
     return joined.withColumn("id_competencia", F.coalesce("id_nuevo", "id_competencia")).drop("id_nuevo")
 
 
@@ -112,7 +109,7 @@ def split_subject(
     criteria = relabelled(tables["criterios"])
     moved = criteria.where(F.col("materia") == new)
     staying = criteria.where(~F.col("materia").eqNullSafe(F.lit(new)))
-    criteria = relink_children(moved, subject, copies, spread_by=["id_criterio"]).unionByName(staying)
+    criteria = relink_children(moved, subject, copies).unionByName(staying)
     narrowed = subject.withColumn("cursos_aplicables", F.array(F.lit(kept_year)))
     used = ghosts(narrowed, "id_competencia", criteria, tables["enlaces"])
     narrowed = narrowed.join(used.select("id_competencia"), "id_competencia", "left_anti")
@@ -143,7 +140,7 @@ def merge_subjects(tables: Mapping[str, DataFrame], old: str, new: str) -> dict[
     def relabelled(rows: DataFrame) -> DataFrame:
         return rows.withColumn("materia", F.when(F.col("materia") == new, F.lit(old)).otherwise(F.col("materia")))
 
-    criteria = relabelled(relink_children(tables["criterios"], copies, originals, spread_by=["id_criterio"]))
+    criteria = relabelled(relink_children(tables["criterios"], copies, originals))
     unused = ghosts(copies, "id_competencia", criteria, tables["enlaces"])
     left = competences.join(unused.select("id_competencia"), "id_competencia", "left_anti")
     return {
@@ -157,7 +154,7 @@ def merge_subjects(tables: Mapping[str, DataFrame], old: str, new: str) -> dict[
 
 def backfill(df: DataFrame, lookup: DataFrame, on: Sequence[str], column: str, default: str | None = None) -> DataFrame:
     """A column filled from an unambiguous fixed dictionary, then a default."""
-    found = fixed_lookup(df, lookup.select(*on, F.col(column).alias("hallado")), on)
+    found = df.join(lookup.select(*on, F.col(column).alias("hallado")), on, "left")
     values = [F.col("hallado")]
     if column in df.columns:
         values.insert(0, F.col(column))

@@ -12,7 +12,7 @@ from ..functions.codes import code_variants
 from ..functions.content import KINDS, bind, cited_lists, normalised_codes, rewrite_codes
 from ..sources.tables import cut_lineage
 from .coverage import PAIR, flag_documents, loaded_pairs
-from .joins import spread_join
+
 
 CITED = ["id_situacion", "kind", "codigo"]
 
@@ -66,7 +66,7 @@ def best_rows(scopes: DataFrame, catalogue: DataFrame) -> DataFrame:
     ])
     wanted = scopes.withColumn("k", F.explode(keys)).select("*", "k.por_materia", "k.por_curso").drop("k")
     on = ["comunidad", "kind", "variante", "por_materia", "por_curso"]
-    hit = spread_join(wanted, best, on, "inner", spread_by=["materia", "curso"])
+    hit = wanted.join(best, on, "inner")
     return hit.groupBy(*PAIR, "kind", "variante").agg(F.min("id").alias("id"))
 
 
@@ -79,10 +79,10 @@ def resolve_codes(citations: DataFrame, documents: DataFrame, catalogue: DataFra
     """
     owned = owned_variants(citations)
     scopes = documents.where(F.col("comunidad").isNotNull()).select("id_situacion", *PAIR)
-    placed = spread_join(owned, scopes, ["id_situacion"], "inner", spread_by=["kind", "codigo", "variante"])
+    placed = owned.join(scopes, ["id_situacion"], "inner")
     wanted = placed.select(*PAIR, "kind", "variante").distinct()
     found = best_rows(wanted, catalogue)
-    hits = spread_join(placed, found, [*PAIR, "kind", "variante"], "inner", spread_by=["id_situacion", "codigo"])
+    hits = placed.join(found, [*PAIR, "kind", "variante"], "inner")
     return (
         hits.groupBy(*CITED)
         .agg(F.min(F.struct("rank", "id", "variante")).alias("b"))

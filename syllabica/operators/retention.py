@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .documents import grace_expired
-from .joins import spread_join
+
 
 
 def tombstone(users: DataFrame, leaving: DataFrame, now: Column) -> DataFrame:
@@ -22,8 +22,7 @@ def tombstone(users: DataFrame, leaving: DataFrame, now: Column) -> DataFrame:
 
 
 def purge(
-    users: DataFrame, documents: DataFrame, children: dict[str, DataFrame], now: Column,
-    *, spread_by: dict[str, Sequence[str]],
+    users: DataFrame, documents: DataFrame, children: dict[str, DataFrame], now: Column
 ) -> dict[str, DataFrame]:
     """Everything left after accounts past their grace period are gone.
 
@@ -32,13 +31,11 @@ def purge(
     """
     expired = users.where(grace_expired(F.col("eliminado_en"), now))
     gone_users = expired.select("id_usuario")
-    gone_documents = spread_join(
-        documents.select("id_situacion", "id_usuario"), gone_users, ["id_usuario"], "left_semi", spread_by=["id_situacion"]
-    )
+    gone_documents = documents.select("id_situacion", "id_usuario").join(gone_users, ["id_usuario"], "left_semi")
     per_user = gone_documents.groupBy("id_usuario").agg(F.count(F.lit(1)).alias("situaciones"))
     out = {
         "users": users.where(~grace_expired(F.col("eliminado_en"), now)),
-        "documents": spread_join(documents, gone_users, ["id_usuario"], "left_anti", spread_by=["id_situacion"]),
+        "documents": documents.join(gone_users, ["id_usuario"], "left_anti"),
         "purged": expired.join(per_user, "id_usuario", "left").withColumn(
             "situaciones", F.coalesce("situaciones", F.lit(0).cast("bigint"))
         ),
@@ -46,7 +43,7 @@ def purge(
     }
     ids = gone_documents.select("id_situacion")
     for name, rows in children.items():
-        out[name] = spread_join(rows, ids, ["id_situacion"], "left_anti", spread_by=spread_by[name])
+        out[name] = rows.join(ids, ["id_situacion"], "left_anti")
     return out
 
 
@@ -58,17 +55,17 @@ def purge_summary(purged: DataFrame, cut: Column) -> DataFrame:
     ).withColumn("corte", cut)
 
 
-def delete_rows(rows: DataFrame, gone: DataFrame, on: Sequence[str], *, spread_by: Sequence[str]) -> DataFrame:
+def delete_rows(rows: DataFrame, gone: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows left after a hard delete by key."""
-    return spread_join(rows, gone.select(*on).distinct(), on, "left_anti", spread_by=spread_by)
+    return rows.join(gone.select(*on).distinct(), on, "left_anti")
 
 
 def clear_reference(
-    rows: DataFrame, gone: DataFrame, column: str, key: str, *, spread_by: Sequence[str]
+    rows: DataFrame, gone: DataFrame, column: str, key: str
 ) -> DataFrame:
     """Rows kept, with a reference to a deleted row set to null."""
     lost = gone.select(F.col(key).alias(column)).distinct().withColumn("borrada", F.lit(True))
-    joined = spread_join(rows, lost, [column], "left", spread_by=spread_by)
+    joined = rows.join(lost, [column], "left")
     return joined.withColumn(column, F.when(F.col("borrada").isNull(), F.col(column))).drop("borrada")
 
 
@@ -83,7 +80,7 @@ def ghosts(parents: DataFrame, key: str, *children: DataFrame) -> DataFrame:
 def orphan_artefacts(artefacts: DataFrame, documents: DataFrame) -> DataFrame:
     """Stored files whose document no longer exists."""
     ids = documents.select("id_situacion")
-    return spread_join(artefacts, ids, ["id_situacion"], "left_anti", spread_by=["seccion", "huella"])
+    return artefacts.join(ids, ["id_situacion"], "left_anti")
 
 
 def apply_claims(users: DataFrame, decisions: DataFrame, roles: DataFrame) -> DataFrame:
@@ -99,7 +96,7 @@ def apply_claims(users: DataFrame, decisions: DataFrame, roles: DataFrame) -> Da
     judged = users.join(decisions.select("id_usuario", "decision"), "id_usuario", "left").withColumn(
         "rol_pedido", F.coalesce(claim["rol"], F.lit("docente"))
     )
-    judged = spread_join(judged, role, ["rol_pedido"], "left", spread_by=["id_usuario"])
+    judged = judged.join(role, ["rol_pedido"], "left")
     pending = F.col("reclamacion").isNotNull()
     applied = F.coalesce((F.col("decision") == "aplicar") & pending & F.col("rol_nuevo").isNotNull(), F.lit(False))
     dropped = F.coalesce((F.col("decision") == "descartar") & pending, F.lit(False))

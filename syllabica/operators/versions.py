@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.content import as_map, bind, has_section, merge_section, merge_section_map, section_of
 from .documents import next_versions
-from .joins import fixed_lookup, spread_join
+from .joins import fixed_lookup
 
 # The fields a version keeps.
 VERSIONED = [
@@ -68,7 +68,7 @@ def restore_section(documents: DataFrame, versions: DataFrame, section: str) ->
     Documents with no earlier version of the section are reported, unchanged.
     """
     found = latest_with_section(versions, section)
-    joined = spread_join(documents, found, ["id_situacion"], "left", spread_by=["id_situacion"], salts=1)
+    joined = documents.join(found, ["id_situacion"], "left")
     usable = F.col("numero_version").isNotNull()
     return joined.withColumn(
         "contenido",

@@ -128,7 +128,7 @@ def range_bucket(spark, sf_dir):
     rows = read(spark, sf_dir, "events", "event_id", "event_type", "value").withColumnRenamed("value", "x")
     heads = rows.select("event_type", (F.least(F.floor(F.col("x") / 10), F.lit(9)) * 10).cast("double").alias("x")).distinct()
     ranges = ops.column_ranges(heads, ["event_type"])
-    out = ops.into_columns(rows, ranges, ["event_type"], spread_by=["event_id"])
+    out = ops.into_columns(rows, ranges, ["event_type"])
     return out.select("event_id", "columna")
 
 
@@ -147,7 +147,7 @@ def lines_in_tables(spark, sf_dir):
     boxes = read(spark, sf_dir, "region").select(
         (F.col("r_regionkey") + 1).alias("page"), left.alias("x0"), (left + 10).alias("x1"), F.lit(0.0).alias("y0"), F.lit(6.0).alias("y1")
     )
-    out = ops.in_boxes(rows, boxes, ["page"], spread_by=["l_orderkey"])
+    out = ops.in_boxes(rows, boxes, ["page"])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.col("in_table").alias("en_tabla"))
 
 

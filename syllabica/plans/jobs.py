@@ -187,7 +187,7 @@ def fk_mismatch(spark, sf_dir):
         F.col("l_orderkey").alias("k"), "l_linenumber", F.col("l_linestatus").alias("estado")
     )
     parents = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("estado"))
-    found = qual.subject_mismatches(children, parents, ["k"], "estado", spread_by=["l_linenumber"])
+    found = qual.subject_mismatches(children, parents, ["k"], "estado")
     return found.select(
         F.col("k").alias("l_orderkey"), "l_linenumber", F.col("estado").alias("l_linestatus"),
         F.col("del_padre").alias("o_orderstatus"),
@@ -201,7 +201,7 @@ def fk_mismatch(spark, sf_dir):
 def fk_dangling(spark, sf_dir):
     rows = read(spark, sf_dir, "events", "event_id", "user_id").withColumn("k", F.col("user_id"))
     parents = read(spark, sf_dir, "orders", "o_custkey").select(F.col("o_custkey").alias("k"))
-    return qual.dangling(rows, parents, ["k"], spread_by=["event_id"]).select("event_id", "user_id")
+    return qual.dangling(rows, parents, ["k"]).select("event_id", "user_id")
 
 
 @query(
@@ -227,13 +227,7 @@ def _purge(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").select(
         F.col("l_orderkey").alias("id_situacion"), "l_linenumber", "l_partkey", "l_quantity"
     )
-    return ret.purge(
-        users(spark, sf_dir).select("id_usuario", "eliminado_en"),
-        documents(spark, sf_dir).select("id_situacion", "id_usuario"),
-        {"versions": lines},
-        F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"),
-        spread_by={"versions": ["l_linenumber", "l_partkey"]},
-    )
+    return ret.purge(users(spark, sf_dir).select("id_usuario", "eliminado_en"), documents(spark, sf_dir).select("id_situacion", "id_usuario"), {"versions": lines}, F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
 
 
 @query("purge_cascade", _PURGE_SQL + """SELECT l_orderkey AS id_situacion, l_linenumber, l_partkey, l_quantity FROM lineitem
@@ -284,7 +278,7 @@ def tombstones(spark, sf_dir):
 def hard_delete(spark, sf_dir):
     rows = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     gone = read(spark, sf_dir, "customer", "c_custkey", "c_acctbal").where("c_acctbal < 0")
-    return ret.delete_rows(rows, gone.select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"], spread_by=["o_orderkey"])
+    return ret.delete_rows(rows, gone.select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"])
 
 
 @query(
@@ -294,7 +288,7 @@ def hard_delete(spark, sf_dir):
 def references_cleared(spark, sf_dir):
     rows = read(spark, sf_dir, "events", "event_id", "user_id").select("event_id", F.col("user_id").alias("id_usuario"))
     gone = read(spark, sf_dir, "customer", "c_custkey", "c_acctbal").where("c_acctbal < 0")
-    return ret.clear_reference(rows, gone, "id_usuario", "c_custkey", spread_by=["event_id"]).select("event_id", "id_usuario")
+    return ret.clear_reference(rows, gone, "id_usuario", "c_custkey").select("event_id", "id_usuario")
 
 
 @query(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import regions as geo
 from ..operators import providers as prov
 from ..operators import relabel as ops
-from ..operators.joins import spread_join
+
 from ..operators.ordered import width_bucket
 from ..sources.tables import cut_lineage
 from .registry import query, read
@@ -184,14 +184,11 @@ def _split_tables(spark, sf_dir):
         label.alias("materia"), years.alias("cursos_aplicables"),
     )
     owner = sup.select(F.col("s_suppkey").alias("id_competencia"), label.alias("materia"))
-    crit = spread_join(
-        read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    crit = (read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
         .select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id_criterio"), F.col("l_suppkey").alias("id_competencia"),
             F.array(F.when(F.col("l_returnflag") == "A", "4º ESO").otherwise(F.lit("2º ESO"))).alias("cursos_aplicables"),
-        ),
-        owner, ["id_competencia"], "inner", spread_by=["id_criterio"],
-    )
+        )).join(owner, ["id_competencia"], "inner")
     linked = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(
         F.col("c_custkey").alias("id_competencia"), F.col("c_custkey").alias("id_situacion")
     )
@@ -228,7 +225,7 @@ def split_children(spark, sf_dir):
     """Criteria per subject after a split, and those under another subject."""
     out = _split(spark, sf_dir)
     parents = out["competencias"].select("id_competencia", F.col("materia").alias("del_padre"))
-    rows = spread_join(out["criterios"], parents, ["id_competencia"], "left", spread_by=["id_criterio"])
+    rows = out["criterios"].join(parents, ["id_competencia"], "left")
     return rows.groupBy("materia").agg(
         F.count(F.lit(1)).alias("criterios"),
         F.count_if(~F.col("materia").eqNullSafe(F.col("del_padre"))).alias("cruzados"),

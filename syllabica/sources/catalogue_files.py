@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamReader
 
 from ..functions.regions import DEFAULT_REGION, REGION_ALIASES, REGIONS
 from ..functions.text import slug
-from ..operators.joins import spread_join
+
 from ..operators.quality import dangling
 from ..schemas import CATALOGUE_FILE
 
@@ -94,8 +94,8 @@ def flatten_catalogue(records: DataFrame) -> dict[str, DataFrame]:
     )
     known = competences.select("fichero", "comunidad", F.col("codigo").alias("competencia"))
     on = ["fichero", "comunidad", "competencia"]
-    rejected = dangling(criteria, known, on, spread_by=["codigo"])
-    accepted = spread_join(criteria, known.distinct(), on, "left_semi", spread_by=["codigo"])
+    rejected = dangling(criteria, known, on)
+    accepted = criteria.join(known.distinct(), on, "left_semi")
     blocks = records.select(*base, F.posexplode("saberes_basicos").alias("pos", "b"))
     items = blocks.select(*base, "pos", "b", F.posexplode("b.items").alias("item", "descripcion")).select(
         *base,

@@ -13,7 +13,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.content import missing_parts
 from ..functions.text import fingerprint
 from ..operators.catalogue import load_catalogue
-from ..operators.joins import fixed_lookup
 from ..sources.catalogue_files import checked_region, flatten_catalogue, parsed_records, whole_files, with_defaults
 
 # Seconds of a limit's period, terminal events and retries.
@@ -35,7 +34,7 @@ def rate_breaches(requests: DataFrame, limits: DataFrame, period: str, delay: st
         .groupBy(F.window("ts", f"{PERIODS[period]} seconds").alias("w"), "ruta", "quien")
         .agg(F.count(F.lit(1)).alias("peticiones"))
     )
-    return fixed_lookup(counted, wanted, ["ruta"], "inner").where(F.col("peticiones") > F.col("maximo")).select(
+    return counted.join(wanted, ["ruta"], "inner").where(F.col("peticiones") > F.col("maximo")).select(
         F.col("w.start").alias("desde"), "ruta", "quien", "peticiones", "maximo"
     )
 

@@ -95,7 +95,7 @@ def test_two_and_three_indents(spark):
 def test_columns_split_at_midpoints(spark):
     heads = spark.createDataFrame([("d", 173.0), ("d", 413.0)], "doc_id string, x double")
     lines = spark.createDataFrame([("d", 91.0), ("d", 313.0), ("d", 292.9), ("d", 293.0)], "doc_id string, x double")
-    got = P.into_columns(lines, P.column_ranges(heads, ["doc_id"]), ["doc_id"], spread_by=["x"])
+    got = P.into_columns(lines, P.column_ranges(heads, ["doc_id"]), ["doc_id"])
     assert rows(got, "x", "columna") == [(292.9, 1), (293.0, 2), (313.0, 2), (91.0, 1)]
 
 

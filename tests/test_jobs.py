@@ -26,19 +26,19 @@ def test_purge_boundary_and_cascade(spark):
     documents = spark.createDataFrame([(10 + i, i) for i in range(5)] + [(20, 4)], "id_situacion bigint, id_usuario bigint")
     versions = spark.createDataFrame([(d, n) for d in (10, 13, 20) for n in (1, 2)], "id_situacion bigint, numero_version int")
     now = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
-    out = ret.purge(users, documents, {"versions": versions}, now, spread_by={"versions": ["numero_version"]})
+    out = ret.purge(users, documents, {"versions": versions}, now)
     assert rows(out["users"], "id_usuario") == [(0,), (1,), (2,)]
     assert rows(out["documents"], "id_situacion") == [(10,), (11,), (12,)]
     assert rows(out["versions"], "id_situacion", "numero_version") == [(10, 1), (10, 2)]
     assert rows(out["purged"], "id_usuario", "situaciones") == [(3, 1), (4, 2)]
-    again = ret.purge(out["users"], out["documents"], {"versions": out["versions"]}, now, spread_by={"versions": ["numero_version"]})
+    again = ret.purge(out["users"], out["documents"], {"versions": out["versions"]}, now)
     assert rows(again["purged"]) == [] and rows(again["documents"]) == rows(out["documents"])
 
 
 def test_choices_and_adaptations_survive_deletes(spark):
     choices = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id_eleccion bigint, id_situacion bigint")
     gone = spark.createDataFrame([(5,)], "id_situacion bigint")
-    assert rows(ret.clear_reference(choices, gone, "id_situacion", "id_situacion", spread_by=["id_eleccion"]), "id_eleccion", "id_situacion") == [
+    assert rows(ret.clear_reference(choices, gone, "id_situacion", "id_situacion"), "id_eleccion", "id_situacion") == [
         (1, None), (2, 6), (3, None)]
 
 

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from syllabica.operators.joins import spread_join
 from syllabica.operators.ordered import numbered, running, width_bucket
 from tests.conftest import rows
 
@@ -41,9 +40,3 @@ def test_numbering_without_keys(hot):
     got = numbered(hot, [], ["seq"], width_bucket("seq", 13))
     assert sorted(r["n"] for r in got.collect()) == list(range(1, 601))
     assert all(r["n"] == r["seq"] + 1 for r in got.collect())
-
-
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_spread_join_is_a_join(hot, how):
-    one = hot.select("k").distinct().where("k <> 'k1'").withColumn("x", F.length("k"))
-    assert rows(spread_join(hot, one, ["k"], how, spread_by=["seq"])) == rows(hot.join(one, ["k"], how))

@@ -167,36 +167,52 @@ pos AS (SELECT doc_id, seq, text, 60 + size % 4 * 5 AS x, size % 3 = 0 AS bold,
           size % 2 = 0 AS in_table, size AS largo FROM lines)
 """
 _BULLETS = "^[-\\x{2013}\\x{2014}\\x{2212}\\x{00B7}\\x{2022}*\\x{E000}-\\x{F8FF}\\s\\x{00A0}]*$"
+_ROLES_SQL = f"""
+u AS (SELECT * FROM pos WHERE NOT regexp_matches(text, '{_BULLETS}')),
+l1 AS (SELECT doc_id, min(x) AS l1 FROM u GROUP BY doc_id),
+l2 AS (SELECT u.doc_id, min(x) AS l2 FROM u JOIN l1 ON l1.doc_id = u.doc_id AND x > l1 + 6 GROUP BY u.doc_id),
+l3 AS (SELECT u.doc_id, min(x) AS l3 FROM u JOIN l2 ON l2.doc_id = u.doc_id AND x > l2 + 6 GROUP BY u.doc_id),
+r AS (SELECT u.*, l1, l3 IS NOT NULL AS sub, coalesce(l3, l2, l1) AS xi FROM u JOIN l1 USING (doc_id) LEFT JOIN l2 USING (doc_id) LEFT JOIN l3 USING (doc_id)),
+roles AS (SELECT *, CASE WHEN x <= l1 + 6 AND bold THEN 'bloque' WHEN sub AND x < xi - 4 THEN 'subbloque'
+  WHEN x >= xi - 4 AND NOT regexp_matches(text, '^[A-ZÀ-Ú¡¿0-9]') THEN 'continuacion' WHEN x >= xi - 4 THEN 'item' END AS rol FROM r)
+"""
 
 
 @query(
     "line_roles",
-    f"""WITH {_POSITIONED_SQL}, u AS (SELECT * FROM pos WHERE NOT regexp_matches(text, '{_BULLETS}')),
-    l1 AS (SELECT doc_id, min(x) AS l1 FROM u GROUP BY doc_id),
-    l2 AS (SELECT u.doc_id, min(x) AS l2 FROM u JOIN l1 ON l1.doc_id = u.doc_id AND x > l1 + 6 GROUP BY u.doc_id),
-    l3 AS (SELECT u.doc_id, min(x) AS l3 FROM u JOIN l2 ON l2.doc_id = u.doc_id AND x > l2 + 6 GROUP BY u.doc_id),
-    r AS (SELECT u.*, l1, l3 IS NOT NULL AS sub, coalesce(l3, l2, l1) AS xi FROM u JOIN l1 USING (doc_id) LEFT JOIN l2 USING (doc_id) LEFT JOIN l3 USING (doc_id))
-    SELECT doc_id, seq, CASE WHEN x <= l1 + 6 AND bold THEN 'bloque' WHEN sub AND x < xi - 4 THEN 'subbloque'
-      WHEN x >= xi - 4 AND NOT regexp_matches(text, '^[A-ZÀ-Ú¡¿0-9]') THEN 'continuacion' WHEN x >= xi - 4 THEN 'item' END AS rol FROM r""",
+    f"""WITH {_POSITIONED_SQL}, {_ROLES_SQL} SELECT doc_id, seq, rol FROM roles""",
 )
 def line_roles(spark, sf_dir):
     return ops.line_roles(_positioned(spark, sf_dir)).select("doc_id", "seq", "rol")
 
 
-@query("knowledge_blocks")
+@query(
+    "knowledge_blocks",
+    f"""WITH {_POSITIONED_SQL}, {_ROLES_SQL},
+    m AS (SELECT *, regexp_replace(text, '\\.+$', '') AS titulo, CASE WHEN sub THEN rol = 'subbloque' ELSE rol = 'bloque' END AS abre,
+            sub AND rol = 'bloque' AS cierra FROM roles WHERE rol IS NOT NULL),
+    c AS (SELECT *, sum(CAST(abre AS INTEGER)) OVER w AS bloque_n, sum(CAST(abre OR cierra AS INTEGER)) OVER w AS tramo,
+            sum(CAST(rol = 'item' AS INTEGER)) OVER w AS i, last_value(CASE WHEN rol = 'bloque' THEN titulo END IGNORE NULLS) OVER w AS titulo_bloque,
+            last_value(CASE WHEN abre OR cierra THEN titulo END IGNORE NULLS) OVER w AS abierto,
+            last_value(CASE WHEN abre THEN true WHEN cierra THEN false END IGNORE NULLS) OVER w AS si
+          FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY seq))
+    SELECT doc_id, CAST(bloque_n AS BIGINT) AS bloque_n, CASE WHEN sub AND titulo_bloque IS NOT NULL THEN titulo_bloque || ' · ' || abierto ELSE abierto END AS bloque,
+      min(seq) AS seq, string_agg(text, ' ' ORDER BY seq) AS text
+    FROM c WHERE si AND rol IN ('item', 'continuacion') GROUP BY doc_id, bloque_n, tramo, 3, i""",
+)
 def knowledge_blocks(spark, sf_dir):
     return ops.knowledge_blocks(_positioned(spark, sf_dir)).select("doc_id", "bloque_n", "bloque", "seq", "text")
 
 
 @query(
     "column_boundary",
-    f"""WITH {_POSITIONED_SQL}, xs AS (SELECT DISTINCT doc_id, CAST(least(largo, 800) AS DOUBLE) AS x FROM pos),
+    f"""WITH {_POSITIONED_SQL}, xs AS (SELECT DISTINCT doc_id, CAST(largo AS DOUBLE) AS x FROM pos),
     g AS (SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY x) AS p FROM xs),
     b AS (SELECT doc_id, max(x - p) AS hueco, arg_max((x + p) / 2, (x - p, -x)) AS corte FROM g WHERE p IS NOT NULL GROUP BY doc_id)
     SELECT d.doc_id, CASE WHEN hueco >= 100 THEN corte END AS frontera FROM (SELECT DISTINCT doc_id FROM pos) d LEFT JOIN b ON b.doc_id = d.doc_id""",
 )
 def column_boundary(spark, sf_dir):
-    rows = _positioned(spark, sf_dir).withColumn("x", F.least("largo", F.lit(800)).cast("double"))
+    rows = _positioned(spark, sf_dir).withColumn("x", F.col("largo").cast("double"))
     return ops.column_boundary(rows)
 
 

@@ -196,22 +196,23 @@ def fk_mismatch(spark, sf_dir):
 
 @query(
     "fk_dangling",
-    "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders)",
+    "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')",
 )
 def fk_dangling(spark, sf_dir):
     rows = read(spark, sf_dir, "events", "event_id", "user_id").withColumn("k", F.col("user_id"))
-    parents = read(spark, sf_dir, "orders", "o_custkey").select(F.col("o_custkey").alias("k"))
+    urgent = read(spark, sf_dir, "orders", "o_custkey", "o_orderpriority", "o_orderstatus").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    parents = urgent.select(F.col("o_custkey").alias("k"))
     return qual.dangling(rows, parents, ["k"]).select("event_id", "user_id")
 
 
 @query(
     "ghost_rows",
-    """SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')
+    """SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 40)
        AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey)""",
 )
 def ghost_rows(spark, sf_dir):
     parts = read(spark, sf_dir, "part", "p_partkey")
-    lines = read(spark, sf_dir, "lineitem", "l_partkey", "l_returnflag").where("l_returnflag = 'R'")
+    lines = read(spark, sf_dir, "lineitem", "l_partkey", "l_returnflag", "l_quantity").where("l_returnflag = 'R' AND l_quantity > 40")
     sellers = read(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("p_partkey"))
     return ret.ghosts(parts, "p_partkey", lines.select(F.col("l_partkey").alias("p_partkey")), sellers)
 

@@ -35,7 +35,13 @@ def xml_paragraphs(spark, sf_dir):
     )
 
 
-@query("escaped_paragraphs")
+@query(
+    "escaped_paragraphs",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+    p AS (SELECT doc_id, i, trim(regexp_replace(t, '[\\s\\x{00A0}\\x{0085}\\x{2000}-\\x{200A}\\x{3000}]+', ' ', 'g')) AS t FROM l)
+    SELECT doc_id, 'akn_p' AS cls, count(*) AS parrafos, md5(string_agg(t, chr(10) ORDER BY i)) AS texto FROM p WHERE t <> '' GROUP BY doc_id
+    UNION ALL SELECT doc_id, 'akn_heading', 1, md5('Títol ' || lang) FROM documents""",
+)
 def escaped_paragraphs(spark, sf_dir):
     """The same documents as HTML escaped inside an attribute."""
     body = F.concat(F.lit("<p>"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br />")), F.lit("</p>"))
@@ -47,7 +53,8 @@ def escaped_paragraphs(spark, sf_dir):
         ).alias("raw"),
     )
     rows = markup.paragraphs_from_escaped_html(docs)
-    return rows.groupBy("doc_id", "cls").agg(F.count(F.lit(1)).alias("parrafos"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"]), "\n")
+    return rows.groupBy("doc_id", "cls").agg(F.count(F.lit(1)).alias("parrafos"), F.md5(texts.cast("binary")).alias("texto"))
 
 
 @query(

@@ -57,14 +57,14 @@ def _task_events(spark, sf_dir):
     kind = F.col("event_type")
     return _events(spark, sf_dir).select(
         F.col("user_id").alias("id_situacion"), "ts",
-        F.when(kind == "purchase", "SUCCESS").when(kind == "error", "ERROR").otherwise(F.lit("PROGRESO")).alias("event"),
+        F.when((kind == "purchase") & (F.col("value") > 90), "SUCCESS").when(kind == "error", "ERROR").otherwise(F.lit("PROGRESO")).alias("event"),
         kind.alias("section"),
     )
 
 
 @query(
     "latest_task_states",
-    """WITH e AS (SELECT user_id, ts, event_type, CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'ERROR' ELSE 'PROGRESO' END AS event FROM events)
+    """WITH e AS (SELECT user_id, ts, event_type, CASE WHEN event_type = 'purchase' AND value > 90 THEN 'SUCCESS' WHEN event_type = 'error' THEN 'ERROR' ELSE 'PROGRESO' END AS event FROM events)
     SELECT user_id AS id_situacion, arg_max(event, (event = 'SUCCESS', ts, event, event_type)) AS event, arg_max(event_type, (event = 'SUCCESS', ts, event, event_type)) AS section,
       bool_or(event = 'SUCCESS') AS final FROM e GROUP BY user_id""",
 )
@@ -76,7 +76,7 @@ def latest_task_states(spark, sf_dir):
 @query(
     "failure_verdicts",
     """SELECT user_id AS id_situacion, count(*) FILTER (event_type = 'error') AS fallos, CASE WHEN count(*) FILTER (event_type = 'error') > 2 THEN 'definitivo' ELSE 'provisional' END AS veredicto
-       FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') > 0 AND NOT bool_or(event_type = 'purchase')""",
+       FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') > 0 AND NOT bool_or(event_type = 'purchase' AND value > 90)""",
 )
 def failure_verdicts(spark, sf_dir):
     return _state(spark, "fallos", jobs.failure_verdicts(_task_events(spark, sf_dir)))

@@ -95,6 +95,23 @@ def cited_lists(content: Column) -> Column:
     )
 
 
+def rewritable_codes(content: Column) -> Column:
+    """What ``rewrite_codes`` looks up: ``codigo`` and ``competencia`` of objects in the three lists, as written."""
+    def text(e: Column, name: str) -> Column:
+        return bind(F.try_variant_get(e, f"$.{name}", "variant"), lambda v: F.when(is_text(v), as_text(v)))
+
+    def listed(items: Column) -> Column:
+        objects = F.filter(F.when(is_list(items), as_list(items)), is_object)
+        return F.flatten(F.transform(objects, lambda e: F.array(text(e, "codigo"), text(e, "competencia"))))
+
+    def found(doc: Column) -> Column:
+        none = F.array().cast("array<string>")
+        lists = [bind(F.try_variant_get(doc, f"$.{CITING_SECTION}.{kind}", "variant"), listed) for kind in KINDS]
+        return F.array_compact(F.flatten(F.array(*[F.coalesce(x, none) for x in lists])))
+
+    return bind(F.try_parse_json(content), found)
+
+
 def rewrite_codes(content: Column, canonical: Column) -> Column:
     """Content with the resolved codes put in place of the cited ones.
 

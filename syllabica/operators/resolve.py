@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import code_variants
-from ..functions.content import KINDS, bind, cited_lists, normalised_codes, rewrite_codes
+from ..functions.content import KINDS, cited_lists, normalised_codes, rewritable_codes, rewrite_codes
 from ..sources.tables import cut_lineage
 from .coverage import PAIR, flag_documents, loaded_pairs
 
@@ -28,14 +27,14 @@ def citations_of(documents: DataFrame) -> DataFrame:
 def owned_variants(citations: DataFrame) -> DataFrame:
     """Variants of each citation that no earlier citation of the document claims.
 
-    The window holds the citations of one document sharing one spelling, which
-    distinct citations keep to a handful.
+    The earliest citation with a spelling is picked by an aggregation, which is
+    combined before its shuffle.
     """
     spelled = citations.select(
         *CITED, "pos", F.posexplode(code_variants(F.col("codigo"))).alias("rank", "variante")
     )
-    first = F.min("pos").over(W.partitionBy("id_situacion", "kind", "variante"))
-    return spelled.withColumn("dueno", first).where(F.col("dueno") == F.col("pos")).drop("dueno")
+    first = F.min_by(F.struct("codigo", "pos", "rank"), F.struct("pos", "rank")).alias("o")
+    return spelled.groupBy("id_situacion", "kind", "variante").agg(first).select("id_situacion", "kind", "variante", "o.*")
 
 
 def best_rows(scopes: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -162,26 +161,17 @@ def canonical_maps(citations: DataFrame, resolved: DataFrame) -> DataFrame:
 def rewrite_documents(documents: DataFrame, citations: DataFrame, resolved: DataFrame) -> DataFrame:
     """Documents with resolved codes in place, a change flag and the list."""
     maps = canonical_maps(citations, resolved)
-    joined = documents.join(maps, "id_situacion", "left")
-    new = F.when(F.size(normalised_codes(F.col("canonicos"))) > 0, rewrite_codes(F.col("contenido"), F.col("canonicos")))
-    old, none = F.col("contenido"), F.array().cast("array<string>")
-
-    def judged(text: Column) -> Column:
-        # Key order aside, a rewrite that changed nothing is not a change.
-        changed = F.coalesce(text != rewrite_codes(old, F.create_map(F.lit(""), F.lit(""))), F.lit(False))
-        return F.struct(
-            F.when(changed, text).otherwise(old).alias("contenido"),
-            changed.alias("cambiado"),
-            F.when(changed, normalised_codes(F.col("canonicos"))).otherwise(none).alias("codigos_normalizados"),
-        )
-
-    rewritten = joined.withColumn("n", F.when(new.isNotNull(), bind(new, judged)))
+    none = F.array().cast("array<string>")
+    joined = documents.join(maps, "id_situacion", "left").withColumn("n", F.coalesce(normalised_codes(F.col("canonicos")), none))
+    # a document changes where a field holds a code whose catalogue form differs
+    overlap = F.when(F.size("n") > 0, F.arrays_overlap(rewritable_codes(F.col("contenido")), F.col("n")))
+    judged = joined.withColumn("cambiado", F.coalesce(overlap, F.lit(False)))
     kept = [c for c in documents.columns if c != "contenido"]
-    return rewritten.select(
+    return judged.select(
         *kept,
-        F.coalesce("n.contenido", "contenido").alias("contenido"),
-        F.coalesce("n.cambiado", F.lit(False)).alias("cambiado"),
-        F.coalesce("n.codigos_normalizados", none).alias("codigos_normalizados"),
+        F.when(F.col("cambiado"), rewrite_codes(F.col("contenido"), F.col("canonicos"))).otherwise(F.col("contenido")).alias("contenido"),
+        "cambiado",
+        F.when(F.col("cambiado"), F.col("n")).otherwise(none).alias("codigos_normalizados"),
     )
 
 

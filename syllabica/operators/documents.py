@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clamp
 
-from .ordered import numbered, running, width_bucket
+from .ordered import numbered, running
 
 # Document states in display order, paging and grace limits.
 STATES = ["borrador", "generando", "generada", "error_generacion", "finalizada"]
@@ -242,14 +242,14 @@ def failed_documents(documents: DataFrame) -> DataFrame:
     return failed.withColumn("veredicto", verdict.scalar())
 
 
-def relaunch_schedule(documents: DataFrame, spacing: int, width: int = 1 << 20) -> DataFrame:
+def relaunch_schedule(documents: DataFrame, spacing: int) -> DataFrame:
     """Failed documents with a start delay of position times spacing seconds.
 
-    Positions run over the whole table, counted by id bucket, so no single
-    task ranks all rows.
+    Positions run over the whole table, counted by ranges of the id, so no
+    single task ranks all rows however the ids are spread.
     """
     failed = documents.where(F.col("estado") == "error_generacion").select("id_situacion")
-    ranked = numbered(failed, [], ["id_situacion"], width_bucket("id_situacion", width), "posicion")
+    ranked = numbered(failed, [], ["id_situacion"], None, "posicion")
     return ranked.select("id_situacion", ((F.col("posicion") - 1) * spacing).alias("retraso"))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut_lineage
+
 BUCKET = "__bucket"
 DEFAULT_WIDTH = 65536
 
@@ -28,11 +30,17 @@ def width_bucket(order: str, width: int = DEFAULT_WIDTH) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("bigint")
 
 
+def _ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows with the number of their range; written once, as two branches have to see the same ranges."""
+    cut = df.repartitionByRange(*order).withColumn(BUCKET, F.spark_partition_id().cast("bigint"))
+    return cut_lineage(cut, "tramos")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | None,
     *,
     counts: Mapping[str, Column] | None = None,
     carries: Mapping[str, Column] | None = None,
@@ -46,6 +54,8 @@ def running(
     ``previous`` / ``following``: the value on the neighbouring row.
 
     ``keys`` must not be null and ``bucket`` must not decrease along ``order``.
+    Without keys the buckets are ranges of the order instead, however its values
+    are spread, so what is carried across is a row per range.
     ``order`` must be unique inside ``keys`` for a repeatable result.
     """
     counts, carries = dict(counts or {}), dict(carries or {})
@@ -57,7 +67,7 @@ def running(
         **{f"__v_{n}": F.struct(c.alias("v")) for n, c in previous.items()},
         **{f"__v_{n}": F.struct(c.alias("v")) for n, c in following.items()},
     }
-    keyed = df.withColumn(BUCKET, bucket).withColumns(inputs)
+    keyed = (df.withColumn(BUCKET, bucket) if keys else _ranges(df, order)).withColumns(inputs)
 
     here = W.partitionBy(*by).orderBy(*order)
     upto = here.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -111,7 +121,7 @@ def running(
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "n"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, name: str = "n"
 ) -> DataFrame:
     """Row number from 1 inside ``keys``; with no keys, over the whole table."""
     return running(df, keys, order, bucket, counts={name: F.lit(1)})

@@ -460,20 +460,17 @@ def fallback_rows(sections: DataFrame, tables: DataFrame, key: Sequence[str]) ->
     return sections.withColumn("origen", F.lit("seccion")).unionByName(lacking.withColumn("origen", F.lit("tabla")))
 
 
-def concatenate_parts(lines: DataFrame, parts: DataFrame, pages: int = 1024) -> DataFrame:
+def concatenate_parts(lines: DataFrame, parts: DataFrame) -> DataFrame:
     """Page ranges of several documents as one: new ``seq`` over the whole.
 
     ``parts`` is the fixed list (doc_id, parte, desde, hasta); the order is
-    part, then page, then place. Numbering counts by runs of ``pages`` pages, so
-    only one row per run is ever ranked together.
+    part, then page, then place. Numbering counts by ranges of that order.
     """
     chosen = lines.join(parts, ["doc_id"], "inner").where(
         (F.col("page") >= F.col("desde")) & (F.col("hasta").isNull() | (F.col("page") < F.col("hasta")))
     )
     numbered = running(
-        chosen.withColumnRenamed("seq", "seq_origen"), [], ["parte", "page", "seq_origen"],
-        F.struct(F.col("parte"), F.floor(F.col("page") / pages).alias("b")),
-        counts={"seq": F.lit(1)},
+        chosen.withColumnRenamed("seq", "seq_origen"), [], ["parte", "page", "seq_origen"], None, counts={"seq": F.lit(1)},
     )
     return numbered.withColumn("seq", F.col("seq") - 1)
 

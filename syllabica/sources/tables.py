@@ -57,6 +57,11 @@ def parse_artefacts(paths: DataFrame, column: str = "path") -> DataFrame:
     )
 
 
+def unnamed_artefacts(paths: DataFrame, column: str = "path") -> DataFrame:
+    """File names that ``parse_artefacts`` leaves out, to be reported."""
+    return paths.where(~F.coalesce(F.col(column).rlike(ARTEFACT), F.lit(False))).select(column)
+
+
 def artefact_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Stored artefacts under a folder; only names are read, never contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -66,6 +71,7 @@ def artefact_inventory(spark: SparkSession, path: str) -> DataFrame:
 # Gettext entries.
 _ENTRY_FUZZY = r"(?m)^#,.*\bfuzzy\b"
 _MSGID = r"(?s)msgid\s+((?:\"(?:[^\"\\]|\\.)*\"\s*)+)"
+_FORMS = r"(?s)msgstr(?:\[\d+\])?\s+((?:\"(?:[^\"\\]|\\.)*\"\s*)+)"
 _MSGSTR = r"(?s)msgstr(?:\[0\])?\s+((?:\"(?:[^\"\\]|\\.)*\"\s*)+)"
 
 
@@ -79,7 +85,10 @@ def _unquote(c):
 
 
 def read_translations(spark: SparkSession, path: str) -> DataFrame:
-    """(lang, msgid, msgstr, fuzzy) from gettext files under ``<lang>/…``.
+    """(lang, msgid, msgstr, formas, fuzzy) from gettext files under ``<lang>/…``.
+
+    ``msgstr`` is the only or first form of an entry, ``formas`` holds all of
+    them. A language folder may carry a script or region (``zh_Hant``, ``pt-BR``).
 
     Entries are separated by blank lines, so the line reader splits files on
     them and no file is held whole. Obsolete entries and the header drop out.
@@ -89,9 +98,10 @@ def read_translations(spark: SparkSession, path: str) -> DataFrame:
     )
     body = F.regexp_replace("value", r"(?m)^#~.*$", "")
     rows = entries.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"/([a-z]{2})/[^/]*/?[^/]*\.po$", 1).alias("lang"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"/([a-z]{2,3}(?:[_-][A-Za-z0-9]+)*)/(?:LC_MESSAGES/)?[^/]*\.po$", 1).alias("lang"),
         _unquote(F.regexp_extract(body, _MSGID, 1)).alias("msgid"),
         _unquote(F.regexp_extract(body, _MSGSTR, 1)).alias("msgstr"),
+        F.transform(F.regexp_extract_all(body, F.lit(_FORMS), F.lit(1)), _unquote).alias("formas"),
         body.rlike(_ENTRY_FUZZY).alias("fuzzy"),
     )
     return rows.where(F.col("msgid") != "")

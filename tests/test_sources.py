@@ -134,13 +134,20 @@ def test_artefacts_and_translations(spark, tmp_path):
     (tmp_path / "7" / "otra.txt").write_bytes(b"x")
     assert rows(tables.artefact_inventory(spark, str(tmp_path)), "id_situacion", "seccion", "huella", "extension") == [
         (7, "objetivos", "0123456789abcdef", "mp3")]
+    names = spark.createDataFrame([("/a/7/objetivos-0123456789abcdef.mp3",), ("/a/7/otra.txt",), (None,)], "path string")
+    assert rows(tables.unnamed_artefacts(names)) == [("/a/7/otra.txt",), (None,)]
+    plural = tmp_path / "plural" / "pt_BR"
+    plural.mkdir(parents=True)
+    (plural / "messages.po").write_text('msgid "un dia"\nmsgid_plural "%d dies"\nmsgstr[0] "um dia"\nmsgstr[1] "%d dias"\n', encoding="utf-8")
+    forms = tables.read_translations(spark, str(tmp_path / "plural")).first()
+    assert (forms.lang, forms.msgstr, forms.formas) == ("pt_BR", "um dia", ["um dia", "%d dias"])
     po = tmp_path / "po" / "ca" / "LC_MESSAGES"
     po.mkdir(parents=True)
     (po / "messages.po").write_text(
         'msgid ""\nmsgstr ""\n"Language: ca\\n"\n\n#: a\nmsgid "Saberes básicos"\nmsgstr "Sabers bàsics"\n\n#, fuzzy\nmsgid ""\n"Hola "\n"mundo"\nmsgstr ""\n"Hola \\"món\\""\n\n'
         'msgid "Sin"\nmsgstr ""\n\n#~ msgid "vieja"\n#~ msgstr "x"\n', encoding="utf-8")
     got = tables.read_translations(spark, str(tmp_path / "po"))
-    assert rows(got) == [("ca", "Hola mundo", 'Hola "món"', True), ("ca", "Saberes básicos", "Sabers bàsics", False), ("ca", "Sin", "", False)]
+    assert rows(got, "lang", "msgid", "msgstr", "fuzzy") == [("ca", "Hola mundo", 'Hola "món"', True), ("ca", "Saberes básicos", "Sabers bàsics", False), ("ca", "Sin", "", False)]
     terms = spark.createDataFrame([("ca", "Saberes básicos", "Sabers")], "lang string, msgid string, oficial string")
     assert qual.translation_report(got, terms, {"ca": "hola "}).first().asDict() == {
         "lang": "ca", "mensajes": 3, "sin_traducir": 1, "dudosas": 1, "terminos": 1, "separador": 1}

@@ -18,7 +18,8 @@ def readable_text(spark, sf_dir):
 
 @query(
     "xml_paragraphs",
-    f"""WITH {LINES_SQL} SELECT doc_id, CASE WHEN seq % 2 = 0 THEN 'a' ELSE '' END AS cls, count(*) AS parrafos, CAST(sum(length(trim(text))) AS BIGINT) AS letras
+    f"""WITH {LINES_SQL} SELECT doc_id, CASE WHEN seq % 2 = 0 THEN 'a' ELSE '' END AS cls, count(*) AS parrafos, CAST(sum(length(trim(text))) AS BIGINT) AS letras,
+          md5(string_agg(trim(text), chr(10) ORDER BY seq)) AS texto
         FROM lines WHERE regexp_matches(text, '[^\\s\\x{{00A0}}]') GROUP BY ALL""",
 )
 def xml_paragraphs(spark, sf_dir):
@@ -31,7 +32,8 @@ def xml_paragraphs(spark, sf_dir):
     )
     rows = markup.paragraphs_from_xml(docs)
     return rows.groupBy("doc_id", "cls").agg(
-        F.count(F.lit(1)).alias("parrafos"), F.sum(F.length(F.trim("text")).cast("bigint")).alias("letras")
+        F.count(F.lit(1)).alias("parrafos"), F.sum(F.length(F.trim("text")).cast("bigint")).alias("letras"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"]), "\n").cast("binary")).alias("texto"),
     )
 
 

@@ -39,7 +39,7 @@ def segments(text: str) -> tuple[str, list[str]]:
 class ChunkCoder(dict):
     """Token ids of chunks, as 32-bit bytes, by the chunk without its leading space."""
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], keep: int = 400_000, longest: int = 40) -> None:
+    def __init__(self, encode: Callable[[str], Iterable[int]], keep: int = 200_000, longest: int = 40) -> None:
         super().__init__()
         self.encode, self.keep, self.longest = encode, keep, longest
 
@@ -76,5 +76,5 @@ def rank_encoding(path: str, pattern: str):
 
 @functools.lru_cache(maxsize=2)
 def rank_coder(path: str, pattern: str) -> ChunkCoder:
-    """A coder that the tasks of a worker share."""
+    """A coder that the tasks of a worker share; each forgets its chunks when it ends."""
     return ChunkCoder(rank_encoding(path, pattern).encode_ordinary)

@@ -134,6 +134,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, rank_path: str, capacity: int,
                     n = len(raw) // 4
                     rows += [(doc_id, a, min(capacity, n - a), zlib.crc32(raw[4 * a: 4 * (a + capacity)]), n) for a in range(0, n, capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_TYPE)
+        coder.clear()
 
     return documents(docs, id_col, text_col).mapInArrow(run, PIECES)
 

@@ -37,6 +37,5 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "
                 decoded = pa.array([b"".join(map(tokens.__getitem__, x.tolist())) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values), decoded], schema=_TYPE)
-        coder.clear()
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, token_ids array<int>, decoded binary")

@@ -9,7 +9,6 @@ remembered, for a bounded number of chunks.
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from array import array
 from collections.abc import Callable, Iterable
@@ -66,15 +65,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@functools.lru_cache(maxsize=2)
 def rank_encoding(path: str, pattern: str):
-    """The encoding of a rank file without special tokens, once per worker."""
+    """The encoding of a rank file without special tokens."""
     import tiktoken
 
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-@functools.lru_cache(maxsize=2)
 def rank_coder(path: str, pattern: str) -> ChunkCoder:
-    """A coder that the tasks of a worker share; each forgets its chunks when it ends."""
+    """A coder by a rank file. It ends with its task: a worker keeps no memory of it."""
     return ChunkCoder(rank_encoding(path, pattern).encode_ordinary)

@@ -11,7 +11,6 @@ take. The same filling is used as often as its lengths last.
 from __future__ import annotations
 
 import bisect
-import functools
 import json
 import re
 import zlib
@@ -96,9 +95,8 @@ def pack_lengths(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndar
     return window, offset
 
 
-@functools.lru_cache(maxsize=2)
 def _coders(tokenizer_path: str, rank_path: str):
-    """A coder that the tasks of a worker share, the tokenizer, and its special tokens."""
+    """A coder, the tokenizer for what it leaves, and its special tokens; they end with their task."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -134,7 +132,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, rank_path: str, capacity: int,
                     n = len(raw) // 4
                     rows += [(doc_id, a, min(capacity, n - a), zlib.crc32(raw[4 * a: 4 * (a + capacity)]), n) for a in range(0, n, capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_TYPE)
-        coder.clear()
 
     return documents(docs, id_col, text_col).mapInArrow(run, PIECES)
 

@@ -7,6 +7,7 @@ accented letters or hard spaces carries ``(?U)``.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache, reduce
 from operator import add
 
@@ -35,11 +36,25 @@ def _taken_apart(form: str) -> tuple[dict[str, str], dict[str, str]]:
     return single, several
 
 
+def _class(letters: Iterable[str]) -> str:
+    """Regular-expression ranges that hold exactly these characters."""
+    ranges: list[list[int]] = []
+    for cp in sorted(map(ord, letters)):
+        if ranges and ranges[-1][1] == cp - 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
 def _expand(c: Column, several: dict[str, str]) -> Column:
-    """Replace characters that become several; texts without any are left alone."""
+    """Replace characters that become several; only texts that hold one are cut up."""
+    holds = F.length(F.translate(c, "".join(several), "")) < F.length(c)
     table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    opened = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    return F.when(c.rlike("[" + "".join(f"\\x{{{ord(x):x}}}" for x in several) + "]"), opened).otherwise(c)
+    letters = _class(several)
+    runs = F.regexp_extract_all(c, F.lit(f"[{letters}]|[^{letters}]+"), F.lit(0))
+    opened = F.array_join(F.transform(runs, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(holds, opened).otherwise(c)
 
 
 def strip(c: Column) -> Column:

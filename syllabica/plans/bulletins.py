@@ -23,13 +23,13 @@ def _joined(c: str) -> str:
 @query(
     "carry_forward",
     f"""WITH {LINES_SQL} SELECT doc_id, seq,
-        last_value(CASE WHEN size < 60 THEN left(text, 20) END IGNORE NULLS) OVER w AS apartado,
+        last_value(CASE WHEN size < 60 THEN text END IGNORE NULLS) OVER w AS apartado,
         last_value(CASE WHEN text LIKE '%.' THEN seq END IGNORE NULLS) OVER w AS marca
         FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY seq)""",
 )
 def carry_forward(spark, sf_dir):
     labels = {
-        "apartado": F.when(F.col("size") < 60, F.substring("text", 1, 20)),
+        "apartado": F.when(F.col("size") < 60, F.col("text")),
         "marca": F.when(F.col("text").endswith("."), F.col("seq")),
     }
     return ops.carry_forward(lines(spark, sf_dir), labels).select("doc_id", "seq", "apartado", "marca")
@@ -60,19 +60,23 @@ def glue_to_open_record(spark, sf_dir):
 
 @query(
     "longest_duplicate",
-    f"""SELECT left(text, 6) AS clave, md5(arg_max(text, (length(text), -doc_id))) AS texto, min(doc_id) AS doc_id FROM documents
-        WHERE length(regexp_replace(text, '{_SPACE}+', '', 'g')) > 0 GROUP BY left(text, 6)""",
+    f"""WITH {LINES_SQL}, k AS (SELECT *, split_part(text, ' ', 1) AS clave, doc_id * 1000000 + seq AS orden FROM lines)
+    SELECT clave, md5(arg_max(text, (length(text), -orden))) AS texto, min(orden) AS orden FROM k
+        WHERE length(regexp_replace(text, '{_SPACE}+', '', 'g')) > 0 GROUP BY clave""",
 )
 def longest_duplicate(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("clave", F.substring("text", 1, 6))
-    out = ops.longest_reading(rows, ["clave"], "text", "doc_id")
-    return out.select("clave", F.md5("text").alias("texto"), "doc_id")
+    """The longest of the lines that begin with one word."""
+    rows = lines(spark, sf_dir).select(
+        F.substring_index("text", " ", 1).alias("clave"), "text", (F.col("doc_id") * 1_000_000 + F.col("seq")).alias("orden")
+    )
+    out = ops.longest_reading(rows, ["clave"], "text", "orden")
+    return out.select("clave", F.md5("text").alias("texto"), "orden")
 
 
 @query(
     "official_items",
-    f"""WITH {LINES_SQL}, t AS (SELECT doc_id, seq, size % 4 AS m, size, CASE size % 4 WHEN 0 THEN 'BYG.' || (1 + size % 3) || '.A.' || (size % 7) || '. ' || left(text, 10)
-          WHEN 1 THEN 'A. Bloque ' || seq ELSE 'x' || left(text, 15) END AS text, left(text, 10) AS resto FROM lines),
+    f"""WITH {LINES_SQL}, t AS (SELECT doc_id, seq, size % 4 AS m, size, CASE size % 4 WHEN 0 THEN 'BYG.' || (1 + size % 3) || '.A.' || (size % 7) || '. ' || text
+          WHEN 1 THEN 'A. Bloque ' || seq ELSE 'x' || text END AS text, text AS resto FROM lines),
     g AS (SELECT *, sum(CAST(m < 2 AS INTEGER)) OVER w AS n, last_value(CASE WHEN m < 2 THEN m END IGNORE NULLS) OVER w AS abre FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
     r AS (SELECT doc_id, min(seq) AS seq, arg_min(size, seq) AS size, {_joined("string_agg(CASE WHEN m = 0 THEN resto ELSE text END, ' ' ORDER BY seq)")} AS text FROM g WHERE abre = 0 GROUP BY doc_id, n),
     b AS (SELECT doc_id, 'BYG.' || (1 + size % 3) || '.A.' || (size % 7) AS codigo, CAST(1 + size % 3 AS INTEGER) AS curso, arg_max(text, (length(text), -seq)) AS text, min(seq) AS seq
@@ -84,9 +88,9 @@ def official_items(spark, sf_dir):
     """Coded items with their continuations, the longest reading of each."""
     n, text = F.col("size"), F.col("text")
     shown = (
-        F.when(n % 4 == 0, F.concat(F.lit("BYG."), n % 3 + 1, F.lit(".A."), n % 7, F.lit(". "), F.substring(text, 1, 10)))
+        F.when(n % 4 == 0, F.concat(F.lit("BYG."), n % 3 + 1, F.lit(".A."), n % 7, F.lit(". "), text))
         .when(n % 4 == 1, F.concat(F.lit("A. Bloque "), "seq"))
-        .otherwise(F.concat(F.lit("x"), F.substring(text, 1, 15)))
+        .otherwise(F.concat(F.lit("x"), text))
     )
     out = ops.official_items(lines(spark, sf_dir).withColumn("text", shown))
     return out.select("doc_id", "codigo", "curso", "titulo", F.md5("text").alias("texto"), "seq")
@@ -448,11 +452,11 @@ def subject_years(spark, sf_dir):
 @query(
     "merge_blocks",
     """SELECT conv_id, turn, role AS bloque, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n,
-        first_value(left(text, 5)) OVER (PARTITION BY conv_id, role ORDER BY turn) AS titulo FROM conversations""",
+        first_value(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS titulo FROM conversations""",
 )
 def merge_blocks(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.col("role").alias("bloque"), F.substring("text", 1, 5).alias("titulo")
+        "conv_id", "turn", F.col("role").alias("bloque"), F.col("text").alias("titulo")
     )
     return ops.merge_blocks(rows, ["conv_id"], "turn").select("conv_id", "turn", "bloque", "n", "titulo")
 

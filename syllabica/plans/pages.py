@@ -171,7 +171,7 @@ _TERMS = [
 @query(
     "translation_report",
     """WITH t AS (SELECT doc_id, lang, CASE WHEN n_chars % 3 = 0 THEN 'the' ELSE 'm' || doc_id END AS msgid,
-         CASE WHEN n_chars % 5 = 0 THEN '' WHEN n_chars % 5 = 1 THEN 'le' ELSE left(text, 40) END AS msgstr, n_chars % 7 = 0 AS fuzzy FROM documents)
+         CASE WHEN n_chars % 5 = 0 THEN '' WHEN n_chars % 5 = 1 THEN 'le' ELSE text END AS msgstr, n_chars % 7 = 0 AS fuzzy FROM documents)
     SELECT lang, count(*) AS mensajes, count(*) FILTER (msgstr = '') AS sin_traducir, count(*) FILTER (fuzzy) AS dudosas,
       count(*) FILTER (msgid = 'the' AND lang <> 'en' AND msgstr <> CASE lang WHEN 'fr' THEN 'le' ELSE 'der' END) AS terminos,
       count(*) FILTER (lang = 'de' AND contains(lower(msgstr), 'die ')) AS separador FROM t GROUP BY lang""",
@@ -180,7 +180,7 @@ def translation_report(spark, sf_dir):
     n = F.col("n_chars")
     rows = read(spark, sf_dir, "documents").select(
         "lang", F.when(n % 3 == 0, "the").otherwise(F.concat(F.lit("m"), "doc_id")).alias("msgid"),
-        F.when(n % 5 == 0, "").when(n % 5 == 1, "le").otherwise(F.substring("text", 1, 40)).alias("msgstr"), (n % 7 == 0).alias("fuzzy"),
+        F.when(n % 5 == 0, "").when(n % 5 == 1, "le").otherwise(F.col("text")).alias("msgstr"), (n % 7 == 0).alias("fuzzy"),
     )
     terms = spark.createDataFrame(_TERMS, "lang string, msgid string, oficial string")
     return qual.translation_report(rows, terms, {"de": "die "})

@@ -31,7 +31,7 @@ def fold_names(spark, sf_dir):
     """SELECT doc_id,
         md5(regexp_replace(regexp_replace(translate(lower(text), 'áéíóúñü', 'aeiounu'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS guion_bajo,
         md5(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS guion,
-        coalesce(nullif(left(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 50), ''), 'situacion') AS fichero
+        coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'situacion') AS fichero
        FROM documents""",
 )
 def slugs(spark, sf_dir):

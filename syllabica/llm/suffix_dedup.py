@@ -122,8 +122,7 @@ class Bucket:
         self.end = self.start + lengths
         self.ids = ids
         n = len(self.bytes)
-        limit = 1 << max(20, (n - 1).bit_length() if n else 0)
-        up, self.down = powers(limit)
+        up, self.down = powers(n)
         self.total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[self.bytes] * up[:n], out=self.total[1:])
         self.later = np.zeros(n, bool)
@@ -250,7 +249,7 @@ class Bucket:
         return kept, spans
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 1_000_000, part_names: int = 100_000,
+def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 500_000, part_names: int = 150_000,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``__kept`` (bytes) and ``__spans`` (start, end in bytes): every byte goes that a
     string of ``min_bytes`` bytes covers which also starts earlier.

@@ -20,9 +20,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@functools.lru_cache(maxsize=2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
+    """Powers of the base and of its inverse, modulo 2^64; those of a block are kept by the worker."""
+    up, down = _block_powers() if n <= BLOCK else _powers(n)
+    return up[: n + 1], down[: n + 1]
+
+
+@functools.lru_cache(maxsize=1)
+def _block_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(BLOCK)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     step = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)]))
     return step(np.uint64(_BASE)), step(np.uint64(pow(_BASE, -1, 2**64)))
 
@@ -30,8 +39,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _block(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each word of a block no longer than ``BLOCK``, or of one longer word."""
     x = np.frombuffer(raw, np.uint8)
-    size = BLOCK if len(x) <= BLOCK else 1 << (len(x) - 1).bit_length()
-    up, down = powers(size)
+    up, down = powers(len(x))
     edge = np.diff(np.concatenate([[False], _IS_WORD[x], [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[x] * up[: len(x)])])

@@ -74,25 +74,24 @@ class NoticeFinder:
         """Spans in characters; of overlapping spans of a label the one with fewest edits stays."""
         out = []
         for notice, label, edits, parts, pattern in self.rules:
-            windows = []
+            # every match lies in the window of one of its pieces
+            windows = set()
             for at, piece in parts:
                 i = text.find(piece)
                 while i >= 0:
-                    windows.append((max(0, i - at - edits), i - at + len(notice) + edits))
+                    windows.add((max(0, i - at - edits), i - at + len(notice) + edits))
                     i = text.find(piece, i + 1)
-            end = -1
-            joined: list[list[int]] = []
-            for a, b in sorted(windows):
-                if a <= end:
-                    joined[-1][1] = end = max(end, b)
-                else:
-                    joined.append([a, b])
-                    end = b
-            for a, b in joined:
-                for m in pattern.finditer(text[a:b]):
-                    wrong = sum(m.fuzzy_counts)
-                    out.append({"label": label, "start": a + m.start(), "end": a + m.end(), "edits": wrong,
-                                "similarity": 1 - wrong / len(notice)})
+            found: dict[tuple[int, int], int] = {}
+            left = list(windows)
+            while left:
+                a, b = left.pop()
+                m = pattern.search(text, a, b) if b - a >= len(notice) - edits else None
+                if m:
+                    found[m.span()] = sum(m.fuzzy_counts)
+                    # the best match of a window may stand before, between or after others
+                    left += [(a, m.start()), (m.end(), b)]
+            out += [{"label": label, "start": start, "end": end, "edits": wrong, "similarity": 1 - wrong / len(notice)}
+                    for (start, end), wrong in found.items()]
         kept: list[dict] = []
         for span in sorted(out, key=lambda s: (s["edits"], s["start"], s["label"], s["end"])):
             if not any(s["label"] == span["label"] and s["start"] < span["end"] and span["start"] < s["end"] for s in kept):

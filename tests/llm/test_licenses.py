@@ -59,3 +59,12 @@ def test_edits_within_the_bound_are_found(seed):
     best = [s for s in spans if s["label"] == license_scan.NOTICES[notice]]
     assert best and all(s["edits"] <= max(allowed, 4) for s in best)
     assert any(edits(text[s["start"]: s["end"]], n) == s["edits"] for s in best for n, label in license_scan.NOTICES.items() if label == s["label"])
+
+
+@pytest.mark.parametrize("order", [(1, 1, 0), (2, 1, 0, 1), (0, 2, 0), (2, 2, 1)])
+def test_poorer_notices_before_a_better_one(order):
+    forms = ["released under the mit license", "released under the mit licence", "relesed under the mit licence"]
+    text = ". ".join(forms[i] for i in order) + "."
+    spans = license_scan.NoticeFinder(license_scan.NOTICES, 0.1).spans(text)
+    assert [s["edits"] for s in spans] == list(order) and all(s["label"] == "mit-notice" for s in spans)
+    assert [edits(text[s["start"]: s["end"]], forms[0]) for s in spans] == list(order)

@@ -1,20 +1,23 @@
 """Toxicity by two Kneser-Ney bigram models that share what they back off to.
 
-Words are hashed into a fixed number of buckets, so the models have a bounded
-size whatever the corpus. Counts of each class come from a bounded sample of
-labelled documents: pairs of words with an absolute discount, below them the
-number of words that each word follows. Both classes leave the same share to
-the backoff, which is one table of word counts over all documents and the pairs
-of both classes together, so a rare expression says next to nothing.
-
-The log-likelihoods of a text under both models are compared word by word. Its
-median ratio, which its language and subject set, is taken off; what stays above
-is normalised by the length, and a logistic curve fitted on labelled documents
-that gave no counts makes a score of it.
+Counts of each class come from a bounded sample of labelled documents: all its
+pairs of words with an absolute discount, below them the number of words that
+each word follows. What both classes back off to is one table of the words of
+all documents, which grows with the input, and the pairs of both classes
+together. A word that the sample doesn't hold has the same probability in both
+models, so only the sample's words are read from that table. Words are told
+apart by 64-bit hashes.
+
+The length-normalised log-likelihoods of a whole text under both models are
+compared. Languages differ in their share of toxic documents; so a word's counts
+are held against the share that the words before it have in both classes
+together. A logistic curve fitted on labelled documents that gave no counts makes
+a score of the difference.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,72 +31,119 @@ from .frames import documents, slices, staged
 from .quality_knn import labelled_sample
 from .words import word_hashes
 
-BUCKETS = 1 << 18
-START = BUCKETS
+#: Deviation of counts beyond chance, as a share of the expected count: words come in clusters.
+SPREAD = 0.15
 
 
-def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashes, at = word_hashes(texts)
-    return (hashes >> np.uint64(46)).astype(np.int64), at
+    return hashes.view(np.int64), at
 
 
-def pairs(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word (a start mark at first), and the word."""
-    before = np.concatenate([[START], words[:-1]]) if len(words) else words
-    before[at[:-1][at[:-1] < len(words)]] = START
-    return before, words
+def pairs(vocabulary: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each word with the word before it, the word's place in the vocabulary, and where texts begin.
+
+    Unknown words have the place after the last, and what is before a text the one after that.
+    """
+    found, at = words_of(texts)
+    word = places(vocabulary, found)
+    before = np.roll(word, 1)
+    before[at[:-1][at[:-1] < len(word)]] = len(vocabulary) + 1
+    return before * (len(vocabulary) + 2) + word, word, at
+
+
+def places(known: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Where values are in an ordered array; its length for those that aren't there."""
+    place = np.searchsorted(known, sought)
+    place[np.append(known, 0)[place] != sought] = len(known)
+    return place
 
 
 @dataclass
 class Smoothing:
-    """``pair``: discount of a pair; ``word``: of the words before a word; ``share``: what
-    either class leaves to the words of all documents; ``trust``: weight of the pairs of
-    both classes together; ``edge``: log ratio above the median that counts."""
+    """``pair``: discount of a pair; ``pairs`` and ``word``: strength of both classes together
+    against the counts of one, for a pair and a word; ``local``: strength of the share of all
+    toxic words against that of a word's neighbours; ``chance``: discount of what a class has
+    over or under the count that both together let expect, in usual deviations."""
 
     pair: float = 0.75
-    word: float = 2.0
-    share: float = 0.1
-    trust: float = 0.2
-    edge: float = 1.0
+    pairs: float = 5000.0
+    word: float = 5.0
+    local: float = 50.0
+    chance: float = 3.0
+
+
+def _held_back(found: np.ndarray, expected: np.ndarray, strength: float, discount: float) -> np.ndarray:
+    """How many times its expected count something has in a class; 1 without counts.
+
+    What is over or under the expected count is discounted by its usual deviation.
+    """
+    out = np.empty(len(found), np.result_type(expected, np.float32))
+    for i in range(0, len(found), 1 << 18):
+        usual = expected[i: i + (1 << 18)]
+        over = found[i: i + (1 << 18)] - usual
+        over = np.sign(over) * np.maximum(np.abs(over) - discount * np.sqrt(usual + 0.5 + (SPREAD * usual) ** 2), 0)
+        out[i: i + (1 << 18)] = (usual + over + strength) / np.maximum(usual + strength, 1e-30)
+    return out
 
 
 class Comparison:
-    """Both models. ``keys`` are the kept pairs, in order, as ``before * BUCKETS + word``."""
-
-    def __init__(self, keys: np.ndarray, pair: list[np.ndarray], leaders: np.ndarray, total: np.ndarray,
-                 words: np.ndarray, smoothing: Smoothing) -> None:
-        self.keys, self.words, self.smoothing, self.curve = keys, words, smoothing, np.zeros(3)
-        before, counts = keys // BUCKETS, pair[0] + pair[1]
-        shared = np.maximum(counts - smoothing.pair, 0) / np.maximum(total, 1)[before]
-        known = np.bincount(before, shared, minlength=BUCKETS + 1)
-        self.back = 1 - known
-        self.shared = np.append(shared, 0).astype(np.float32)
-        self.pair, self.word = [], []
-        for c in (0, 1):
-            own = np.bincount(before, pair[c], minlength=BUCKETS + 1)
-            seen = pair[c] / np.maximum(own, 1)[before] * known[before]
-            self.pair.append(np.append((seen + shared) / 2, 0).astype(np.float32))
-            kept = np.maximum(leaders[c] - smoothing.word, 0)
-            self.word.append((1 - smoothing.share) * kept / max(kept.sum(), 1) + smoothing.share * words)
+    """Both models. ``keys`` are the pairs of the sample in order, ``counts`` how often it holds
+    each, ``pair`` how many documents of each class do; ``words`` are the hashes of the
+    sample, in order, and ``shared`` their probabilities in all documents."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, pair: list[np.ndarray], words: np.ndarray, shared: np.ndarray,
+                 smoothing: Smoothing) -> None:
+        self.keys, self.words, self.shared, self.curve, self.sent = keys, words, shared, np.zeros(3), None
+        size = len(words) + 2
+        before, word = (keys // size).astype(np.int32), (keys % size).astype(np.int32)
+        own = [np.bincount(before, n, minlength=size) for n in pair]
+        share = own[1].sum() / max(own[0].sum() + own[1].sum(), 1)
+        near = ((own[1] + smoothing.local * share) / (own[0] + own[1] + smoothing.local)).astype(np.float32)
+        found = pair[0] + pair[1]
+        seen = np.maximum(counts - np.float32(smoothing.pair), 0) / np.bincount(before, counts, minlength=size).astype(np.float32)[before]
+        known = np.bincount(before, seen, minlength=size)
+        back = (1 - known).astype(np.float32)
+        likely, of_words = [], []
+        for c, part in ((0, 1 - share), (1, share)):
+            usual = near[before] if c else 1 - near[before]
+            mine = seen * _held_back(pair[c], found * usual, np.float32(smoothing.pairs * part), np.float32(smoothing.chance))
+            mine *= (known / np.maximum(np.bincount(before, mine, minlength=size), 1e-30)).astype(np.float32)[before]
+            # leaders of a word: those of the class, and those to expect when both classes are alike
+            leaders, expected = (np.bincount(word, n, minlength=size)[:-2] for n in (pair[c] > 0, 1 - (1 - usual) ** found))
+            mine_word = shared * _held_back(leaders, expected, smoothing.word * part, smoothing.chance)
+            mine_word *= shared.sum() / max(mine_word.sum(), 1e-30)
+            likely.append(mine + back[before] * mine_word.astype(np.float32)[word])
+            of_words.append(mine_word)
+        # what a comparison needs: of a pair that isn't kept, the share of the backoff is the same in both models
+        self.pair = np.append(np.log(likely[1] / likely[0]), 0).astype(np.float32)
+        self.word = np.append(np.log(of_words[1] / of_words[0]), 0).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        """Pairs by the number of them that begin with each word, half as large as the keys."""
+        size = len(self.words) + 2
+        firsts = np.diff(np.searchsorted(self.keys, np.arange(size + 1) * size)).astype(np.int32)
+        return {"words": self.words, "pair": self.pair, "word": self.word, "second": (self.keys % size).astype(np.int32), "firsts": firsts}
+
+    def __setstate__(self, state: dict) -> None:
+        self.words, self.pair, self.word = state["words"], state["pair"], state["word"]
+        size = len(self.words) + 2
+        self.keys = np.repeat(np.arange(size) * size, state["firsts"])
+        self.keys += state["second"]
+
+    def ratios(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The log of toxic over ordinary of each word, and where the texts begin."""
+        key, word, at = pairs(self.words, texts)
+        place = places(self.keys, key)
+        return np.where(place < len(self.keys), self.pair[place], self.word[word]).astype(np.float64), at
 
     def figures(self, texts: list[str]) -> np.ndarray:
-        """Two length-normalised excesses of each text, and 1."""
-        words, at = buckets(texts)
-        before, word = pairs(words, at)
-        key = before * BUCKETS + word
-        place = np.searchsorted(self.keys, key)
-        place[np.append(self.keys, -1)[place] != key] = len(self.keys)
-        both = self.smoothing.trust * (self.shared[place] + self.back[before] * self.words[word])
-        ordinary, toxic = (np.log(self.pair[c][place] + self.back[before] * (both + (1 - self.smoothing.trust) * self.word[c][word]))
-                           for c in (0, 1))
-        out = np.zeros((len(texts), 3))
-        out[:, 2] = 1
-        for row, a, b in zip(out, at[:-1], at[1:], strict=True):
-            if b > a:
-                ratio = toxic[a:b] - ordinary[a:b]
-                excess = np.maximum(ratio - np.median(ratio) - self.smoothing.edge, 0).sum()
-                row[:2] = np.log1p(100 * excess / (b - a)), np.log1p(10 * excess / np.sqrt(b - a))
-        return out
+        """The difference of the log-likelihoods of each text by its words, and by their root, and 1."""
+        ratio, at = self.ratios(texts)
+        total = np.diff(np.concatenate([[0], np.cumsum(ratio)])[at])
+        n = np.maximum(np.diff(at), 1)
+        bent = lambda x: np.sign(x) * np.log1p(10 * np.abs(x))
+        return np.stack([bent(total / n), bent(total / np.sqrt(n)), np.ones(len(texts))], axis=1)
 
     def fit(self, figures: np.ndarray, labels: np.ndarray, rounds: int = 60) -> None:
         """Logistic regression by Newton steps, slightly held back."""
@@ -103,50 +153,42 @@ class Comparison:
             bend = (figures * (p * (1 - p))[:, None]).T @ figures + 1e-3 * np.eye(3)
             self.curve = self.curve + np.clip(np.linalg.solve(bend, slope), -5, 5)
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.figures(texts) @ self.curve, -30, 30)))
+    def score(self, texts: list[str], curve: np.ndarray | None = None) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.figures(texts) @ (self.curve if curve is None else curve), -30, 30)))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per bucket and task."""
-    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for part in slices(batch):
-            total += np.bincount(buckets(part.column("text").to_pylist())[0], minlength=BUCKETS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["word", "n"])
+            word, n = np.unique(words_of(part.column("text").to_pylist())[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_counts(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            words, at = buckets(part.column("text").to_pylist())
-            before, word = pairs(words, at)
-            label = np.repeat(part.column("label").to_numpy(), np.diff(at))
-            key, n = np.unique((label.astype(np.int64) * (BUCKETS + 1) + before) * BUCKETS + word, return_counts=True)
-            word, rest = key % BUCKETS, key // BUCKETS
-            yield pa.RecordBatch.from_arrays([pa.array(rest // (BUCKETS + 1)), pa.array(rest % (BUCKETS + 1)), pa.array(word),
-                                              pa.array(n)], names=["label", "before", "word", "n"])
-
-
-def _dense(rows: DataFrame, size: int, key: str, value: str) -> np.ndarray:
-    """Counts of at most ``2 * size`` rows as an array per class."""
-    table = rows.toArrow()
-    out = np.zeros((2, size))
-    out[table.column("label").to_numpy(), table.column(key).to_numpy()] = table.column(value).to_numpy()
-    return out
+            key, _, at = pairs(vocabulary, part.column("text").to_pylist())
+            of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            order = np.lexsort((key, of))
+            of, key = of[order], key[order]
+            # once a text for the documents, each time for the count
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
+            first = np.flatnonzero(new)
+            toxic = part.column("label").to_numpy().astype(np.int64)[of[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.diff(np.append(first, len(of)))), pa.array(1 - toxic),
+                                              pa.array(toxic)], names=["pair", "n", "n0", "n1"])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 20_000,
-                 most_pairs: int = 1 << 20, smoothing: Smoothing | None = None, id_col: str = "doc_id",
-                 text_col: str = "text") -> Comparison | None:
+                 smoothing: Smoothing | None = None, id_col: str = "doc_id", text_col: str = "text") -> Comparison | None:
     """The two models and the curve that ``add_score`` uses; None without labels of both classes.
 
     ``learn`` is a condition on ``doc_id`` that says whose labels may be learnt
     from; at most ``sample`` of them are, a quarter of these only for the curve.
-    The models keep the ``most_pairs`` commonest word pairs of the sample.
-    Word counts shared by both classes come from all documents. Texts are read
-    whole, empty and null ones hold no words. An id labelled twice counts once.
+    The models keep all words and word pairs of the sample. Word counts shared by
+    both classes come from all documents. Texts are read whole, empty and null ones
+    hold no words. An id labelled twice counts once.
     """
     spark = docs.sparkSession
     texts = documents(docs, id_col, text_col)
@@ -154,25 +196,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     # at most ``sample`` rows
     known = staged(texts.join(F.broadcast(chosen), "doc_id").withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0),
                    "toxicity-sample")
-    counted = staged(known.where(~F.col("curve")).select("text", "label")
-                     .mapInArrow(_pair_counts, "label long, before long, word long, n long")
-                     .groupBy("label", "before", "word").agg(F.sum("n").alias("n")), "toxicity-pairs")
-    common = (counted.groupBy("before", "word").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
-              .withColumn("n", F.col("n0") + F.col("n1")).where("n > 1")
-              .orderBy(F.desc("n"), "before", "word").limit(most_pairs).toArrow())
-    keys = common.column("before").to_numpy() * BUCKETS + common.column("word").to_numpy()
-    order = np.argsort(keys)
-    keys, pair = keys[order], [common.column(f"n{c}").to_numpy()[order] for c in (0, 1)]
-    total = _dense(counted.groupBy(F.lit(0).alias("label"), "before").agg(F.sum("n").alias("n")), BUCKETS + 1, "before", "n")[0]
-    leaders = _dense(counted.groupBy("label", "word").agg(F.count("*").alias("leaders")), BUCKETS, "word", "leaders")
-    words = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    shared = np.ones(BUCKETS)
-    shared[words.column("word").to_numpy()] += words.column("n").to_numpy()
-    shared /= shared.sum()
-    model = Comparison(keys, pair, leaders, total, shared, smoothing or Smoothing())
-    if not leaders.any(axis=1).all():
+    counts_type = "word long, n long"
+    everywhere = staged(texts.mapInArrow(_word_counts, counts_type).groupBy("word").agg(F.sum("n").alias("n")), "toxicity-words")
+    n_words, n_different = everywhere.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # as many words and pairs as at most ``sample`` rows hold
+    learnt = known.where(~F.col("curve")).select("text", "label")
+    found = learnt.select("text").mapInArrow(_word_counts, counts_type).select("word").distinct().join(everywhere, "word").toArrow()
+    order = np.argsort(found.column("word").to_numpy())
+    words, n = (found.column(c).to_numpy()[order] for c in ("word", "n"))
+    vocabulary = spark.sparkContext.broadcast(words)
+    few = "smallint" if sample < 1 << 15 else "int"
+    counted = (learnt.mapInArrow(lambda batches: _pair_counts(batches, vocabulary.value), "pair long, n long, n0 long, n1 long")
+               .groupBy("pair").agg(F.sum("n").cast("int").alias("n"), *(F.sum(c).cast(few).alias(c) for c in ("n0", "n1"))).toArrow())
+    order = np.argsort(counted.column("pair").to_numpy())
+    keys = counted.column("pair").to_numpy()[order]
+    counts, *pair = (counted.column(c).to_numpy()[order].astype(np.float32) for c in ("n", "n0", "n1"))
+    del counted, order
+    pa.default_memory_pool().release_unused()
+    if not all(n_c.any() for n_c in pair):
         return None
-    first = spark.sparkContext.broadcast(model)
+    model = Comparison(keys, counts, pair, words, (n + 1) / (n_words + n_different + 1), smoothing or Smoothing())
+    # a copy: what is broadcast must not hold its own broadcast
+    first = model.sent = spark.sparkContext.broadcast(copy.copy(model))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,18 +238,18 @@ def add_score(docs: DataFrame, model: Comparison | None, name: str = "score", te
     """``docs`` with a column ``name``: 0 to 1, higher for likelier toxic.
 
     Rows and other columns stay as they are; repeated rows are scored alike.
-    Empty and null texts score as a text without any excess does; without a model
+    Empty and null texts score as a text does that both models find as likely; without a model
     every score is 0.
     """
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
-    fitted = docs.sparkSession.sparkContext.broadcast(model)
+    fitted, curve = model.sent, model.curve
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column=text_col):
-                score = fitted.value.score([text or "" for text in part.column(at).to_pylist()])
+                score = fitted.value.score([text or "" for text in part.column(at).to_pylist()], curve)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from syllabica.llm import quality_knn, toxicity_kn
 from syllabica.llm.frames import remainder
+from syllabica.llm.words import word_hashes
 from tests.llm.helpers import empty, prose, table
 
 
@@ -57,6 +59,27 @@ def test_toxicity(spark):
     assert {r["doc_id"]: r["score"] for r in got}[9001] == {r["doc_id"]: r["score"] for r in got}[9002]
 
 
+def test_words_and_pairs_are_all_told_apart(spark):
+    rows, labels = corpus()
+    learn = remainder("doc_id", 5) != 0
+    # a word whose hash begins with the same 18 bits
+    many = [f"w{i}" for i in range(2_000_000)]
+    first = word_hashes([" ".join(many)])[0] >> np.uint64(46)
+    same = many[int(np.flatnonzero(first == word_hashes(["vileword"])[0][0] >> np.uint64(46))[0])]
+    rows += [(1000 + i, f"{prose(20, i % 5)} {same}") for i in range(20)]
+    docs = table(spark, rows).drop("score")
+    model = toxicity_kn.fit_toxicity(docs, labels_of(spark, labels), learn)
+    assert model.score(["vileword"])[0] >= 0.5 > model.score([same])[0]
+    known = {r["doc_id"] for r in spark.createDataFrame(labels, "doc_id long, q int, t int, x string")
+             .where(learn & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) != 0)).collect()}
+    words = [text.lower().replace("!!", "").split() for i, text in rows if i in known]
+    assert len(model.keys) == len({p for text in words for p in zip(["", *text], text, strict=False)})
+    # probabilities shared by both models are those of all documents
+    every = [w for _, text in rows for w in text.lower().replace("!!", "").split()]
+    vile = toxicity_kn.places(model.words, toxicity_kn.words_of(["vileword"])[0])
+    assert np.isclose(model.shared[vile][0], (every.count("vileword") + 1) / (len(every) + len(set(every)) + 1))
+
+
 def test_labels_outside_the_fold_change_nothing(spark):
     rows, labels = corpus(120)
     learn = remainder("doc_id", 5) != 0

@@ -59,6 +59,15 @@ def test_toxicity(spark):
     assert {r["doc_id"]: r["score"] for r in got}[9001] == {r["doc_id"]: r["score"] for r in got}[9002]
 
 
+def test_short_and_wholly_toxic_texts(spark):
+    rows, labels = corpus()
+    docs = table(spark, rows).drop("score")
+    model = toxicity_kn.fit_toxicity(docs, labels_of(spark, labels), remainder("doc_id", 5) != 0)
+    common = rows[1][1].split()[0].strip("!").lower()
+    toxic = model.score(["vileword", "nastyword foulword", "vileword " * 40, f"{common} vileword nastyword"])
+    assert min(toxic) >= 0.5 > max(model.score([common, "", "never seen words", rows[1][1]]))
+
+
 def test_words_and_pairs_are_all_told_apart(spark):
     rows, labels = corpus()
     learn = remainder("doc_id", 5) != 0

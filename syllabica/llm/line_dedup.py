@@ -64,17 +64,30 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", t
     return ranked
 
 
-def mark_repeated_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _repeated_long_lines(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """``__d, __t, __j, __rank`` of lines of ``min_words`` words or more that occur more than once."""
+    hashed = F.transform(F.filter(_lines(F.col(f"`{text_col}`")), lambda x: F.trim(x) != ""), lambda x: F.when(
+        F.size(F.split(F.trim(x), "\\s+")) >= min_words, F.struct(F.xxhash64(x).alias("__a"), F.xxhash64(F.lit(1), x).alias("__b"))))
+    lines = _keyed(docs, id_col, text_col).select("__d", "__t", F.posexplode(hashed).alias("__j", "__line")).where("__line IS NOT NULL")
+    return _repeated(lines.select(*_PLACE, "__line.__a", "__line.__b").distinct(), ["__a", "__b"])
+
+
+def mark_repeated_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text",
+                        min_words: int | None = None) -> DataFrame:
     """``docs`` with ``__removed``: the indexes of the lines that later copies of repeated runs cover.
 
     Documents are ordered by id and lines by place; a run of ``min_lines`` or more
-    lines that also begins earlier is a later copy, overlaps included. Blank lines
+    lines that also begins earlier is a later copy, overlaps included. With
+    ``min_words`` so is a single line of that many words or more. Blank lines
     are neither counted nor removed. A null text stays null; a null id comes before
     all others; rows that repeat an id with another text are ordered by a hash of
     the text, and a row that is there twice is handled alike.
     """
     later = repeated_runs(docs, min_lines, id_col, text_col).where(F.col("__rank") != F.struct(*_PLACE))
     covered = later.select("__d", "__t", F.explode(F.sequence("__j", F.col("__j") + (min_lines - 1))).alias("__j"))
+    if min_words is not None:
+        long = _repeated_long_lines(docs, min_words, id_col, text_col).where(F.col("__rank") != F.struct(*_PLACE))
+        covered = covered.union(long.select(*_PLACE))
     # at most the lines of one document
     places = covered.groupBy("__d", "__t").agg(F.collect_set("__j").alias("__places"))
     filled = _filled(F.col(f"`{text_col}`"))
@@ -91,9 +104,10 @@ def kept_text(text: Column, removed: Column) -> Column:
     return F.when(text.isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text",
+                        min_words: int | None = None) -> DataFrame:
     """``docs`` with the same columns and rows, without the lines that ``mark_repeated_lines`` finds."""
     text = F.col(f"`{text_col}`")
-    marked = mark_repeated_lines(docs, min_lines, id_col, text_col)
+    marked = mark_repeated_lines(docs, min_lines, id_col, text_col, min_words)
     new = F.when(F.size("__removed") > 0, kept_text(text, F.col("__removed"))).otherwise(text)
     return marked.withColumn(text_col, new).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -39,3 +39,10 @@ def test_awkward_rows(spark):
     got = sorted((str(r["doc_id"]), str(r["text"])) for r in line_dedup.drop_repeated_lines(table(spark, rows)).collect())
     assert got == sorted([("None", "a\nb"), ("3", "c"), ("4", "None"), ("5", ""), ("6", "z\nz2"), ("6", "z\nz2"), ("7", "q"), ("7", "other\nlines")])
     assert line_dedup.drop_repeated_lines(empty(spark)).count() == 0
+
+
+def test_long_single_lines(spark):
+    long, short = "many words " * 30, "few words"
+    rows = [(1, f"a\n{long}\nb"), (2, long), (3, f"c\n{long}\nd"), (4, f"e\n{short}\nf"), (5, f"g\n{short}\nh"), (6, f"i\n{short}\nh")]
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_repeated_lines(table(spark, rows), min_words=50).collect())
+    assert got == [(1, f"a\n{long}\nb"), (2, ""), (3, "c\nd"), (4, f"e\n{short}\nf"), (5, f"g\n{short}\nh"), (6, "i")]

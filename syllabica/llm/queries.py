@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, license_scan, line_dedup, ngram_join, packing, quality_knn, suffix_dedup, toxicity_kn, vp_trees
+from . import (bit_sliced, byte_bpe, conversation_repair, conversation_sql, fill_middle, language_zstd, license_scan, line_dedup, ngram_join, packing,
+               quality_knn, suffix_dedup, toxicity_kn, vp_trees)
 from .frames import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +133,39 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_join")
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair", conversation_sql.SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_fill_middle", """
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), cuts AS (
+  SELECT doc_id, text, l, len(l) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(l) + 1) AS one,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(l) + 1) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM lines
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(l[1:least(one, two)], '') AS p,
+         array_to_string(l[least(one, two) + 1:greatest(one, two)], '') AS m, array_to_string(l[greatest(one, two) + 1:], '') AS s FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts""")
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op13_language_zstd")
+def op13_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 4) == 2
+    found = language_zstd.identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

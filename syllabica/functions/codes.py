@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import compare_heading, ordered_distinct, strip
+from .text import compare_heading, fold_words, ordered_distinct, strip
 
 # ---------------------------------------------------------------------------
 # Patterns and word lists the bulletins use.
@@ -27,6 +27,12 @@ YEAR_HEADER_CA = r"(?U)^(?:1r|2n|3r|4t)(?:[\s,i]+(?:1r|2n|3r|4t))*$"
 OPTIONAL_TITLE_CA = r"(?iU)optativa de\s+(primer|segon|tercer|quart)(?:\s+a\s+(primer|segon|tercer|quart))?"
 TRACK = r"(?iU)matem[áa]ticas\s+([ab])\b"
 
+# Headings of table columns.
+TABLE_HEADINGS = [
+    "competencias especificas", "criterios de evaluacion", "criterios evaluacion",
+    "saberes basicos", "saberes", "basicos",
+]
+
 # The descriptors of the exit profile.
 DESCRIPTORS = [
     "CCL1", "CCL2", "CCL3", "CCL4", "CCL5",
@@ -39,6 +45,7 @@ DESCRIPTORS = [
     "CCEC1", "CCEC2", "CCEC3", "CCEC4",
 ]
 
+# Ordinals of years, and Catalan column headings.
 ORDINALS_ES = {
     "primero": 1, "segundo": 2, "tercero": 3, "cuarto": 4,
     "primer": 1, "segund": 2, "tercer": 3, "cuart": 4,
@@ -200,9 +207,35 @@ def drop_code_residue(line: Column, prefix: Column) -> Column:
     return out
 
 
+def criteria_of_cell(cell: Column, prefix: Column) -> Column:
+    """Struct(preludio, criterios) of a cell: text before its first code, and (codigo, texto) of each code at a line's start.
+
+    Lines after a code continue it. What is left of the subject's code prefix at a line's end and headings go.
+    """
+    lines = F.transform(F.split(cell, "\n"), lambda t: drop_code_residue(strip(t), prefix))
+    said = F.filter(lines, lambda t: (t != "") & ~fold_words(t).isin(TABLE_HEADINGS))
+    piece = "struct<codigo:string,texto:string>"
+    start = F.struct(F.lit("").alias("preludio"), F.array().cast(f"array<{piece}>").alias("criterios"))
+
+    def step(acc: Column, t: Column) -> Column:
+        done, n = acc["criterios"], F.size(acc["criterios"])
+        code = F.concat_ws(".", F.regexp_extract(t, CRITERION_CELL, 1), F.regexp_extract(t, CRITERION_CELL, 2))
+        opened = F.concat(done, F.array(F.struct(code.alias("codigo"), F.regexp_extract(t, CRITERION_CELL, 3).alias("texto"))))
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, n - 1), F.array(F.struct(last["codigo"].alias("codigo"), F.concat_ws(" ", last["texto"], t).alias("texto"))))
+        before = F.ltrim(F.concat_ws(" ", acc["preludio"], t))
+        return (
+            F.when(t.rlike(CRITERION_CELL), F.struct(acc["preludio"].alias("preludio"), opened.alias("criterios")))
+            .when(n > 0, F.struct(acc["preludio"].alias("preludio"), longer.alias("criterios")))
+            .otherwise(F.struct(before.alias("preludio"), done.alias("criterios")))
+        )
+
+    return F.aggregate(said, start, step)
+
+
 def dotted_order(c: Column) -> Column:
-    """Numeric sort key of a dotted code, so 1.2 comes before 1.10."""
-    return F.transform(F.split(c, r"\."), lambda p: F.coalesce(p.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
+    """Numeric sort key of a dotted code, so 1.2 comes before 1.10. A part that is no number of up to 38 digits is null and so comes first."""
+    return F.transform(F.split(c, r"\."), lambda p: F.when(p.rlike(r"^\s*\d{1,38}\s*$"), p.try_cast("decimal(38,0)")))
 
 
 def course_order(c: Column) -> Column:

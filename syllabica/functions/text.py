@@ -18,12 +18,13 @@ _SURROGATES, _HANGUL = range(0xD800, 0xE000), range(0xAC00, 0xD7A4)
 
 
 @lru_cache(maxsize=None)
-def _taken_apart(form: str) -> tuple[dict[str, str], dict[str, str]]:
+def _taken_apart(form: str, words: bool = False) -> tuple[dict[str, str], dict[str, str]]:
     """What each character is without its marks, read off the Unicode tables.
 
     ``form`` is NFD or NFKD. One table holds characters that become one
     character or none (marks), the other those that become several. Hangul
-    syllables carry no marks and stay whole.
+    syllables carry no marks and stay whole. With ``words`` only characters that give
+    an ASCII letter, digit or space are listed, for forms that drop all others.
     """
     single, several = {}, {}
     for cp in range(0x80, 0x30000):
@@ -31,7 +32,9 @@ def _taken_apart(form: str) -> tuple[dict[str, str], dict[str, str]]:
             continue
         letter = chr(cp)
         bare = "".join(p for p in unicodedata.normalize(form, letter) if unicodedata.category(p) != "Mn")
-        if bare != letter:
+        if words:
+            bare = "".join(p for p in bare if p.isascii() and (p.isalnum() or p == " "))
+        if bare != letter and (bare or not words):
             (single if len(bare) < 2 else several)[letter] = bare
     return single, several
 
@@ -48,13 +51,11 @@ def _class(letters: Iterable[str]) -> str:
 
 
 def _expand(c: Column, several: dict[str, str]) -> Column:
-    """Replace characters that become several; only texts that hold one are cut up."""
-    holds = F.length(F.translate(c, "".join(several), "")) < F.length(c)
+    """Replace characters that become several."""
     table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
     letters = _class(several)
     runs = F.regexp_extract_all(c, F.lit(f"[{letters}]|[^{letters}]+"), F.lit(0))
-    opened = F.array_join(F.transform(runs, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    return F.when(holds, opened).otherwise(c)
+    return F.array_join(F.transform(runs, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
 
 
 def strip(c: Column) -> Column:
@@ -62,16 +63,22 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def bare_letters(c: Column, form: str = "NFD") -> Column:
+def bare_letters(c: Column, form: str = "NFD", words: bool = False) -> Column:
     """Drop diacritics of every script, keep case.
 
     NFKD also takes compatibility characters apart: ordinal signs, ligatures,
-    fractions, full-width forms.
+    fractions, full-width forms. With ``words`` characters that give no ASCII letter, digit or
+    space are left for the caller to drop. ASCII texts are left as they are, and
+    only texts that hold a character which becomes several are cut up.
     """
-    single, several = _taken_apart(form)
+    single, several = _taken_apart(form, words)
     kept = [x for x in single if single[x]] + [x for x in single if not single[x]]
-    plain = F.translate(c, "".join(kept), "".join(single[x] for x in kept))
-    return _expand(plain, several) if several else plain
+    plain = lambda x: F.translate(x, "".join(kept), "".join(single[k] for k in kept))
+    out = F.when(c.rlike(r"^\p{ASCII}*$"), c)
+    if several:
+        holds = F.length(F.translate(c, "".join(several), "")) < F.length(c)
+        out = out.when(holds, plain(_expand(c, several)))
+    return out.otherwise(plain(c))
 
 
 def fold(c: Column, form: str = "NFD") -> Column:
@@ -81,12 +88,12 @@ def fold(c: Column, form: str = "NFD") -> Column:
 
 def fold_words(c: Column) -> Column:
     """Folded text reduced to letters, digits and single-byte spaces."""
-    return F.trim(F.regexp_replace(fold(c, "NFKD"), "[^a-z0-9 ]+", ""))
+    return F.trim(F.regexp_replace(bare_letters(F.lower(strip(c)), "NFKD", words=True), "[^a-z0-9 ]+", ""))
 
 
 def name_key(c: Column) -> Column:
     """Folded text reduced to ``[a-z0-9]``: the key names are compared on."""
-    return F.regexp_replace(F.lower(fold(c, "NFKD")), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.lower(bare_letters(F.lower(strip(c)), "NFKD", words=True)), "[^a-z0-9]+", "")
 
 
 # The only letters the underscore slug replaces; others separate.
@@ -105,7 +112,7 @@ def slug(c: Column, style: str = "underscore", longest: int | None = None) -> Co
             F.regexp_replace(F.translate(F.lower(c), *_SLUG_LETTERS), "[^a-z0-9]+", "_"), "^_+|_+$", ""
         )
     if style == "dash":
-        return F.regexp_replace(F.regexp_replace(F.lower(bare_letters(F.lower(c), "NFKD")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+        return F.regexp_replace(F.regexp_replace(F.lower(bare_letters(F.lower(c), "NFKD", words=True)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     if style == "ascii":
         plain = F.regexp_replace(F.lower(bare_letters(c, "NFKD")), r"[^\x00-\x7F]", "")
         return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "")

@@ -24,12 +24,10 @@ NOISE_BOJA = (
     r"Dep[óo]sito Legal|https?://|#CODIGO)"
 )
 NOISE_CA = r"^Decret 175/2022|^\d+/\d+$"
-TABLE_HEADINGS = [
-    "competencias especificas", "criterios de evaluacion", "criterios evaluacion",
-    "saberes basicos", "saberes", "basicos",
-]
+TABLE_HEADINGS = C.TABLE_HEADINGS
 NOT_SUBJECTS = ["materias comunes obligatorias y optativas", "anexo ii", "anexo iii"]
 MIN_COLUMN_GAP, MIN_TITLE_X, MAX_TITLE = 100, 150, 70
+MAX_BLOCK_TITLE, MIN_COVER_TITLE = 90, 4
 INDENT_STEP, TITLE_SIZE_SLACK = 6, 0.1
 
 
@@ -49,14 +47,14 @@ def without_noise(lines: DataFrame, pattern: str = NOISE_BOJA) -> DataFrame:
     return lines.where(~is_noise(F.col("text"), pattern) & ~is_table_heading(F.col("text")))
 
 
-def is_subject_title(lines_have: str = "text") -> Column:
+def is_subject_title(lines_have: str = "text", min_x: float = MIN_TITLE_X, max_title: int = MAX_TITLE) -> Column:
     """Bold, centred, short, outside tables, and no code, block or year."""
     c = F.col(lines_have)
     words = fold_words(c)
     return (
         F.col("bold")
-        & (F.col("x") >= MIN_TITLE_X)
-        & (F.length(c) <= MAX_TITLE)
+        & (F.col("x") >= min_x)
+        & (F.length(c) <= max_title)
         & ~F.col("in_table")
         & ~c.rlike(C.OFFICIAL_ITEM)
         & ~c.rlike(C.BLOCK)
@@ -149,7 +147,9 @@ def _after_first(name: str) -> Column:
     return F.filter(F.col(name), lambda _, i: i > 0)
 
 
-def official_items(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "seq") -> DataFrame:
+def official_items(
+    lines: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "seq", max_title: int = MAX_BLOCK_TITLE,
+) -> DataFrame:
     """(keys, codigo, prefix, curso, bloque, titulo, seq, text) of coded items.
 
     The year comes from the code, not from the column the line was read in. A
@@ -161,7 +161,7 @@ def official_items(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order: s
     code = text.rlike(C.OFFICIAL_ITEM)
     first = F.substring(text, 1, 1)
     lower = (first == F.lower(first)) & (first != F.upper(first))
-    heading = ~code & text.rlike(C.BLOCK) & (F.length(text) < 90) & ~lower
+    heading = ~code & text.rlike(C.BLOCK) & (F.length(text) < max_title) & ~lower
     marked = running(
         usable, keys, [order], width_bucket(order), counts={"n": code | heading},
         carries={"abre": F.when(code | heading, code)},
@@ -343,12 +343,14 @@ def in_boxes(lines: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFra
     return joined.withColumn("in_table", F.coalesce(inside, F.lit(False))).drop("cajas")
 
 
-def cover_titles(lines: DataFrame, keys: Sequence[str] = ("doc_id",), slack: float = TITLE_SIZE_SLACK) -> DataFrame:
+def cover_titles(
+    lines: DataFrame, keys: Sequence[str] = ("doc_id",), slack: float = TITLE_SIZE_SLACK, least: int = MIN_COVER_TITLE,
+) -> DataFrame:
     """Lines of the largest type size on each document's first page."""
     first = lines.where(F.col("page") == 1)
     largest = first.groupBy(*keys).agg(F.max("size").alias("mayor"))
     joined = first.join(largest, list(keys), "inner")
-    return joined.where((F.col("size") >= F.col("mayor") - slack) & (F.length("text") > 3)).drop("mayor")
+    return joined.where((F.col("size") >= F.col("mayor") - slack) & (F.length("text") >= least)).drop("mayor")
 
 
 def mixed_columns(items: DataFrame, keys: Sequence[str] = ("doc_id", "columna"), year: str = "curso") -> DataFrame:

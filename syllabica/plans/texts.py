@@ -193,7 +193,7 @@ def dotted_order(spark, sf_dir):
     code = F.concat_ws(".", "l_linenumber", F.col("l_quantity").cast("int"))
     rows = read(spark, sf_dir, "lineitem", "l_linenumber", "l_quantity").select(code.alias("codigo")).distinct()
     key = C.dotted_order(F.col("codigo"))
-    return rows.orderBy(key).select("codigo", key[0].alias("mayor"), key[1].alias("menor"))
+    return rows.orderBy(key).select("codigo", key[0].cast("int").alias("mayor"), key[1].cast("int").alias("menor"))
 
 
 @query(

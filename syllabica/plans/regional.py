@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import andalusia as A
+from ..operators import catalonia as K
 from .registry import query, read
 
 
@@ -105,3 +106,54 @@ def code_year_mismatches(spark, sf_dir):
     records = read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("materia"), F.array(year).alias("cursos_aplicables"), F.array(F.struct(F.array(code).alias("codigos_items"))).alias("saberes_basicos"))
     return A.year_mismatches(records).groupBy("materia", "codigo").agg(F.count(F.lit(1)).alias("veces"))
+
+
+def _put(page, y, text, when="siempre", x=85.0, size=10.0, bold=False):
+    return when, page, x, float(y), size, bold, text
+
+
+_CATALAN = [
+    _put(1, 50, "Matemàtiques", "tabla", size=20.0), _put(1, 60, "Llengua Catalana", "doble", size=20.0),
+    _put(1, 50, "Cultura Científica (matèria optativa de quart d'ESO)", "cultura", size=20.0), _put(1, 50, "Robòtica", "robotica", size=20.0),
+    _put(1, 80, "Decret 175/2022 de currículum"), _put(1, 90, "Competència específica 1", "tabla"), _put(1, 100, "Interpretar {} problemes", "tabla"),
+    _put(1, 110, "de la vida.", "tabla"), _put(1, 120, "Criteris d’avaluació"), _put(1, 131, "1r, 2n i 3r", "tabla", 173.0), _put(1, 133, "4t", "tabla", 413.0),
+    _put(1, 145, "1.1 Llegir", "tabla", 91.0), _put(1, 145, "1.1 Llegir més", "tabla", 313.0), _put(1, 155, "enunciats.", "tabla", 91.0),
+    _put(1, 155, "i millor.", "tabla", 313.0), _put(1, 165, "1.2. Resoldre.", "tabla", 91.0), _put(1, 170, "sense codi", "sola"),
+    _put(1, 180, "1.1. Analitzar []", "sola"), _put(1, 190, "conceptes.", "sola"), _put(2, 40, "Competència específica 2", "tabla"), _put(2, 50, "Raonar.", "tabla"),
+    _put(2, 60, "Criteris d'avaluacio", "tabla"), _put(2, 70, "1r, 2n i 3r", "tabla", 173.0), _put(2, 70, "4t", "tabla", 413.0),
+    _put(2, 90, "2.1 Provar.", "tabla", 91.0), _put(2, 100, "2.1 Provar bé.", "tabla", 313.0), _put(2, 101, "4t", "tabla", 413.0), _put(3, 40, "Sabers", size=12.0),
+    _put(3, 50, "Sentit numèric.", "tabla", bold=True), _put(3, 60, "Quantitat", "tabla", 103.0), _put(3, 70, "–", "tabla", 112.0),
+    _put(3, 70, "Nombres grans", "tabla", 120.0), _put(3, 80, "i petits", "tabla", 120.0), _put(3, 90, "Estimació", "tabla", 121.0),
+    _put(3, 100, "Bloc 1. La cèl·lula", "sola", bold=True), _put(3, 110, "La teoria", "sola", 103.0), _put(3, 120, "cel·lular", "sola", 104.0),
+    _put(3, 130, "Bloc 2. Buit", "sola", bold=True),
+]
+
+
+@query(
+    "xtec_records",
+    """WITH c AS (SELECT c_custkey AS doc_id, CAST(c_nationkey AS VARCHAR) AS n, c_nationkey % 2 = 0 AS tabla, c_mktsegment AS s,
+        '1 Interpretar ' || c_custkey || ' problemes de la vida.|2 Raonar.' AS comps FROM customer),
+    t AS (SELECT *, unnest(CASE WHEN s = 'HOUSEHOLD' THEN ['Matemàtiques', 'Llengua Catalana'] ELSE ['Matemàtiques'] END) AS titulo FROM c WHERE tabla),
+    k(ciclo, criterios) AS (VALUES ('1º ESO i 2º ESO i 3º ESO', '1.1 1 Llegir enunciats.|1.2 1 Resoldre.|2.1 2 Provar.'), ('4º ESO', '1.1 1 Llegir més i millor.|2.1 2 Provar bé. 4t'))
+    SELECT doc_id, titulo AS materia, ciclo, comps AS competencias, criterios, '1. Sentit numèric · Quantitat: Nombres grans i petits, Estimació' AS saberes, CAST(NULL AS VARCHAR) AS motivo FROM t, k
+    UNION ALL SELECT doc_id, CASE WHEN s = 'BUILDING' THEN 'Robòtica' ELSE 'Cultura Científica' END, CASE WHEN s = 'BUILDING' THEN 'Únic' ELSE '4º ESO' END, '',
+      '1.1 1 Analitzar ' || n || ' conceptes.', '1. Bloc 1. La cèl·lula: La teoria cel·lular', NULL FROM c WHERE NOT tabla
+    UNION ALL SELECT doc_id, 'Robòtica', NULL, NULL, NULL, NULL, 'sin_cursos' FROM c WHERE NOT tabla AND s = 'BUILDING'""",
+)
+def xtec_records(spark, sf_dir):
+    """Positioned lines to records: two columns or none, both forms of indent, shared titles, years from the cover."""
+    c = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    even, segment = F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")
+    documents = c.select(
+        F.col("c_custkey").alias("doc_id"), F.col("c_nationkey").alias("n"),
+        F.struct(F.lit(True).alias("siempre"), even.alias("tabla"), (~even).alias("sola"), (even & (segment == "HOUSEHOLD")).alias("doble"),
+                 (~even & (segment == "BUILDING")).alias("robotica"), (~even & (segment != "BUILDING")).alias("cultura")).alias("hay"))
+    articles = spark.createDataFrame([("Filosofia", ["4º ESO"])], "materia string, cursos array<string>")
+    out = K.extract(_rows(documents, _CATALAN, ["page", "x", "y", "size", "bold"]), articles)
+    comp = F.transform("competencias_especificas", lambda c: F.concat_ws(" ", c["codigo"], c["descripcion"]))
+    crit = F.transform("criterios_evaluacion", lambda c: F.concat_ws(" ", c["codigo"], c["competencia"], c["descripcion"]))
+    items = F.transform("saberes_basicos", lambda b: F.concat(b["bloque"], F.lit(": "), F.array_join(b["items"], ", ")))
+    none = F.lit(None).cast("string")
+    records = out["records"].select("doc_id", "materia", "ciclo", F.array_join(comp, "|").alias("competencias"), F.array_join(crit, "|").alias("criterios"),
+                                    F.array_join(items, "|").alias("saberes"), none.alias("motivo"))
+    return records.unionByName(out["avisos"].select("doc_id", "materia", *[none.alias(c) for c in ("ciclo", "competencias", "criterios", "saberes")], "motivo"))

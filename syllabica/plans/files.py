@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalogue as cat
 from ..session import shared_dir
 from ..sources import catalogue_files as files
+from ..sources.json_values import cut_up
 from ..streaming import jobs
 from .registry import query, read
 
@@ -111,10 +112,37 @@ def catalogue_files(spark, sf_dir):
 def catalogue_stream(spark, sf_dir):
     """Files loaded as they arrive: the criteria table after the last batch."""
     folder = _written(spark, sf_dir)
-    stream = jobs.catalogue_stream(spark, f"{folder}/json")
-    jobs.load_files(stream, f"{folder}/tablas", f"{folder}/control").awaitTermination()
-    rows = jobs.newest_state(spark, f"{folder}/tablas/criterios")
-    return rows.select("comunidad", "materia", "codigo", "idioma")
+    jobs.load_files(jobs.catalogue_pieces(spark, f"{folder}/json"), f"{folder}/tablas", f"{folder}/control", buckets=8).awaitTermination()
+    return jobs.loaded(spark, f"{folder}/tablas", "criterios").select("comunidad", "materia", "codigo", "idioma")
+
+
+_MIXED_SQL = """SELECT 'leido' AS resultado, 'M' || p_partkey AS materia, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS lugar FROM part
+UNION ALL SELECT 'leido', 'N' || p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 1 ELSE 0 END FROM part WHERE p_partkey % 4 < 2
+UNION ALL SELECT 'rechazado', 'R' || p_partkey, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 1 END FROM part
+UNION ALL SELECT 'rechazado', '7', 0 FROM part WHERE p_partkey % 4 > 1
+UNION ALL SELECT 'rechazado', 'suelto', 0 FROM part WHERE p_partkey % 4 = 1"""
+
+
+def _mixed(spark, sf_dir):
+    """A text per part: lines with a bad one, objects one after the other, an array, trailing text."""
+    k = F.col("p_partkey")
+    good, other = F.concat(F.lit('{"materia": "M'), k, F.lit('", "etapa": "} \\" ["}')), F.concat(F.lit('{\n  "materia": "N'), k, F.lit('"\n}'))
+    bad = F.concat(F.lit('{"materia": "R'), k, F.lit('", '))
+    text = (
+        F.when(k % 4 == 0, F.concat(other, F.lit(" "), good, F.lit("\n"), bad))
+        .when(k % 4 == 1, F.concat(F.lit("suelto\n"), other, F.lit("\n"), bad, F.lit("\n"), good))
+        .otherwise(F.concat(F.lit("[7, "), F.concat(F.lit('"R'), k, F.lit('", ')), good, F.lit("]\n")))
+    )
+    return read(spark, sf_dir, "part", "p_partkey").select(text.alias("value"), k.cast("string").alias("ruta"))
+
+
+@query("catalogue_mixed", _MIXED_SQL)
+def catalogue_mixed(spark, sf_dir):
+    """Texts of every shape cut into values; what is no object is reported with its place."""
+    found = cut_up(_mixed(spark, sf_dir))
+    name = F.regexp_extract("texto", '"materia": "([A-Z][0-9]+)"', 1)
+    bad = F.coalesce(F.nullif(F.regexp_extract("texto", "R[0-9]+", 0), F.lit("")), F.col("texto"))
+    return found.select(F.when(F.col("bueno"), "leido").otherwise("rechazado").alias("resultado"), F.when(F.col("bueno"), name).otherwise(bad).alias("materia"), F.col("n").alias("lugar"))
 
 
 @query(

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from ..streaming import jobs
+from ..streaming import jobs, keyed
 from .registry import query, read
 
 
@@ -28,10 +28,10 @@ def _appended(spark, name, stream):
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def _state(spark, name, stream):
+def _changes(spark, name, stream):
     target, checkpoint = _folders(spark, name)
-    jobs.run_state(stream, target, checkpoint).awaitTermination()
-    return jobs.newest_state(spark, target)
+    jobs.run_changes(stream, ["id_tarea"], target, checkpoint, buckets=8).awaitTermination()
+    return keyed.newest(spark, target, stream.schema)
 
 
 @query(
@@ -53,33 +53,55 @@ def rate_limit_breaches(spark, sf_dir):
     return out.withColumn("desde", F.col("desde").cast("timestamp_ntz"))
 
 
+@query(
+    "rate_limits_short",
+    """WITH u AS (SELECT 'minute' AS periodo, 60 AS n, 1 AS maximo UNION ALL SELECT 'hour', 3600, 3),
+    w AS (SELECT periodo, maximo, make_timestamp(CAST(epoch(ts) AS BIGINT) // n * n * 1000000) AS desde, n, '10.0.0.' || user_id % 10 AS quien, count(*) AS peticiones FROM events, u GROUP BY ALL)
+    SELECT periodo, desde, 'todas' AS ruta, quien, peticiones, CAST(maximo AS BIGINT) AS maximo FROM w
+    WHERE peticiones > maximo AND desde + to_seconds(n) <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
+def rate_limits_short(spark, sf_dir):
+    """Addresses over a limit per minute and per hour; callers without an account."""
+    requests = _events(spark, sf_dir).select(
+        "ts", F.lit("todas").alias("ruta"), F.lit(None).cast("bigint").alias("id_usuario"), F.concat(F.lit("10.0.0."), F.col("user_id") % 10).alias("ip")
+    )
+    limits = spark.createDataFrame([("todas", "minute", 1), ("todas", "hour", 3)], "ruta string, periodo string, maximo bigint")
+    parts = [_appended(spark, f"limites-{p}", jobs.rate_breaches(requests, limits, p)).withColumn("periodo", F.lit(p)) for p in ("minute", "hour")]
+    return parts[0].unionByName(parts[1]).withColumn("desde", F.col("desde").cast("timestamp_ntz"))
+
+
 def _task_events(spark, sf_dir):
+    """Four tasks per account: a document is generated anew, and its earlier success says nothing of the later task."""
     kind = F.col("event_type")
     return _events(spark, sf_dir).select(
-        F.col("user_id").alias("id_situacion"), "ts",
+        F.concat_ws("-", "user_id", F.col("event_id") % 4).alias("id_tarea"), F.col("user_id").alias("id_situacion"), "ts",
         F.when((kind == "purchase") & (F.col("value") > 90), "SUCCESS").when(kind == "error", "ERROR").otherwise(F.lit("PROGRESO")).alias("event"),
         kind.alias("section"),
     )
 
 
+_TASKS_SQL = """WITH e AS (SELECT user_id || '-' || event_id % 4 AS id_tarea, user_id AS id_situacion, ts, event_type AS section,
+    CASE WHEN event_type = 'purchase' AND value > 90 THEN 'SUCCESS' WHEN event_type = 'error' THEN 'ERROR' ELSE 'PROGRESO' END AS event FROM events)"""
+
+
 @query(
     "latest_task_states",
-    """WITH e AS (SELECT user_id, ts, event_type, CASE WHEN event_type = 'purchase' AND value > 90 THEN 'SUCCESS' WHEN event_type = 'error' THEN 'ERROR' ELSE 'PROGRESO' END AS event FROM events)
-    SELECT user_id AS id_situacion, arg_max(event, (event = 'SUCCESS', ts, event, event_type)) AS event, arg_max(event_type, (event = 'SUCCESS', ts, event, event_type)) AS section,
-      bool_or(event = 'SUCCESS') AS final FROM e GROUP BY user_id""",
+    f"""{_TASKS_SQL} SELECT id_tarea, id_situacion, arg_max(event, (event = 'SUCCESS', ts, event, section)) AS event,
+      arg_max(section, (event = 'SUCCESS', ts, event, section)) AS section, bool_or(event = 'SUCCESS') AS final FROM e GROUP BY ALL""",
 )
 def latest_task_states(spark, sf_dir):
-    out = _state(spark, "estados", jobs.latest_states(_task_events(spark, sf_dir)))
-    return out.select("id_situacion", "event", "section", "final")
+    out = _changes(spark, "estados", jobs.task_states(_task_events(spark, sf_dir)))
+    return out.select("id_tarea", "id_situacion", "event", "section", "final")
 
 
 @query(
     "failure_verdicts",
-    """SELECT user_id AS id_situacion, count(*) FILTER (event_type = 'error') AS fallos, CASE WHEN count(*) FILTER (event_type = 'error') > 2 THEN 'definitivo' ELSE 'provisional' END AS veredicto
-       FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') > 0 AND NOT bool_or(event_type = 'purchase' AND value > 90)""",
+    f"""{_TASKS_SQL} SELECT id_tarea, id_situacion, count(*) FILTER (event = 'ERROR') AS fallos,
+        CASE WHEN count(*) FILTER (event = 'ERROR') > 2 THEN 'definitivo' ELSE 'provisional' END AS veredicto
+       FROM e GROUP BY ALL HAVING count(*) FILTER (event = 'ERROR') > 0 AND NOT bool_or(event = 'SUCCESS')""",
 )
 def failure_verdicts(spark, sf_dir):
-    return _state(spark, "fallos", jobs.failure_verdicts(_task_events(spark, sf_dir)))
+    return _changes(spark, "fallos", jobs.failure_verdicts(_task_events(spark, sf_dir))).where("veredicto <> 'lograda'")
 
 
 @query(
@@ -90,7 +112,7 @@ def distinct_requests(spark, sf_dir):
     requests = _events(spark, sf_dir).select(
         F.col("user_id").alias("id_situacion"), F.col("event_type").alias("seccion"), "ts", F.lit("es").alias("idioma"), F.col("k").cast("string").alias("texto")
     )
-    out = _appended(spark, "peticiones", jobs.distinct_requests(requests, "40 days"))
+    out = _appended(spark, "peticiones", jobs.distinct_requests(requests))
     return out.select("id_situacion", "seccion", "huella")
 
 

@@ -13,6 +13,7 @@ from ..functions.text import slug
 
 from ..operators.quality import dangling
 from ..schemas import CATALOGUE_FILE
+from .json_values import cut_up
 
 
 def checked_region(region: str | None) -> str:
@@ -33,12 +34,12 @@ def read_catalogue(
 ) -> DataFrame:
     """All records of the JSON files of a folder, with their path.
 
-    A file holds one object, an array of objects or an object per line. Region
-    and language inside a record win over the arguments. Records that are no
-    JSON are left out; ``unreadable_records`` lists them.
+    A file holds one object, an array of objects, an object per line or objects one after the other, with
+    broken ones between. Region and language inside a record win over the arguments. Text
+    that is no object is left out; ``unreadable_records`` lists it.
     """
     fallback, lang = checked_region(region), (language or "es").strip().lower()
-    return with_defaults(parsed_records(whole_files(spark.read, path)), fallback, lang)
+    return with_defaults(parsed_records(pieces(whole_files(spark.read, path))), fallback, lang)
 
 
 def whole_files(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
@@ -47,24 +48,25 @@ def whole_files(reader: DataFrameReader | DataStreamReader, path: str) -> DataFr
     return texts.select("value", F.col("_metadata.file_path").alias("ruta"))
 
 
-def _cut_up(files: DataFrame) -> DataFrame:
-    """(fichero, texto): the text of each record; later records of a file are numbered."""
-    lines = F.filter(F.split("value", r"\R"), lambda x: F.trim(x) != "")
-    by_line = (F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(r"^\s*\{") & F.try_parse_json(x).isNotNull())
-    listed = F.transform(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"), lambda v: F.to_json(v))
-    texts = F.when(by_line, lines).otherwise(F.coalesce(listed, F.array("value")))
+def pieces(files: DataFrame) -> DataFrame:
+    """(fichero, texto, bueno): each top-level object of the files, and all text that is none; later ones of a file are numbered."""
     number = F.when(F.col("n") > 0, F.concat(F.lit("#"), F.col("n"))).otherwise(F.lit(""))
-    return files.select("ruta", F.posexplode(texts).alias("n", "texto")).select(F.concat("ruta", number).alias("fichero"), "texto")
+    return cut_up(files).select(F.concat("ruta", number).alias("fichero"), "texto", "bueno")
 
 
-def parsed_records(files: DataFrame) -> DataFrame:
-    good = _cut_up(files).where(F.try_parse_json("texto").isNotNull())
-    return good.withColumn("r", F.from_json("texto", CATALOGUE_FILE)).select("r.*", "fichero")
+def parsed_records(found: DataFrame) -> DataFrame:
+    """Records of the good pieces."""
+    return found.where("bueno").withColumn("r", F.from_json("texto", CATALOGUE_FILE)).select("r.*", "fichero")
+
+
+def rejected_pieces(found: DataFrame) -> DataFrame:
+    """(fichero, texto) of what is no object."""
+    return found.where(~F.col("bueno")).select("fichero", "texto")
 
 
 def unreadable_records(spark: SparkSession, path: str) -> DataFrame:
-    """(fichero, texto) of what is no JSON in the files ``read_catalogue`` reads."""
-    return _cut_up(whole_files(spark.read, path)).where(F.try_parse_json("texto").isNull())
+    """(fichero, texto) of what is no object in the files ``read_catalogue`` reads."""
+    return rejected_pieces(pieces(whole_files(spark.read, path)))
 
 
 def with_defaults(records: DataFrame, region: str, language: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PIECES = "ruta string, n int, texto string, bueno boolean"
-_BLANK = re.compile(r"[\s﻿]*")
+_BLANK = re.compile(r"[\s\ufeff]*")
 _OPENING = re.compile(r"^([ \t]*)[{\[]", re.MULTILINE)
 
 

@@ -6,19 +6,28 @@ a checkpoint in the shared folder. Event times are ``timestamp``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions.content import missing_parts
 from ..functions.text import fingerprint
 from ..operators.catalogue import load_catalogue
-from ..sources.catalogue_files import checked_region, flatten_catalogue, parsed_records, whole_files, with_defaults
+from ..sources.catalogue_files import checked_region, flatten_catalogue, parsed_records, pieces, rejected_pieces, whole_files, with_defaults
+from ..sources.tables import cut_lineage
+from . import keyed
 
 # Seconds of a limit's period, terminal events and retries.
 PERIODS = {"minute": 60, "hour": 3600, "day": 86400}
 TERMINAL_EVENTS = ["SUCCESS", "FAILURE"]
 MAX_RETRIES = 2
+#: Buckets of a table that a stream changes.
+BUCKETS = 64
 
 
 def rate_breaches(requests: DataFrame, limits: DataFrame, period: str, delay: str = "10 minutes") -> DataFrame:
@@ -39,36 +48,72 @@ def rate_breaches(requests: DataFrame, limits: DataFrame, period: str, delay: st
     )
 
 
-def latest_states(events: DataFrame) -> DataFrame:
-    """Latest event of each document; a terminal one beats later progress.
+_STATES = "id_tarea string, id_situacion bigint, event string, section string, ts timestamp, final boolean"
+_SEEN = "final boolean, ts bigint, event string, section string"
+_VERDICTS = "id_tarea string, id_situacion bigint, fallos bigint, veredicto string"
+
+
+def _micros(ts: pd.Series) -> list[int]:
+    return ts.astype("datetime64[us]").astype("int64").tolist()
 
-    Works on a stream (update or complete mode) and as a batch alike.
-    """
-    terminal = F.col("event").isin(TERMINAL_EVENTS)
-    newest = F.max(F.struct(terminal.alias("final"), "ts", "event", "section"))
-    return events.groupBy("id_situacion").agg(newest.alias("u")).select(
-        "id_situacion", F.col("u.event").alias("event"), F.col("u.section").alias("section"),
-        F.col("u.ts").alias("ts"), F.col("u.final").alias("final"),
-    )
 
+def _expire(state: GroupState, newest: int, lives_ms: int) -> None:
+    """Forget the key once the watermark is ``lives_ms`` past its newest event."""
+    state.setTimeoutTimestamp(max(newest // 1000 + lives_ms, state.getCurrentWatermarkMs() + 1))
 
-def failure_verdicts(events: DataFrame, retries: int = MAX_RETRIES) -> DataFrame:
-    """Failing documents: provisional until the retries are spent.
 
-    The state per document is a count and a flag.
+def task_states(events: DataFrame, delay: str = "1 hour", lives_ms: int = 86_400_000) -> DataFrame:
+    """Each change of a task's latest event; a terminal one beats all progress, also progress that comes later.
+
+    ``events``: id_tarea, id_situacion, ts, event, section. A document's next run is a task of its own. Of one rank the
+    newest event counts, then the greater by event and section. The state of a task is one event, kept
+    until the watermark is ``lives_ms`` past its newest one; later events are late and dropped.
+    For ``run_changes``.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = before = state.get if state.exists else None
+        newest = before[1] if before else 0
+        for frame in frames:
+            for ts, event, section in zip(_micros(frame["ts"]), frame["event"], frame["section"].fillna(""), strict=True):
+                now = (event in TERMINAL_EVENTS, ts, event, section)
+                best, newest = max(best, now) if best else now, max(newest, ts)
+        state.update(best)
+        _expire(state, newest, lives_ms)
+        if best != before:
+            yield pd.DataFrame({"id_tarea": [key[0]], "id_situacion": [key[1]], "event": [best[2]], "section": [best[3]],
+                                "ts": pd.to_datetime([best[1]], unit="us"), "final": [best[0]]})
+
+    keyed = events.withWatermark("ts", delay).groupBy("id_tarea", "id_situacion")
+    return keyed.applyInPandasWithState(step, _STATES, _SEEN, "update", "EventTimeTimeout")
+
+
+def failure_verdicts(events: DataFrame, retries: int = MAX_RETRIES, delay: str = "1 hour", lives_ms: int = 86_400_000) -> DataFrame:
+    """Each change of a failing task's verdict: provisional until its retries are spent, ``lograda`` once it succeeds.
+
+    The state of a task is a count, a flag and a time, and expires as in ``task_states``. For ``run_changes``.
     """
-    return (
-        events.groupBy("id_situacion")
-        .agg(
-            F.count_if(F.col("event") == "ERROR").alias("fallos"),
-            F.bool_or(F.col("event") == "SUCCESS").alias("lograda"),
-        )
-        .where((F.col("fallos") > 0) & ~F.col("lograda"))
-        .select(
-            "id_situacion", "fallos",
-            F.when(F.col("fallos") > retries, "definitivo").otherwise(F.lit("provisional")).alias("veredicto"),
-        )
-    )
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        failures, done, newest = before = state.get if state.exists else (0, False, 0)
+        for frame in frames:
+            failures += int((frame["event"] == "ERROR").sum())
+            done = done or bool((frame["event"] == "SUCCESS").any())
+            newest = max([newest, *_micros(frame["ts"])])
+        state.update((failures, done, newest))
+        _expire(state, newest, lives_ms)
+        if failures and (failures, done) != before[:2]:
+            verdict = "lograda" if done else "definitivo" if failures > retries else "provisional"
+            yield pd.DataFrame({"id_tarea": [key[0]], "id_situacion": [key[1]], "fallos": [failures], "veredicto": [verdict]})
+
+    keyed = events.withWatermark("ts", delay).groupBy("id_tarea", "id_situacion")
+    return keyed.applyInPandasWithState(step, _VERDICTS, "fallos bigint, lograda boolean, ts bigint", "update", "EventTimeTimeout")
 
 
 def distinct_requests(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -99,49 +144,73 @@ def run_append(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def run_state(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Everything available now; each batch writes the full state to its folder.
+def run_changes(
+    stream: DataFrame, keys: Sequence[str], target: str, checkpoint: str, buckets: int = BUCKETS, available_now: bool = True,
+) -> StreamingQuery:
+    """Changed rows of ``stream`` put in place of those with the same ``keys``; a batch rewrites only the buckets it touches.
 
-    A repeated batch overwrites its own folder, so a restart changes nothing.
+    The stream gives a key once a batch, as its state does.
     """
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number:012d}")
+    schema = stream.schema
 
-    return (
-        stream.writeStream.outputMode("complete").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    def put(batch: DataFrame, number: int) -> None:
+        fresh = cut_lineage(batch, f"cambios-{number}")
+        found = keyed.touched(fresh, keys, buckets)
+        kept = lambda old: old.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
+        keyed.rewrite(batch.sparkSession, target, number, found, buckets, keys, schema, kept)
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def newest_state(spark: SparkSession, target: str) -> DataFrame:
-    """The last full state written by ``run_state``."""
-    rows = spark.read.parquet(target)
-    last = rows.agg(F.max("batch")).scalar()
-    return rows.where(F.col("batch") == last).drop("batch")
+def catalogue_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(fichero, texto, bueno) of catalogue files as they arrive."""
+    return pieces(whole_files(spark.readStream, path))
 
 
 def catalogue_stream(spark: SparkSession, path: str, region: str | None = None, language: str = "es") -> DataFrame:
-    """New catalogue files of a folder as they arrive."""
-    return with_defaults(parsed_records(whole_files(spark.readStream, path)), checked_region(region), language)
+    """Records of new catalogue files of a folder as they arrive."""
+    return with_defaults(parsed_records(catalogue_pieces(spark, path)), checked_region(region), language)
 
 
-def load_files(stream: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Arriving files upserted into the three tables under ``target``.
+TABLES = {
+    "competencias": "comunidad string, codigo string, materia string, id_competencia bigint, idioma string, cursos_aplicables array<string>, "
+                    "descriptores array<string>, descripcion string, creada boolean, listada bigint",
+    "criterios": "comunidad string, codigo string, materia string, cursos_aplicables array<string>, id_criterio bigint, idioma string, "
+                 "descripcion string, id_competencia bigint, creada boolean, listada bigint",
+    "saberes": "comunidad string, codigo string, materia string, descripcion string, cursos_aplicables array<string>, id_saber bigint, "
+               "idioma string, bloque string, creada boolean, listada bigint",
+}
+SUBJECT_KEY = ["comunidad", "materia"]
 
-    Batch n reads the state of batch n-1 and writes its own folder, so a batch
-    that is run again gives the same tables.
+
+def load_files(
+    found: DataFrame, target: str, checkpoint: str, region: str | None = None, language: str = "es", buckets: int = BUCKETS,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Arriving ``catalogue_pieces`` upserted into the three tables under ``target``; what can't be read goes to ``target/rechazos``.
+
+    Rows of a subject meet in one bucket, and a batch rewrites only the buckets of its subjects: n files cost n
+    and not n squared. A batch that is run again gives the same tables and rejects.
     """
-    names = ("competencias", "criterios", "saberes")
+    fallback = checked_region(region)
 
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = {}
-        if number > 0:
-            old = {n: spark.read.parquet(f"{target}/{n}/batch={number - 1:012d}") for n in names}
-        kept = batch.persist()
-        for name, rows in load_catalogue(flatten_catalogue(kept), old).items():
-            rows.write.mode("overwrite").parquet(f"{target}/{name}/batch={number:012d}")
-        kept.unpersist()
-
-    writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+        staged = cut_lineage(batch, f"lote-{number}")
+        rejected_pieces(staged).write.mode("overwrite").parquet(f"{target}/rechazos/lote={number:012d}")
+        records = with_defaults(parsed_records(staged), fallback, language)
+        flat = flatten_catalogue(records)
+        touched = keyed.touched(records, SUBJECT_KEY, buckets)
+        for name, schema in TABLES.items():
+            put = lambda old, name=name: load_catalogue(flat, {**held, name: old})[name]
+            held = {n: keyed.held(spark, f"{target}/{n}", number - 1, T.StructType.fromDDL(TABLES[n]), touched) for n in TABLES if n != name}
+            keyed.rewrite(spark, f"{target}/{name}", number, touched, buckets, SUBJECT_KEY, T.StructType.fromDDL(schema), put)
+
+    writer = found.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def loaded(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """One of the three tables after the last batch."""
+    return keyed.newest(spark, f"{target}/{name}", T.StructType.fromDDL(TABLES[name]))

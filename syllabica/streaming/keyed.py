@@ -45,6 +45,11 @@ def _rows(spark: SparkSession, path: str, schema: T.StructType, held: dict[int,
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def held(spark: SparkSession, path: str, batch: int, schema: T.StructType, buckets: Sequence[int]) -> DataFrame:
+    """What ``buckets`` hold as of a batch."""
+    return _rows(spark, path, schema, {b: v for b, v in _ledger(spark, path, batch).items() if b in set(buckets)})
+
+
 def rewrite(
     spark: SparkSession, path: str, batch: int, buckets: Sequence[int], n: int, keys: Sequence[str], schema: T.StructType,
     merged: Callable[[DataFrame], DataFrame],
@@ -54,12 +59,11 @@ def rewrite(
     ``merged`` must return rows of those buckets only. Buckets left empty leave the ledger.
     """
     before = _ledger(spark, path, batch - 1)
-    old = _rows(spark, path, schema, {b: v for b, v in before.items() if b in set(buckets)})
-    rows = merged(old).select(*[f.name for f in schema.fields]).withColumn(BUCKET, bucket_of(keys, n))
+    rows = merged(held(spark, path, batch - 1, schema, buckets)).select(*[f.name for f in schema.fields]).withColumn(BUCKET, bucket_of(keys, n))
     if buckets:
         # a file per bucket: rows meet by bucket before they are written
         rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(_version(path, batch))
-        written = {r[0] for r in spark.read.parquet(_version(path, batch)).select(F.col(BUCKET).cast("int")).distinct().collect()}
+        written = {r[0] for r in spark.read.schema(f"{BUCKET} int").parquet(_version(path, batch)).distinct().collect()}
         after = {b: v for b, v in before.items() if b not in set(buckets)} | {b: batch for b in written}
     else:
         after = before

@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,8 @@ from syllabica.operators import catalogue as cat
 from syllabica.operators import quality as qual
 from syllabica.sources import catalogue_files as files
 from syllabica.sources import export, markup, tables
-from syllabica.streaming import jobs
+from syllabica.sources.json_values import values
+from syllabica.streaming import jobs, keyed
 from tests.conftest import rows
 
 
@@ -68,15 +70,94 @@ def test_written_blocks_and_skipped(spark, folder, tmp_path):
     assert rows(back, "comunidad", "fichero") == [("cataluna", "latin__1"), ("ceuta", "latin__2")]
 
 
-def test_catalogue_stream_is_idempotent(spark, folder, tmp_path):
+def test_catalogue_stream_rewrites_touched_buckets_only(spark, folder, tmp_path):
     target, control = str(tmp_path / "t"), str(tmp_path / "c")
-    jobs.load_files(jobs.catalogue_stream(spark, folder), target, control).awaitTermination()
-    jobs.load_files(jobs.catalogue_stream(spark, folder), target, control).awaitTermination()
-    once = spark.read.parquet(f"{target}/criterios/batch=000000000000")
-    assert once.count() == 3
-    (tmp_path / "in" / "d__3.json").write_text(json.dumps(record("Latín", ["3º ESO"])), encoding="utf-8")
-    jobs.load_files(jobs.catalogue_stream(spark, folder), target, control).awaitTermination()
-    assert spark.read.parquet(f"{target}/criterios/batch=000000000001").count() == 4
+
+    def load():
+        jobs.load_files(jobs.catalogue_pieces(spark, folder), target, control).awaitTermination()
+        return rows(jobs.loaded(spark, target, "criterios"), "comunidad", "materia", "codigo")
+
+    def files_of(batch):
+        return sorted(p.parent.name for p in (tmp_path / "t" / "criterios" / f"version={batch:012d}").glob("*/*.parquet"))
+
+    once = load()
+    assert len(once) == 3 and load() == once
+    first = files_of(0)
+    text = json.dumps(record("Latín", ["3º ESO"])) + '\n{"materia": \n' + json.dumps(record("Griego", ["3º ESO"])) + " sobra"
+    (tmp_path / "in" / "d__3.json").write_text(text, encoding="utf-8")
+    assert len(load()) == 5
+    # one file of two subjects: two buckets at most, the others are not written again
+    assert 1 <= len(files_of(1)) <= 2 and files_of(0) == first
+    bad = spark.read.parquet(f"{target}/rechazos")
+    assert [r[0] for r in rows(bad, "texto")] == ["sobra", '{"materia":']
+
+
+@pytest.mark.parametrize("text, good, bad", [
+    ("", [], []), (" \n", [], []), ('\ufeff{"a": 1}', [{"a": 1}], []), ('{"a": "}{"}{"b": [1]}', [{"a": "}{"}, {"b": [1]}], []),
+    ('{"a": 1}\n{"a": 2\n{"a": 3}\n', [{"a": 1}, {"a": 3}], ['{"a": 2']), ('{"a": 1} tail', [{"a": 1}], ["tail"]),
+    ('{\n  "a": {\n    "b": 1\n  },\n}\n{\n "c": 2\n}', [{"c": 2}], ['{\n  "a": {\n    "b": 1\n  },\n}']),
+    ('[{"a": 1}, 3, {"b": NaN}]', [], ['[{"a": 1}, 3, {"b": NaN}]']), ('[{"a": 1}, 3, "x", {"b": 2}]', [{"a": 1}, {"b": 2}], ["3", '"x"']),
+    ("null", [], ["null"]), ("[" * 100_000, [], ["[" * 100_000]), ('{"a": 1}' * 3, [{"a": 1}] * 3, []), ("[]", [], []),
+])
+def test_values_of_a_text(text, good, bad):
+    found = list(values(text))
+    assert [json.loads(t) for t, ok in found if ok] == good
+    assert [t for t, ok in found if not ok] == bad
+
+
+def _stream(spark, tmp_path, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+TASK = "id_tarea string, id_situacion bigint, ts timestamp, event string, section string"
+
+
+def test_task_states_expire(spark, tmp_path):
+    def add(*events):
+        df = spark.createDataFrame([(t, 1, datetime.fromisoformat(f"2024-01-01 {at}"), e, s) for t, at, e, s in events], TASK)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(make, keys=("id_tarea",)):
+        stream = make(_stream(spark, tmp_path, TASK))
+        target = str(tmp_path / make.__name__)
+        jobs.run_changes(stream, list(keys), target, target + "-control", buckets=4).awaitTermination()
+        return keyed.newest(spark, target, stream.schema)
+
+    def task_states(events):
+        return jobs.task_states(events, "1 minute", 3_600_000)
+
+    def verdicts(events):
+        return jobs.failure_verdicts(events, 2, "1 minute", 3_600_000)
+
+    add(("a", "10:00", "PROGRESO", "x"), ("a", "10:01", "SUCCESS", None), ("b", "10:00", "ERROR", "x"), ("b", "10:02", "ERROR", "y"))
+    assert rows(run(task_states), "id_tarea", "event", "final") == [("a", "SUCCESS", True), ("b", "ERROR", False)]
+    assert rows(run(verdicts), "id_tarea", "fallos", "veredicto") == [("b", 2, "provisional")]
+    # progress after success changes nothing; the third error is one too many
+    add(("a", "10:05", "PROGRESO", "z"), ("b", "10:06", "ERROR", "z"))
+    assert rows(run(task_states), "id_tarea", "event", "section") == [("a", "SUCCESS", ""), ("b", "ERROR", "z")]
+    assert rows(run(verdicts), "id_tarea", "fallos", "veredicto") == [("b", 3, "definitivo")]
+    # a day later the states of both are forgotten, and what the table holds stays
+    for hour in ("20:00", "21:00"):
+        add(("c", hour, "PROGRESO", "x"))
+        assert [r[0] for r in rows(run(task_states), "id_tarea")] == ["a", "b", "c"]
+    state = spark.read.format("statestore").load(str(tmp_path / "task_states-control"))
+    assert [r["key"]["id_tarea"] for r in state.collect()] == ["c"]
+    # the last batch wrote the one bucket of c
+    last = sorted((tmp_path / "task_states").glob("version=*"))[-1]
+    assert len(list(last.glob("cubo=*"))) == 1
+
+
+def test_equal_requests_pass_again_after_the_watermark(spark, tmp_path):
+    schema = "id_situacion bigint, seccion string, ts timestamp, idioma string, texto string"
+    out = []
+    for hour in ("10:00", "10:30", "15:00", "20:00"):
+        df = spark.createDataFrame([(1, "s", datetime.fromisoformat(f"2024-01-01 {hour}"), "es", "t")], schema)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.distinct_requests(_stream(spark, tmp_path, schema), "1 hour")
+        jobs.run_append(stream, str(tmp_path / "out"), str(tmp_path / "control")).awaitTermination()
+        out.append(spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).count())
+    # a batch sees the watermark of the events before it: the request of 15:00 still meets that of 10:00
+    assert out == [1, 1, 1, 2]
 
 
 def test_xml_paragraphs(spark):

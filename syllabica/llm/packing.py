@@ -11,6 +11,7 @@ take. The same filling is used as often as its lengths last.
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import re
 import zlib
@@ -95,20 +96,28 @@ def pack_lengths(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndar
     return window, offset
 
 
+def special_tokens(tokenizer_path: str) -> list[str]:
+    """Strings that a tokenizer file takes as one token wherever they stand."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        return [token["content"] for token in json.load(file).get("added_tokens", [])]
+
+
 def _coders(tokenizer_path: str, rank_path: str):
-    """A coder, the tokenizer for what it leaves, and its special tokens; they end with their task."""
+    """A coder, and the tokenizer for what it leaves, read when it is first needed; they end with their task."""
     import public_tokenizers
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(tokenizer_path)
-    with open(tokenizer_path, encoding="utf-8") as file:
-        special = [token["content"] for token in json.load(file).get("added_tokens", [])]
+    @functools.cache
+    def whole():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(tokenizer_path)
+
     merge = rank_encoding(rank_path, public_tokenizers.PATTERN).encode_ordinary
 
     def encode(chunk: str) -> list[int]:
-        return merge(chunk) if _LATIN.fullmatch(chunk) else whole.encode(chunk, add_special_tokens=False).ids
+        return merge(chunk) if _LATIN.fullmatch(chunk) else whole().encode(chunk, add_special_tokens=False).ids
 
-    return ChunkCoder(encode), whole, special
+    return ChunkCoder(encode), whole
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, rank_path: str, capacity: int, end_id: int, id_col: str = "doc_id",
@@ -120,14 +129,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, rank_path: str, capacity: int,
     itself, as are texts that contain one of its special tokens.
     """
 
+    special = special_tokens(tokenizer_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, whole, special = _coders(tokenizer_path, rank_path)
+        coder, whole = _coders(tokenizer_path, rank_path)
         for batch in batches:
             for part in slices(batch):
                 rows = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     marked = any(token in text for token in special)
-                    ids = np.array(whole.encode(text, add_special_tokens=False).ids, "<u4") if marked else coder.ids(text)
+                    ids = np.array(whole().encode(text, add_special_tokens=False).ids, "<u4") if marked else coder.ids(text)
                     raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
                     n = len(raw) // 4
                     rows += [(doc_id, a, min(capacity, n - a), zlib.crc32(raw[4 * a: 4 * (a + capacity)]), n) for a in range(0, n, capacity)]

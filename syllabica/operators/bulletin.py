@@ -1,8 +1,9 @@
 """From the paragraphs of a bulletin to catalogue records.
 
 Which subject, year group and section a paragraph belongs to is carried down
-in layers. Only the year marker rule needs a fold: it runs over the marker
-rows of one subject in one bulletin, a handful, inside the JVM.
+in layers. The year marker rule depends on the state that the markers before leave. Markers are cut
+into short ranges; each range becomes a map from any state to the one it ends in, the maps are
+composed along a subject, and every range is then run from the state it begins with.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ END_PHRASE = "orientaciones metodológicas"
 SINGLE_GROUP = "Único"
 
 _MARK = "struct<seq:bigint,tipo:string,cursos:array<string>,ciclo:string,itinerario:string>"
+_GROUP = "struct<cursos:array<string>,ciclo:string,itinerario:string>"
+#: Paragraphs of a range of markers, and the sections a state may be in.
+MARK_RANGE = 1024
+SECTIONS = ["fuera", "competencias", "criterios", "saberes"]
 _STATE = "struct<seq:bigint,grupo:int,seccion:string,cursos:array<string>,ciclo:string,itinerario:string>"
 
 
@@ -81,40 +86,91 @@ def label_subjects(paragraphs: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def _fold_marks(marks: Column, first_years: Column) -> Column:
-    """States after each accepted marker of one subject.
+def _mask(years: Column) -> Column:
+    """Years as bits; only those of the stage count."""
+    bits = F.lit(0)
+    for i, course in enumerate(WHOLE_STAGE):
+        bits = bits + F.when(F.array_contains(years, course), 1 << i).otherwise(0)
+    return bits
+
+
+def _state(section: Column, group: Column, mask: Column, last: Column) -> Column:
+    return F.struct(section.alias("seccion"), group.alias("grupo"), mask.alias("mascara"), last.alias("ultimo"))
+
+
+def _after(acc: Column, m: Column) -> Column:
+    """The state after a marker.
 
     A year marker inside the items section that names fewer of the open years
     and no track only subdivides them, and is passed over.
     """
-    start = F.struct(
-        F.lit("fuera").alias("seccion"), F.lit(0).alias("grupo"), first_years.alias("cursos"),
-        F.lit(SINGLE_GROUP).alias("ciclo"), F.lit(None).cast("string").alias("itinerario"),
-        F.array().cast(f"array<{_STATE}>").alias("salida"),
+    years = _mask(m["cursos"])
+    inside = years.bitwiseAND(F.bitwise_not(acc["mascara"])) == 0
+    fewer = acc["mascara"].bitwiseAND(F.bitwise_not(years)) != 0
+    subdivides = (acc["seccion"] == "saberes") & m["itinerario"].isNull() & inside & fewer
+    group = F.struct(m["cursos"].alias("cursos"), m["ciclo"].alias("ciclo"), m["itinerario"].alias("itinerario"))
+    return (
+        F.when(m["tipo"] != "curso", _state(m["tipo"], acc["grupo"], acc["mascara"], acc["ultimo"]))
+        .when(subdivides, acc).otherwise(_state(F.lit("fuera"), acc["grupo"] + 1, years, group))
     )
 
-    def emit(acc: Column, m: Column, **changes: Column) -> Column:
-        now = {n: changes.get(n, acc[n]) for n in ("grupo", "seccion", "cursos", "ciclo", "itinerario")}
-        row = F.struct(m["seq"].alias("seq"), *[c.alias(n) for n, c in now.items()])
-        return F.struct(
-            now["seccion"].alias("seccion"), now["grupo"].alias("grupo"), now["cursos"].alias("cursos"),
-            now["ciclo"].alias("ciclo"), now["itinerario"].alias("itinerario"),
-            F.concat(acc["salida"], F.array(row)).alias("salida"),
-        )
 
-    def step(acc: Column, m: Column) -> Column:
-        inside = F.size(F.array_except(m["cursos"], acc["cursos"])) == 0
-        fewer = F.size(F.array_except(acc["cursos"], m["cursos"])) > 0
-        subdivides = (acc["seccion"] == "saberes") & m["itinerario"].isNull() & inside & fewer
-        new_group = emit(
-            acc, m, grupo=acc["grupo"] + 1, seccion=F.lit("fuera"), cursos=m["cursos"],
-            ciclo=m["ciclo"], itinerario=m["itinerario"],
-        )
-        return (
-            F.when(m["tipo"] != "curso", emit(acc, m, seccion=m["tipo"])).when(subdivides, acc).otherwise(new_group)
-        )
+def _effects(marks: Column) -> Column:
+    """For every section and set of years, in order, the state that a range of markers leads to: groups opened, and the last of them."""
+    starts = F.array(*[
+        _state(F.lit(section), F.lit(0), F.lit(mask), F.lit(None).cast(_GROUP)) for section in SECTIONS for mask in range(1 << len(WHOLE_STAGE))])
+    return F.transform(starts, lambda start: F.aggregate(marks, start, _after))
+
+
+def _composed(ranges: Column) -> Column:
+    """The state each range of a subject begins in, from the end of its first range and the effects of the others."""
+    none = F.lit(None)
 
-    return F.aggregate(marks, start, step, lambda acc: acc["salida"])
+    def step(acc: Column, r: Column) -> Column:
+        now = acc["estado"]
+        place = (F.array_position(F.array(*map(F.lit, SECTIONS)), now["seccion"]).cast("int") - 1) * (1 << len(WHOLE_STAGE)) + now["mascara"]
+        led = F.get(r["efectos"], place)
+        then = _state(led["seccion"], now["grupo"] + led["grupo"], led["mascara"], F.coalesce(led["ultimo"], now["ultimo"]))
+        entry = F.struct(r["rango"].alias("rango"), now.alias("inicio"))
+        return F.struct(F.coalesce(r["fin"], then).alias("estado"), F.concat(acc["salida"], F.array(entry)).alias("salida"))
+
+    state = f"struct<seccion:string,grupo:int,mascara:int,ultimo:{_GROUP}>"
+    start = F.struct(none.cast(state).alias("estado"), F.array().cast(f"array<struct<rango:bigint,inicio:{state}>>").alias("salida"))
+    return F.aggregate(ranges, start, step, lambda acc: acc["salida"])
+
+
+def _fold_marks(marks: Column, start: Column) -> Column:
+    """States after each accepted marker of one range of markers."""
+
+    def step(acc: Column, m: Column) -> Column:
+        now = _after(acc["estado"], m)
+        accepted = (m["tipo"] != "curso") | (now["grupo"] > acc["estado"]["grupo"])
+        row = F.struct(m["seq"].alias("seq"), now["grupo"].alias("grupo"), now["seccion"].alias("seccion"), now["ultimo"]["cursos"].alias("cursos"),
+                       now["ultimo"]["ciclo"].alias("ciclo"), now["ultimo"]["itinerario"].alias("itinerario"))
+        out = F.when(accepted, F.concat(acc["salida"], F.array(row))).otherwise(acc["salida"])
+        return F.struct(now.alias("estado"), out.alias("salida"))
+
+    zero = F.struct(start.alias("estado"), F.array().cast(f"array<{_STATE}>").alias("salida"))
+    return F.aggregate(marks, zero, step, lambda acc: acc["salida"])
+
+
+def _ranges_from(ranges: DataFrame, first_years: Column) -> DataFrame:
+    """Ranges of markers with the state each begins in, ``inicio``; a subject of one range needs no composition."""
+    key = ["doc_id", "tramo"]
+    group = F.struct(first_years.alias("cursos"), F.lit(SINGLE_GROUP).alias("ciclo"), F.lit(None).cast("string").alias("itinerario"))
+    first = ranges.where("primero").withColumn("inicio", _state(F.lit("fuera"), F.lit(0), _mask(first_years), group))
+    later = ranges.where(~F.col("primero"))
+    ends = first.join(later.select(*key).distinct(), key, "left_semi").select(
+        *key, F.struct("rango", F.aggregate("marcas", F.col("inicio"), _after).alias("fin"), F.lit(None).alias("efectos")).alias("r"))
+    effects = later.select(*key, F.struct("rango", F.lit(None).alias("fin"), _effects(F.col("marcas")).alias("efectos")).alias("r"))
+    types = {f.name: f.dataType for f in effects.schema["r"].dataType.fields}
+    fin = ends.schema["r"].dataType["fin"].dataType
+    shape = lambda df: df.select(*key, F.struct(
+        F.col("r.rango").cast("bigint").alias("rango"), F.col("r.fin").cast(fin).alias("fin"), F.col("r.efectos").cast(types["efectos"]).alias("efectos")).alias("r"))
+    along = F.array_sort(F.collect_list("r"), lambda a, b: F.signum(a["rango"] - b["rango"]).cast("int"))
+    starts = shape(ends).unionByName(shape(effects)).groupBy(*key).agg(along.alias("p")).select(*key, F.explode(_composed(F.col("p"))).alias("s"))
+    begun = later.join(starts.select(*key, "s.rango", "s.inicio"), [*key, "rango"])
+    return first.unionByName(begun.select(first.columns))
 
 
 def label_groups(
@@ -122,7 +178,7 @@ def label_groups(
 ) -> tuple[DataFrame, DataFrame]:
     """(content rows with their year group and section, year groups).
 
-    The folded markers, a few per subject, are staged once for both.
+    The folded markers are staged once for both. A list holds the markers of ``MARK_RANGE`` paragraphs at most.
     """
     text = F.col("text")
     norm = compare_heading(text)
@@ -142,14 +198,13 @@ def label_groups(
     mark = F.struct(
         "seq", "tipo", F.col("y.years").alias("cursos"), F.col("y.label").alias("ciclo"), F.col("y.track").alias("itinerario")
     ).cast(_MARK)
-    runs = rows.where(F.col("tipo").isNotNull()).groupBy("doc_id", "tramo", "materia_oficial").agg(
-        F.array_sort(F.collect_list(F.when(F.col("tipo") != "cabecera", mark))).alias("marcas")
-    )
-    folded = runs.select(
-        "doc_id", "tramo", "materia_oficial", _fold_marks(F.col("marcas"), first_years).alias("s")
+    ranges = rows.where(F.col("tipo").isNotNull()).groupBy("doc_id", "tramo", "materia_oficial", width_bucket("seq", MARK_RANGE).alias("rango")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("tipo") != "cabecera", mark))).alias("marcas"), F.bool_or(F.col("tipo") == "cabecera").alias("primero")
     )
+    begun = _ranges_from(stage(ranges, "rangos"), first_years)
+    folded = begun.select("doc_id", "tramo", "materia_oficial", "primero", _fold_marks(F.col("marcas"), F.col("inicio")).alias("s"))
     runs = stage(folded, "marcas")
-    opening = runs.select(
+    opening = runs.where("primero").select(
         "doc_id", "tramo", "materia_oficial",
         F.struct(
             F.lit(0).alias("grupo"), first_years.alias("cursos"), F.lit(SINGLE_GROUP).alias("ciclo"),

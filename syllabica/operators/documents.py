@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp
-
+from ..session import shared_dir
+from ..sources.tables import write_new_state
 from .ordered import numbered, running
 
 # Document states in display order, paging and grace limits.
@@ -113,6 +116,43 @@ def page(df: DataFrame, limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class RankIndex:
+    """Rows cut into ranges of an order, and how many rows lie before each range."""
+
+    table: DataFrame
+    order: Sequence[Column]
+    before: Sequence[tuple[int, int]]
+    total: int
+
+
+def rank_index(df: DataFrame, order: Sequence[Column], ranges: int = 200) -> RankIndex:
+    """An index for pages at any depth: written once to the shared folder, a folder per range of the order.
+
+    ``order`` must be unique. The driver holds a number per range.
+    """
+    path = f"{shared_dir(df.sparkSession)}/rangos"
+    cut = df.repartitionByRange(ranges, *order).withColumn("rango", F.spark_partition_id())
+    table = df.sparkSession.read.parquet(write_new_state(cut, path, ["rango"]))
+    before, total = [], 0
+    for row in table.groupBy("rango").count().orderBy("rango").collect():
+        before.append((row["rango"], total))
+        total += row["count"]
+    return RankIndex(table, order, before, total)
+
+
+def page_at(index: RankIndex, limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
+    """A page and each row's ``lugar`` from 1: only the ranges that hold its places are read and sorted."""
+    size, offset = checked_size(limit), max(0, offset)
+    ends = [start for _, start in index.before[1:]] + [index.total]
+    held = [(r, start) for (r, start), end in zip(index.before, ends, strict=True) if start < offset + size and end > offset]
+    first = held[0][1] if held else 0
+    rows = index.table.where(F.col("rango").isin([r for r, _ in held])).drop("rango")
+    shown = rows.orderBy(*index.order).offset(offset - first if held else 0).limit(size)
+    # a page of ``size`` rows at most
+    return shown.withColumn("lugar", F.row_number().over(W.orderBy(*index.order)) + offset)
+
+
 def checked_size(limit: int, cap: int | None = PAGE_CAP) -> int:
     """A page size of at least 1 and at most ``cap`` (None: no cap); others are refused, never shortened."""
     if limit < 1 or (cap is not None and limit > cap):

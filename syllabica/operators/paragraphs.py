@@ -288,21 +288,19 @@ def knowledge_blocks(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order:
 
 
 def column_boundary(lines: DataFrame, keys: Sequence[str] = ("doc_id",), gap: int = MIN_COLUMN_GAP) -> DataFrame:
-    """Midpoint of the widest gap between x positions, or null: one column.
+    """Midpoint of the widest gap between x positions, the first of equal ones, or null: one column.
 
-    Positions are whole tenths of a point on a page, so distinct ones are few.
+    Values in one bucket of ``gap`` points lie nearer than that, so only the least and the
+    greatest x of each bucket matter. They are combined before they are shuffled; a document's
+    list has an entry per bucket of its page's width, however many lines there are.
     """
-    xs = lines.select(*keys, "x").distinct()
-    near = W.partitionBy(*keys).orderBy("x")
-    gaps = xs.withColumn("antes", F.lag("x").over(near)).where(F.col("antes").isNotNull())
-    width = F.col("x") - F.col("antes")
-    widest = gaps.groupBy(*keys).agg(
-        F.max(width).alias("hueco"), F.max_by((F.col("x") + F.col("antes")) / 2, F.struct(width, -F.col("x"))).alias("corte")
-    )
+    ends = lines.where(F.col("x").isNotNull()).groupBy(*keys, F.floor(F.col("x") / gap).alias("cubo")).agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    buckets = F.array_sort(F.collect_list(F.struct("cubo", "a", "b")))
+    near = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p")), lambda one, other: F.struct(
+        (other["a"] - one["b"]).alias("hueco"), (-other["a"]).alias("antes"), ((one["b"] + other["a"]) / 2).alias("corte")))
+    widest = ends.groupBy(*keys).agg(buckets.alias("p")).select(*keys, F.array_max(F.when(F.size("p") > 1, near)).alias("g"))
     every = lines.select(*keys).distinct()
-    return every.join(widest, list(keys), "left").select(
-        *keys, F.when(F.col("hueco") >= gap, F.col("corte")).alias("frontera")
-    )
+    return every.join(widest, list(keys), "left").select(*keys, F.when(F.col("g.hueco") >= gap, F.col("g.corte")).alias("frontera"))
 
 
 def column_ranges(headings: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalogue import stable_id
+from .resolve import relinked
 from .retention import ghosts
 from .versions import snapshots
 
@@ -54,9 +55,12 @@ def reassign(
 def reassignment_job(
     documents: DataFrame, history: DataFrame, bucket: Column, track: str | None = None,
     rules: Sequence[tuple[str, str, str, str]] = tuple(REASSIGNMENTS),
-    ambiguous: tuple[str, str] = AMBIGUOUS,
+    ambiguous: tuple[str, str] = AMBIGUOUS, links: DataFrame | None = None, catalogue: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Documents with their new pair and a version of the old state each."""
+    """Documents with their new pair and a version of the old state each.
+
+    With ``links`` and ``catalogue`` the moved documents are linked anew: ``links`` of the result is the whole table.
+    """
     parts = reassign(documents, rules, ambiguous, track)
     moved = parts["reassigned"]
     reason = F.concat(
@@ -65,11 +69,11 @@ def reassignment_job(
     versions = snapshots(moved, history, reason, bucket)
     after = moved.withColumns({"materia": F.col("materia_nueva"), "curso": F.col("curso_nuevo")})
     kept = parts["unchanged"].unionByName(parts["unmatched"])
-    return {
-        "documents": after.drop("materia_nueva", "curso_nuevo").unionByName(kept),
-        "versions": versions,
-        "unmatched": parts["unmatched"],
-    }
+    moved_now = after.drop("materia_nueva", "curso_nuevo")
+    out = {"documents": moved_now.unionByName(kept), "versions": versions, "unmatched": parts["unmatched"]}
+    if links is not None and catalogue is not None:
+        out["links"] = relinked(links, moved_now, catalogue)
+    return out
 
 
 def relink_children(children: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

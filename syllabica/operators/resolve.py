@@ -135,6 +135,19 @@ def links(resolved: DataFrame) -> DataFrame:
     return resolved.select("id_situacion", "kind", F.col("id").alias("id_target")).distinct()
 
 
+def relinked(
+    old: DataFrame, changed: DataFrame, catalogue: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = cut_lineage
+) -> DataFrame:
+    """The link table after some documents changed: their links are found anew and take the place of the old ones.
+
+    No other document is read. ``changed`` holds each touched document once, as it is now; one that cites
+    nothing any more loses its links.
+    """
+    now = stage(changed.select("id_situacion", "contenido", *PAIR), "cambiados")
+    fresh = links(resolve_codes(stage(citations_of(now), "citas"), now, catalogue))
+    return old.join(now.select("id_situacion"), "id_situacion", "left_anti").select(fresh.columns).unionByName(fresh)
+
+
 def link_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Links a rebuild adds and drops, for the dry run."""
     on = ["id_situacion", "kind", "id_target"]

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.content import as_map, bind, has_section, merge_section, merge_section_map, section_of
+from ..functions.content import CITING_SECTION, as_map, bind, has_section, merge_section, merge_section_map, section_of
 from .documents import next_versions
 from .joins import fixed_lookup
+from .resolve import relinked
 
 # The fields a version keeps.
 VERSIONED = [
@@ -134,13 +135,17 @@ def adapt_documents(documents: DataFrame, new_id: Column, kind: Column, profile:
     return documents.withColumns(changes).withColumn("id_situacion", new_id)
 
 
-def resolve_proposals(documents: DataFrame, decisions: DataFrame, history: DataFrame, bucket: Column) -> dict[str, DataFrame]:
+def resolve_proposals(
+    documents: DataFrame, decisions: DataFrame, history: DataFrame, bucket: Column, links: DataFrame | None = None,
+    catalogue: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """Decisions (id_situacion, seccion, cual) between a section's two texts.
 
     Returns each document once with all winners in place, one version per
     decision that still holds both texts of every section decided with it, and
     one choice row per decision with the provenance of winner and loser. A
-    section decided twice at once is decided once, by the greater ``cual``.
+    section decided twice at once is decided once, by the greater ``cual``. With ``links`` and ``catalogue``
+    documents whose citing section was decided are linked anew, and ``links`` of the result is the whole table.
     """
     once = decisions.where(F.col("cual").isin("actual", "alternativa")).groupBy("id_situacion", "seccion").agg(F.max("cual").alias("cual"))
     joined = documents.join(once, ["id_situacion"], "inner")
@@ -179,14 +184,15 @@ def resolve_proposals(documents: DataFrame, decisions: DataFrame, history: DataF
         F.coalesce("r.pierde", F.lit("{}")).alias("meta_descartada"),
     )
     reason = F.concat(F.lit("Elección en «"), "seccion", F.lit("»: se queda la "), "cual")
-    return {
-        "documents": merge_sections(
-            documents.join(resolved.select("id_situacion").distinct(), ["id_situacion"], "left_semi"),
-            resolved.select("id_situacion", "seccion", F.col("r.payload").alias("payload")),
-        ),
-        "versions": snapshots(resolved.drop("r"), history, reason, bucket),
-        "choices": choices,
-    }
+    decided = merge_sections(
+        documents.join(resolved.select("id_situacion").distinct(), ["id_situacion"], "left_semi"),
+        resolved.select("id_situacion", "seccion", F.col("r.payload").alias("payload")),
+    )
+    out = {"documents": decided, "versions": snapshots(resolved.drop("r"), history, reason, bucket), "choices": choices}
+    if links is not None and catalogue is not None:
+        citing = resolved.where(F.col("seccion") == CITING_SECTION).select("id_situacion").distinct()
+        out["links"] = relinked(links, decided.join(citing, "id_situacion", "left_semi"), catalogue)
+    return out
 
 
 def win_rates(choices: DataFrame, by: Sequence[str] = ("seccion", "variante", "modelo")) -> DataFrame:

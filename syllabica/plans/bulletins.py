@@ -116,7 +116,7 @@ def milestone_spans(spark, sf_dir):
 
 
 _HEADINGS_SQL = """
-heads AS (SELECT DISTINCT event_type, least(floor(value / 10), 9) * 10 AS x FROM events),
+heads AS (SELECT DISTINCT event_type, floor(value / 10) * 10 AS x FROM events),
 ranges AS (SELECT event_type, (lag(x) OVER w + x) / 2 AS desde, (lead(x) OVER w + x) / 2 AS hasta,
              CAST(row_number() OVER w AS INTEGER) AS columna FROM heads WINDOW w AS (PARTITION BY event_type ORDER BY x))
 """
@@ -130,7 +130,7 @@ ranges AS (SELECT event_type, (lag(x) OVER w + x) / 2 AS desde, (lead(x) OVER w
 def range_bucket(spark, sf_dir):
     """Events in the column whose interval holds their value."""
     rows = read(spark, sf_dir, "events", "event_id", "event_type", "value").withColumnRenamed("value", "x")
-    heads = rows.select("event_type", (F.least(F.floor(F.col("x") / 10), F.lit(9)) * 10).cast("double").alias("x")).distinct()
+    heads = rows.select("event_type", (F.floor(F.col("x") / 10) * 10).cast("double").alias("x")).distinct()
     ranges = ops.column_ranges(heads, ["event_type"])
     out = ops.into_columns(rows, ranges, ["event_type"])
     return out.select("event_id", "columna")
@@ -305,15 +305,16 @@ def criteria_by_year(spark, sf_dir):
 
 @query(
     "majority_prefix",
-    """WITH c AS (SELECT lang, left(text, 2) AS prefix, count(*) AS n FROM documents GROUP BY ALL),
-    b AS (SELECT lang, arg_min(prefix, (-n, prefix)) AS prefix FROM c GROUP BY lang)
-    SELECT doc_id AS seq, d.lang, b.prefix FROM documents d JOIN b ON b.lang = d.lang AND left(d.text, 2) = b.prefix""",
+    """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS seq, l_partkey, l_returnflag || l_linestatus || 'X' AS prefix FROM lineitem),
+    n AS (SELECT doc_id, prefix, count(*) AS n FROM c GROUP BY ALL), b AS (SELECT doc_id, arg_min(prefix, (-n, prefix)) AS prefix FROM n GROUP BY doc_id)
+    SELECT c.doc_id, c.seq, c.prefix || '.' || c.seq || '.A.' || c.l_partkey AS codigo, c.prefix FROM c JOIN b ON b.doc_id = c.doc_id AND b.prefix = c.prefix""",
 )
 def majority_prefix(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents", "doc_id", "lang", "text").select(
-        F.col("doc_id").alias("seq"), "lang", F.substring("text", 1, 2).alias("prefix")
-    )
-    return ops.majority_prefix(rows, ["lang"])
+    """Item codes of an order whose prefix is the order's commonest."""
+    code = F.concat("l_returnflag", "l_linestatus", F.lit("X."), "l_linenumber", F.lit(".A."), "l_partkey")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), code.alias("codigo"))
+    coded = rows.withColumn("prefix", C.parse_official_item(F.col("codigo"))["prefix"])
+    return ops.majority_prefix(coded).select("doc_id", "seq", "codigo", "prefix")
 
 
 @query(

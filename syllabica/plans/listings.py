@@ -88,6 +88,29 @@ def document_page(spark, sf_dir):
     return ops.page(found, 10, 20).select("id_situacion", "titulo", "fecha_modificacion")
 
 
+@query(
+    "document_page_deep",
+    f"""WITH {DOCUMENTS_SQL}, r AS (SELECT id_situacion, titulo, row_number() OVER (ORDER BY fecha_modificacion DESC, id_situacion DESC) AS lugar, count(*) OVER () AS n FROM docs)
+        SELECT id_situacion, titulo, CAST(lugar AS INTEGER) AS lugar FROM r WHERE lugar > n // 2 AND lugar <= n // 2 + 25""",
+)
+def document_page_deep(spark, sf_dir):
+    """The page in the middle of all documents, by an index of their order."""
+    order = [F.col("fecha_modificacion").desc(), F.col("id_situacion").desc()]
+    index = ops.rank_index(documents(spark, sf_dir).select("id_situacion", "titulo", "fecha_modificacion"), order)
+    return ops.page_at(index, 25, index.total // 2).select("id_situacion", "titulo", "lugar")
+
+
+@query(
+    "pending_first_deep",
+    f"""WITH {USERS_SQL}, r AS (SELECT id_usuario, row_number() OVER (ORDER BY reclamacion IS NULL, correo, id_usuario) AS lugar, count(*) OVER () AS n FROM users)
+        SELECT id_usuario, CAST(lugar AS INTEGER) AS lugar FROM r WHERE lugar > n // 3 * 2 AND lugar <= n // 3 * 2 + 100""",
+)
+def pending_first_deep(spark, sf_dir):
+    order = [F.col("reclamacion").isNull(), F.col("correo"), F.col("id_usuario")]
+    index = ops.rank_index(users(spark, sf_dir), order, 20)
+    return ops.page_at(index, 100, index.total // 3 * 2).select("id_usuario", "lugar")
+
+
 @query(
     "document_count",
     f"""WITH {DOCUMENTS_SQL} SELECT count(*) AS total FROM docs

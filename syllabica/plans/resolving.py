@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from ..functions.codes import code_variants
 from ..operators import resolve as ops
 from ..operators.coverage import loaded_pairs
+from ..operators.ordered import width_bucket
+from ..operators.relabel import reassignment_job
+from ..operators.versions import resolve_proposals
 from ..sources.tables import cut_lineage
 from .frames import CATALOGUE_SQL, CITATIONS_SQL, catalogue, citations, citing_documents
 from .registry import query, read
@@ -258,3 +261,43 @@ def rewrite_codes(spark, sf_dir):
         F.get_json_object("contenido", "$.conexion_curricular.competencias[0].justificacion").alias("justificacion"),
         F.get_json_object("contenido", "$.descripcion.texto").alias("texto"),
     )
+
+
+def _event_documents(spark, sf_dir):
+    return event_contents(spark, sf_dir).select(
+        "id_situacion", F.col("user_id").alias("id_usuario"), "contenido", "k", F.concat(F.lit("Brand#"), F.col("user_id") % 25 + 1).alias("comunidad"),
+        F.when(F.col("id_situacion") % 3 == 0, "VIEJA").otherwise("PROMO").alias("materia"), F.lit("1º ESO").alias("curso"),
+        (F.col("id_situacion") % 3 != 0).alias("con_curriculo"),
+    )
+
+
+@query(
+    "relinked_after_reassignment",
+    _LINKED_SQL + """SELECT id_situacion, 'competencias' AS kind, id AS id_target FROM found WHERE id IS NOT NULL""",
+)
+def relinked_after_reassignment(spark, sf_dir):
+    """A third of all documents moved to another subject; their links alone are found anew, and equal a full rebuild."""
+    docs, rows = _event_documents(spark, sf_dir), catalogue(spark, sf_dir)
+    old = ops.rebuild_links(docs.drop("k"), rows)["links"]
+    none = docs.select("id_situacion", F.lit(1).alias("numero_version")).where(F.lit(False))
+    rules = [("VIEJA", "1º ESO", "PROMO", "1º ESO")]
+    return reassignment_job(docs.drop("k"), none, width_bucket("id_situacion"), rules=rules, links=old, catalogue=rows)["links"]
+
+
+@query(
+    "relinked_after_proposals",
+    f"""WITH {CATALOGUE_SQL}, {_CONTENT_SQL}, n AS (SELECT id_situacion, user_id, CAST(CAST(k AS INTEGER) + CASE WHEN id_situacion % 2 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS k FROM content),
+    l AS (SELECT id_situacion, (SELECT min(id) FROM cat WHERE cat.kind = 'competencias' AND cat.comunidad = 'Brand#' || (1 + n.user_id % 25) AND cat.codigo = n.k
+      AND (cat.materia = 'PROMO' OR cat.materia IS NULL) AND (cat.curso = '1º ESO' OR cat.curso IS NULL)) AS id FROM n)
+    SELECT id_situacion, 'competencias' AS kind, id AS id_target FROM l WHERE id IS NOT NULL""",
+)
+def relinked_after_proposals(spark, sf_dir):
+    """Half of all documents take the other text of their citing section, and its links with it."""
+    rows = catalogue(spark, sf_dir)
+    code = lambda n: F.concat(F.lit('{"competencias":["CE'), (F.col("k").cast("int") + n).cast("string"), F.lit('"]'))
+    text = F.concat(F.lit('{"conexion_curricular":'), code(0), F.lit(',"_alternativa":'), code(1), F.lit("}}}"))
+    docs = _event_documents(spark, sf_dir).withColumns({"contenido": text, "materia": F.lit("PROMO")}).drop("k", "con_curriculo")
+    old = ops.rebuild_links(docs, rows)["links"]
+    picks = docs.select("id_situacion", F.lit("conexion_curricular").alias("seccion"), F.when(F.col("id_situacion") % 2 == 0, "alternativa").otherwise("actual").alias("cual"))
+    none = docs.select("id_situacion", F.lit(1).alias("numero_version")).where(F.lit(False))
+    return resolve_proposals(docs, picks, none, width_bucket("id_situacion"), old, rows)["links"]

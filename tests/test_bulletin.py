@@ -7,7 +7,8 @@ from tests.conftest import rows
 
 
 def keep(df, _name):
-    return df
+    """A small layer held as it is, without what it was made from."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def paragraphs(spark, items):
@@ -166,3 +167,26 @@ def test_prelude_is_glued_to_the_criterion_above(spark):
     prelude = spark.createDataFrame([("d", 1, 20, "respetar."), ("d", 1, 5, "antes"), ("d", 3, 20, "otra")], "doc_id string, col int, orden bigint, text string")
     got = P.glue_to_open_record(prelude, records, ["doc_id", "col"])
     assert rows(got, "col", "codigo", "text") == [(1, "1.1", "Identificar, valorar y respetar.")]
+
+
+def test_markers_in_many_ranges(spark):
+    """The same groups whether a subject's markers are one range or many."""
+    cycle = [
+        ("p", "Cursos de primero a tercero"), ("p", "Competencias específicas"), ("p", "1. Una"), ("p", "Criterios de evaluación"), ("p", "1.1 Uno"),
+        ("p", "Saberes básicos"), ("p", "Primer curso"), ("p", "A. Bloque"), ("p", "- x"), ("p", "Cuarto curso: Matemáticas A"), ("p", "Saberes básicos"),
+        ("p", "B. Otro"), ("p", "- y"), ("p", "Cursos primero y segundo"), ("p", "Saberes básicos"), ("p", "Segundo curso"), ("p", "- z"),
+    ]
+    items = [("c", "Latín"), *cycle * 40, ("c", "Griego"), *cycle[5:]]
+    profile = B.Profile({"Latín": "Latín", "Griego": "Griego"}, header_class="c")
+
+    def groups():
+        inside = keep(B.label_subjects(paragraphs(spark, items), profile), "materias")
+        placed, opened = B.label_groups(inside, profile, keep)
+        return rows(placed, "tramo", "grupo", "seccion", "marca", "seq"), rows(opened.withColumn("c", F.array_join("cursos", ",")), "tramo", "grupo", "c", "itinerario")
+
+    whole, B.MARK_RANGE = (groups(), B.MARK_RANGE), 7
+    try:
+        assert groups() == whole[0]
+    finally:
+        B.MARK_RANGE = whole[1]
+    assert len(whole[0][1]) > 100

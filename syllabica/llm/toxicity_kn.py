@@ -31,6 +31,8 @@ from .frames import documents, slices, staged
 from .quality_knn import labelled_sample
 from .words import word_hashes
 
+#: Pairs that the model's own arithmetic holds at a time.
+BLOCK = 1 << 18
 #: Deviation of counts beyond chance, as a share of the expected count: words come in clusters.
 SPREAD = 0.15
 
@@ -96,27 +98,46 @@ class Comparison:
                  smoothing: Smoothing) -> None:
         self.keys, self.words, self.shared, self.curve, self.sent = keys, words, shared, np.zeros(3), None
         size = len(words) + 2
-        before, word = (keys // size).astype(np.int32), (keys % size).astype(np.int32)
-        own = [np.bincount(before, n, minlength=size) for n in pair]
+        part = [slice(i, i + BLOCK) for i in range(0, len(keys), BLOCK)]
+        before, word = (lambda i: keys[i] // size), (lambda i: keys[i] % size)
+
+        def tally(place, weight) -> np.ndarray:
+            """Sums by place, block by block: no array of all pairs is made for them."""
+            total = np.zeros(size)
+            for i in part:
+                total += np.bincount(place(i), weight(i), minlength=size)
+            return total
+
+        own = [tally(before, lambda i, n=n: n[i]) for n in pair]
         share = own[1].sum() / max(own[0].sum() + own[1].sum(), 1)
         near = ((own[1] + smoothing.local * share) / (own[0] + own[1] + smoothing.local)).astype(np.float32)
-        found = pair[0] + pair[1]
-        seen = np.maximum(counts - np.float32(smoothing.pair), 0) / np.bincount(before, counts, minlength=size).astype(np.float32)[before]
-        known = np.bincount(before, seen, minlength=size)
+        begun = tally(before, lambda i: counts[i]).astype(np.float32)
+        seen = np.empty(len(keys), np.float32)
+        for i in part:
+            seen[i] = np.maximum(counts[i] - np.float32(smoothing.pair), 0) / begun[before(i)]
+        known = tally(before, lambda i: seen[i])
         back = (1 - known).astype(np.float32)
         likely, of_words = [], []
-        for c, part in ((0, 1 - share), (1, share)):
-            usual = near[before] if c else 1 - near[before]
-            mine = seen * _held_back(pair[c], found * usual, np.float32(smoothing.pairs * part), np.float32(smoothing.chance))
-            mine *= (known / np.maximum(np.bincount(before, mine, minlength=size), 1e-30)).astype(np.float32)[before]
+        for c, of_class in ((0, 1 - share), (1, share)):
+            usual = lambda i, c=c: near[before(i)] if c else 1 - near[before(i)]
+            found = lambda i: pair[0][i] + pair[1][i]
+            mine = np.empty(len(keys), np.float32)
+            for i in part:
+                mine[i] = seen[i] * _held_back(pair[c][i], found(i) * usual(i), np.float32(smoothing.pairs * of_class), np.float32(smoothing.chance))
+            whole = (known / np.maximum(tally(before, lambda i: mine[i]), 1e-30)).astype(np.float32)
             # leaders of a word: those of the class, and those to expect when both classes are alike
-            leaders, expected = (np.bincount(word, n, minlength=size)[:-2] for n in (pair[c] > 0, 1 - (1 - usual) ** found))
-            mine_word = shared * _held_back(leaders, expected, smoothing.word * part, smoothing.chance)
+            leaders = tally(word, lambda i: pair[c][i] > 0)[:-2]
+            expected = tally(word, lambda i: 1 - (1 - usual(i)) ** found(i))[:-2]
+            mine_word = shared * _held_back(leaders, expected, smoothing.word * of_class, smoothing.chance)
             mine_word *= shared.sum() / max(mine_word.sum(), 1e-30)
-            likely.append(mine + back[before] * mine_word.astype(np.float32)[word])
+            lower = mine_word.astype(np.float32)
+            for i in part:
+                mine[i] = mine[i] * whole[before(i)] + back[before(i)] * lower[word(i)]
+            likely.append(mine)
             of_words.append(mine_word)
         # what a comparison needs: of a pair that isn't kept, the share of the backoff is the same in both models
-        self.pair = np.append(np.log(likely[1] / likely[0]), 0).astype(np.float32)
+        np.divide(likely[1], likely[0], out=likely[1])
+        self.pair = np.append(np.log(likely[1], out=likely[1]), np.float32(0))
         self.word = np.append(np.log(of_words[1] / of_words[0]), 0).astype(np.float32)
 
     def __getstate__(self) -> dict:
@@ -206,12 +227,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     words, n = (found.column(c).to_numpy()[order] for c in ("word", "n"))
     vocabulary = spark.sparkContext.broadcast(words)
     few = "smallint" if sample < 1 << 15 else "int"
+    # in order from Spark, and column by column, so that the driver holds each once
     counted = (learnt.mapInArrow(lambda batches: _pair_counts(batches, vocabulary.value), "pair long, n long, n0 long, n1 long")
-               .groupBy("pair").agg(F.sum("n").cast("int").alias("n"), *(F.sum(c).cast(few).alias(c) for c in ("n0", "n1"))).toArrow())
-    order = np.argsort(counted.column("pair").to_numpy())
-    keys = counted.column("pair").to_numpy()[order]
-    counts, *pair = (counted.column(c).to_numpy()[order].astype(np.float32) for c in ("n", "n0", "n1"))
-    del counted, order
+               .groupBy("pair").agg(F.sum("n").cast("int").alias("n"), *(F.sum(c).cast(few).alias(c) for c in ("n0", "n1"))).orderBy("pair").toArrow())
+    taken = []
+    for name in ("pair", "n", "n0", "n1"):
+        column = counted.column(name).to_numpy()
+        counted = counted.drop_columns([name])
+        taken.append(column if name == "pair" else column.astype(np.float32))
+        del column
+    keys, counts, *pair = taken
+    del counted, taken
     pa.default_memory_pool().release_unused()
     if not all(n_c.any() for n_c in pair):
         return None

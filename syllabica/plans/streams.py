@@ -55,8 +55,8 @@ def rate_limit_breaches(spark, sf_dir):
 
 @query(
     "rate_limits_short",
-    """WITH u AS (SELECT 'minute' AS periodo, 60 AS n, 1 AS maximo UNION ALL SELECT 'hour', 3600, 3),
-    w AS (SELECT periodo, maximo, make_timestamp(CAST(epoch(ts) AS BIGINT) // n * n * 1000000) AS desde, n, '10.0.0.' || user_id % 10 AS quien, count(*) AS peticiones FROM events, u GROUP BY ALL)
+    """WITH u AS (SELECT 'minute' AS periodo, CAST(60 AS BIGINT) AS n, 1 AS maximo UNION ALL SELECT 'hour', 3600, 3),
+    w AS (SELECT periodo, maximo, make_timestamp(epoch_us(ts) // (n * 1000000) * n * 1000000) AS desde, n, '10.0.0.' || user_id % 10 AS quien, count(*) AS peticiones FROM events, u GROUP BY ALL)
     SELECT periodo, desde, 'todas' AS ruta, quien, peticiones, CAST(maximo AS BIGINT) AS maximo FROM w
     WHERE peticiones > maximo AND desde + to_seconds(n) <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
 )

@@ -1,23 +1,25 @@
-"""Suffix-array dedup of bytes: prefix doubling over anchored positions.
+"""Suffix-array dedup of bytes: (position, rank) rows sorted by Spark at growing extents.
 
 Sorting every byte position is out of reach at scale, so only anchors are: in any
 window of ``min_bytes`` bytes the gram with the least hash, which depends on the
 window's bytes alone, so equal windows have equal anchors. About one position in
-36 is an anchor. Strings around anchors are then ranked at growing extents:
+36 is an anchor. What is around anchors is then ranked at growing extents:
 
-1. the gram itself; an anchor whose gram is unique drops out,
-2. the whole neighbourhood, which holds every window of the anchor; if an equal
-   one starts earlier, all these windows are later copies, and
-3. for what is left, groups of ``GROUP`` windows (their common core, then their
+1. the gram itself and the whole neighbourhood, which holds every window of the
+   anchor: an anchor whose gram is unique drops out; where an equal neighbourhood
+   starts earlier, all these windows are later copies, and
+2. for what is left, groups of ``GROUP`` windows (their common core, then their
    union) and at last
-4. single windows.
-
-At each round the positions' pairs of ranks (core, extent) are shuffled by the
-core, sorted, and ranked anew: unique cores drop out, later copies of an extent
-are settled, the rest is refined. Ranks are 128-bit names. Documents are dealt
-into buckets of bounded size; a bucket sends each name once, with its first
-position, so a passage that a third of all documents share stays small, and gets
-one byte back per name. Nothing is staged: a lost executor recomputes its share.
+3. single windows.
+
+In each round a position is one plain row with its pair of names (core, extent).
+Spark shuffles the rows by core and sorts them by extent and place; neighbours in
+this order say which cores are unique and which extents come later, and only rows
+of repeated cores are answered. Rows grow with the text. Names are 128-bit hashes
+of the strings. Documents are dealt into buckets of bounded size; a bucket sends
+a name once, with its first position, so a passage that a third of all documents
+share gives one row per bucket. Nothing is staged: a lost executor recomputes its
+share.
 """
 
 from __future__ import annotations
@@ -27,15 +29,16 @@ from collections.abc import Generator, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import mix, powers
 
-GROUP, ROUNDS = 8, 4
+GROUP, ROUNDS = 8, 3
 _BYTE = np.random.default_rng(40).integers(0, 2**64, 256, dtype=np.uint64)
-_SENT = "part int, bucket int, core binary, extent binary, base long, doc binary, pos binary, n binary"
-_REPLY = "bucket int, round int, part int, status binary"
+#: ``pos`` is twice the position, and one more where the bucket holds the name repeatedly;
+#: ``place`` is the bucket in the high and the name's number in it in the low half.
+_SENT = "core long, extent long, doc long, pos long, place long"
 
 
 class Items:
@@ -51,62 +54,36 @@ class Items:
         self.name, self.lead = np.empty(len(core), np.int64), np.zeros(len(core), bool)
         self.name[order] = np.cumsum(new) - 1
         self.lead[order[first]] = True
-        self.n = np.minimum(2, np.diff(np.append(first, len(core)))).astype(np.uint8)
+        self.many = np.diff(np.append(first, len(core))) > 1
         self.core, self.extent, self.doc, self.pos = core[first], extent[first], doc[order[first]], pos[order[first]]
 
-    def sent(self, bucket: int, parts: int) -> pa.Table:
-        """One row per part of the range of cores."""
-        if not len(self.core):
-            return _table([], _SENT)
-        part = ((self.core >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
-        own, cut = np.unique(part, return_index=True)
-        rows = []
-        for p, a, b in zip(own.tolist(), cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
-            base = int(self.doc[a:b].min())
-            doc = self.doc[a:b].astype(np.uint64) - np.uint64(base % 2**64)
-            doc = doc.astype(np.uint32) if doc.max() < 2**32 else doc
-            rows.append((p, bucket, self.core[a:b].tobytes(), self.extent[a:b].tobytes(), base, doc.tobytes(),
-                         self.pos[a:b].astype(np.int64).tobytes() if self.pos[a:b].max() >= 2**32 else
-                         self.pos[a:b].astype(np.uint32).tobytes(), self.n[a:b].tobytes()))
-        return _table(rows, _SENT)
-
-    def read(self, status: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each string: whether its core is repeated, and whether an equal extent starts earlier."""
-        mine = status[self.name]
-        return (mine & 1) > 0, ~(self.lead & ((mine & 2) > 0))
-
-
-_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-
-
-def _table(rows: list[tuple], schema: str) -> pa.Table:
-    fields = [pa.field(*(lambda name, kind: (name, _TYPES[kind]))(*f.split())) for f in schema.split(", ")]
-    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
-    return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, fields, strict=True)], pa.schema(fields))
-
-
-def ranked(sent: pa.Table, turn: int) -> pa.Table:
-    """For each name that buckets sent for one range of cores: 1 if the core is repeated, 2 if no equal extent starts earlier."""
-    sent = sent.sort_by("bucket")
-    core = np.frombuffer(b"".join(sent["core"].to_pylist()), np.uint64)
-    extent = np.frombuffer(b"".join(sent["extent"].to_pylist()), np.uint64)
-    n = np.frombuffer(b"".join(sent["n"].to_pylist()), np.uint8)
-    sizes = [len(x) for x in sent["n"].to_pylist()]
-    wide = lambda raw, size: np.frombuffer(raw, np.uint32 if len(raw) == 4 * size else np.uint64).astype(np.int64)
-    doc = np.concatenate([base + wide(raw, size) for base, raw, size in zip(sent["base"].to_pylist(), sent["doc"].to_pylist(), sizes, strict=True)])
-    pos = np.concatenate([wide(raw, size) for raw, size in zip(sent["pos"].to_pylist(), sizes, strict=True)])
-    order = np.lexsort((pos, doc, extent, core))
-    core, extent = core[order], extent[order]
-    new_core = np.append(True, core[1:] != core[:-1])
-    new = new_core.copy()
-    new[1:] |= extent[1:] != extent[:-1]
-    total = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new_core))
-    status = np.empty(len(core), np.uint8)
-    status[order] = (total[np.cumsum(new_core) - 1] > 1) + 2 * new
-    ends = np.cumsum([0, *sizes])
-    part = sent["part"][0].as_py()
-    return _table([(bucket, turn, part, status[a:b].tobytes()) for bucket, a, b in
-                   zip(sent["bucket"].to_pylist(), ends[:-1], ends[1:], strict=True)], _REPLY)
+    def sent(self, bucket: int) -> pa.Table:
+        """One row per name."""
+        return pa.table({"core": self.core.view(np.int64), "extent": self.extent.view(np.int64), "doc": self.doc.astype(np.int64),
+                         "pos": self.pos.astype(np.int64) * 2 + self.many, "place": np.arange(len(self.core)) + (bucket << 32)})
+
+    def read(self, answer: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each string: whether its core is repeated, and whether an equal extent starts earlier.
+
+        The answer holds the numbers of the names with a repeated core, and whether the extent starts earlier elsewhere.
+        """
+        at, later = answer
+        repeated, first = np.zeros(len(self.core), bool), np.ones(len(self.core), bool)
+        repeated[at], first[at] = True, ~later
+        return repeated[self.name], ~(self.lead & first[self.name])
+
+
+def ranked(sent: DataFrame, turn: int) -> DataFrame:
+    """The names whose core is repeated, and whether an equal extent starts earlier.
+
+    Of a core the rows are sorted by extent and place; the first of an extent is its earliest.
+    """
+    order = Window.partitionBy("core").orderBy("extent", "doc", "pos")
+    before, after = F.lag("extent").over(order), F.lead("extent").over(order)
+    seen = sent.select("place", (before.isNotNull() | after.isNotNull() | (F.col("pos") % 2 == 1)).alias("repeated"),
+                       before.eqNullSafe(F.col("extent")).alias("later"))
+    return seen.where("repeated").select(F.shiftright("place", 32).cast("int").alias("bucket"), F.lit(turn).alias("turn"),
+                                         F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"), "later")
 
 
 class Bucket:
@@ -138,6 +115,10 @@ class Bucket:
         half = length // 2
         return mix(mix(self._poly(at, half)) * np.uint64(3) + self._poly(at + half, length - half))
 
+    def _apart(self, k: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Names that no other place has."""
+        return mix(mix(self.ids[k].astype(np.uint64)) + at.astype(np.uint64))
+
     def _mark(self, first: np.ndarray, last: np.ndarray) -> None:
         """Windows that start from ``first`` to ``last`` are later copies."""
         edge = np.zeros(len(self.bytes) + 1, np.int32)
@@ -175,25 +156,20 @@ class Bucket:
         self.last = last[np.append(change[1:], len(anchor)) - 1] if len(anchor) else last
         self.doc = np.searchsorted(self.start, self.first, side="right") - 1
 
-    def rounds(self) -> Generator[Items, np.ndarray, None]:
+    def rounds(self) -> Generator[Items, tuple[np.ndarray, np.ndarray], None]:
         """Yields what each round sends and takes what comes back."""
         size, reach, step = self.size, self.reach, self.step
         self._anchors()
-        p, k = self.anchor, self.doc
-        core = self.name(p, size - reach + 1)
-        nothing = np.zeros(len(p), np.uint64)
-        items = Items(core, nothing, self.ids[k], p)
-        repeated, _ = items.read((yield items))
-
-        use = np.flatnonzero(repeated)
-        p, k, core, first, last = p[use], k[use], core[use], self.first[use], self.last[use]
+        p, k, first, last = self.anchor, self.doc, self.first, self.last
         whole = (p - reach + 1 >= self.start[k]) & (p + size <= self.end[k])
-        around = p[whole]
-        items = Items(core[whole], self.second(around - reach + 1, reach - 1 + size), self.ids[k[whole]], around)
-        _, later = items.read((yield items))
-        self._mark(around[later] - reach + 1, around[later])
-        left = np.ones(len(p), bool)
-        left[np.flatnonzero(whole)[later]] = False
+        # a neighbourhood that leaves the document equals no other
+        extent = self._apart(k, p)
+        extent[whole] = self.second(p[whole] - reach + 1, reach - 1 + size)
+        items = Items(self.name(p, size - reach + 1), extent, self.ids[k], p)
+        repeated, later = items.read((yield items))
+        later &= whole
+        self._mark(p[later] - reach + 1, p[later])
+        left = repeated & ~later
         p, k, first, last = p[left], k[left], first[left], last[left]
 
         # groups of windows that start from p - step * g - step + 1 to p - step * g
@@ -207,8 +183,8 @@ class Bucket:
         row, begin, end = row[open_], begin[open_], end[open_]
         k, first, last = k[row], first[row], last[row]
         whole = (begin >= self.start[k]) & (end + size <= self.end[k])
-        # the core lies inside every window of the group; an extent that leaves the document equals no other
-        extent = mix(mix(self.ids[k].astype(np.uint64)) + end.astype(np.uint64))
+        # the core lies inside every window of the group
+        extent = self._apart(k, end)
         extent[whole] = self.second(begin[whole], size + step - 1)
         items = Items(self.name(end, size - step + 1), extent, self.ids[k], end)
         repeated, later = items.read((yield items))
@@ -249,47 +225,55 @@ class Bucket:
         return kept, spans
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 500_000, part_names: int = 150_000,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__kept`` (bytes) and ``__spans`` (start, end in bytes): every byte goes that a
+def _free(name: str, columns: list[str]) -> str:
+    """``name``, longer where there is such a column."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 500_000,
+                   id_col: str = "doc_id", text_col: str = "text", kept: str = "__kept", spans: str = "__spans") -> DataFrame:
+    """``docs`` with ``kept`` (bytes) and ``spans`` (start, end in bytes): every byte goes that a
     string of ``min_bytes`` bytes covers which also starts earlier.
 
     Texts are UTF-8 bytes; earlier is a smaller id, or the same document and an
     earlier start; strings are judged on the input, overlaps count, and no string
     crosses documents. Null texts are empty. A null id comes before all others;
     rows that repeat an id are ordered by their text, rows that are the same are
-    copies of each other. All other columns are kept. A document needs some 40
-    times its bytes of memory in one task. ``bucket_bytes`` and ``part_names``
-    set how much a task holds.
+    copies of each other. All other columns are kept, but for those named as the
+    two new ones. A document needs some 40 times its bytes of memory in one task.
+    ``bucket_bytes`` sets how much a task holds.
     """
+    docs = docs.drop(kept, spans)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     total = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    parts = max(1, -(-total // 36 // part_names))
-    dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(buckets)).cast("int"))
+    number = _free("__bucket", docs.columns)
+    dealt = docs.withColumn(number, F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(buckets)).cast("int"))
 
     def advance(table: pa.Table, replies: pa.Table | None, turn: int) -> tuple[pa.Table, Bucket, Items | None]:
         """The bucket after ``turn`` answered rounds, and what the next one sends."""
-        table = table.append_column("__id", pc.fill_null(table[id_col].cast(pa.int64()), -(2**63)))
-        table = table.append_column("__text", pc.fill_null(table[text_col], ""))
-        table = table.sort_by([("__id", "ascending"), ("__text", "ascending")])
-        bucket = Bucket(table["__id"].to_numpy(), [t.encode() for t in table["__text"].to_pylist()], min_bytes)
-        answers: list[list[tuple[int, bytes]]] = [[] for _ in range(turn)]
-        for done, part, status in zip(*(replies[c].to_pylist() for c in ("round", "part", "status")), strict=True) if turn else ():
-            answers[done].append((part, status))
+        sorted_by = pa.table({"id": pc.fill_null(table[id_col].cast(pa.int64()), -(2**63)), "text": pc.fill_null(table[text_col], "")})
+        order = pc.sort_indices(sorted_by, sort_keys=[("id", "ascending"), ("text", "ascending")])
+        table, sorted_by = table.take(order), sorted_by.take(order)
+        bucket = Bucket(sorted_by["id"].to_numpy(), [t.encode() for t in sorted_by["text"].to_pylist()], min_bytes)
         run = bucket.rounds()
         items: Items | None = next(run)
-        for answer in answers:
+        if turn:
+            of, at, later = (replies[c].to_numpy() for c in ("turn", "at", "later"))
+        for done in range(turn):
+            mine = of == done
             try:
-                items = run.send(np.frombuffer(b"".join(status for _, status in sorted(answer)), np.uint8))
+                items = run.send((at[mine], later[mine]))
             except StopIteration:
                 items = None
         return table, bucket, items
 
     def send(table: pa.Table, replies: pa.Table | None, turn: int) -> pa.Table:
-        number = table["__bucket"][0].as_py() if table.num_rows else 0
-        items = advance(table, replies, turn)[2]
-        return items.sent(number, parts) if items else _table([], _SENT)
+        if not table.num_rows:
+            return Items(*(np.zeros(0, np.uint64) for _ in range(4))).sent(0)
+        return advance(table, replies, turn)[2].sent(table[number][0].as_py())
 
     def first_sender():
         return lambda table: send(table, None, 0)
@@ -297,33 +281,30 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 50
     def sender(turn: int):
         return lambda table, replies: send(table, replies, turn)
 
-    def ranker(turn: int):
-        return lambda table: ranked(table, turn)
-
     answered = None
     for turn in range(ROUNDS):
-        grouped = dealt.groupBy("__bucket")
+        grouped = dealt.groupBy(number)
         if answered is None:
             sent = grouped.applyInArrow(first_sender(), _SENT)
         else:
             sent = grouped.cogroup(answered.groupBy("bucket")).applyInArrow(sender(turn), _SENT)
-        reply = sent.groupBy("part").applyInArrow(ranker(turn), _REPLY)
+        # shuffled by bucket here, so that later rounds read the answers and don't sort anew
+        reply = ranked(sent, turn).repartition("bucket")
         answered = reply if answered is None else answered.unionByName(reply)
 
     names = docs.columns
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return table.select(names).append_column("__kept", pa.array([], pa.binary())).append_column("__spans", pa.array([], spans))
-        table, bucket, _ = advance(table, replies, ROUNDS)
-        kept, gone = bucket.result()
-        return (table.select(names).append_column("__kept", pa.array(kept, pa.binary()))
-                .append_column("__spans", pa.array(gone, spans)))
+        left, gone = [], []
+        if table.num_rows:
+            table, bucket, _ = advance(table, replies, ROUNDS)
+            left, gone = bucket.result()
+        return table.select(names).append_column(kept, pa.array(left, pa.binary())).append_column(spans, pa.array(gone, span_type))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return dealt.groupBy("__bucket").cogroup(answered.groupBy("bucket")).applyInArrow(
-        finish, f"{schema}, __kept binary, __spans array<struct<start:bigint,end:bigint>>")
+    return dealt.groupBy(number).cogroup(answered.groupBy("bucket")).applyInArrow(
+        finish, f"{schema}, `{kept}` binary, `{spans}` array<struct<start:bigint,end:bigint>>")
 
 
 def drop_repeats(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,15 +313,16 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id",
     Where a removed span begins or ends inside a character, the rest of that
     character goes as well. A null text stays null.
     """
-    found = remove_repeats(docs, min_bytes, id_col=id_col, text_col=text_col)
+    left, spans = _free("__kept", docs.columns), _free("__spans", docs.columns)
+    found = remove_repeats(docs, min_bytes, id_col=id_col, text_col=text_col, kept=left, spans=spans)
     text, names = F.col(f"`{text_col}`"), docs.columns
 
     def valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [None if x is None else x.decode(errors="ignore") for x in batch.column("__kept").to_pylist()]
+            kept = [None if x is None else x.decode(errors="ignore") for x in batch.column(left).to_pylist()]
             at = batch.schema.get_field_index(text_col)
             columns = [pa.array(kept, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    found = found.withColumn("__kept", F.when(text.isNotNull(), F.when(F.size("__spans") > 0, F.col("__kept")).otherwise(text.cast("binary"))))
-    return found.drop("__spans").mapInArrow(valid, docs.schema)
+    found = found.withColumn(left, F.when(text.isNotNull(), F.when(F.size(spans) > 0, F.col(left)).otherwise(text.cast("binary"))))
+    return found.drop(spans).mapInArrow(valid, docs.schema)

@@ -36,9 +36,9 @@ from .words import mix, powers
 
 GROUP, ROUNDS = 8, 3
 _BYTE = np.random.default_rng(40).integers(0, 2**64, 256, dtype=np.uint64)
-#: ``pos`` is twice the position, and one more where the bucket holds the name repeatedly;
-#: ``place`` is the bucket in the high and the name's number in it in the low half.
-_SENT = "core long, extent long, doc long, pos long, place long"
+#: ``place`` is the bucket in the high half; in the low half twice the position, and one more
+#: where the bucket holds the name repeatedly. Texts of a bucket are shorter than 2 GB.
+_SENT = "core long, extent long, doc long, place long"
 
 
 class Items:
@@ -60,30 +60,33 @@ class Items:
     def sent(self, bucket: int) -> pa.Table:
         """One row per name."""
         return pa.table({"core": self.core.view(np.int64), "extent": self.extent.view(np.int64), "doc": self.doc.astype(np.int64),
-                         "pos": self.pos.astype(np.int64) * 2 + self.many, "place": np.arange(len(self.core)) + (bucket << 32)})
+                         "place": (bucket << 32) + self.pos.astype(np.int64) * 2 + self.many})
 
     def read(self, answer: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """For each string: whether its core is repeated, and whether an equal extent starts earlier.
 
-        The answer holds the numbers of the names with a repeated core, and whether the extent starts earlier elsewhere.
+        The answer holds the positions of the names with a repeated core, and whether the extent starts earlier elsewhere.
         """
-        at, later = answer
+        pos, later = answer
+        order = np.argsort(self.pos)
+        at = order[np.searchsorted(self.pos[order], pos)]
         repeated, first = np.zeros(len(self.core), bool), np.ones(len(self.core), bool)
         repeated[at], first[at] = True, ~later
         return repeated[self.name], ~(self.lead & first[self.name])
 
 
 def ranked(sent: DataFrame, turn: int) -> DataFrame:
-    """The names whose core is repeated, and whether an equal extent starts earlier.
+    """The names whose core is repeated: 8 times the position, 2 times the round, and 1 if an equal extent starts earlier.
 
     Of a core the rows are sorted by extent and place; the first of an extent is its earliest.
     """
-    order = Window.partitionBy("core").orderBy("extent", "doc", "pos")
+    order = Window.partitionBy("core").orderBy("extent", "doc", "place")
     before, after = F.lag("extent").over(order), F.lead("extent").over(order)
-    seen = sent.select("place", (before.isNotNull() | after.isNotNull() | (F.col("pos") % 2 == 1)).alias("repeated"),
-                       before.eqNullSafe(F.col("extent")).alias("later"))
-    return seen.where("repeated").select(F.shiftright("place", 32).cast("int").alias("bucket"), F.lit(turn).alias("turn"),
-                                         F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"), "later")
+    low = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    seen = sent.select("place", low.alias("low"), (before.isNotNull() | after.isNotNull() | (low % 2 == 1)).alias("repeated"),
+                       before.eqNullSafe(F.col("extent")).cast("long").alias("later"))
+    return seen.where("repeated").select(F.shiftright("place", 32).cast("int").alias("bucket"),
+                                         (F.shiftright("low", 1) * 8 + F.lit(2 * turn) + F.col("later")).alias("found"))
 
 
 class Bucket:
@@ -261,11 +264,11 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 50
         run = bucket.rounds()
         items: Items | None = next(run)
         if turn:
-            of, at, later = (replies[c].to_numpy() for c in ("turn", "at", "later"))
+            found = replies["found"].to_numpy()
         for done in range(turn):
-            mine = of == done
+            mine = found[found >> 1 & 3 == done]
             try:
-                items = run.send((at[mine], later[mine]))
+                items = run.send((mine >> 3, mine & 1 > 0))
             except StopIteration:
                 items = None
         return table, bucket, items

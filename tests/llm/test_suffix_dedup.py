@@ -67,11 +67,11 @@ def answered(sent, n):
     for row in sent:
         cores.setdefault(row["core"], []).append(row)
     for rows in cores.values():
-        if len(rows) > 1 or rows[0]["pos"] % 2:
+        if len(rows) > 1 or rows[0]["place"] % 2:
             first = {}
-            for row in sorted(rows, key=lambda r: (r["doc"], r["pos"])):
+            for row in sorted(rows, key=lambda r: (r["doc"], r["place"])):
                 at, later = out[row["place"] >> 32]
-                at.append(row["place"] & 0xFFFFFFFF)
+                at.append((row["place"] & 0xFFFFFFFF) >> 1)
                 later.append(row["extent"] in first)
                 first[row["extent"]] = row
     return [(np.array(at, np.int64), np.array(later, bool)) for at, later in out]

@@ -29,8 +29,10 @@ from collections.abc import Generator, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import mix, powers
 
@@ -235,6 +237,20 @@ def _free(name: str, columns: list[str]) -> str:
     return name
 
 
+def _compressed(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        at = batch.schema.get_field_index(text_col)
+        raw = pa.array([None if x is None else pack(x.encode()) for x in batch.column(at).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([raw if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+
+def _restored(table: pa.Table, text_col: str) -> pa.Table:
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = pa.array([None if x is None else unpack(x).decode() for x in table[text_col].to_pylist()], pa.string())
+    return table.set_column(table.schema.get_field_index(text_col), text_col, texts)
+
+
 def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 500_000,
                    id_col: str = "doc_id", text_col: str = "text", kept: str = "__kept", spans: str = "__spans") -> DataFrame:
     """``docs`` with ``kept`` (bytes) and ``spans`` (start, end in bytes): every byte goes that a
@@ -253,10 +269,14 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 50
     total = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     number = _free("__bucket", docs.columns)
-    dealt = docs.withColumn(number, F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(buckets)).cast("int"))
+    # texts are shuffled compressed
+    narrow = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text_col else f for f in docs.schema.fields])
+    dealt = (docs.mapInArrow(lambda batches: _compressed(batches, text_col), narrow)
+             .withColumn(number, F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(buckets)).cast("int")))
 
     def advance(table: pa.Table, replies: pa.Table | None, turn: int) -> tuple[pa.Table, Bucket, Items | None]:
         """The bucket after ``turn`` answered rounds, and what the next one sends."""
+        table = _restored(table, text_col)
         sorted_by = pa.table({"id": pc.fill_null(table[id_col].cast(pa.int64()), -(2**63)), "text": pc.fill_null(table[text_col], "")})
         order = pc.sort_indices(sorted_by, sort_keys=[("id", "ascending"), ("text", "ascending")])
         table, sorted_by = table.take(order), sorted_by.take(order)
@@ -299,10 +319,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 50
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        left, gone = [], []
-        if table.num_rows:
-            table, bucket, _ = advance(table, replies, ROUNDS)
-            left, gone = bucket.result()
+        table, bucket, _ = advance(table, replies, ROUNDS)
+        left, gone = bucket.result()
         return table.select(names).append_column(kept, pa.array(left, pa.binary())).append_column(spans, pa.array(gone, span_type))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

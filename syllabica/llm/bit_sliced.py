@@ -10,17 +10,15 @@ only these boundary rows are scored on whole values.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, meet, usable
+from .vectors import best, searched, usable
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-FOUND = "query_id long, vec_id long, score long"
 
 
 def bitmaps(flags: np.ndarray) -> np.ndarray:
@@ -81,14 +79,16 @@ class BitSlicedShard:
             total = total[:bit] + add(total[bit:], part) if total[bit:] else total + [np.zeros_like(part[0])] * (bit - len(total)) + part
         return total
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """Query ids, row ids and scores of the k best rows of each query; none has the query's id."""
         sums = self.sums(queries) or [np.zeros((len(queries), len(self.rows)), np.uint64)]
         valid = np.repeat(self.rows[None], len(queries), axis=0)
-        place = {int(i): n for n, i in enumerate(self.ids.tolist())}
-        for n, i in enumerate(query_ids.tolist()):
-            if i in place:
-                at = place[i]
-                valid[n, at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
+        order = np.argsort(self.ids, kind="stable")
+        first, last = (np.searchsorted(self.ids[order], query_ids, side) for side in ("left", "right"))
+        for n in np.flatnonzero(first < last):
+            own = np.zeros(len(self.ids), bool)
+            own[order[first[n]: last[n]]] = True
+            valid[n] &= ~bitmaps(own)
         left, above, kth = valid, np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
         for level in range(len(sums) - 1, -1, -1):
             ones = left & sums[level]
@@ -108,15 +108,17 @@ class BitSlicedShard:
             equal = equal & ~(sums[level] ^ bit)
         beyond = (least >> len(sums)) > 0
         near = np.where(beyond[:, None], np.uint64(0), over | equal)
+        out = []
         for n in range(len(queries)):
             rows = np.flatnonzero(np.unpackbits(near[n].view(np.uint8), bitorder="little"))
             score = self.values[rows] @ queries[n]
             order = np.lexsort((self.ids[rows], -score))[:k]
-            yield pd.DataFrame({"query_id": query_ids[n], "vec_id": self.ids[rows[order]], "score": score[order]})
+            out.append((np.full(len(order), query_ids[n]), self.ids[rows[order]], score[order]))
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, slices: int = 6, per_shard: int = 8192,
-          per_block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+          per_block: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest integer inner products of each query.
 
     Components become floor(scale * x). ``is_query`` is a condition on ``id``;
@@ -124,20 +126,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sl
     null or non-finite components take no part; vectors of another length than a
     query's aren't its candidates. ``slices`` (bits kept of a component),
     ``per_shard`` and ``per_block`` change speed and memory only. Rows repeated
-    with one id are one candidate each.
+    with one id are one candidate each; query rows repeated with one id are ranked
+    together, so a candidate is listed once for each of them. A component so
+    large that a sum might not fit 64 bits is refused with an error.
     """
-    rows = usable(vectors, id_col, vector_col).withColumn(
-        "vec", F.transform("vec", lambda x: F.floor(F.lit(scale) * x).cast("long")))
-    shards, blocks = meet(rows, is_query, per_shard, per_block)
-
-    def run(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        if shard.empty or block.empty:
-            return empty
-        index = BitSlicedShard(shard["id"].to_numpy(), np.stack(shard["vec"].to_numpy()).astype(np.int64), slices)
-        ids, queries = block["id"].to_numpy(), np.stack(block["vec"].to_numpy()).astype(np.int64)
-        parts = [f for i in range(0, len(ids), 16) for f in index.search(ids[i: i + 16], queries[i: i + 16], k)]
-        return pd.concat([empty, *parts], ignore_index=True)
-
-    by = ["dim", "shard", "block"]
-    return best(shards.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(run, FOUND), k)
+    def quantised(x: Column) -> Column:
+        large = F.abs(F.lit(scale) * x) >= F.floor(F.lit(math.sqrt(2.0**63)) / F.sqrt("dim"))
+        return F.when(large, F.raise_error(F.lit("a component is too large for inner products of 64 bits"))).otherwise(F.floor(F.lit(scale) * x)).cast("long")
+
+    rows = usable(vectors, id_col, vector_col).withColumn("vec", F.transform("vec", quantised))
+    return best(searched(rows, is_query, k, per_shard, per_block, lambda ids, values: BitSlicedShard(ids, values, slices), "long"), k)

@@ -9,12 +9,11 @@ out. ``factor`` scales that distance: 1 is exact, less leaves out more.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .vectors import best, meet, usable
+from .vectors import best, searched, usable
 
-FOUND = "query_id long, vec_id long, score double"
 _SLACK = 1e-7
 
 
@@ -23,10 +22,15 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
+def levelled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component below 1: cosines stay, squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 class VantagePointTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 128) -> None:
-        self.ids, self.raw, self.leaf = ids, vectors, leaf
-        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 128, factor: float = 1) -> None:
+        self.ids, self.raw, self.leaf, self.factor = ids, levelled(vectors), leaf, factor
+        self.unit = self.raw / np.linalg.norm(self.raw, axis=1, keepdims=True)
         self.root = self._build(np.argsort(ids, kind="stable"))
 
     def _build(self, rows: np.ndarray) -> tuple:
@@ -44,15 +48,16 @@ class VantagePointTree:
     def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> pd.DataFrame:
-        self.q_ids, self.q_raw, self.k, self.factor = query_ids, queries, k, factor
-        self.q = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """Query ids, row ids and cosines of the k nearest rows of each query; none has the query's id."""
+        self.q_ids, self.q_raw, self.k = query_ids, levelled(queries), k
+        self.q = self.q_raw / np.linalg.norm(self.q_raw, axis=1, keepdims=True)
         n = len(queries)
         self.score, self.found = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
         self._visit(self.root, np.arange(n))
         at, _ = np.nonzero(self.score > -np.inf)
         hit = self.score > -np.inf
-        return pd.DataFrame({"query_id": query_ids[at], "vec_id": self.found[hit], "score": self.score[hit]})
+        return [query_ids[at], self.found[hit], self.score[hit]]
 
     def _visit(self, node: tuple, asking: np.ndarray) -> None:
         if not len(asking):
@@ -93,19 +98,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, factor: float = 0.
     to the smaller id. Every row is indexed. Null or zero vectors and vectors that
     hold null or non-finite components take no part; vectors of another length
     than a query's aren't its candidates. ``factor`` 1 gives the exact neighbours.
-    Rows repeated with one id are one candidate each.
+    Rows repeated with one id are one candidate each; query rows repeated with one id
+    are ranked together, so a candidate is listed once for each of them. ``per_shard`` bounds the
+    rows of a tree on average, ``per_block`` the queries that search it at a time.
     """
-    from pyspark.sql import functions as F
-
     rows = usable(vectors, id_col, vector_col).where(F.exists("vec", lambda x: x != 0))
-    shards, blocks = meet(rows, is_query, per_shard, per_block)
-
-    def run(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if shard.empty or block.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        tree = VantagePointTree(shard["id"].to_numpy(), np.stack(shard["vec"].to_numpy()), leaf)
-        return tree.search(block["id"].to_numpy(), np.stack(block["vec"].to_numpy()), k, factor)
-
-    by = ["dim", "shard", "block"]
-    return best(shards.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(run, FOUND), k)
+    return best(searched(rows, is_query, k, per_shard, per_block, lambda ids, values: VantagePointTree(ids, values, leaf, factor), "double"), k)

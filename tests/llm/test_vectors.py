@@ -25,10 +25,9 @@ def usable(rows, zero):
 
 def expected(rows, score, k=5):
     out = []
-    for q, x in rows:
-        if q % 50 == 0:
-            others = sorted((-score(x, y), i) for i, y in rows if i != q and len(y) == len(x))
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(others[:k])]
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        others = sorted((-score(x, y), i) for j, x in rows for i, y in rows if j == q and i != q and len(y) == len(x))
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(others[:k])]
     return sorted(out)
 
 
@@ -47,6 +46,30 @@ def test_vp_trees_exact(spark):
     assert sorted(tuple(r) for r in got.collect()) == expected(usable(rows, False), one)
 
 
+@pytest.mark.parametrize("per_shard", [6, 1000])
+def test_repeated_ids(spark, per_shard):
+    rng = np.random.default_rng(5)
+    rows = [(i % 7 * 25, rng.normal(size=4).astype(np.float32).tolist()) for i in range(30)]
+    rows += [rows[0]] * 9 + [rows[1]] * 9  # a query and a candidate, each there ten times
+    df = spark.createDataFrame([(i, v, 1, 0.5, 9) for i, v in rows], SCHEMA)
+    arrays = [(i, np.array(v, float)) for i, v in rows]
+    one = lambda a, b: float(vp_trees.cosine(a[None], b[None])[0])
+    near = vp_trees.nearest(df, F.col("id") % 50 == 0, factor=1, leaf=2, per_shard=per_shard).collect()
+    assert sorted(tuple(r) for r in near) == expected(arrays, one)
+    top = bit_sliced.top_k(df, F.col("id") % 50 == 0, per_shard=per_shard).collect()
+    assert sorted(tuple(r) for r in top) == expected([(i, np.floor(256 * v).astype(int)) for i, v in arrays], lambda a, b: int(a @ b))
+    assert all(r["query_id"] != r["vec_id"] for r in near + top)
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 2e-200]), (2, [3e300, 0.0]), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"], round(r["score"], 6)) for r in vp_trees.nearest(df, F.col("id") % 50 == 0, factor=1).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 50, 1.0), (0, 1, 0.948683), (0, 2, 0.707107), (50, 0, 1.0), (50, 1, 0.948683), (50, 2, 0.707107)]
+    with pytest.raises(Exception, match="too large"):
+        bit_sliced.top_k(df, F.col("id") % 50 == 0).collect()
+
+
 def test_empty_vectors(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert bit_sliced.top_k(df, F.col("id") % 50 == 0).count() == 0

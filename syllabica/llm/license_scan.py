@@ -1,7 +1,7 @@
 """License scan: phrases word by word, and short notices with a bounded number of edits.
 
-A notice with at most k edits, cut into k + 1 pieces, keeps one piece whole. The
-pieces are found as exact strings; only around a piece does the ``regex``
+A notice with at most k edits, cut into k + 1 pieces, keeps one piece whole. A
+version or clause that tells licences apart allows no edits. The pieces are found as exact strings; only around a piece does the ``regex``
 library look for the notice with errors.
 """
 
@@ -24,13 +24,21 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Notices searched with edits, and their labels.
+# Notices searched with edits, and their labels; what follows the bar tells licences apart and must be exact.
 NOTICES = {
-    "licensed under the apache license, version 2.0": "apache-2.0",
-    "licensed under the gnu general public license, version 3": "gpl-3.0",
+    "licensed under the apache license, version |2.0": "apache-2.0",
+    "licensed under the apache license, version |1.1": "apache-1.1",
+    "licensed under the gnu general public license, version |2": "gpl-2.0",
+    "licensed under the gnu general public license, version |3": "gpl-3.0",
+    "licensed under the gnu lesser general public license, version |2.1": "lgpl-2.1",
+    "licensed under the gnu lesser general public license, version |3": "lgpl-3.0",
+    "licensed under the gnu affero general public license, version |3": "agpl-3.0",
     "released under the mit license": "mit-notice",
     "permission is hereby granted, free of charge": "mit-notice",
-    "licensed under cc by-nc 4.0": "cc-by-nc-4.0",
+    "licensed under |cc by-nc 4.0": "cc-by-nc-4.0",
+    "licensed under |cc by-nc-sa 4.0": "cc-by-nc-sa-4.0",
+    "licensed under |cc by-nd 4.0": "cc-by-nd-4.0",
+    "licensed under |cc by-sa 4.0": "cc-by-sa-4.0",
     "licensed under a creative commons attribution": "cc-notice",
     "redistribution and use in source and binary forms": "bsd-notice",
     "subject to the terms of the mozilla public license": "mpl-notice",
@@ -56,42 +64,54 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
 
 
 class NoticeFinder:
-    """Finds every notice with at most its number of edits."""
+    """Finds every notice with at most its number of edits.
+
+    ``|`` in a notice begins its exact part, which holds no edits and isn't followed by more of
+    its number. Notices that differ in the exact part alone are sought together.
+    """
 
     def __init__(self, notices: dict[str, str], share: float) -> None:
         import regex
 
-        self.rules = []
+        bodies: dict[str, dict[str, str]] = {}
         for notice, label in notices.items():
-            edits = allowed_edits(notice, share)
-            found = regex.compile(f"(?:{regex.escape(notice)}){{e<={edits}}}", regex.BESTMATCH)
-            self.rules.append((notice, label, edits, pieces(notice, edits), found))
+            body, _, exact = notice.partition("|")
+            bodies.setdefault(body, {})[exact] = label
+        self.rules = []
+        for body, tails in bodies.items():
+            edits = allowed_edits(body, share)
+            tail = "|".join(f"({regex.escape(exact)}" + (r"(?!\d|\.\d*[1-9])" if exact[-1:].isdigit() else "") + ")" for exact in tails)
+            found = regex.compile(f"(?:{regex.escape(body)}){{e<={edits}}}(?:{tail})", regex.BESTMATCH)
+            self.rules.append((body, list(tails.items()), edits, pieces(body, edits), found))
 
     def seeds(self, raw: bytes) -> bool:
-        return any(piece.encode() in raw for _, _, _, parts, _ in self.rules for _, piece in parts)
+        return any(any(piece.encode() in raw for _, piece in parts) for _, _, _, parts, _ in self.rules)
 
     def spans(self, text: str) -> list[dict]:
         """Spans in characters; of overlapping spans of a label the one with fewest edits stays."""
         out = []
-        for notice, label, edits, parts, pattern in self.rules:
-            # every match lies in the window of one of its pieces
+        for body, tails, edits, parts, pattern in self.rules:
+            if not any(exact in text for exact, _ in tails):
+                continue
+            # every match lies in the window of one of its pieces; what may follow a number is seen as well
+            beyond = max(len(exact) for exact, _ in tails) + 8
             windows = set()
             for at, piece in parts:
                 i = text.find(piece)
                 while i >= 0:
-                    windows.add((max(0, i - at - edits), i - at + len(notice) + edits))
+                    windows.add((max(0, i - at - edits), i - at + len(body) + edits + beyond))
                     i = text.find(piece, i + 1)
-            found: dict[tuple[int, int], int] = {}
+            found: dict[tuple[int, int], tuple[int, int]] = {}
             left = list(windows)
             while left:
                 a, b = left.pop()
-                m = pattern.search(text, a, b) if b - a >= len(notice) - edits else None
+                m = pattern.search(text, a, b) if b - a >= len(body) - edits else None
                 if m:
-                    found[m.span()] = sum(m.fuzzy_counts)
+                    found[m.span()] = sum(m.fuzzy_counts), m.lastindex - 1
                     # the best match of a window may stand before, between or after others
                     left += [(a, m.start()), (m.end(), b)]
-            out += [{"label": label, "start": start, "end": end, "edits": wrong, "similarity": 1 - wrong / len(notice)}
-                    for (start, end), wrong in found.items()]
+            out += [{"label": tails[n][1], "start": start, "end": end, "edits": wrong, "similarity": 1 - wrong / (len(body) + len(tails[n][0]))}
+                    for (start, end), (wrong, n) in found.items()]
         kept: list[dict] = []
         for span in sorted(out, key=lambda s: (s["edits"], s["start"], s["label"], s["end"])):
             if not any(s["label"] == span["label"] and s["start"] < span["end"] and span["start"] < s["end"] for s in kept):
@@ -110,8 +130,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     """``doc_id``, ``n_words``, ``base`` (phrase places by word) and ``spans`` of fuzzy notices.
 
     A-Z is lower-cased; words are runs of digits, a-z and characters beyond ASCII.
-    ``share`` is the part of a notice's characters that may be wrong; spans are in
-    characters of the text. A null or empty text has no words, places or spans;
+    ``share`` is the part of a notice's characters before its exact part (``NOTICES``) that
+    may be wrong; spans are in characters of the text. A null or empty text has no words, places or spans;
     repeated rows give repeated results; other columns are ignored.
     """
     phrases, notices = phrases or PHRASES, notices or NOTICES
@@ -126,8 +146,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
                     inside = _IS_WORD[np.frombuffer(raw, np.uint8)]
                     starts = inside.copy()
                     starts[1:] &= ~inside[:-1]
-                    n_words.append(int(np.count_nonzero(starts)))
-                    base.append([{"label": labels[m.lastindex - 1], "word": int(np.count_nonzero(starts[:m.start()]))}
+                    first = np.flatnonzero(starts)
+                    n_words.append(len(first))
+                    base.append([{"label": labels[m.lastindex - 1], "word": int(np.searchsorted(first, m.start()))}
                                  for m in pattern.finditer(raw)])
                     spans.append(finder.spans(raw.decode()) if finder.seeds(raw) else [])
                 yield pa.RecordBatch.from_arrays(

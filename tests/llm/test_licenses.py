@@ -49,16 +49,18 @@ def edits(a, b):
 def test_edits_within_the_bound_are_found(seed):
     rng = random.Random(seed)
     notice = rng.choice(list(license_scan.NOTICES))
-    allowed = license_scan.allowed_edits(notice, 0.1)
-    wrong = list(notice)
+    body, _, exact = notice.partition("|")
+    allowed = license_scan.allowed_edits(body, 0.1)
+    wrong = list(body)
     for _ in range(rng.randint(0, allowed)):
         at = rng.randrange(len(wrong))
         wrong[at: at + 1] = rng.choice([[], ["#"], ["#", wrong[at]]])
-    text = prose(30, seed) + " " + "".join(wrong) + " " + prose(30, seed + 1)
+    text = prose(30, seed) + " " + "".join(wrong) + exact + " " + prose(30, seed + 1)
     spans = license_scan.NoticeFinder(license_scan.NOTICES, 0.1).spans(text)
     best = [s for s in spans if s["label"] == license_scan.NOTICES[notice]]
     assert best and all(s["edits"] <= max(allowed, 4) for s in best)
-    assert any(edits(text[s["start"]: s["end"]], n) == s["edits"] for s in best for n, label in license_scan.NOTICES.items() if label == s["label"])
+    plain = [(n.replace("|", ""), label) for n, label in license_scan.NOTICES.items()]
+    assert any(edits(text[s["start"]: s["end"]], n) == s["edits"] for s in best for n, label in plain if label == s["label"])
 
 
 @pytest.mark.parametrize("order", [(1, 1, 0), (2, 1, 0, 1), (0, 2, 0), (2, 2, 1)])
@@ -68,3 +70,16 @@ def test_poorer_notices_before_a_better_one(order):
     spans = license_scan.NoticeFinder(license_scan.NOTICES, 0.1).spans(text)
     assert [s["edits"] for s in spans] == list(order) and all(s["label"] == "mit-notice" for s in spans)
     assert [edits(text[s["start"]: s["end"]], forms[0]) for s in spans] == list(order)
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("licensed under the gnu general public license, version 2", ["gpl-2.0"]), ("licensed under the gnu general public licence, version 3.0.", ["gpl-3.0"]),
+    ("licensed under the apache license, version 1.1", ["apache-1.1"]), ("licensed under the apache license, version 2.0.", ["apache-2.0"]),
+    ("licensed under the apache license, version 2.01", []), ("licensed under the apache license, version 2.0.1", []),
+    ("licensed under cc by-nd 4.0", ["cc-by-nd-4.0"]), ("licensed under cc by-sa 4.0", ["cc-by-sa-4.0"]), ("licensd under cc by-nc 4.0", ["cc-by-nc-4.0"]),
+    ("licensed under cc by-nc-sa 4.0", ["cc-by-nc-sa-4.0"]), ("licensed under cc by-nx 4.0", []), ("licensed under the gnu general public license, version 4", []),
+    ("licensed under the gnu lesser general public license, version 2.1", ["lgpl-2.1"]), ("licensed under the gnu general public license, version 3.1", []),
+    ("licensed under the apache license, version 2.0 licensed under the apache license, version 1.1", ["apache-2.0", "apache-1.1"]),
+])
+def test_what_tells_licences_apart_is_exact(text, labels):
+    assert [s["label"] for s in license_scan.NoticeFinder(license_scan.NOTICES, 0.1).spans(text)] == labels

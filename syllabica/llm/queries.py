@@ -113,8 +113,13 @@ WITH lines AS (
 ), later AS (
   SELECT doc_id, j FROM runs WHERE next IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY line, next ORDER BY doc_id, j) > 1
+), long_later AS (
+  SELECT doc_id, j FROM filled
+  WHERE length(line) >= 99 AND len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) >= 50
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, j) > 1
 ), removed AS (
-  SELECT DISTINCT doc_id, i FROM filled JOIN (SELECT * FROM later UNION SELECT doc_id, j + 1 FROM later) USING (doc_id, j)
+  SELECT DISTINCT doc_id, i FROM filled
+  JOIN (SELECT * FROM later UNION SELECT doc_id, j + 1 FROM later UNION SELECT doc_id, j FROM long_later) USING (doc_id, j)
 )
 SELECT doc_id, count(*) AS n_lines, count(r.i) AS n_removed,
        sha256(coalesce(string_agg(CASE WHEN r.i IS NULL THEN line END, chr(10) ORDER BY l.i), '')) AS kept_sha256
@@ -123,7 +128,7 @@ FROM lines l LEFT JOIN removed r USING (doc_id, i) GROUP BY doc_id"""
 
 @query("op9_line_dedup", LINE_SQL)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = line_dedup.mark_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    marked = line_dedup.mark_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
     text = F.coalesce("text", F.lit(""))
     return marked.select("doc_id", F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
                          F.size("__removed").cast("long").alias("n_removed"),

@@ -29,18 +29,18 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines go; every document stays."""
-    return counted(line_dedup.drop_repeated_lines(docs))
+    """Later copies of two or more lines, or of a line of 50 words or more, go; every document stays."""
+    return counted(line_dedup.drop_repeated_lines(docs, min_words=50))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more the one with the smallest id stays.
+    """Of documents linked by a similarity of 0.8 or more, also by way of others, the one with the smallest id stays.
 
-    Rows without an id stay; a row that is there twice stays once.
+    Rows without an id stay; of rows with an id that are alike in all columns one stays.
     """
     others = ngram_join.similar(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(others.hint("merge"), "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
-    return left.dropDuplicates(["doc_id", "__text"]).select(docs.columns)
+    left = docs.join(others.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return left.where("doc_id IS NULL").union(left.where("doc_id IS NOT NULL").dropDuplicates())
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,15 @@ def test_stages(spark):
     assert {r["doc_id"] for r in docs.collect()} == {i for i, _ in given["packing"]}
     again = corpus_pipeline.run(spark, SF_DIR)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_one_of_each_group_of_awkward_rows(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long, "en"), (1, long, "en"), (2, long, "de"), (None, long, "en"), (None, long, "en"), (3, "short", "en"), (3, "short", "fr"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.one_of_each_group(spark, docs, SF_DIR)
+    # rows without an id stay, rows alike in all columns are one, rows of one id that differ stay
+    assert got.columns == docs.columns
+    want = [(1, long, "en"), (None, long, "en"), (None, long, "en"), (3, "short", "en"), (3, "short", "fr"), (4, None, None)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), SF_DIR).count() == 0

@@ -9,7 +9,7 @@ from ..session import shared_dir
 from ..sources import catalogue_files as files
 from ..sources.json_values import cut_up
 from ..streaming import jobs
-from .registry import query, read
+from .registry import query, read, spread
 
 _FILES_SQL = """
 p AS (SELECT DISTINCT p_brand AS comunidad, p_type AS materia, p_size AS n FROM part),
@@ -53,7 +53,7 @@ def _written(spark, sf_dir):
 
 def _one_stem(spark, sf_dir):
     """A folder whose records share one region and one file stem, a record per part."""
-    blocks = read(spark, sf_dir, "part", "p_partkey", "p_name").select(
+    blocks = spread(read(spark, sf_dir, "part", "p_partkey", "p_name")).select(
         F.lit("galicia").alias("comunidad"), F.element_at(F.array(*map(F.lit, ("Música", "MÚSICA", "Musica"))), (F.col("p_partkey") % 3 + 1).cast("int")).alias("materia"),
         F.lit("gl").alias("idioma"), F.array(F.lit("1º ESO")).alias("cursos_aplicables"),
         F.array(F.struct(F.lit("CE1").alias("codigo"), F.lit("texto").alias("descripcion"), F.array(F.lit("STEM1")).alias("descriptores"))).alias("competencias_especificas"),
@@ -133,7 +133,7 @@ def _mixed(spark, sf_dir):
         .when(k % 4 == 1, F.concat(F.lit("suelto\n"), other, F.lit("\n"), bad, F.lit("\n"), good))
         .otherwise(F.concat(F.lit("[7, "), F.concat(F.lit('"R'), k, F.lit('", ')), good, F.lit("]\n")))
     )
-    return read(spark, sf_dir, "part", "p_partkey").select(text.alias("value"), k.cast("string").alias("ruta"))
+    return spread(read(spark, sf_dir, "part", "p_partkey")).select(text.alias("value"), k.cast("string").alias("ruta"))
 
 
 @query("catalogue_mixed", _MIXED_SQL)

@@ -31,3 +31,11 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small file dealt over the cluster, where each of them becomes much work.
+
+    A file of few bytes is one task, however many rows it holds.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, 2) * 4)
+

@@ -15,6 +15,9 @@ from ..operators.quality import dangling
 from ..schemas import CATALOGUE_FILE
 from .json_values import cut_up
 
+#: Records of a written file: readers hold a file whole.
+RECORDS_PER_FILE = 1000
+
 
 def checked_region(region: str | None) -> str:
     """Code of a region argument; an unknown one is an error before any write."""
@@ -126,9 +129,10 @@ def file_stem(style: str = "underscore"):
 def write_blocks(blocks: DataFrame, path: str) -> DataFrame:
     """Write one folder of JSON per region and subject; returns the skipped blocks.
 
-    Region and language stay inside the records, where the loader looks.
+    Region and language stay inside the records, where the loader looks. A folder that many records
+    share gets many files, as a file is read whole.
     """
     good, skipped = split_writable(blocks)
     named = good.withColumns({"region": F.col("comunidad"), "fichero": file_stem()})
-    named.write.mode("overwrite").partitionBy("region", "fichero").json(path)
+    named.write.mode("overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE).partitionBy("region", "fichero").json(path)
     return skipped

@@ -8,7 +8,7 @@ from syllabica.operators import catalogue as cat
 from syllabica.operators import quality as qual
 from syllabica.sources import catalogue_files as files
 from syllabica.sources import export, markup, tables
-from syllabica.sources.json_values import values
+from syllabica.sources.json_values import cut_up, values
 from syllabica.streaming import jobs, keyed
 from tests.conftest import rows
 
@@ -265,3 +265,26 @@ def test_state_is_written_beside_the_old_one(spark, tmp_path):
     first = tables.write_new_state(spark.range(2), str(tmp_path))
     second = tables.write_new_state(spark.range(3), str(tmp_path))
     assert first != second and tables.read_table(spark, first, "id").count() == 2
+
+
+def test_staged_tables_are_joined_by_sorting(spark):
+    """Compressed files say little of the size of their rows; such a table must not be sent whole to the driver."""
+    staged = tables.cut_lineage(spark.range(100), "prueba")
+    plan = spark.range(5).join(staged.groupBy("id").count(), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_many_records_of_one_name_are_many_files(spark, tmp_path):
+    blocks = spark.range(2500).coalesce(1).select(
+        F.lit("galicia").alias("comunidad"), F.lit("Música").alias("materia"), F.array(F.lit("1º ESO")).alias("cursos_aplicables"),
+        F.array(F.struct(F.col("id").cast("string").alias("codigo"), F.lit("CE1").alias("competencia"), F.lit("x").alias("descripcion"))).alias("criterios_evaluacion"))
+    files.write_blocks(blocks, str(tmp_path / "json"))
+    written = list((tmp_path / "json").rglob("*.json"))
+    assert len(written) == 3 and max(len(p.read_text().splitlines()) for p in written) == 1000
+    assert files.read_catalogue(spark, str(tmp_path / "json")).select(F.explode("criterios_evaluacion.codigo").alias("c")).distinct().count() == 2500
+
+
+def test_values_of_a_long_text_go_out_in_parts(spark):
+    df = spark.createDataFrame([('{"a": 1} ' * 25_000, "f"), ("x", "g"), (None, "h")], "value string, ruta string").coalesce(1)
+    got = cut_up(df).groupBy("ruta", "bueno").agg(F.count("*").alias("n"), F.min("n").alias("a"), F.max("n").alias("z"))
+    assert rows(got) == [("f", True, 25_000, 0, 24_999), ("g", False, 1, 0, 0)]

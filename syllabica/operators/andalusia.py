@@ -219,10 +219,11 @@ def extract(lines: DataFrame, cells: DataFrame, layout: Layout | None = None, st
     What several branches read is written to the shared folder (``stage``).
     """
     layout = layout or Layout()
-    shown = lines.where((strip(F.col("text")) != "") & ~P.is_noise(F.col("text"), layout.noise))
+    last = lines.select("doc_id", "page").unionByName(cells.select("doc_id", "page")).groupBy("doc_id").agg(F.max("page").alias("ultima")).hint("merge")
+    shown = stage(lines.where((strip(F.col("text")) != "") & ~P.is_noise(F.col("text"), layout.noise)), "vistas")
+    cells = stage(cells, "tablas")
     found = stage(subjects(shown, layout), "materias")
     inside = stage(in_subjects(shown, found), "lineas")
-    last = lines.select("doc_id", "page").unionByName(cells.select("doc_id", "page")).groupBy("doc_id").agg(F.max("page").alias("ultima"))
     known = stage(sections(inside, found, last), "secciones")
     pages = pages_of(known)
 

@@ -122,7 +122,7 @@ def _glued(lines: DataFrame, keys: list[str]) -> DataFrame:
     pieces = P.glue_lines(lines, code, keys).where("record > 0")
     named = lines.where(code).select(*keys, "seq", "competencia")
     part = [F.regexp_extract("text", CRITERION_CA, i) for i in (1, 2, 3)]
-    return pieces.join(named, [*keys, "seq"]).select(
+    return pieces.join(named.hint("merge"), [*keys, "seq"]).select(
         *keys, F.concat_ws(".", *part[:2]).alias("codigo"), F.coalesce("competencia", F.lit("1")).alias("competencia"), "seq",
         strip(part[2]).alias("descripcion"),
     )
@@ -165,6 +165,7 @@ def extract(
     """
     layout = layout or Layout()
     shown = lines.where((strip(F.col("text")) != "") & ~P.is_noise(F.col("text"), layout.noise)).withColumn("text", strip(F.col("text")))
+    shown = stage(shown, "lineas")
     placed = stage(milestones(shown), "hitos")
     section = placed.where("tipo = 'criterios' AND NOT es_hito")
     found = stage(columns(section), "columnas")
@@ -188,7 +189,7 @@ def extract(
     titles = P.cover_titles(shown).select("doc_id", clean_title(F.col("text")).alias("materia_oficial")).where("materia_oficial <> ''").distinct()
 
     # titles and year groups meet only here, where the output has a row for each pair
-    pairs = groups.join(titles, "doc_id")
+    pairs = groups.join(titles.hint("merge"), "doc_id")
     if articles is not None:
         pairs = P.missing_years_by_name(pairs.withColumnRenamed("materia_oficial", "materia").withColumn("grupo", F.col("cursos")), articles)
         pairs = pairs.withColumnRenamed("materia", "materia_oficial")

@@ -9,11 +9,15 @@ before its own shuffle.
 
 Both branches read the input, so a job that chains several of these should
 write the input of each layer to a table first (``sources.tables.cut_lineage``).
+Where all rows lie in one bucket no sequence is cut and nothing is carried across: the
+state is computed by one window over the keys, whose order later layers of the same keys share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,6 +40,12 @@ def _ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return cut_lineage(cut, "tramos")
 
 
+def _one_bucket(df: DataFrame, bucket: Column) -> bool:
+    """Whether all rows lie in one bucket, or none has any."""
+    first, last = df.agg(F.min(bucket), F.max(bucket)).first()
+    return first == last
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -57,6 +67,7 @@ def running(
     Without keys the buckets are ranges of the order instead, however its values
     are spread, so what is carried across is a row per range.
     ``order`` must be unique inside ``keys`` for a repeatable result.
+    The extent of the buckets is looked up when this is called.
     """
     counts, carries = dict(counts or {}), dict(carries or {})
     previous, following = dict(previous or {}), dict(following or {})
@@ -68,8 +79,9 @@ def running(
         **{f"__v_{n}": F.struct(c.alias("v")) for n, c in following.items()},
     }
     keyed = (df.withColumn(BUCKET, bucket) if keys else _ranges(df, order)).withColumns(inputs)
+    whole = bool(keys) and _one_bucket(df, bucket)
 
-    here = W.partitionBy(*by).orderBy(*order)
+    here = W.partitionBy(*(keys if whole else by)).orderBy(*order)
     upto = here.rowsBetween(W.unboundedPreceding, W.currentRow)
     local = {}
     for n in counts:
@@ -80,6 +92,11 @@ def running(
         local[f"__l_{n}"] = F.lag(f"__v_{n}").over(here)
     for n in following:
         local[f"__l_{n}"] = F.lead(f"__v_{n}").over(here)
+    if whole:
+        rows = keyed.where(reduce(and_, [F.col(f"`{k}`").isNotNull() for k in by])).withColumns(local)
+        state = [F.col(f"__l_{n}").alias(n) for n in [*counts, *carries]] + [F.col(f"__l_{n}")["v"].alias(n) for n in [*previous, *following]]
+        named = {*counts, *carries, *previous, *following}
+        return rows.select(*[c for c in df.columns if c not in named], *state)
     rows = keyed.withColumns(local)
 
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
@@ -108,7 +125,8 @@ def running(
         across[f"__a_{n}"] = F.lead(f"__s_{n}").over(over_keys)
     offsets = summary.withColumns(across).select(*by, *across)
 
-    joined = rows.join(offsets, by, "inner")
+    # a row per sequence and bucket: as many as there are sequences, so never a copy for every executor
+    joined = rows.join(offsets.hint("merge"), by, "inner")
     out = {}
     for n in counts:
         out[n] = F.col(f"__l_{n}") + F.col(f"__a_{n}")

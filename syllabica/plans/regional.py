@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from ..operators import andalusia as A
 from ..operators import catalonia as K
-from .registry import query, read
+from .registry import query, read, spread
 
 
 def _customers(spark, sf_dir):
-    c = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    c = spread(read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment"))
     maths = F.col("c_mktsegment") != "BUILDING"
     return c.select(
         F.col("c_custkey").alias("doc_id"), F.col("c_nationkey").alias("n"),
@@ -142,7 +142,7 @@ _CATALAN = [
 )
 def xtec_records(spark, sf_dir):
     """Positioned lines to records: two columns or none, both forms of indent, shared titles, years from the cover."""
-    c = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    c = spread(read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment"))
     even, segment = F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")
     documents = c.select(
         F.col("c_custkey").alias("doc_id"), F.col("c_nationkey").alias("n"),

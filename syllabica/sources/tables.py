@@ -37,8 +37,12 @@ def apply_or_report(df: DataFrame, path: str | None) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to and read back from the cluster's shared folder."""
-    return df.sparkSession.read.parquet(write_new_state(df, f"{shared_dir(df.sparkSession)}/{name}"))
+    """The frame written to and read back from the cluster's shared folder.
+
+    Spark takes the size of compressed files for that of their rows, which may be a hundredth
+    of it, and would send such a table whole to the driver and every executor. So it is joined by sorting.
+    """
+    return df.sparkSession.read.parquet(write_new_state(df, f"{shared_dir(df.sparkSession)}/{name}")).hint("merge")
 
 
 # Artefact file names.

@@ -40,3 +40,14 @@ def test_numbering_without_keys(hot):
     got = numbered(hot, [], ["seq"], width_bucket("seq", 13))
     assert sorted(r["n"] for r in got.collect()) == list(range(1, 601))
     assert all(r["n"] == r["seq"] + 1 for r in got.collect())
+
+
+def test_short_sequences_are_not_cut(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 5, "y"), (None, 3, "z"), ("c", None, "z")], "k string, seq bigint, v string")
+    got = running(df, ["k"], ["seq"], width_bucket("seq"), counts={"n": F.lit(1)}, carries={"v": F.col("v")}, following={"s": F.col("seq")})
+    # nothing is carried between buckets where all rows lie in one; rows without a key or a place drop out as ever
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == ["k", "seq", "n", "v", "s"]
+    assert rows(got) == [("a", 1, 1, "x", 2), ("a", 2, 2, "x", None), ("b", 5, 1, "y", None)]
+    cut = running(df, ["k"], ["seq"], width_bucket("seq", 2), counts={"n": F.lit(1)}, carries={"v": F.col("v")}, following={"s": F.col("seq")})
+    assert "Join" in cut._jdf.queryExecution().optimizedPlan().toString() and rows(cut) == rows(got)

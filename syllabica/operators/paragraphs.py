@@ -498,7 +498,8 @@ def longest_matches(items: DataFrame, names: Sequence[str], text: str = "text")
 
     zero = F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("found"))
     found = F.aggregate(vocabulary, zero, step, lambda acc: acc["found"])
-    return items.withColumn("materia", F.explode(found))
+    # outer: Spark would test the array of a plain explode in two filters first and so find the names three times
+    return items.withColumn("materia", F.explode_outer(found)).where(F.col("materia").isNotNull())
 
 
 def item_years(text: Column, otherwise: Column) -> Column:

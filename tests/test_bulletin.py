@@ -190,3 +190,10 @@ def test_markers_in_many_ranges(spark):
     finally:
         B.MARK_RANGE = whole[1]
     assert len(whole[0][1]) > 100
+
+
+def test_names_of_an_item_are_found_once(spark):
+    df = spark.createDataFrame([("Música y Tecnología",), ("nada",), (None,)], "text string")
+    got = P.longest_matches(df, ["Tecnología", "Música"], "text")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert rows(got, "materia") == [("Música",), ("Tecnología",)]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from syllabica.functions import codes as C
 from syllabica.operators import andalusia as A
+from syllabica.sources.tables import cut_lineage
 from tests.conftest import rows
 
 
@@ -101,3 +102,17 @@ def test_cells(spark):
         "preludio": "y sostenible en el tiempo.", "criterios": [{"codigo": "2.1", "texto": "Analizar los datos."}]}
     assert cell("") == cell("Criterios de evaluación\n \n") == {"preludio": "", "criterios": []}
     assert cell("a\nb\n1.1 c\nd\n1.2 e") == {"preludio": "a b", "criterios": [{"codigo": "1.1", "texto": "c d"}, {"codigo": "1.2", "texto": "e"}]}
+
+
+def test_lines_and_cells_are_staged_once(spark):
+    staged = []
+
+    def stage(df, name):
+        staged.append(name)
+        return cut_lineage(df, name)
+
+    lines = spark.createDataFrame([("d", 0, 1, 220.0, 1.0, True, False, "Música")], "doc_id string, seq bigint, page int, x double, y double, bold boolean, in_table boolean, text string")
+    cells = spark.createDataFrame([("d", 2, 0, 0, 0, 2, "x")], "doc_id string, page int, table_no int, row int, col int, n_cols int, text string")
+    out = A.extract(lines, cells, stage=stage)
+    assert staged[:2] == ["vistas", "tablas"]
+    assert rows(out["avisos"], "materia", "motivo") == [("Música", "sin_contenido")]

@@ -27,10 +27,11 @@ def citations_of(documents: DataFrame) -> DataFrame:
 def owned_variants(citations: DataFrame) -> DataFrame:
     """Variants of each citation that no earlier citation of the document claims.
 
-    The earliest citation with a spelling is picked by an aggregation, which is
-    combined before its shuffle.
+    The citations of a document are brought together before they are spelled: hardly two of
+    its spellings are equal, so there is nothing to combine, and a task of the reading side, which
+    may hold any number of citations in few compressed bytes, sorts none.
     """
-    spelled = citations.select(
+    spelled = citations.repartition("id_situacion").select(
         *CITED, "pos", F.posexplode(code_variants(F.col("codigo"))).alias("rank", "variante")
     )
     first = F.min_by(F.struct("codigo", "pos", "rank"), F.struct("pos", "rank")).alias("o")

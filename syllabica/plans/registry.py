@@ -37,5 +37,13 @@ def spread(rows: DataFrame) -> DataFrame:
 
     A file of few bytes is one task, however many rows it holds.
     """
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, 2) * 4)
+    return rows.repartition(_spread_parts(rows))
 
+
+def spread_by_values(rows: DataFrame) -> DataFrame:
+    """The same by a hash of all columns: rows of a large file are not sorted first, and equal rows lie together."""
+    return rows.repartition(_spread_parts(rows), *rows.columns)
+
+
+def _spread_parts(rows: DataFrame) -> int:
+    return max(rows.sparkSession.sparkContext.defaultParallelism, 2) * 4

@@ -10,7 +10,7 @@ from ..operators.relabel import reassignment_job
 from ..operators.versions import resolve_proposals
 from ..sources.tables import cut_lineage
 from .frames import CATALOGUE_SQL, CITATIONS_SQL, catalogue, citations, citing_documents
-from .registry import query, read
+from .registry import query, read, spread_by_values
 
 _RESOLVED_SQL = f"""
 WITH {CATALOGUE_SQL}, {CITATIONS_SQL},
@@ -179,7 +179,7 @@ content AS (
 
 def event_contents(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
-    rows = read(spark, sf_dir, "events", "event_id", "event_type", "user_id", "props")
+    rows = spread_by_values(read(spark, sf_dir, "events", "event_id", "event_type", "user_id", "props"))
     content = F.concat(
         F.lit('{"descripcion":{"texto":"'), "event_type", F.lit('"},"conexion_curricular":{"competencias":['),
         F.lit('{"codigo":"CE'), k, F.lit('","justificacion":"'), "event_type", F.lit('"},"'), k,

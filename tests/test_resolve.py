@@ -6,6 +6,8 @@ import pytest
 
 from syllabica.operators import coverage as cov
 from syllabica.operators import resolve as res
+from syllabica.operators.relabel import reassign
+from syllabica.plans.resolving import event_contents
 from tests.conftest import rows
 
 CATALOGUE = "id bigint, comunidad string, kind string, codigo string, materia string, cursos_aplicables array<string>"
@@ -113,3 +115,29 @@ def test_alternatives_for_missing_pairs(spark):
         "id_situacion bigint, comunidad string, materia string, curso string")
     assert rows(cov.alternatives(docs, pairs), "id_situacion", "motivo", "alternativas") == [
         (1, "sin_curriculo", ["Matemáticas A", "Matemáticas B"]), (2, "sin_comunidad", [])]
+
+
+def test_citations_are_spelled_after_their_documents_are_dealt(spark):
+    cited = spark.createDataFrame([(1, "criterios", "CE 1", 0), (1, "criterios", "CE1", 1), (2, "criterios", "1", 0)],
+                                  "id_situacion bigint, kind string, codigo string, pos bigint")
+    found = res.owned_variants(cited)
+    assert rows(found, "id_situacion", "variante", "codigo", "rank") == [
+        (1, "1", "CE 1", 1), (1, "CE 1", "CE 1", 0), (1, "CE1", "CE 1", 2), (2, "1", "1", 0), (2, "CE1", "1", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # one shuffle, below the spelling: the task that reads the citations sorts nothing
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_documents_of_a_small_file_are_dealt(spark):
+    found = event_contents(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_rules_of_a_reassignment_go_to_the_documents(spark):
+    docs = spark.createDataFrame([(1, "VIEJA", "1º ESO", False), (2, "VIEJA", None, False)],
+                                 "id_situacion bigint, materia string, curso string, con_curriculo boolean")
+    parts = reassign(docs, [("VIEJA", "1º ESO", "NUEVA", "1º ESO")])
+    assert rows(parts["reassigned"], "id_situacion", "materia_nueva") == [(1, "NUEVA")]
+    assert rows(parts["unmatched"], "id_situacion") == [(2,)]
+    assert "hashpartitioning" not in parts["reassigned"]._jdf.queryExecution().executedPlan().toString()

@@ -98,7 +98,6 @@ def parse_years(c: Column) -> Column:
 
     The word gate comes first: most paragraphs never reach the patterns.
     """
-    norm = compare_heading(c)
     word = "(" + "|".join(ORDINALS_ES) + ")"
     forms = [
         (rf"^cursos?\s+de\s+{word}\s+a\s+{word}$", "range"),
@@ -109,22 +108,28 @@ def parse_years(c: Column) -> Column:
         (rf"^cursos?\s+(?:de\s+)?{word}$", "one"),
     ]
     label = F.regexp_replace(strip(c), r"\.+$", "")
-    out = None
-    for pattern, kind in forms:
-        first = _lookup(ORDINALS_ES, F.regexp_extract(norm, pattern, 1))
-        track = F.lit(None).cast("string")
-        if kind == "range":
-            years = _years_between(first, _lookup(ORDINALS_ES, F.regexp_extract(norm, pattern, 2)))
-        elif kind == "pair":
-            years = F.array(_course(first), _course(_lookup(ORDINALS_ES, F.regexp_extract(norm, pattern, 2))))
-        else:
-            years = F.array(_course(first))
-        if kind == "track":
-            letter = F.upper(F.regexp_extract(F.regexp_extract(norm, pattern, 2), TRACK, 1))
-            track = F.when(letter != "", letter)
-        value = F.struct(label.alias("label"), years.alias("years"), track.alias("track"))
-        hit = norm.rlike(pattern)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
+
+    def parsed(norm: Column) -> Column:
+        out = None
+        for pattern, kind in forms:
+            first = _lookup(ORDINALS_ES, F.regexp_extract(norm, pattern, 1))
+            track = F.lit(None).cast("string")
+            if kind == "range":
+                years = _years_between(first, _lookup(ORDINALS_ES, F.regexp_extract(norm, pattern, 2)))
+            elif kind == "pair":
+                years = F.array(_course(first), _course(_lookup(ORDINALS_ES, F.regexp_extract(norm, pattern, 2))))
+            else:
+                years = F.array(_course(first))
+            if kind == "track":
+                letter = F.upper(F.regexp_extract(F.regexp_extract(norm, pattern, 2), TRACK, 1))
+                track = F.when(letter != "", letter)
+            value = F.struct(label.alias("label"), years.alias("years"), track.alias("track"))
+            hit = norm.rlike(pattern)
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out
+
+    # the heading form is found once, though every pattern reads it
+    out = F.get(F.transform(F.array(compare_heading(c)), parsed), F.lit(0))
     return F.when(F.lower(c).contains("curso"), out)
 
 

@@ -178,7 +178,8 @@ def label_groups(
 ) -> tuple[DataFrame, DataFrame]:
     """(content rows with their year group and section, year groups).
 
-    The folded markers are staged once for both. A list holds the markers of ``MARK_RANGE`` paragraphs at most.
+    Paragraphs are staged with what they mark, so that several branches read it and none parses them
+    again; the folded markers are staged once for both. A list holds the markers of ``MARK_RANGE`` paragraphs at most.
     """
     text = F.col("text")
     norm = compare_heading(text)
@@ -187,9 +188,10 @@ def label_groups(
         .when(_may_be(text, profile.criteria) & (norm == profile.criteria), "criterios")
         .when(_may_be(text, profile.items) & (norm == profile.items), "saberes")
     )
-    rows = inside.withColumn("y", C.parse_years(text)).withColumn(
+    parsed = inside.withColumn("y", C.parse_years(text)).withColumn(
         "tipo", F.when(F.col("es_cabecera"), "cabecera").when(F.col("y").isNotNull(), "curso").otherwise(section)
     )
+    rows = stage(parsed, "materias")
     default = F.lit(None).cast("array<string>")
     if profile.default_years:
         years = {n: F.array(*[F.lit(y) for y in ys]) for n, ys in profile.default_years.items()}
@@ -301,8 +303,7 @@ def extract_blocks(
     written to the shared folder and read back (``stage``): a lost executor
     rereads files, and no layer is computed more than once.
     """
-    inside = stage(label_subjects(paragraphs, profile), "materias")
-    placed, groups = label_groups(inside, profile, stage)
+    placed, groups = label_groups(label_subjects(paragraphs, profile), profile, stage)
     placed = stage(placed, "parrafos")
     keys = ["doc_id", "tramo", "grupo"]
     competences = competence_rows(placed)

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from syllabica.functions import codes as C
 from syllabica.operators import bulletin as B
 from syllabica.operators import paragraphs as P
 from syllabica.sources.catalogue_files import split_writable
@@ -197,3 +198,20 @@ def test_names_of_an_item_are_found_once(spark):
     got = P.longest_matches(df, ["Tecnología", "Música"], "text")
     assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
     assert rows(got, "materia") == [("Música",), ("Tecnología",)]
+
+
+def test_markers_are_parsed_once(spark):
+    items = [("c", "Latín"), ("p", "Cuarto curso: Matemáticas A"), ("p", "Saberes básicos"), ("p", "A. Bloque"), ("p", "- x"), ("p", None)]
+    staged = {}
+
+    def stage(df, name):
+        staged[name] = df
+        return keep(df, name)
+
+    out = B.extract_blocks(paragraphs(spark, items), B.Profile({"Latín": "Latín"}, header_class="c"), stage)
+    assert rows(out.select("grupo", F.array_join("cursos_aplicables", ",").alias("c")), "grupo", "c") == [(1, "4º ESO")]
+    # what a paragraph marks is written with it
+    assert {"y", "tipo"} <= set(staged["materias"].columns)
+    years = spark.createDataFrame([("Primer curso",)], "text string").select(C.parse_years(F.col("text")).alias("y"))
+    assert rows(years, "y.years") == [(["1º ESO"],)]
+    assert years._jdf.queryExecution().analyzed().toString().count("lower(trim(") == 1

@@ -1,7 +1,10 @@
 import json
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from syllabica.operators import catalogue as cat
@@ -147,6 +150,46 @@ def test_task_states_expire(spark, tmp_path):
     assert len(list(last.glob("cubo=*"))) == 1
 
 
+def test_steps_get_few_columns_and_plain_values(spark, monkeypatch):
+    """What Spark turns into pandas for each task: its key, the time of the watermark and one array."""
+    given = {}
+    made = GroupedData.applyInPandasWithState
+
+    def keep(grouped, step, *rest):
+        given[step.__qualname__.split(".")[0]] = (grouped._df.columns, step)
+        return made(grouped, step, *rest)
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", keep)
+    source = spark.readStream.format("rate").load()
+    events = source.select(F.lit("a").alias("id_tarea"), F.lit(1).cast("bigint").alias("id_situacion"), F.col("timestamp").alias("ts"),
+                           F.lit("ERROR").alias("event"), F.lit(None).cast("string").alias("section"), F.lit("x").alias("otra"))
+    assert jobs.task_states(events).schema["ts"].dataType.simpleString() == "timestamp"
+    jobs.failure_verdicts(events)
+    assert {n: c for n, (c, _) in given.items()} == dict.fromkeys(("task_states", "failure_verdicts"), ["id_tarea", "id_situacion", "ts", "valor"])
+
+    class State:
+        hasTimedOut, exists, kept = False, False, None
+
+        def update(self, value):
+            self.kept = value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    no_time = str(-(1 << 63))
+    frame = lambda *v: iter([pd.DataFrame({"valor": [np.array(x, object) for x in v]})])
+    states, verdicts, state = given["task_states"][1], given["failure_verdicts"][1], State()
+    found = list(states(("a", 1), frame((no_time, "PROGRESO", ""), ("5000", None, "s"), ("3000", "SUCCESS", "t")), state))
+    assert [f.iloc[0].tolist() for f in found] == [["a", 1, "SUCCESS", "t", 3000, True]] and state.kept == (True, 3000, "SUCCESS", "t")
+    assert state.at == 86_400_005
+    assert [f.iloc[0].tolist() for f in states(("a", None), frame((no_time, "PROGRESO", "")), State())] == [["a", None, "PROGRESO", "", None, False]]
+    found = list(verdicts(("a", 1), frame(("5000", "ERROR"), (no_time, None), ("1000", "ERROR"), ("2000", "ERROR")), state))
+    assert [f.iloc[0].tolist() for f in found] == [["a", 1, 3, "definitivo"]] and state.kept == (3, False, 5000)
+
+
 def test_equal_requests_pass_again_after_the_watermark(spark, tmp_path):
     schema = "id_situacion bigint, seccion string, ts timestamp, idioma string, texto string"
     out = []

@@ -33,6 +33,10 @@ from .words import word_hashes
 
 #: Pairs that the model's own arithmetic holds at a time.
 BLOCK = 1 << 18
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of text that a task scores at a time, and rows that Spark gives it at a time: executors keep the Python
+#: processes of earlier stages, each of which holds a model and what a batch takes.
+PIECE, ROWS = 500_000, 2_000
 #: Deviation of counts beyond chance, as a share of the expected count: words come in clusters.
 SPREAD = 0.15
 
@@ -141,22 +145,35 @@ class Comparison:
         self.word = np.append(np.log(of_words[1] / of_words[0]), 0).astype(np.float32)
 
     def __getstate__(self) -> dict:
-        """Pairs by the number of them that begin with each word, half as large as the keys."""
+        """What scoring needs: in place of the keys, where the pairs of each first word begin, and their second words, half as large."""
+        if not hasattr(self, "keys"):
+            return self.__dict__
         size = len(self.words) + 2
-        firsts = np.diff(np.searchsorted(self.keys, np.arange(size + 1) * size)).astype(np.int32)
-        return {"words": self.words, "pair": self.pair, "word": self.word, "second": (self.keys % size).astype(np.int32), "firsts": firsts}
-
-    def __setstate__(self, state: dict) -> None:
-        self.words, self.pair, self.word = state["words"], state["pair"], state["word"]
-        size = len(self.words) + 2
-        self.keys = np.repeat(np.arange(size) * size, state["firsts"])
-        self.keys += state["second"]
+        return {"words": self.words, "pair": self.pair, "word": self.word, "second": (self.keys % size).astype(np.int32),
+                "begins": np.searchsorted(self.keys, np.arange(size + 1) * size)}
+
+    def _places(self, key: np.ndarray) -> np.ndarray:
+        """Where pairs are among those of the sample; the number of these for others."""
+        if hasattr(self, "keys"):
+            return places(self.keys, key)
+        before, word = np.divmod(key, len(self.words) + 2)
+        low, high = self.begins[before], self.begins[before + 1]
+        end, left = high.copy(), np.flatnonzero(low < high)
+        while len(left):
+            middle = (low[left] + high[left]) >> 1
+            less = self.second[middle] < word[left]
+            low[left[less]] = middle[less] + 1
+            high[left[~less]] = middle[~less]
+            left = left[low[left] < high[left]]
+        known = low < end
+        known[known] = self.second[low[known]] == word[known]
+        return np.where(known, low, len(self.second))
 
     def ratios(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The log of toxic over ordinary of each word, and where the texts begin."""
         key, word, at = pairs(self.words, texts)
-        place = places(self.keys, key)
-        return np.where(place < len(self.keys), self.pair[place], self.word[word]).astype(np.float64), at
+        place = self._places(key)
+        return np.where(place < len(self.pair) - 1, self.pair[place], self.word[word]).astype(np.float64), at
 
     def figures(self, texts: list[str]) -> np.ndarray:
         """The difference of the log-likelihoods of each text by its words, and by their root, and 1."""
@@ -210,8 +227,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     The models keep all words and word pairs of the sample. Word counts shared by
     both classes come from all documents. Texts are read whole, empty and null ones
     hold no words. An id labelled twice counts once.
+
+    From here on the session gives Python at most ``ROWS`` rows at a time.
     """
     spark = docs.sparkSession
+    if not 0 < int(spark.conf.get(BATCH)) <= ROWS:
+        spark.conf.set(BATCH, ROWS)
     texts = documents(docs, id_col, text_col)
     chosen = labelled_sample(labels, label, learn, sample)
     # at most ``sample`` rows
@@ -247,7 +268,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, PIECE):
                 figures = first.value.figures(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(figures[:, 0]), pa.array(figures[:, 1]), part.column("label").cast("double")],
                                                  names=["mean", "root", "label"])
@@ -274,7 +295,7 @@ def add_score(docs: DataFrame, model: Comparison | None, name: str = "score", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column=text_col):
+            for part in slices(batch, PIECE, text_col):
                 score = fitted.value.score([text or "" for text in part.column(at).to_pylist()], curve)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
 

@@ -1,8 +1,10 @@
 """Quality and toxicity: held-out accuracy, awkward rows, what may be learnt from."""
 
+import pickle
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from syllabica.llm import quality_knn, toxicity_kn
@@ -89,6 +91,27 @@ def test_words_and_pairs_are_all_told_apart(spark):
     assert np.isclose(model.shared[vile][0], (every.count("vileword") + 1) / (len(every) + len(set(every)) + 1))
 
 
+def test_a_task_finds_pairs_without_their_keys(spark):
+    rows, labels = corpus(120)
+    docs = table(spark, rows).drop("score")
+    model = toxicity_kn.fit_toxicity(docs, labels_of(spark, labels), remainder("doc_id", 5) != 0)
+    small = pickle.loads(pickle.dumps(pickle.loads(pickle.dumps(model))))
+    held = sum(v.nbytes for v in vars(small).values())
+    assert held <= 8 * len(model.keys) + 24 * len(model.words) + 100 and not hasattr(small, "keys")
+    size = len(model.words) + 2
+    sought = np.concatenate([model.keys, model.keys + 1, np.random.default_rng(1).integers(0, size * size, 5000), [0, size * size - 1]])
+    assert np.array_equal(small._places(sought), toxicity_kn.places(model.keys, sought))
+    texts = [text for _, text in rows] + ["", "never seen words", "vileword " * 40]
+    assert np.array_equal(small.score(texts, model.curve), model.score(texts))
+    # executors keep the Python processes of other stages, so no task gets many texts at once
+    assert max(r[0] for r in spark.range(5000).coalesce(1).mapInArrow(_sizes, "n long").collect()) <= toxicity_kn.ROWS
+
+
+def _sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+
 def test_labels_outside_the_fold_change_nothing(spark):
     rows, labels = corpus(120)
     learn = remainder("doc_id", 5) != 0

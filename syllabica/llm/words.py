@@ -10,7 +10,8 @@ _RANDOM = np.random.default_rng(20)
 _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _IS_WORD = np.array([c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 for c in range(256)])
-BLOCK = 1 << 18
+#: Bytes hashed at a time, and the most for which powers are kept.
+BLOCK, LONG = 1 << 18, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,14 +22,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64; those of a block are kept by the worker."""
-    up, down = _block_powers() if n <= BLOCK else _powers(n)
+    """Powers of the base and of its inverse, modulo 2^64; those of both usual lengths are kept by a worker that needs them."""
+    up, down = _kept_powers(BLOCK if n <= BLOCK else LONG) if n <= LONG else _powers(n)
     return up[: n + 1], down[: n + 1]
 
 
-@functools.lru_cache(maxsize=1)
-def _block_powers() -> tuple[np.ndarray, np.ndarray]:
-    return _powers(BLOCK)
+@functools.lru_cache(maxsize=2)
+def _kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(n)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from syllabica.llm import quality_knn, toxicity_kn
 from syllabica.llm.frames import remainder
-from syllabica.llm.words import word_hashes
+from syllabica.llm.words import BLOCK, LONG, powers, word_hashes
 from tests.llm.helpers import empty, prose, table
 
 
@@ -107,6 +107,15 @@ def test_a_task_finds_pairs_without_their_keys(spark):
     assert max(r[0] for r in spark.range(5000).coalesce(1).mapInArrow(_sizes, "n long").collect()) <= toxicity_kn.ROWS
 
 
+def test_powers_of_any_length_agree():
+    up, down = powers(LONG + 5)
+    for n in (0, 7, BLOCK, BLOCK + 1, LONG, LONG + 5):
+        assert [len(x) for x in powers(n)] == [n + 1, n + 1]
+        assert np.array_equal(powers(n)[0], up[: n + 1]) and np.array_equal(powers(n)[1], down[: n + 1])
+    long = "ab1 " * BLOCK
+    assert set(word_hashes([long, "ab1"])[0].tolist()) == {word_hashes(["ab1"])[0][0]}
+
+
 def _sizes(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])

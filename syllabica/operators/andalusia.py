@@ -86,7 +86,7 @@ def sections(inside: DataFrame, found: DataFrame, last_pages: DataFrame) -> Data
     )
     items = marks.where("saberes").join(begun.select(*KEYS, "desde"), KEYS).where("lugar >= desde")
     start = items.groupBy(*KEYS).agg(F.min_by("hoja", "lugar").alias("hoja_saberes"))
-    return begun.join(start, KEYS, "left").join(last_pages, "doc_id").select(
+    return begun.join(start.hint("merge"), KEYS, "left").join(last_pages, "doc_id").select(
         *KEYS, "materia", "desde", F.coalesce("hoja_saberes", "hoja_desde").alias("pagina_ini"),
         F.coalesce("pagina_fin", "ultima").alias("pagina_fin"),
     )
@@ -236,8 +236,9 @@ def extract(lines: DataFrame, cells: DataFrame, layout: Layout | None = None, st
     items = stage(P.majority_prefix(P.official_items(read, KEYS, max_title=layout.max_block_title), KEYS), "saberes")
     prefixes = items.groupBy(*KEYS).agg(F.first("prefix").alias("prefix"))
 
+    # a join's result has no size that Spark knows: of cells it would be sent whole to the driver and every executor
     tables = kinds.where("es_de_criterios").join(pages, ["doc_id", "page"]).select(*KEYS, "page", "table_no", "columnas")
-    placed = judged.where("es_de_criterios").drop("columnas", "es_de_criterios").join(widths(tables), ["doc_id", "page", "table_no"])
+    placed = judged.where("es_de_criterios").drop("columnas", "es_de_criterios").join(widths(tables).hint("merge"), ["doc_id", "page", "table_no"])
     placed = stage(placed, "celdas")
     pieces = stage(cell_pieces(placed, prefixes), "trozos")
     coded = stage(dated(pieces), "fechados")
@@ -268,7 +269,7 @@ def _records(known: DataFrame, competences: DataFrame, judged: DataFrame, items:
     track = F.create_map(*[F.lit(x) for kv in layout.tracks.items() for x in kv])[F.col("prefix")] if layout.tracks else F.lit(None).cast("string")
     joined = (
         _sides(judged, items).join(known.select(*KEYS, "materia"), KEYS).join(items.groupBy(*KEYS).agg(F.first("prefix").alias("prefix")), KEYS, "left")
-        .join(listed, KEYS, "left").join(by_criteria, by_year, "left").join(by_blocks, by_year, "left")
+        .join(listed.hint("merge"), KEYS, "left").join(by_criteria, by_year, "left").join(by_blocks, by_year, "left")
         .withColumn("itinerario", track)
     )
     ends = F.col("itinerario").isNotNull() & F.col("materia").endswith(F.concat(F.lit(" "), "itinerario"))

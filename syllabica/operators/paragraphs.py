@@ -178,7 +178,7 @@ def official_items(
     titles = marked.withColumn("b", F.when(heading, C.parse_block(text))).where(F.col("b").isNotNull()).groupBy(
         *keys, F.col("b.code").alias("bloque")
     ).agg(F.max_by("b.title", order).alias("titulo"))
-    out = best.join(titles, [*keys, "bloque"], "left")
+    out = best.join(titles.hint("merge"), [*keys, "bloque"], "left")
     return out.withColumn("titulo", F.coalesce("titulo", F.concat(F.lit("Bloque "), "bloque")))
 
 
@@ -414,7 +414,7 @@ def majority_prefix(items: DataFrame, keys: Sequence[str] = ("doc_id",), prefix:
     best = counts.groupBy(*keys).agg(F.min(F.struct(-F.col("n"), F.col(prefix))).alias("b")).select(
         *keys, F.col(f"b.{prefix}").alias(prefix)
     )
-    return items.join(best, [*keys, prefix], "left_semi")
+    return items.join(best.hint("merge"), [*keys, prefix], "left_semi")
 
 
 def gather_by_years(criteria: DataFrame, title_years: DataFrame, keys: Sequence[str] = ("doc_id",)) -> dict[str, DataFrame]:
@@ -456,7 +456,7 @@ def shared_curriculum(titles: DataFrame, year_groups: DataFrame, keys: Sequence[
 
 def fallback_rows(sections: DataFrame, tables: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of the section, and table rows only where no section exists."""
-    lacking = tables.join(sections.select(*key).distinct(), key, "left_anti")
+    lacking = tables.join(sections.select(*key).distinct().hint("merge"), key, "left_anti")
     return sections.withColumn("origen", F.lit("seccion")).unionByName(lacking.withColumn("origen", F.lit("tabla")))
 
 

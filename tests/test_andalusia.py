@@ -116,3 +116,19 @@ def test_lines_and_cells_are_staged_once(spark):
     out = A.extract(lines, cells, stage=stage)
     assert staged[:2] == ["vistas", "tablas"]
     assert rows(out["avisos"], "materia", "motivo") == [("Música", "sin_contenido")]
+
+
+def test_no_derived_table_may_be_sent_whole(spark):
+    """Every join of cells, titles and records is by sorting, whatever size Spark takes a side for."""
+    plans = {}
+
+    def stage(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return cut_lineage(df, name)
+
+    lines = spark.createDataFrame([(1, 0, 0, 220.0, 0.0, True, False, "Música")], "doc_id bigint, seq bigint, page int, x double, y double, bold boolean, in_table boolean, text string")
+    cells = spark.createDataFrame([(1, 0, 0, 0, 0, 3, "1. Oír")], "doc_id bigint, page int, table_no int, row int, col int, n_cols int, text string")
+    out = A.extract(lines, cells, stage=stage)
+    plans["records"] = out["records"]._jdf.queryExecution().optimizedPlan().toString()
+    joins = [(name, line) for name in ("secciones", "saberes", "celdas", "trozos", "records") for line in plans[name].splitlines() if "Join " in line]
+    assert joins and [j for j in joins if "strategy=merge" not in j[1]] == []

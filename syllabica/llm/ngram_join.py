@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import documents, slices, staged
+from .frames import documents, slices, staged, tidy
 from .words import mix, word_hashes
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -147,7 +147,7 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()),
                                                   pa.array(signs, pa.list_(pa.int64()))], schema=_SIGNED)
 
-    signed = staged(texts.mapInArrow(sign, "doc_id long, set_key binary, bands array<long>"), "ngram-signed")
+    signed = staged(texts.mapInArrow(tidy(sign), "doc_id long, set_key binary, bands array<long>"), "ngram-signed")
     copies = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("copy_id"), F.any_value("bands").alias("bands"))
     placed = copies.select("copy_id", F.posexplode("bands").alias("band", "value"))
@@ -166,7 +166,7 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     families = families.join(sizes, "root").withColumnRenamed("id", "doc_id")
     members = (texts.join(families.hint("merge"), "doc_id")
                .select("root", "doc_id", "blocks", "text")
-               .mapInArrow(sets, "root long, doc_id long, blocks long, grams binary")
+               .mapInArrow(tidy(sets), "root long, doc_id long, blocks long, grams binary")
                .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
                .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .withColumn("low", F.least("own", "with")).withColumn("high", F.greatest("own", "with")).drop("with", "blocks"))

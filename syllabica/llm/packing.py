@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunked_bpe import ChunkCoder, rank_encoding
-from .frames import documents, slices, staged
+from .frames import documents, slices, staged, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, rank_path: str, capacity: int,
                     rows += [(doc_id, a, min(capacity, n - a), zlib.crc32(raw[4 * a: 4 * (a + capacity)]), n) for a in range(0, n, capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_TYPE)
 
-    return documents(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return documents(docs, id_col, text_col).mapInArrow(tidy(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, rank_path: str, capacity: int = 2048, end_id: int = 1, per_bucket: int = 32_768,

@@ -24,7 +24,7 @@ share.
 
 from __future__ import annotations
 
-from collections.abc import Generator, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .frames import tidy
 from .words import mix, powers
 
 GROUP, ROUNDS = 8, 3
+#: Bytes of text that a task holds.
+BUCKET_BYTES = 500_000
 _BYTE = np.random.default_rng(40).integers(0, 2**64, 256, dtype=np.uint64)
 #: ``place`` is the bucket in the high half; in the low half twice the position, and one more
 #: where the bucket holds the name repeatedly. Texts of a bucket are shorter than 2 GB.
@@ -251,27 +254,16 @@ def _restored(table: pa.Table, text_col: str) -> pa.Table:
     return table.set_column(table.schema.get_field_index(text_col), text_col, texts)
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 500_000,
-                   id_col: str = "doc_id", text_col: str = "text", kept: str = "__kept", spans: str = "__spans") -> DataFrame:
-    """``docs`` with ``kept`` (bytes) and ``spans`` (start, end in bytes): every byte goes that a
-    string of ``min_bytes`` bytes covers which also starts earlier.
-
-    Texts are UTF-8 bytes; earlier is a smaller id, or the same document and an
-    earlier start; strings are judged on the input, overlaps count, and no string
-    crosses documents. Null texts are empty. A null id comes before all others;
-    rows that repeat an id are ordered by their text, rows that are the same are
-    copies of each other. All other columns are kept, but for those named as the
-    two new ones. A document needs some 40 times its bytes of memory in one task.
-    ``bucket_bytes`` sets how much a task holds.
-    """
-    docs = docs.drop(kept, spans)
+def _without_repeats(docs: DataFrame, min_bytes: int, bucket_bytes: int, id_col: str, text_col: str,
+                     told: Callable[[pa.Table, list[bytes], list[list[dict]]], pa.Table], schema: T.StructType) -> DataFrame:
+    """What ``told`` makes of the documents of each bucket, what is left of them and their removed spans."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     total = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     number = _free("__bucket", docs.columns)
     # texts are shuffled compressed
     narrow = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text_col else f for f in docs.schema.fields])
-    dealt = (docs.mapInArrow(lambda batches: _compressed(batches, text_col), narrow)
+    dealt = (docs.mapInArrow(tidy(lambda batches: _compressed(batches, text_col)), narrow)
              .withColumn(number, F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(buckets)).cast("int")))
 
     def advance(table: pa.Table, replies: pa.Table | None, turn: int) -> tuple[pa.Table, Bucket, Items | None]:
@@ -316,16 +308,37 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = 50
         answered = reply if answered is None else answered.unionByName(reply)
 
     names = docs.columns
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         table, bucket, _ = advance(table, replies, ROUNDS)
-        left, gone = bucket.result()
-        return table.select(names).append_column(kept, pa.array(left, pa.binary())).append_column(spans, pa.array(gone, span_type))
+        return told(table.select(names), *bucket.result())
+
+    return dealt.groupBy(number).cogroup(answered.groupBy("bucket")).applyInArrow(finish, schema)
+
+
+def remove_repeats(docs: DataFrame, min_bytes: int = 100, bucket_bytes: int = BUCKET_BYTES,
+                   id_col: str = "doc_id", text_col: str = "text", kept: str = "__kept", spans: str = "__spans") -> DataFrame:
+    """``docs`` with ``kept`` (bytes) and ``spans`` (start, end in bytes): every byte goes that a
+    string of ``min_bytes`` bytes covers which also starts earlier.
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return dealt.groupBy(number).cogroup(answered.groupBy("bucket")).applyInArrow(
-        finish, f"{schema}, `{kept}` binary, `{spans}` array<struct<start:bigint,end:bigint>>")
+    Texts are UTF-8 bytes; earlier is a smaller id, or the same document and an
+    earlier start; strings are judged on the input, overlaps count, and no string
+    crosses documents. Null texts are empty. A null id comes before all others;
+    rows that repeat an id are ordered by their text, rows that are the same are
+    copies of each other. All other columns are kept, but for those named as the
+    two new ones. A document needs some 40 times its bytes of memory in one task.
+    ``bucket_bytes`` sets how much a task holds.
+    """
+    docs = docs.drop(kept, spans)
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def told(table: pa.Table, left: list[bytes], gone: list[list[dict]]) -> pa.Table:
+        return table.append_column(kept, pa.array(left, pa.binary())).append_column(spans, pa.array(gone, span_type))
+
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema.fields), T.StructField(kept, T.BinaryType()),
+                           T.StructField(spans, T.ArrayType(span))])
+    return _without_repeats(docs, min_bytes, bucket_bytes, id_col, text_col, told, schema)
 
 
 def drop_repeats(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,16 +347,11 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id",
     Where a removed span begins or ends inside a character, the rest of that
     character goes as well. A null text stays null.
     """
-    left, spans = _free("__kept", docs.columns), _free("__spans", docs.columns)
-    found = remove_repeats(docs, min_bytes, id_col=id_col, text_col=text_col, kept=left, spans=spans)
-    text, names = F.col(f"`{text_col}`"), docs.columns
-
-    def valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [None if x is None else x.decode(errors="ignore") for x in batch.column(left).to_pylist()]
-            at = batch.schema.get_field_index(text_col)
-            columns = [pa.array(kept, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    found = found.withColumn(left, F.when(text.isNotNull(), F.when(F.size(spans) > 0, F.col(left)).otherwise(text.cast("binary"))))
-    return found.drop(spans).mapInArrow(valid, docs.schema)
+
+    def told(table: pa.Table, left: list[bytes], gone: list[list[dict]]) -> pa.Table:
+        at = table.schema.get_field_index(text_col)
+        texts = [kept.decode(errors="ignore") if spans else text for text, kept, spans in zip(table[at].to_pylist(), left, gone, strict=True)]
+        return table.set_column(at, text_col, pa.array(texts, pa.string()))
+
+    # in the task that finds the spans: an operator of its own would double the Python processes of executors
+    return _without_repeats(docs, min_bytes, BUCKET_BYTES, id_col, text_col, told, docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import documents, slices, staged
+from .frames import documents, slices, staged, tidy
 from .quality_knn import labelled_sample
 from .words import word_hashes
 
@@ -239,17 +239,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     known = staged(texts.join(F.broadcast(chosen), "doc_id").withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0),
                    "toxicity-sample")
     counts_type = "word long, n long"
-    everywhere = staged(texts.mapInArrow(_word_counts, counts_type).groupBy("word").agg(F.sum("n").alias("n")), "toxicity-words")
+    everywhere = staged(texts.mapInArrow(tidy(_word_counts), counts_type).groupBy("word").agg(F.sum("n").alias("n")), "toxicity-words")
     n_words, n_different = everywhere.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # as many words and pairs as at most ``sample`` rows hold
     learnt = known.where(~F.col("curve")).select("text", "label")
-    found = learnt.select("text").mapInArrow(_word_counts, counts_type).select("word").distinct().join(everywhere, "word").toArrow()
+    found = learnt.select("text").mapInArrow(tidy(_word_counts), counts_type).select("word").distinct().join(everywhere, "word").toArrow()
     order = np.argsort(found.column("word").to_numpy())
     words, n = (found.column(c).to_numpy()[order] for c in ("word", "n"))
     vocabulary = spark.sparkContext.broadcast(words)
     few = "smallint" if sample < 1 << 15 else "int"
     # in order from Spark, and column by column, so that the driver holds each once
-    counted = (learnt.mapInArrow(lambda batches: _pair_counts(batches, vocabulary.value), "pair long, n long, n0 long, n1 long")
+    counted = (learnt.mapInArrow(tidy(lambda batches: _pair_counts(batches, vocabulary.value)), "pair long, n long, n0 long, n1 long")
                .groupBy("pair").agg(F.sum("n").cast("int").alias("n"), *(F.sum(c).cast(few).alias(c) for c in ("n0", "n1"))).orderBy("pair").toArrow())
     taken = []
     for name in ("pair", "n", "n0", "n1"):
@@ -273,7 +273,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
                 yield pa.RecordBatch.from_arrays([pa.array(figures[:, 0]), pa.array(figures[:, 1]), part.column("label").cast("double")],
                                                  names=["mean", "root", "label"])
 
-    seen = known.where("curve").select("text", "label").mapInArrow(measure, "mean double, root double, label double").toArrow()
+    seen = known.where("curve").select("text", "label").mapInArrow(tidy(measure), "mean double, root double, label double").toArrow()
     columns = [seen.column(name).to_numpy() for name in ("mean", "root", "label")]
     order = np.lexsort(columns)
     mean, root, marks = (c[order] for c in columns)
@@ -299,4 +299,4 @@ def add_score(docs: DataFrame, model: Comparison | None, name: str = "score", te
                 score = fitted.value.score([text or "" for text in part.column(at).to_pylist()], curve)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -1,10 +1,13 @@
 """The pipeline's stages on their own inputs, and the registered queries."""
 
+import re
+
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from syllabica.llm import queries
+from syllabica.llm import frames, queries
 from tests.compare import connect, differences
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_ngram_join import brute as brute_links
@@ -53,3 +56,41 @@ def test_one_of_each_group_of_awkward_rows(spark):
     want = [(1, long, "en"), (None, long, "en"), (None, long, "en"), (3, "short", "en"), (3, "short", "fr"), (4, None, None)]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+def nested_python(plan):
+    """Python operators of a plan that run in one stage with one above them: each has a process of its own in every task."""
+    above, found = [], []
+    for line in plan.split("\n"):
+        node = line.lstrip(" :+-*(0123456789)")
+        depth = len(line) - len(node)
+        above = [a for a in above if a[0] < depth] if node else above
+        kind = "stage" if re.match("Exchange|BroadcastExchange", node) else "python" if re.match(r"MapIn|FlatMap|\w*EvalPython", node) else ""
+        if kind == "python" and above and above[-1][1] == "python":
+            found.append(node)
+        above += [(depth, kind)] if kind else []
+    return found
+
+
+def test_one_python_process_a_task(spark, capsys):
+    assert nested_python("MapInArrow a\n+- *(1) Project\n   +- FlatMapCoGroupsInArrow b\n      :- Exchange\n      :  +- MapInArrow c") == ["FlatMapCoGroupsInArrow b"]
+    docs = spark.createDataFrame([(1, "x" * 300, "en"), (2, None, "de")], "doc_id long, text string, lang string")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("suffix dedup", "packing"):
+            capsys.readouterr()
+            stage(spark, docs, SF_DIR).explain()
+            plan = capsys.readouterr().out
+            assert "InArrow" in plan or "InPandas" in plan
+            assert nested_python(plan) == [], name
+
+
+def test_tasks_hand_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(frames, "give_back", lambda: calls.append(len(seen)))
+    batch, seen = pa.RecordBatch.from_pydict({"n": [1, 2]}), []
+    for part in frames.tidy(lambda batches: (b.slice(1) for b in batches))(iter([batch, batch])):
+        seen.append(part.to_pydict())
+    # once, after the last batch
+    assert seen == [{"n": [2]}] * 2 and calls == [2]
+    monkeypatch.undo()
+    frames.give_back()

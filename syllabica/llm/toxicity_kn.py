@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import documents, slices, staged, tidy
+from .frames import documents, give_back, slices, staged, tidy
 from .quality_knn import labelled_sample
 from .words import word_hashes
 
@@ -259,10 +259,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
         del column
     keys, counts, *pair = taken
     del counted, taken
-    pa.default_memory_pool().release_unused()
+    give_back()
     if not all(n_c.any() for n_c in pair):
         return None
     model = Comparison(keys, counts, pair, words, (n + 1) / (n_words + n_different + 1), smoothing or Smoothing())
+    del counts, pair
     # a copy: what is broadcast must not hold its own broadcast
     first = model.sent = spark.sparkContext.broadcast(copy.copy(model))
 
@@ -278,6 +279,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     order = np.lexsort(columns)
     mean, root, marks = (c[order] for c in columns)
     model.fit(np.stack([mean, root, np.ones(len(mean))], axis=1), marks)
+    # the driver has its later stages to run
+    give_back()
     return model
 
 
